@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import decontaminate, language, pieces, secrets
+from veilspark.llm import decontaminate, jaccard, language, pieces, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontaminate.items_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near", "hits")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under the Jaccard join."""
+    return jaccard.similarity_classes(_table(spark, sf_dir, "documents"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document's text, and whether they decode to it."""
     return pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -46,7 +51,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_secrets, op5_decontaminate, op8_pieces, op9_language)
+    for f in (op4_secrets, op5_decontaminate, op6_jaccard, op8_pieces, op9_language)
 }
 
 #: None of the ten has a form in SQL that runs on whole tables (learned models, vocabularies, suffix arrays, transitive links); tests/llm holds brute-force versions.
