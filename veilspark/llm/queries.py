@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import decontaminate, jaccard, language, pieces, secrets
+from veilspark.llm import decontaminate, jaccard, language, pieces, repeats, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,9 +49,15 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), carry=["doc_id"])
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the long strings that occur elsewhere."""
+    out = repeats.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_secrets, op5_decontaminate, op6_jaccard, op8_pieces, op9_language)
+    for f in (op4_secrets, op5_decontaminate, op6_jaccard, op8_pieces, op9_language, op10_repeats)
 }
 
 #: None of the ten has a form in SQL that runs on whole tables (learned models, vocabularies, suffix arrays, transitive links); tests/llm holds brute-force versions.
