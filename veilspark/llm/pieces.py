@@ -95,9 +95,13 @@ class Machine:
         crossing = any(SPACE in s.lstrip(SPACE) for s in self.ids)
         self.segments = re.compile("(?s).+" if crossing else f"(?s){SPACE}*[^{SPACE}]+|{SPACE}+")
         self.lowest = min(self.score, default=0.0)
+        #: Neighbours that stand together in some piece: no piece spans any other two characters, so paths are cut there.
+        self.inner = {s[i : i + 2] for s in self.ids for i in range(len(s) - 1)}
         self.ends: dict[str, bool] = {}
-        self.joins: dict[tuple[int, int], bool] = {}
+        self.joins: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, list[int]] = {}
 
     def normalised(self, text: str) -> str:
         if self.squeeze:
@@ -133,9 +137,9 @@ class Machine:
 
     def agree(self, a: int, b: int) -> bool:
         """Whether pieces a and b stay apart when their strings are merged together: weight 0, else infinity."""
-        key = (a, b)
+        key = a << 32 | b
         if (known := self.joins.get(key)) is None:
-            if len(self.joins) > 4 * CACHE:
+            if len(self.joins) > 8 * CACHE:
                 self.joins.clear()
             known = self.joins[key] = self.merged(self.surface[a] + self.surface[b]) == [self.surface[a], self.surface[b]]
         return known
@@ -151,27 +155,45 @@ class Machine:
 
     def path(self, segment: str) -> list[int]:
         """The shortest path through the lattice of one segment, as ids."""
-        return self._bpe_path(segment) if self.bpe else self._unigram_path(segment)
+        inner, out, start = self.inner, [], 0
+        for at in range(1, len(segment)):
+            if segment[at - 1 : at + 1] not in inner:
+                out += self._part(segment[start:at])
+                start = at
+        return out + self._part(segment[start:])
+
+    def _part(self, part: str) -> list[int]:
+        if (known := self.parts.get(part)) is None:
+            known = self._bpe_path(part) if self.bpe else self._unigram_path(part)
+            if len(part) <= 64:
+                if len(self.parts) >= CACHE:
+                    self.parts.clear()
+                self.parts[part] = known
+        return known
 
     def _bpe_path(self, segment: str) -> list[int]:
         if (i := self.ids.get(segment)) is not None and self.whole(segment):
             return [i]
-        ids, agree, whole = self.ids, self.agree, self.whole
+        get, joins, agree, whole, longest = self.ids.get, self.joins.get, self.agree, self.whole, self.longest
         n = len(segment)
         last = [-1] * (n + 1)  # the last piece of the finite path to each state; -1: byte fallback, or the start
         length = [0] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                i = ids.get(segment[start:end])
-                if i is None or (start and not length[start]):
+            for start in range(end - longest if end > longest else 0, end):
+                i = get(segment[start:end])
+                if i is None:
                     continue
                 before = last[start]
-                if agree(before, i) if before >= 0 else whole(segment[start:end]):
+                if before < 0:
+                    ok = whole(segment[start:end])
+                elif (ok := joins(before << 32 | i)) is None:
+                    ok = agree(before, i)
+                if ok:
                     last[end], length[end] = i, end - start
                     break
             else:  # a character without a piece: only fallback leads on
-                if ids.get(segment[end - 1]) is None:
-                    last[end], length[end] = -1, 1
+                if get(segment[end - 1]) is None:
+                    length[end] = 1
         out, end = [], n
         while end:
             start = end - length[end]
@@ -199,14 +221,17 @@ class Machine:
         return [i for x in reversed(out) for i in x]
 
     def encode(self, text: str) -> np.ndarray:
-        cache, found = self.cache, []
+        cache, older, found = self.cache, self.older, []
         for s in self.segments.findall(self.normalised(text)):
             known = cache.get(s)
             if known is None:
-                known = np.array(self.path(s), np.int32).tobytes()
+                known = older.get(s)
+                if known is None:
+                    known = np.array(self.path(s), np.int32).tobytes()
                 if len(s) <= 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
+                    if len(cache) >= CACHE:  # what was used lately stays for another round
+                        self.older = older = cache
+                        self.cache = cache = {}
                     cache[s] = known
             found.append(known)
         return np.frombuffer(b"".join(found), np.int32)
