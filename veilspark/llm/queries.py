@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import decontaminate, jaccard, language, pieces, repeats, secrets
+from veilspark.llm import decontaminate, jaccard, language, pieces, repeats, score, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under the backoff automaton, beside a unigram base."""
+    return score.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "secrets")
@@ -57,7 +62,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_secrets, op5_decontaminate, op6_jaccard, op8_pieces, op9_language, op10_repeats)
+    for f in (op1_lm, op4_secrets, op5_decontaminate, op6_jaccard, op8_pieces, op9_language, op10_repeats)
 }
 
 #: None of the ten has a form in SQL that runs on whole tables (learned models, vocabularies, suffix arrays, transitive links); tests/llm holds brute-force versions.
