@@ -88,7 +88,11 @@ def has_letters(texts: list[bytes]) -> list[bool]:
 def fitted(df: DataFrame, text: str, declared: str, sample_rows: int = SAMPLE_ROWS) -> TextModel:
     """Fit the text model on at most ``sample_rows`` rows with a declared language and a text, those of the smallest hashes."""
     t, d = F.col(f"`{text}`"), F.lower(F.trim(F.col(f"`{declared}`").cast("string")))
-    rows = df.where(t.isNotNull() & d.isNotNull() & (F.length(t) > 0)).select(F.xxhash64(t, d).alias("h"), t.alias("t"), d.alias("d")).orderBy("h", "d").limit(sample_rows).collect()
+    labelled = df.where(t.isNotNull() & d.isNotNull() & (F.length(t) > 0)).select(F.xxhash64(t, d).alias("h"), t.alias("t"), d.alias("d"))
+    # Hashes are uniform, so about 1.1 times the sample lies below this bound, and no task offers more than its share.
+    share = min(1.0, 1.1 * sample_rows / max(1, labelled.count()))
+    bound = int(share * 2**64) - 2**63 - 1
+    rows = labelled.where(F.col("h") <= F.lit(bound)).orderBy("h", "d").limit(sample_rows).collect()
     return TextModel([r.t.encode() for r in rows], [r.d for r in rows])
 
 
