@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import decontaminate, jaccard, language, pieces, repeats, score, secrets
+from veilspark.llm import decontaminate, jaccard, language, licenses, neighbours, pages, pieces, repeats, score, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,17 @@ def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one, among all."""
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = pages.main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "secrets")
@@ -44,6 +55,13 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_classes(_table(spark, sf_dir, "documents"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document; its source and the thousands of its id are its folders."""
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.when(F.col("doc_id").isNotNull(), F.col("source")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    return licenses.licences(docs.select("doc_id", "text", path.alias("path")), carry=["doc_id", "path"])
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document's text, and whether they decode to it."""
     return pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -62,7 +80,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lm, op4_secrets, op5_decontaminate, op6_jaccard, op8_pieces, op9_language, op10_repeats)
+    for f in (op1_lm, op2_neighbours, op3_pages, op4_secrets, op5_decontaminate, op6_jaccard, op7_licences, op8_pieces, op9_language, op10_repeats)
 }
 
 #: None of the ten has a form in SQL that runs on whole tables (learned models, vocabularies, suffix arrays, transitive links); tests/llm holds brute-force versions.

@@ -26,7 +26,6 @@ strings are repeated.  Texts shorter than ``length`` keep all bytes.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -212,7 +211,7 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int, shards: int) -> DataFr
     return docs.join(lists, "row").select("row", "text", "segments").mapInArrow(cut, "shard bigint, row bigint, start bigint, kind int, bytes binary")
 
 
-def _sorted(cuts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+def _sorted(cuts: DataFrame, length: int) -> DataFrame:
     """Repeated spans of the segments that were asked for."""
 
     def judge(table: pa.Table) -> pa.Table:
@@ -248,19 +247,13 @@ def _sorted(cuts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     return cuts.groupBy("shard").applyInArrow(judge, "row bigint, start bigint, end bigint")
 
 
-def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``docs`` with removed array<struct<start, end>> (maximal runs of repeated bytes), n_bytes, n_removed and kept (binary, the remaining bytes).
+def repeated_spans(slim: DataFrame, length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(row, spans): for each text with repeated strings of ``length`` bytes, the spans that hold them, not yet merged.
 
-    Columns of those names are replaced.
+    ``slim`` has columns row (bigint) and text (string or binary).  Texts with
+    the same row number must be equal; each counts.
     """
-    added = ["n_bytes", "n_removed", "removed", "kept"]
-    docs = docs.drop(*added)
-    names, t = docs.columns, F.col(f"`{text}`")
-    row, spans = fresh("row", names), fresh("spans", names)
-    # Rows are told apart by their content: equal rows are repeated alike, so they can share what is found.
-    keyed = docs.withColumn(row, F.xxhash64(*(F.col(f"`{c}`") for c in names)))
-    slim = keyed.select(F.col(row).alias("row"), t.alias("text"))
-    buckets = max(64, 2 * docs.rdd.getNumPartitions())
+    buckets = max(64, 2 * slim.rdd.getNumPartitions())
     anchored = stored(_anchored(slim, length, buckets), "anchors")
     met = stored(_met(anchored, hot), "segments")
 
@@ -274,9 +267,25 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, h
     total = wanted.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
     if total:
         shards = int(total // shard_bytes) + 1
-        found = found.union(_sorted(_cut(slim, wanted, length, shards), length, shard_bytes))
-    found = stored(found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(spans)).withColumnRenamed("row", row), "repeated")
-    dropped(docs.sparkSession, anchored, met)
+        found = found.union(_sorted(_cut(slim, wanted, length, shards), length))
+    found = stored(found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), "repeated")
+    dropped(slim.sparkSession, anchored, met)
+    return found
+
+
+def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``docs`` with removed array<struct<start, end>> (maximal runs of repeated bytes), n_bytes, n_removed and kept (binary, the remaining bytes).
+
+    Columns of those names are replaced.
+    """
+    added = ["n_bytes", "n_removed", "removed", "kept"]
+    docs = docs.drop(*added)
+    names, t = docs.columns, F.col(f"`{text}`")
+    row, spans = fresh("row", names), fresh("spans", names)
+    # Rows are told apart by their content: equal rows are repeated alike, so they can share what is found.
+    keyed = docs.withColumn(row, F.xxhash64(*(F.col(f"`{c}`") for c in names)))
+    found = repeated_spans(keyed.select(F.col(row).alias("row"), t.alias("text")), length, hot, shard_bytes)
+    found = found.select(F.col("row").alias(row), F.col("spans").alias(spans))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
