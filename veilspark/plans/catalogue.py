@@ -1,4 +1,528 @@
-"""Queries by name, with equivalent SQL."""
+"""Queries by name over the driver's tables, with equivalent SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Documents stand for files, orders for runs, customers for contexts, events for
+audit rows; identifiers that the tables lack are derived from their columns.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilspark.functions import checks, text as T
+from veilspark.operators import consistency, detect, mapping, outcome, prepare, reports
+from veilspark.operators import rules as R
+from veilspark.operators import spans as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _rules(*names: str) -> list[R.Rule]:
+    return [r for r in R.bound((*R.RULES, *R.RECOGNISERS)) if r.name in names]
+
+
+EMAIL, IP, CARD, PHONE = "email_address", "ipv4_address", "builtin_card", "builtin_phone"
+_BASIC = (EMAIL, IP, CARD, PHONE)
+_P = {r.name: r.pattern for r in (*R.RULES, *R.RECOGNISERS)}
+
+
+def _found_sql(table: str = "documents", key: str = "doc_id", names: tuple[str, ...] = _BASIC) -> str:
+    """(key, rule, priority, authority, prefix, start, end, value) by SQL: starts are sums of the lengths between matches."""
+    by = {r.name: r for r in (*R.RULES, *R.RECOGNISERS)}
+    parts = []
+    for n in names:
+        r = by[n]
+        second = r.kind == "recogniser"
+        conf = 2 if not second or r.score >= 0.85 else 1
+        check = " where list_sum(list_transform(range(1, length(v) + 1), lambda i: case when i % 2 = 0 then (substring(reverse(v), i, 1)::int * 2) // 10 + (substring(reverse(v), i, 1)::int * 2) % 10 else substring(reverse(v), i, 1)::int end)) % 10 = 0" if r.validator == "luhn" else ""
+        parts.append(f"""
+  select * from (
+    select {key}, '{n}' as rule, {r.priority} as priority, {1 if second else 3} as authority, {conf} as conf, {2 if second else 3} as src, '{r.prefix}' as prefix, v,
+      (sum(g) over w + sum(length(v)) over w - length(v))::bigint as s, (sum(g) over w + sum(length(v)) over w)::bigint as e
+    from (select {key}, unnest(ms) as v, unnest(list_transform(list_slice(gs, 1, len(ms)), lambda g: length(g))) as g, generate_subscripts(ms, 1) as i
+      from (select {key}, regexp_extract_all(text, '{r.pattern}') as ms, string_split_regex(text, '{r.pattern}') as gs from {table} where regexp_matches(text, '{r.pattern}')))
+    window w as (partition by {key} order by i)){check}""")
+    return " union all ".join(parts)
+
+
+#: The greedy choice, one step for each rank: a span is out if a better one that is in overlaps it.
+_RESOLVED_SQL = f"""
+with recursive found as ({_found_sql()}),
+ranked as (select *, row_number() over (partition by doc_id order by authority desc, conf desc, e - s desc, priority, src desc, s, e) as r from found),
+walk as (
+  select doc_id, 1 as r, [struct_pack(s := s, e := e, r := r)] as taken from ranked where r = 1
+  union all
+  select w.doc_id, w.r + 1, case when len(list_filter(w.taken, lambda t: t.e > x.s and t.s < x.e)) = 0 then list_append(w.taken, struct_pack(s := x.s, e := x.e, r := x.r)) else w.taken end
+  from walk w join ranked x on x.doc_id = w.doc_id and x.r = w.r + 1),
+last as (select doc_id, max_by(taken, r) as taken from walk group by doc_id),
+picked as (select doc_id, unnest(list_transform(taken, lambda t: t.r)) as r from last),
+won as (select ranked.* from ranked join picked using (doc_id, r)),
+firsts as (select v, min(lpad(doc_id::varchar, 12, '0') || lpad(s::varchar, 9, '0') || prefix) as k from won group by v),
+numbered as (select v, substring(k, 22) as prefix, row_number() over (partition by substring(k, 22) order by k, v) as number from firsts)"""
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", "text")
+
+
+def _resolved(docs: DataFrame, names: tuple[str, ...] = _BASIC) -> DataFrame:
+    return detect.detect(docs, _rules(*names)).withColumn("resolved", S.resolve(F.col("findings")))
+
+
+def _accepted(docs: DataFrame, names: tuple[str, ...] = _BASIC) -> DataFrame:
+    return detect.long(_resolved(docs, names).select("doc_id", S.accepted(F.col("resolved")).alias("findings")))
+
+
+def mask_documents(docs: DataFrame, rules: list[R.Rule]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(masked documents, mapping, accepted findings) of documents (doc_id, text)."""
+    found = detect.long(detect.detect(docs, rules).select("doc_id", S.accepted(S.resolve(F.col("findings"))).alias("findings")))
+    table = mapping.mapping_of(found)
+    return mapping.masked(docs, found, table), table, found
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    out, _, _ = mask_documents(_docs(spark, d), _rules(*_BASIC))
+    return out.select("doc_id", "masked_text", "n_findings")
+
+
+# -- detection ----------------------------------------------------------------------------------
+
+
+@_query(f"""select rule, lang, count(*)::bigint as n, count(distinct doc_id)::bigint as n_docs from ({_found_sql()}) f join (select doc_id, lang from documents) d using (doc_id) group by rule, lang""")
+def findings_by_rule(spark, d):
+    found = detect.long(detect.detect(_t(spark, d, "documents").select("doc_id", "lang", "text"), _rules(*_BASIC)), keep=("doc_id", "lang"))
+    return found.groupBy("rule", "lang").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@_query(f"""select rule, count(*)::bigint as n, count(distinct conv_id)::bigint as n_conversations from ({_found_sql("conversations", "conv_id, turn", (EMAIL, IP, PHONE))}) group by rule""")
+def findings_conversations(spark, d):
+    found = detect.long(detect.detect(_t(spark, d, "conversations").select("conv_id", "turn", "text"), _rules(EMAIL, IP, PHONE)), keep=("conv_id", "turn"))
+    return found.groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("n_conversations"))
+
+
+@_query(f"""select doc_id, rule, s as "start", e as "end", v as value from ({_found_sql()})""")
+def findings_spans(spark, d):
+    found = detect.long(detect.detect(_docs(spark, d), _rules(*_BASIC)))
+    return found.select("doc_id", "rule", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "value")
+
+
+@_query("""select doc_id, len(regexp_extract_all(text, '(?i)(?:^|[^A-Za-z0-9_])((?:[A-Za-z0-9]+_)*(?:api[_-]?key|secret|token|password|passwd)(?:_[A-Za-z0-9]+)*\\s*[:=]\\s*(?:"[^"\\n]{12,}"|''[^''\\n]{12,}''|[^\\s''"(){}\\[\\],;.]{12,}))', 1))::bigint as n
+from documents where regexp_matches(text, '(?i)(?:^|[^A-Za-z0-9_])((?:[A-Za-z0-9]+_)*(?:api[_-]?key|secret|token|password|passwd)(?:_[A-Za-z0-9]+)*\\s*[:=]\\s*(?:"[^"\\n]{12,}"|''[^''\\n]{12,}''|[^\\s''"(){}\\[\\],;.]{12,}))')""")
+def generic_secrets(spark, d):
+    found = detect.long(detect.detect(_docs(spark, d), _rules("generic_secret_assignment")))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def _allow_sql(r):
+    return f"not regexp_matches(v, '{_P[r]}')"
+
+
+@_query(f"""select doc_id, s as "start", v as value from ({_found_sql(names=("builtin_ip",))}) where not regexp_matches(v, '^(?:192\\.0\\.2|198\\.51\\.100|203\\.0\\.113)\\.')""")
+def allowlist_anti(spark, d):
+    names = ("builtin_ip", "allow_rfc5737_192_0_2", "allow_rfc5737_198_51_100", "allow_rfc5737_203_0_113")
+    found = detect.long(detect.detect(_docs(spark, d), _rules(*names)))
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), "value")
+
+
+@_query(f"""select rule, conf as confidence_rank, count(*)::bigint as n from ({_found_sql()}) group by rule, conf""")
+def confidence_by_rule(spark, d):
+    found = detect.long(detect.detect(_docs(spark, d), _rules(*_BASIC)))
+    rank = F.when(F.col("confidence") == "yuksek", 2).when(F.col("confidence") == "orta", 1).otherwise(0)
+    return found.groupBy("rule", rank.alias("confidence_rank")).agg(F.count("*").alias("n"))
+
+
+@_query(f"""with f as ({_found_sql()}), x as (select doc_id, case doc_id % 3 when 0 then '.sql' when 1 then '.py' else '.md' end as ext from documents)
+select ext, rule, count(*)::bigint as n from f join x using (doc_id)
+where ext = '.md' or (ext = '.sql' and rule in ('email_address', 'ipv4_address')) or (ext = '.py' and rule = 'builtin_card') group by ext, rule""")
+def ext_restriction(spark, d):
+    found = detect.long(detect.detect(_docs(spark, d), _rules(*_BASIC))).withColumn("ext", F.when(F.col("doc_id") % 3 == 0, ".sql").when(F.col("doc_id") % 3 == 1, ".py").otherwise(".md"))
+    table = spark.createDataFrame([(".sql", "email_address"), (".sql", "ipv4_address"), (".py", "builtin_card")], "ext string, entity string")
+    return detect.restricted(found, table, entity="rule").groupBy("ext", "rule").agg(F.count("*").alias("n"))
+
+
+@_query("""with ids as (select o_orderkey, (10000000000 + o_orderkey * 7919)::varchar as id from orders), d as (select *, list_transform(range(1, 12), lambda i: substring(id, i, 1)::bigint) as x from ids)
+select o_orderkey, id from d where (((x[1] + x[3] + x[5] + x[7] + x[9]) * 7 - (x[2] + x[4] + x[6] + x[8])) % 10 + 10) % 10 = x[10] and list_sum(list_slice(x, 1, 10)) % 10 = x[11] and x[1] <> 0""")
+def national_id_checksum(spark, d):
+    """Identifiers derived from order keys."""
+    ids = _t(spark, d, "orders").select("o_orderkey", (F.lit(10000000000) + F.col("o_orderkey") * 7919).cast("string").alias("id"))
+    return ids.where(checks.national_id(F.col("id")))
+
+
+@_query(f"""select doc_id, v as value from ({_found_sql(names=(CARD,))})""")
+def card_luhn(spark, d):
+    return detect.long(detect.detect(_docs(spark, d), _rules(CARD))).select("doc_id", "value")
+
+
+@_query("""with w as (select distinct unnest(string_split(text, ' ')) as token from documents), t as (select token from w where length(token) >= 12),
+c as (select token, unnest(string_split(token, '')) as ch from t where token <> ''), n as (select token, ch, count(*) as k from c where ch <> '' group by token, ch)
+select token, round(-sum((k / length(token)::double) * log2(k / length(token)::double)), 6) as bits from n group by token, length(token) having round(-sum((k / length(token)::double) * log2(k / length(token)::double)), 6) > 3.5""")
+def entropy_filter(spark, d):
+    words = _docs(spark, d).select(F.explode(F.split("text", " ")).alias("token")).where(F.length("token") >= 12).distinct()
+    return words.select("token", F.round(checks.entropy(F.col("token")), 6).alias("bits")).where("bits > 3.5")
+
+
+@_query("""with v as (select c_custkey, case c_custkey % 6 when 0 then 'changeme' when 1 then '"' || md5(c_name) || '"' when 2 then 'some_identifier' when 3 then '${SECRET}' when 4 then 'aaaaaaaaaaaa' else md5(c_name) end as value from customer)
+select c_custkey, value from v where c_custkey % 6 in (1, 5)""")
+def secret_values(spark, d):
+    """Assigned values derived from customers: literals, references and repeated signs are no secrets."""
+    k, h = F.col("c_custkey") % 6, F.md5("c_name")
+    value = F.when(k == 0, "changeme").when(k == 1, F.concat(F.lit('"'), h, F.lit('"'))).when(k == 2, "some_identifier").when(k == 3, "${SECRET}").when(k == 4, "aaaaaaaaaaaa").otherwise(h)
+    return _t(spark, d, "customer").select("c_custkey", value.alias("value")).where(checks.secret_value(F.col("value")))
+
+
+# -- overlap, masking, reversal -----------------------------------------------------------------
+
+
+@_query(_RESOLVED_SQL + """ select doc_id, rule, s as "start", e as "end", v as value from won""")
+def overlap_resolved(spark, d):
+    return _accepted(_docs(spark, d)).select("doc_id", "rule", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "value")
+
+
+@_query(_RESOLVED_SQL + """, counts as (select doc_id, rule, 'matched' as action from ranked union all select ranked.doc_id, rule, case when picked.r is null then 'cakisma' else 'replaced' end from ranked left join picked on picked.doc_id = ranked.doc_id and picked.r = ranked.r)
+select rule, action, count(*)::bigint as n from counts group by rule, action""")
+def audit_actions(spark, d):
+    judged = _resolved(_docs(spark, d)).select("doc_id", F.explode("resolved").alias("x")).select("doc_id", "x.span.*", "x.accepted", "x.winner")
+    return mapping.audit(judged).groupBy("rule", "action").agg(F.count("*").alias("n"))
+
+
+@_query(_RESOLVED_SQL + """ select v as value, prefix, number::bigint as number, prefix || '_' || number as placeholder from numbered""")
+def mapping_counters(spark, d):
+    return mapping.mapping_of(_accepted(_docs(spark, d))).select("value", "prefix", "number", "placeholder")
+
+
+@_query(_RESOLVED_SQL + """, pieces as (select doc_id, s, substring(text, (coalesce(lag(e) over w, 0) + 1)::bigint, (s - coalesce(lag(e) over w, 0))::bigint) || prefix2 || '_' || number as piece, e
+  from (select won.*, numbered.prefix as prefix2, numbered.number from won join numbered using (v)) x join documents using (doc_id) window w as (partition by doc_id order by s)),
+joined as (select doc_id, string_agg(piece, '' order by s) as head, max(e) as e, count(*) as n from pieces group by doc_id)
+select d.doc_id, case when j.n is null then coalesce(d.text, '') else j.head || substring(d.text, (j.e + 1)::bigint) end as masked_text, coalesce(j.n, 0)::bigint as n_findings from documents d left join joined j using (doc_id)""")
+def mask_numbered(spark, d):
+    return flagship(spark, d)
+
+
+@_query("""select count(*)::bigint as n_docs, count(*)::bigint as n_restored, 0::bigint as n_unresolved from documents""")
+def unmask_roundtrip(spark, d):
+    """Masked texts come back byte for byte."""
+    docs = _docs(spark, d)
+    out, table, _ = mask_documents(docs, _rules(*_BASIC))
+    back = mapping.unmasked(out, table)
+    same = mapping.round_trip(F.coalesce("text", F.lit("")), F.col("restored"))
+    return back.agg(F.count("*").alias("n_docs"), F.count_if(same).alias("n_restored"), F.sum(F.size("unresolved")).cast("long").alias("n_unresolved"))
+
+
+@_query(_RESOLVED_SQL + """ select prefix, count(*)::bigint as n_values, max(number)::bigint as last_number from numbered group by prefix""")
+def prefix_counts(spark, d):
+    return mapping.mapping_of(_accepted(_docs(spark, d))).groupBy("prefix").agg(F.count("*").alias("n_values"), F.max("number").alias("last_number"))
+
+
+@_query(f"""with f as ({_found_sql()}), o as (select doc_id, s, e, max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding) as reach from f),
+i as (select *, sum(case when reach is null or s > reach then 1 else 0 end) over (partition by doc_id order by s, e) as isle from o)
+select doc_id, min(s)::bigint as "start", max(e)::bigint as "end" from i group by doc_id, isle""")
+def merged_spans(spark, d):
+    found = detect.detect(_docs(spark, d), _rules(*_BASIC)).select("doc_id", F.explode(S.union(F.col("findings"))).alias("s"))
+    return found.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+
+
+@_query("""select o_orderkey, '811199' || lpad(o_orderkey::varchar, 9, '0') as placeholder from orders""")
+def json_numbers(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", mapping.json_number(F.col("o_orderkey")).alias("placeholder"))
+
+
+@_query("""with p as (select page_id, regexp_replace(url, '^[a-z]+://', '') as path from pages)
+select lower(regexp_replace(path, '[0-9]+', '0', 'g')) as path_key, count(*)::bigint as n, min(regexp_replace(path, '[0-9]+', '0', 'g')) as first_path from p group by 1 having count(*) > 1""")
+def path_collisions(spark, d):
+    paths = _t(spark, d, "pages").select(T.digit_key(F.regexp_replace("url", "^[a-z]+://", "")).alias("masked_path"))
+    return mapping.collisions(paths)
+
+
+@_query("""select p_partkey, array_to_string(list_transform(string_split(p_type, ' '), lambda x: case when lower(x) = 'brass' then 'mask_kurumsal_ifade_1' when lower(x) = 'copper' then 'mask_kurumsal_ifade_2' else x end), '/') as masked_path from part""")
+def path_masking(spark, d):
+    """Paths derived from part types."""
+    paths = _t(spark, d, "part").select("p_partkey", F.replace("p_type", F.lit(" "), F.lit("/")).alias("path"))
+    terms = spark.createDataFrame([("brass", "mask_kurumsal_ifade_1"), ("copper", "mask_kurumsal_ifade_2")], "term string, placeholder string")
+    distinct = mapping.path_masked(paths.select("path").distinct(), terms)
+    return paths.join(distinct, "path").select("p_partkey", "masked_path")
+
+
+# -- consistency, leaks, outcomes ---------------------------------------------------------------
+
+
+@_query(f"""with f as ({_found_sql()}) select lower(v) as value_key, string_agg(distinct rule, ',' order by rule) as rules, count(*)::bigint as n_findings, count(distinct doc_id)::bigint as n_docs from f group by lower(v)""")
+def value_registry(spark, d):
+    found = detect.long(detect.detect(_docs(spark, d), _rules(*_BASIC))).withColumn("entity", F.col("rule"))
+    return consistency.registry(found).select("value_key", F.col("entities").alias("rules"), "n_findings", "n_docs")
+
+
+@_query(f"""with r as (select distinct lower(v) as value_key from ({_found_sql(names=(EMAIL, IP))})), t as (select conv_id, turn, unnest(regexp_extract_all(lower(text), '[^\\s"''<>(){{}}\\[\\],;]+')) as w from conversations),
+k as (select conv_id, turn, regexp_replace(regexp_replace(w, '^[^a-z0-9+]+', ''), '[^a-z0-9]+$', '') as value_key from t)
+select conv_id, value_key, count(*)::bigint as n from k join r using (value_key) group by conv_id, value_key""")
+def registry_consistency(spark, d):
+    """Values found in documents that stand open in conversations."""
+    reg = consistency.registry(detect.long(detect.detect(_docs(spark, d), _rules(EMAIL, IP))))
+    open_ = consistency.open_occurrences(_t(spark, d, "conversations").select("conv_id", "text"), reg, "conv_id")
+    return open_.groupBy("conv_id", "value_key").agg(F.sum("n_occurrences").cast("long").alias("n"))
+
+
+_FOLD = "translate(lower({}), 'ışğçöü', 'isgcou')"
+
+
+@_query(f"""with terms as (select distinct unnest(string_split_regex({_FOLD.format('text')}, '\\s+')) as w from benchmark), needles as (select distinct regexp_replace(w, '[^a-z0-9]', '', 'g') as needle from terms),
+words as (select doc_id, regexp_replace(unnest(string_split_regex({_FOLD.format('text')}, '\\s+')), '[^a-z0-9]', '', 'g') as needle from documents)
+select doc_id, count(distinct needle)::bigint as n_terms, count(*)::bigint as n from words join needles using (needle) where length(needle) >= 9 group by doc_id""")
+def leak_scan(spark, d):
+    """Dictionary words (those of the benchmark texts) that stand in documents, folded and without separators."""
+    terms = _t(spark, d, "benchmark").select(F.explode(F.split(T.fold_turkish(F.col("text")), r"\s+")).alias("term")).distinct()
+    return consistency.leaks(_docs(spark, d), terms, 9).groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("n").cast("long").alias("n"))
+
+
+@_query(f"""with f as ({_found_sql()}), x as (select f.*, d.source as scope from f join documents d using (doc_id)), s as (select distinct scope, lower(v) as v, rule from x where doc_id % 2 = 0)
+select x.doc_id, x.rule, x.v as value from x left join s on s.scope = x.scope and s.v = lower(x.v) and s.rule = x.rule where s.v is null""")
+def learned_suppression(spark, d):
+    """Findings whose like was not suppressed; decisions are derived from documents with even ids."""
+    found = detect.long(detect.detect(_t(spark, d, "documents").select("doc_id", "source", "text"), _rules(*_BASIC)), keep=("doc_id", "source")).drop("source").alias("x")
+    scopes = _t(spark, d, "documents").select("doc_id", F.col("source").alias("scope"))
+    found = found.drop("entity").withColumn("entity", F.col("rule")).join(scopes, "doc_id")
+    decisions = found.where("doc_id % 2 = 0").select("scope", "value", "entity")
+    return consistency.suppressed(found, decisions).select("doc_id", "rule", "value")
+
+
+@_query(f"""with f as (select doc_id, count(*) as n from ({_found_sql()}) group by doc_id), c as (select d.doc_id, coalesce(n, 0) as n, d.doc_id % 17 = 0 as leaked, d.doc_id % 23 = 0 as review, d.doc_id % 29 = 0 as syntax_bad from documents d left join f using (doc_id)),
+s as (select *, case when review then 'quarantined_pending_audit' when leaked then 'quarantined_pending_audit' when syntax_bad then 'failed_syntax_validation' when n > 0 then 'masked' else 'copied_text_no_match' end as status,
+case when review then 'inceleme' when leaked then 'acik_terim' when syntax_bad then 'sozdizimi' end as failed_check from c)
+select status, failed_check, count(*)::bigint as n_docs, sum(n)::bigint as matches from s group by status, failed_check""")
+def outcome_ladder(spark, d):
+    """Verdicts; failed checks are derived from ids."""
+    counted = detect.detect(_docs(spark, d), _rules(*_BASIC)).select("doc_id", F.size("findings").cast("long").alias("match_count"))
+    checked = counted.withColumns({"leaked_term": F.col("doc_id") % 17 == 0, "review_pending": F.col("doc_id") % 23 == 0, "syntax_error": F.col("doc_id") % 29 == 0})
+    return outcome.outcomes(checked).groupBy("status", "failed_check").agg(F.count("*").alias("n_docs"), F.sum("match_count").alias("matches"))
+
+
+@_query(f"""select doc_id, count(*) filter (where rule = 'email_address')::bigint as n_email, count(*) filter (where rule = 'ipv4_address')::bigint as n_ip, count(*)::bigint as n from ({_found_sql()}) group by doc_id""")
+def rule_breakdown(spark, d):
+    found = detect.long(detect.detect(_docs(spark, d), _rules(*_BASIC)))
+    m = F.col("rule_breakdown")
+    n = lambda r: F.coalesce(m[r], F.lit(0)).cast("long")
+    return outcome.breakdown(found).select("doc_id", n(EMAIL).alias("n_email"), n(IP).alias("n_ip"), F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+
+
+# -- preparation --------------------------------------------------------------------------------
+
+
+def _dedupe_sql(key: str) -> str:
+    return f"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
+k as (select *, {key} as k from l), f as (select *, row_number() over (partition by doc_id, k order by i) as r from k)
+select doc_id, count(*)::bigint as n_lines, count(*) filter (where r = 1 or length(trim(k)) < 8)::bigint as n_kept, coalesce(string_agg(line, chr(10) order by i) filter (where r = 1 or length(trim(k)) < 8), '') as kept_text from f group by doc_id"""
+
+
+@_query(_dedupe_sql("line"))
+def line_dedupe(spark, d):
+    return prepare.deduped_lines(_docs(spark, d))
+
+
+@_query(_dedupe_sql("regexp_replace(line, '[0-9]+', '0', 'g')"))
+def digit_dedupe(spark, d):
+    return prepare.deduped_lines(_docs(spark, d), digits=True)
+
+
+@_query("""with n as (select doc_id, length(coalesce(text, '')) as n from documents), i as (select doc_id, n, unnest(range(case when n <= 6000 then 1 else ceil((n - 6000) / 5500.0)::bigint + 1 end)) as i from n)
+select doc_id, i::bigint as chunk, (i * 5500)::bigint as "start", least(i * 5500 + 6000, n)::bigint as "end" from i""")
+def chunk_offsets(spark, d):
+    docs = _docs(spark, d).select("doc_id", F.posexplode(prepare.chunk_bounds(F.length(F.coalesce("text", F.lit(""))), 6000, 500)).alias("chunk", "c"))
+    return docs.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("c.start").cast("long").alias("start"), F.col("c.end").cast("long").alias("end"))
+
+
+@_query("""select c_custkey as doc_id, 0::bigint as "start", length(base64(encode(c_name)))::bigint as "end", 'base64' as kind, c_name as decoded from customer""")
+def encoded_blocks(spark, d):
+    """Texts derived from customers' names, as base64."""
+    docs = _t(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.base64(F.encode("c_name", "UTF-8")).alias("text"))
+    return prepare.decoded_blocks(docs).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kind", "decoded")
+
+
+@_query("""select page_id, length(v)::bigint as n_chars, md5(v) as digest from (select page_id, replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') as v from pages)""")
+def html_entity_view(spark, d):
+    view = T.entity_view(F.col("html"))
+    return _t(spark, d, "pages").select("page_id", F.length(view).cast("long").alias("n_chars"), F.md5(view).alias("digest"))
+
+
+@_query("""select distinct p_type, array_to_string(list_filter(string_split_regex(p_type, '[^A-Za-z0-9]+'), lambda x: x <> ''), '|') as parts from part""")
+def identifier_parts(spark, d):
+    """Camel-case names derived from part types come apart again."""
+    camel = F.regexp_replace(F.initcap("p_type"), " ", "")
+    back = F.array_join(T.parts(camel), "|")
+    types = _t(spark, d, "part").select("p_type").distinct()
+    same = F.lower(back) == F.lower(F.replace("p_type", F.lit(" "), F.lit("|")))
+    return types.select("p_type", F.when(same, F.replace("p_type", F.lit(" "), F.lit("|"))).otherwise(back).alias("parts"))
+
+
+@_query("""with n as (select l_returnflag, l_orderkey, l_linenumber, row_number() over (partition by l_returnflag order by l_orderkey, l_linenumber, l_partkey) - 1 as r, count(*) over (partition by l_returnflag) as n from lineitem),
+s as (select l_returnflag, n, unnest(range(25)) as i from (select distinct l_returnflag, n from n))
+select distinct n.l_returnflag, n.l_orderkey, n.l_linenumber, n.r::bigint as row_no from n join s on s.l_returnflag = n.l_returnflag and n.r = (s.i * s.n) // 25""")
+def table_sample(spark, d):
+    rows = _t(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey")
+    from pyspark.sql import Window
+
+    order = ["l_orderkey", "l_linenumber", "l_partkey"]
+    numbered = rows.withColumn("row_no", (F.row_number().over(Window.partitionBy("l_returnflag").orderBy(*order)) - 1).cast("long"))
+    return prepare.sample_rows(numbered, order, ["l_returnflag"]).select("l_returnflag", "l_orderkey", "l_linenumber", "row_no")
+
+
+@_query("""with cells as (select 'c_mktsegment' as "column", c_mktsegment as value from customer union all select 'c_name', c_name from customer), f as (select distinct c_mktsegment as value from customer)
+select "column", count(*)::bigint as n_equal from cells join f using (value) group by "column" """)
+def classify_columns(spark, d):
+    """Columns of the customer table whose cells are findings (the segments)."""
+    c = _t(spark, d, "customer")
+    cells = c.select(F.lit("customer").alias("table"), F.explode(F.array(F.struct(F.lit("c_mktsegment").alias("column"), F.col("c_mktsegment").alias("value")), F.struct(F.lit("c_name").alias("column"), F.col("c_name").alias("value")))).alias("x")).select("table", "x.*")
+    found = c.select(F.col("c_mktsegment").alias("value"), F.lit("SEGMENT").alias("entity"), F.lit(1.0).alias("score")).distinct()
+    return prepare.classify_columns(cells, found).select("column", "n_equal")
+
+
+# -- reports ------------------------------------------------------------------------------------
+
+
+def _runs(spark, d):
+    runs = _t(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("context_id"), F.col("o_orderdate").alias("started_at"), F.col("o_totalprice").alias("cost"), F.col("o_orderstatus").alias("status"))
+    contexts = _t(spark, d, "customer").select(F.col("c_custkey").alias("context_id"), F.col("c_name").alias("project"), F.col("c_mktsegment").alias("branch"))
+    return runs, contexts
+
+
+@_query("""select c_custkey as context_id, c_name as project, max(o_orderdate) as last_started, count(o_orderkey)::bigint as n_runs from customer left join orders on o_custkey = c_custkey group by c_custkey, c_name""")
+def project_branches(spark, d):
+    runs, contexts = _runs(spark, d)
+    return reports.latest_by_context(contexts, runs)
+
+
+@_query("""select o_orderkey as run_id, c_name as project, o_orderdate as started_at from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING' order by o_orderdate desc nulls last, o_orderkey desc limit 50""")
+def runs_list(spark, d):
+    runs, contexts = _runs(spark, d)
+    return reports.list_runs(runs, contexts, branch="BUILDING").select("run_id", "project", "started_at")
+
+
+@_query("""select o_orderkey as run_id, o_orderdate as started_at from orders order by o_orderdate desc nulls last, o_orderkey desc limit 1""")
+def runs_latest(spark, d):
+    return reports.latest_run(_runs(spark, d)[0]).select("run_id", "started_at")
+
+
+@_query("""select event_type as rule_name, count(user_id)::bigint as n_mappings from (select distinct event_type from events) t left join (select event_type as et, user_id from events where value > 50) e on e.et = t.event_type group by event_type""")
+def rule_mapping_counts(spark, d):
+    e = _t(spark, d, "events")
+    rules = e.select(F.col("event_type").alias("rule_name")).distinct()
+    return rules.join(e.where("value > 50").select(F.col("event_type").alias("rule_name"), "user_id"), "rule_name", "left").groupBy("rule_name").agg(F.count("user_id").alias("n_mappings"))
+
+
+_ACTION = "case event_id % 4 when 0 then 'matched' when 1 then 'replaced' when 2 then 'skipped' else 'error' end"
+
+
+@_query(f"""select user_id as file_ref, count(*)::bigint as n_rows, count_if(a = 'matched')::bigint as n_matched, count_if(a = 'replaced')::bigint as n_replaced, count_if(a = 'skipped')::bigint as n_skipped, count_if(a = 'error')::bigint as n_error from (select user_id, {_ACTION} as a from events) group by user_id""")
+def audit_file_summary(spark, d):
+    k = F.col("event_id") % 4
+    audit = _t(spark, d, "events").select(F.col("user_id").alias("file_ref"), F.when(k == 0, "matched").when(k == 1, "replaced").when(k == 2, "skipped").otherwise("error").alias("action"))
+    return reports.file_summary(audit)
+
+
+@_query("""with f as (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as r from events)
+select e.event_type as failed_check, e.n::bigint as n_warnings, e.d::bigint as n_distinct_files, coalesce(x.n, 0)::bigint as n_files from (select event_type, count(*) as n, count(distinct user_id) as d from events group by event_type) e left join (select event_type, count(*) as n from f where r = 1 group by event_type) x using (event_type)""")
+def failed_check_summary(spark, d):
+    w = _t(spark, d, "events").select(F.col("user_id").alias("file_ref"), F.col("event_type").alias("failed_check"), "ts", F.col("event_id").alias("warning_id"))
+    return reports.failed_checks(w)
+
+
+@_query("""select event_type, count(*)::bigint as n, round(avg(value), 6) as mean, min(value) as "min", max(value) as "max", quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.99) as p99 from events group by event_type""")
+def nearest_rank_percentiles(spark, d):
+    return reports.nearest_rank(_t(spark, d, "events"), ["event_type"], "value").withColumn("mean", F.round("mean", 6))
+
+
+@_query("""with i as (select user_id, epoch_us(ts) as s, epoch_us(ts) + (floor(value) * 60000000)::bigint as e from events), o as (select user_id, s, e, max(e) over (partition by user_id order by s, e rows between unbounded preceding and 1 preceding) as r from i)
+select user_id, sum(greatest(e - greatest(s, coalesce(r, s)), 0))::bigint as busy, count_if(r is null or s > r)::bigint as n_islands, count(*)::bigint as n from o group by user_id""")
+def interval_union_length(spark, d):
+    e = _t(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("start"), F.floor("value").alias("v"))
+    e = e.select("user_id", "start", (F.col("start") + F.col("v") * 60000000).alias("end"))
+    return reports.union_length(e, ["user_id"]).select("user_id", F.col("busy").cast("long").alias("busy"), F.col("n_islands").cast("long").alias("n_islands"), "n")
+
+
+@_query("""with t as (select distinct l_partkey as token from lineitem where l_quantity > 45), m as (select distinct l_partkey as token, l_returnflag as context_id from lineitem), h as (select context_id, count(*) as n from t join m using (token) group by context_id)
+select context_id, n::bigint as n_known, (select count(*) from t)::bigint as n_tokens from h where (select count(*) from t) >= 20 and n >= 0.5 * (select count(*) from t) order by n desc, context_id limit 1""")
+def identity_advisor(spark, d):
+    li = _t(spark, d, "lineitem")
+    tokens = li.where("l_quantity > 45").select(F.col("l_partkey").alias("token"))
+    return reports.advisor(tokens, li.select(F.col("l_partkey").alias("token"), F.col("l_returnflag").alias("context_id"))).select("context_id", "n_known", "n_tokens")
+
+
+@_query(f"""with v as (select distinct d.source as g, f.v from ({_found_sql()}) f join documents d using (doc_id)), n as (select g, count(*) as n from v group by g), b as (select x.g as a, y.g as b, count(*) as n from v x join v y on x.v = y.v and x.g < y.g group by x.g, y.g)
+select b.a, b.b, b.n::bigint as n_both, round(b.n / (p.n + q.n - b.n)::double, 6) as jaccard from b join n p on p.g = b.a join n q on q.g = b.b""")
+def jaccard_pairs(spark, d):
+    found = detect.long(detect.detect(_t(spark, d, "documents").select("doc_id", "source", "text"), _rules(*_BASIC)), keep=("doc_id", "source")).drop("source")
+    sources = _t(spark, d, "documents").select("doc_id", F.col("source").alias("g"))
+    return reports.jaccard_of_sets(found.select("doc_id", "value").join(sources, "doc_id"), "g", "value")
+
+
+@_query("""with a as (select doc_id, sha256(coalesce(text, '')) as h from documents where doc_id % 10 <> 3), b as (select doc_id, case when doc_id % 7 = 0 then sha256(coalesce(text, '') || 'x') else sha256(coalesce(text, '')) end as h from documents where doc_id % 10 <> 4)
+select doc_id, 'missing' as problem from a where doc_id not in (select doc_id from b) union all select doc_id, 'unexpected' from b where doc_id not in (select doc_id from a) union all select a.doc_id, 'changed' from a join b using (doc_id) where a.h <> b.h""")
+def manifest_diff(spark, d):
+    """Two manifests derived from the documents: one lacks some files, and some have changed."""
+    docs = _docs(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
+    a = docs.where("doc_id % 10 <> 3").select("doc_id", F.sha2("text", 256).alias("digest"))
+    b = docs.where("doc_id % 10 <> 4").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("digest"))
+    return reports.manifest_diff(a, b, "doc_id")
+
+
+@_query("""select event_type, count(*)::bigint as n, round(sum(value), 4) as total, round(avg(value), 6) as mean, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95 from events group by event_type""")
+def usage_summary(spark, d):
+    return reports.usage(_t(spark, d, "events"), ["event_type"], "value").withColumns({"total": F.round("total", 4), "mean": F.round("mean", 6)})
+
+
+@_query("""select doc_id, strlen(text)::bigint as n_bytes from documents where strlen(text) between 8000 and 1000000 and source <> 'src3' order by strlen(text) desc, doc_id""")
+def slow_files(spark, d):
+    n = F.octet_length("text").cast("long")
+    return _t(spark, d, "documents").where("source <> 'src3'").select("doc_id", n.alias("n_bytes")).where("n_bytes between 8000 and 1000000").orderBy(F.desc("n_bytes"), "doc_id")
+
+
+@_query("""select doc_id, (case when length(text) <= 6000 then 1 else ceil((length(text) - 6000) / 5500.0)::bigint + 1 end)::bigint as n_chunks, (2 * case when length(text) <= 6000 then 1 else ceil((length(text) - 6000) / 5500.0)::bigint + 1 end)::bigint as n_requests from documents where text is not null""")
+def workload_estimate(spark, d):
+    n = F.size(prepare.chunk_bounds(F.length("text"), 6000, 500)).cast("long")
+    return _docs(spark, d).where("text is not null").select("doc_id", n.alias("n_chunks"), (n * 2).alias("n_requests"))
+
+
+@_query("""select distinct substring(sha256(lower(p)), 1, 12) as ref, p as path from (select 's/' || s_name as p from supplier union select 's/' || c_name from customer)""")
+def file_ref_lookup(spark, d):
+    a = _t(spark, d, "supplier").select(F.concat(F.lit("s/"), "s_name").alias("path"))
+    b = _t(spark, d, "customer").select(F.concat(F.lit("s/"), "c_name").alias("path"))
+    return a.union(b).distinct().select(T.short_hash(F.col("path")).alias("ref"), "path")
+
+
+@_query("""select word, doc_id from (select lower(w) as k, w as word, doc_id, row_number() over (partition by lower(w) order by doc_id, i) as r from (select doc_id, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) as i from documents)) where r = 1""")
+def term_dedupe(spark, d):
+    """First spelling of each word, case ignored."""
+    words = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("i", "word"))
+    return words.groupBy(F.lower("word").alias("k")).agg(F.min_by("word", F.struct("doc_id", "i")).alias("word"), F.min("doc_id").alias("doc_id")).select("word", "doc_id")
+
+
+@_query("""with r as (select event_id, user_id, event_type, case when event_id % 5 = 0 then 'decided' else 'pending' end as status from events), x as (select user_id, event_type, case when min(event_id) % 2 = 0 then 'approved' else 'rejected' end as s from r where status = 'decided' group by user_id, event_type)
+select case when r.status = 'pending' and x.s is not null then x.s else r.status end as status, count(*)::bigint as n from r left join x using (user_id, event_type) group by 1""")
+def review_transitions(spark, d):
+    """Pending reviews that follow an equal one which was decided."""
+    e = _t(spark, d, "events").select(F.col("event_id").alias("decision_id"), F.lit(1).alias("run_id"), F.col("user_id").alias("file_ref"), F.lit("v").alias("value"), F.col("event_type").alias("entity"), F.when(F.col("event_id") % 5 == 0, "decided").otherwise("pending").alias("status"))
+    first = e.where("status = 'decided'").groupBy("run_id", "file_ref", "value", "entity").agg(F.min("decision_id").alias("decision_id"))
+    decided = first.withColumn("status", F.when(F.col("decision_id") % 2 == 0, "approved").otherwise("rejected"))
+    return reports.transitions(e, decided).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@_query("""select source, count(distinct lower(v))::bigint as n_terms, count(*)::bigint as n_findings from (""" + _found_sql() + """) f join documents d using (doc_id) group by source""")
+def sensitive_breakdown(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "source", "text")
+    found = docs.select(F.col("source").alias("src"), F.explode(detect.findings_array(F.col("text"), _rules(*_BASIC))).alias("f"))
+    return found.groupBy(F.col("src").alias("source")).agg(F.countDistinct(F.lower("f.value")).alias("n_terms"), F.count("*").alias("n_findings"))
