@@ -37,13 +37,12 @@ the smallest id that is not null names the component.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import bytes_of, dropped, fresh, mixed, sliced, stored, word_hashes
@@ -164,7 +163,7 @@ def _signed(docs: DataFrame, text: str, words: int, bands: Bands, buckets: int)
     """Rows (bucket, entries, sets): the signatures of a slice of documents that fall into a bucket."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text, 8 << 20):
+        for batch in sliced(batches, text):
             shingles, counts = shingle_sets(bytes_of(batch, text), words)
             keys = set_keys(shingles, counts)
             _, first = np.unique(keys, return_index=True)
@@ -200,9 +199,20 @@ def _signed(docs: DataFrame, text: str, words: int, bands: Bands, buckets: int)
 _PACKED = np.dtype([("a", "<u4"), ("b", "<u2"), ("set", "<u2")])
 
 
-def _grouped(signed: DataFrame, small: int) -> DataFrame:
-    """From signatures: pairs of small groups (a, b, and no sig), and members of large ones (sig, a, and what the pigeonhole needs)."""
-    names = ["sig", "a", "b", "size", "parts", "band_up"]
+def needed(size: np.ndarray, parts: np.ndarray, parts_up: np.ndarray, other: np.ndarray, bands: Bands) -> np.ndarray:
+    """How many signatures a set shares at least with a linked one that is not larger (``other``: its size).
+
+    Parts with elements, less those that can differ; sets of one band share the
+    parts of both bands.  Never under 1.
+    """
+    d = (100 - bands.percent) * (size + other) // (100 + bands.percent)
+    same = bands.of(np.maximum(size, 1)) == bands.of(np.maximum(other, 1))
+    return np.maximum(1, np.maximum(0, parts - d) + np.where(same, np.maximum(0, parts_up - d), 0))
+
+
+def _grouped(signed: DataFrame, small: int, bands: Bands) -> DataFrame:
+    """From signatures: pairs of small groups (a, b, shared signatures, and how many they need; no sig), and members of large groups (sig, a, and what the pigeonhole needs)."""
+    names = ["sig", "a", "b", "n", "need", "size", "parts", "parts_up"]
 
     def meet(table: pa.Table) -> pa.Table:
         sigs, sets = [], []
@@ -232,24 +242,39 @@ def _grouped(signed: DataFrame, small: int) -> DataFrame:
             sig, of, key = sig[new], of[new], key[new]
             heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             sizes = np.diff(np.append(heads, len(sig)))
-            pairs = [np.zeros((0, 2), np.uint64)]
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for g in range(2, small + 1):
                 rows = heads[sizes == g]
                 for i, j in combinations(range(g), 2):
-                    pairs.append(np.stack([key[rows + i], key[rows + j]], 1))
-            found = np.unique(np.concatenate(pairs), axis=0).view(np.int64)
+                    left.append(rows + i)
+                    right.append(rows + j)
+            left, right = np.concatenate(left), np.concatenate(right)
+            pair = np.stack([key[left], key[right]], 1)
+            found, at, times = np.unique(pair, axis=0, return_index=True, return_counts=True)
+            x, y = known[of[left[at]]], known[of[right[at]]]
+            swap = y["size"] > x["size"]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            need = needed(x["size"], x["own"].astype(np.int64), x["next"].astype(np.int64), y["size"], bands)
+            found = found.view(np.int64)
             big = np.repeat(sizes > small, sizes)
             n, m = len(found), int(big.sum())
             spread = (sig[big] << np.uint64(14)) ^ np.uint64(bucket)
-            out["sig"] = pa.array(np.concatenate([np.zeros(n, np.int64), spread.view(np.int64)]), mask=np.arange(n + m) < n)
-            out["a"] = pa.array(np.concatenate([found[:, 0], key[big].view(np.int64)]))
-            out["b"] = pa.array(np.concatenate([found[:, 1], np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n)
-            out["size"] = pa.array(np.concatenate([np.zeros(n, np.int64), known["size"][of[big]]]))
-            out["parts"] = pa.array(np.concatenate([np.zeros(n, np.int32), known["own"][of[big]]]))
-            out["band_up"] = pa.array(np.concatenate([np.zeros(n, np.int32), known["next"][of[big]]]))
-        return pa.table({n: pa.array(out[n], t) if isinstance(out[n], list) else out[n] for n, t in zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)})
-
-    return signed.groupBy("bucket").applyInArrow(meet, "sig bigint, a bigint, b bigint, size bigint, parts int, band_up int")
+            first, last = np.arange(n + m) >= n, np.arange(n + m) < n
+            both = lambda u, v: np.concatenate([u, v]).astype(np.int64)
+            none_n, none_m, member = np.zeros(n), np.zeros(m), known[of[big]]
+            out = {
+                "sig": pa.array(np.concatenate([np.zeros(n, np.int64), spread.view(np.int64)]), mask=last),
+                "a": pa.array(np.concatenate([found[:, 0], key[big].view(np.int64)])),
+                "b": pa.array(np.concatenate([found[:, 1], np.zeros(m, np.int64)]), mask=first),
+                "n": pa.array(both(times, none_m)),
+                "need": pa.array(both(need, none_m)),
+                "size": pa.array(both(none_n, member["size"])),
+                "parts": pa.array(both(none_n, member["own"])),
+                "parts_up": pa.array(both(none_n, member["next"])),
+            }
+        return pa.table({n: pa.array(out[n], pa.int64()) if isinstance(out[n], list) else out[n] for n in names})
+
+    return signed.groupBy("bucket").applyInArrow(meet, ", ".join(f"{n} bigint" for n in names))
 
 
 def _sets(docs: DataFrame, text: str, words: int, wanted: DataFrame) -> DataFrame:
@@ -294,36 +319,56 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stored(docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash")).mapInArrow(keyed, f"doc_id {kind}, n_shingles bigint, class_key bigint, row_hash bigint"), "classes")
-    groups = stored(_grouped(_signed(docs, "text", words, bands, buckets), small), "candidates")
-    pairs = groups.where("sig is null").select("a", "b").distinct()
+    groups = stored(_grouped(_signed(docs, "text", words, bands, buckets), small, bands), "candidates")
 
     # Large groups: a set that has enough parts elsewhere meets its smaller partners there.
-    members = groups.where("sig is not null")
+    members = groups.where("sig is not null").select("sig", "a", "size", "parts", "parts_up")
     difference = F.floor(F.lit((100 - percent) * 2) * F.col("size") / (100 + percent))
     hot = members.groupBy("a").agg(F.count("*").alias("h"), F.first("size").alias("size"), F.first("parts").alias("parts"))
-    needs = hot.where((F.col("h") >= F.col("parts") - difference) | (F.col("size") < math.ceil(LONG * 100 / percent) * 2)).select("a")
-    unsafe = stored(members.join(needs.withColumn("unsafe", F.lit(True)), "a", "left").select("sig", "a", "size", F.coalesce("unsafe", F.lit(False)).alias("unsafe")), "large-groups")
-    hubs = unsafe.where("unsafe").groupBy("sig").agg(F.max_by("a", F.struct("size", "a")).alias("hub"))
-    spokes = unsafe.join(hubs, "sig").where("a <> hub").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")).distinct()
-    pairs = stored(pairs.union(spokes).distinct(), "pairs")
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(unsafe.join(hubs.select("sig"), "sig", "left_semi").select(F.col("a").alias("key"))).distinct()
+    hot = stored(hot.select("a", "h", (F.col("h") >= F.col("parts") - difference).alias("unsafe")), "hot")
+    unsafe = members.join(hot, "a")
+    hubs = unsafe.where("unsafe").groupBy("sig").agg(F.max_by(F.struct("a", "size", "parts", "parts_up", "h"), F.struct("size", "a")).alias("hub"))
+    unsafe = stored(unsafe.join(hubs, "sig"), "large-groups")
+
+    def fewest(x: Column, y: Column) -> Column:
+        """What :func:`needed` asks of two sets, whichever is larger, by the larger one's own band only."""
+        big, low = F.when(x["size"] >= y["size"], x).otherwise(y), F.least(x["size"], y["size"])
+        return F.greatest(F.lit(1), big["parts"] - F.floor(F.lit(100 - percent) * (big["size"] + low) / (100 + percent)))
+
+    own = F.struct("a", "size", "parts", "parts_up", "h")
+    spokes = unsafe.where(F.col("a") != F.col("hub.a")).where(F.least("h", "hub.h") >= fewest(own, F.col("hub")))
+    spokes = spokes.select(F.least("a", "hub.a").alias("a"), F.greatest("a", "hub.a").alias("b")).distinct()
+    # Pairs of small groups share at least what they need, counting every large group of both as shared.
+    pairs = groups.where("sig is null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("need").alias("need"))
+    hot_of = lambda k: hot.select(F.col("a").alias(k), F.col("h").alias(f"h{k}"))
+    pairs = pairs.join(hot_of("a"), "a", "left").join(hot_of("b"), "b", "left").where(F.col("n") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= F.col("need"))
+    pairs = stored(pairs.select("a", "b").union(spokes).distinct(), "pairs")
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     first = rows.groupBy(F.col("class_key").alias("key")).agg(F.min("row_hash").alias("row_hash"))
     wanted = stored(wanted.join(first, "key"), "wanted")
-    some = docs.join(wanted.select("row_hash").distinct(), F.xxhash64("text") == F.col("row_hash"), "left_semi").select("text")
-    sets = stored(_sets(some, "text", words, wanted.select("key")), "sets")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        some = docs.join(wanted.select("row_hash").distinct(), F.xxhash64("text") == F.col("row_hash"), "left_semi").select("text")
+        return stored(_sets(some, "text", words, wanted.select("key")), "sets")
+
+    sets = sets_of(wanted)
     edges = stored(_linked(pairs, sets, percent), "edges")
     found = stored(components(edges), "components")
+    dropped(spark, sets)
 
     # What stays of large groups are members of different components, the larger one without parts elsewhere.
-    split = unsafe.join(hubs.select("sig"), "sig", "left_semi").join(found.select(F.col("node").alias("a"), "root"), "a", "left").select("sig", "a", "size", "unsafe", F.coalesce("root", "a").alias("root"))
+    split = unsafe.join(found.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     mixed_groups = split.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
     split = stored(split.join(mixed_groups, "sig", "left_semi"), "large-groups")
-    if split.limit(1).count():
-        big = split.where("unsafe").select("sig", F.col("a").alias("p"), F.col("size").alias("ps"), F.col("root").alias("pr"))
-        more = split.join(big, "sig").where((F.col("root") != F.col("pr")) & ((F.col("size") < F.col("ps")) | (F.col("size") == F.col("ps")) & (F.col("a") != F.col("p"))) & (100 * F.col("size") >= percent * F.col("ps")))
-        more = more.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    big = split.where("unsafe").select("sig", F.col("root").alias("pr"), F.struct("a", "size", "parts", "parts_up", "h").alias("p"))
+    more = split.join(big, "sig").where((F.col("root") != F.col("pr")) & ((F.col("size") < F.col("p.size")) | (F.col("size") == F.col("p.size")) & (F.col("a") > F.col("p.a"))) & (100 * F.col("size") >= percent * F.col("p.size")) & (F.least("h", "p.h") >= fewest(own, F.col("p"))))
+    more = stored(more.select(F.least("a", "p.a").alias("a"), F.greatest("a", "p.a").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if more.limit(1).count():
+        wanted = stored(more.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(first, "key"), "wanted")
+        sets = sets_of(wanted)
         more = stored(_linked(more, sets, percent), "edges")
+        dropped(spark, sets)
         if more.limit(1).count():
             found = stored(components(edges.union(more)), "components")
 
@@ -331,7 +376,7 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rooted = smallest.join(found.select(F.col("node").alias("class_key"), "root"), "class_key", "left").select("class_key", "low", F.coalesce("root", "class_key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     by_class = stored(rooted.join(named, "root").select("class_key", "component_id"), "class-names")
-    dropped(spark, groups, sets, wanted, pairs)
+    dropped(spark, groups, unsafe, split)
     return rows.join(by_class, "class_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class_key")
 
 
