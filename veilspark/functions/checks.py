@@ -14,7 +14,7 @@ def digits(value: Column) -> Column:
 
 
 def _digit(value: Column, i: int) -> Column:
-    return F.substring(value, i, 1).cast("int")
+    return F.substring(value, i, 1).try_cast("int")
 
 
 def national_id(value: Column) -> Column:
@@ -31,7 +31,7 @@ def luhn(value: Column) -> Column:
     """Whether the digits of a card number add up."""
     d = F.reverse(digits(value))
     place = F.sequence(F.lit(1), F.length(d))
-    doubled = F.transform(place, lambda i: F.substring(d, i, F.lit(1)).cast("int") * F.when(i % 2 == 0, 2).otherwise(1))
+    doubled = F.transform(place, lambda i: F.substring(d, i, F.lit(1)).try_cast("int") * F.when(i % 2 == 0, 2).otherwise(1))
     total = F.aggregate(doubled, F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x))
     return F.coalesce((F.length(d) >= 12) & (total % 10 == 0), F.lit(False))
 
@@ -43,7 +43,7 @@ def iban(value: Column) -> Column:
     rest = F.aggregate(
         F.split(moved, ""),
         F.lit(0),
-        lambda a, c: F.when(c == "", a).when(c.rlike("^[0-9]$"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97),
+        lambda a, c: F.when(c == "", a).when(c.rlike("^[0-9]$"), (a * 10 + c.try_cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97),
     )
     return F.coalesce((F.length(v) >= 15) & (rest == 1), F.lit(False))
 

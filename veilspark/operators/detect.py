@@ -37,45 +37,65 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), walked).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
-def findings_array(text: Column, rules: Iterable[R.Rule], natural: tuple[str, ...] = ("PHONE_NUMBER",)) -> Column:
-    """All findings of the rules in a text: validated, outside placeholders that are there already, by start and priority.
+EMPTY = "array<struct<start:int,end:int,value:string>>"
 
-    Second-layer findings that overlap an allowed span go, and so do those of
-    natural-language types whose entropy is over 3.5 bits.
-    """
-    rules = list(rules)
-    text = F.coalesce(text, F.lit(""))
-    masked = matches(text, rf"\b(?:{R.PLACEHOLDER}|{R.OLD_PLACEHOLDER})\b")
+
+def _placeholders(text: Column) -> Column:
+    return matches(text, rf"\b(?:{R.PLACEHOLDER}|{R.OLD_PLACEHOLDER})\b")
+
+
+def _allowed(text: Column, rules: list[R.Rule]) -> Column:
     allowed = [matches(text, r.java) for r in rules if r.kind == "allow"]
-    allow = F.concat(*allowed) if allowed else F.array().cast("array<struct<start:int,end:int,value:string>>")
-    def of_rule(rule: R.Rule) -> Column:
-        second = rule.kind == "recogniser"
-        found = F.filter(matches(text, rule.java), lambda m: ~S.touched(m, masked))
-        if rule.validator:
-            valid = R.VALIDATORS[rule.validator]
-            found = F.filter(found, lambda m: valid(m["value"]))
-        if second:
-            found = F.filter(found, lambda m: ~S.touched(m, allow))
-            if rule.entity in natural:
-                found = F.filter(found, lambda m: checks.entropy(m["value"]) <= 3.5)
-        confidence = "yuksek" if not second or rule.score >= 0.85 else "orta" if rule.score >= 0.6 else "dusuk"
-        rank = {"parametric": 3, "regex": 2 if rule.name.startswith("generic_") else 3, "recogniser": 1}.get(rule.kind, 0)
-        fixed = {"rule": rule.name, "kind": rule.kind, "entity": rule.entity or rule.category, "source": "katman2_presidio" if second else "dictionary", "confidence": confidence, "authority": rank, "prefix": rule.prefix}
-        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(rule.priority).alias("priority"), *(F.lit(v).alias(k) for k, v in fixed.items()), m["end"].alias("end"), m["value"].alias("value")))
-
-    parts = [of_rule(r) for r in rules if r.kind != "allow"]
+    return F.concat(*allowed) if allowed else F.array().cast(EMPTY)
+
+
+def _found(text: Column, masked: Column, allow: Column, rule: R.Rule, natural: tuple[str, ...]) -> Column:
+    """Findings of one rule, beside placeholders and allowed spans."""
+    second = rule.kind == "recogniser"
+    found = F.filter(matches(text, rule.java), lambda m: ~S.touched(m, masked))
+    if rule.validator:
+        valid = R.VALIDATORS[rule.validator]
+        found = F.filter(found, lambda m: valid(m["value"]))
+    if second:
+        found = F.filter(found, lambda m: ~S.touched(m, allow))
+        if rule.entity in natural:
+            found = F.filter(found, lambda m: checks.entropy(m["value"]) <= 3.5)
+    confidence = "yuksek" if not second or rule.score >= 0.85 else "orta" if rule.score >= 0.6 else "dusuk"
+    rank = {"parametric": 3, "regex": 2 if rule.name.startswith("generic_") else 3, "recogniser": 1}.get(rule.kind, 0)
+    fixed = {"rule": rule.name, "kind": rule.kind, "entity": rule.entity or rule.category, "source": "katman2_presidio" if second else "dictionary", "confidence": confidence, "authority": rank, "prefix": rule.prefix}
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(rule.priority).alias("priority"), *(F.lit(v).alias(k) for k, v in fixed.items()), m["end"].alias("end"), m["value"].alias("value")))
+
+
+def _ordered(parts: list[Column]) -> Column:
     if not parts:
         return F.array().cast(FINDING)
-    ordered = F.array_sort(F.concat(*parts))
     return F.transform(
-        ordered,
+        F.array_sort(F.concat(*parts)),
         lambda s, i: F.struct(s["rule"], s["kind"], s["entity"], s["source"], s["confidence"], s["authority"], s["priority"], s["prefix"], s["start"], s["end"], s["value"], i.alias("ord")),
     ).cast(FINDING)
 
 
-def detect(docs: DataFrame, rules: Iterable[R.Rule], text: str = "text", out: str = "findings") -> DataFrame:
-    """``docs`` with the array of findings in each text."""
-    return docs.withColumn(out, findings_array(F.col(text), rules))
+def findings_array(text: Column, rules: Iterable[R.Rule], natural: tuple[str, ...] = ("PHONE_NUMBER",)) -> Column:
+    """All findings of a few rules in a text, as one expression; for many rules use :func:`detect`, which works in steps."""
+    rules = list(rules)
+    text = F.coalesce(text, F.lit(""))
+    masked, allow = _placeholders(text), _allowed(text, rules)
+    return _ordered([_found(text, masked, allow, r, natural) for r in rules if r.kind != "allow"])
+
+
+def detect(docs: DataFrame, rules: Iterable[R.Rule], text: str = "text", out: str = "findings", natural: tuple[str, ...] = ("PHONE_NUMBER",)) -> DataFrame:
+    """``docs`` with the array of findings in each text: validated, outside placeholders that are there already, by start and priority.
+
+    Second-layer findings that overlap an allowed span go, and so do those of
+    natural-language types whose entropy is over 3.5 bits.  What all rules look
+    at is a column of its own, evaluated once a row.
+    """
+    rules = list(rules)
+    body = F.coalesce(F.col(text), F.lit(""))
+    staged = docs.withColumns({"__masked": _placeholders(body), "__allow": _allowed(body, rules)})
+    own = [r for r in rules if r.kind != "allow"]
+    staged = staged.withColumns({f"__f{i}": _found(body, F.col("__masked"), F.col("__allow"), r, natural) for i, r in enumerate(own)})
+    return staged.withColumn(out, _ordered([F.col(f"__f{i}") for i in range(len(own))])).drop("__masked", "__allow", *(f"__f{i}" for i in range(len(own))))
 
 
 def long(docs: DataFrame, findings: str = "findings", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

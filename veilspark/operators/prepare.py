@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import text as T
+from veilspark.operators.detect import matches
 
 
 def lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,14 +84,12 @@ def readable(decoded: Column) -> Column:
 
 def decoded_blocks(docs: DataFrame, min_chars: int = 12, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start, end, kind, decoded) of base64 and hex runs that decode to readable text."""
-    from veilspark.operators.detect import matches
-
     body = F.coalesce(F.col(text), F.lit(""))
     runs = docs.select(doc_id, F.explode(matches(body, rf"[A-Za-z0-9+/]{{{min_chars},}}={{0,2}}")).alias("m")).select(doc_id, "m.*")
     hexed = F.col("value").rlike("^[0-9a-fA-F]+$") & (F.length("value") % 2 == 0)
     tried = runs.withColumn("kind", F.when(hexed, "hex").when(F.length("value") % 4 == 0, "base64"))
     raw = F.when(F.col("kind") == "hex", F.unhex("value")).when(F.col("kind") == "base64", F.try_to_binary("value", F.lit("base64")))
-    out = tried.withColumn("decoded", F.decode(raw, "UTF-8"))
+    out = tried.withColumn("raw", raw).withColumn("decoded", F.when(F.is_valid_utf8("raw"), F.col("raw").cast("string")))
     return out.where(F.col("kind").isNotNull() & readable(F.col("decoded"))).select(doc_id, "start", "end", "kind", "decoded")
 
 

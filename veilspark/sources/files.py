@@ -21,7 +21,11 @@ BOMS = ((codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"),
 
 
 def read_tree(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
-    """path (relative), size, and content of all files below ``root``; without ``content`` no file is opened."""
+    """path (relative), size, and content of all files below ``root``; without ``content`` no file is opened.
+
+    Spark's reader lists no empty files and none whose names (or folders) begin
+    with a dot or an underscore.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     top = root.rstrip("/").removeprefix("file:")
     path = F.substring(F.col("path"), F.instr(F.col("path"), top) + len(top) + 1, F.length("path"))
