@@ -367,3 +367,26 @@ def test_second_passes(spark):
     table = spark.createDataFrame([("Acme", "mask_kurumsal_ifade_1"), ("..", "mask_kurumsal_ifade_2")], "value string, placeholder string")
     paths = spark.createDataFrame([("src/mask_kurumsal_ifade_1/a.txt",), ("mask_kurumsal_ifade_2/x",)], "masked_path string")
     assert {(r.restored_path, r.unsafe) for r in remediate.restored_paths(paths, table).collect()} == {("src/Acme/a.txt", False), ("../x", True)}
+
+
+def test_tables_in_texts(spark):
+    sql = "CREATE TABLE t (id int, name varchar(10), PRIMARY KEY (id));\n" + "INSERT INTO t VALUES " + ", ".join(f"({i}, 'a''{i}, (b)')" for i in range(40)) + ";\nINSERT INTO u (x, y) VALUES (1, NULL);"
+    (name, columns, rows), (_, other, _) = prepare.sql_records(sql)
+    assert (name, columns, other, len(rows)) == ("t", ["id", "name"], ["x", "y"], 40) and sql[slice(*rows[3][1])] == "a''3, (b)"
+    js = '{"a": [{"x": 1, "y": {"z": "q"}, "n": [{"k": 1}]}, {"x": 2}], "b": [1, 2]}'
+    assert {p: (c, len(r)) for p, c, r in prepare.json_records(js)} == {"$.a": (["x", "y.z"], 2), "$.a.n": (["k"], 1)}
+    assert prepare.json_records("not json") == [] and len(prepare.json_records('{"a": 1}\n{"a": 2}\n')[0][2]) == 2
+    docs = spark.createDataFrame([(1, sql, ".sql"), (2, "a,b\n" + "1,2\n" * 30, ".csv"), (3, None, ".json")], "doc_id int, text string, suffix string")
+    got = prepare.table_cells(docs).groupBy("doc_id", "table").count().collect()
+    assert {(r.doc_id, r.table): r["count"] for r in got} == {(1, "t"): 80, (2, ""): 60}
+
+
+def test_views_map_back(spark):
+    from veilspark.operators import views
+
+    text = "x \\u0041cme &Ouml;l A\u200bcmе ﬁn mask_ip_1 ac-me"
+    assert [v for *_, v in views.find_in_view(text, "(?i)acme")] == ["\\u0041cme", "A\u200bcmе"]
+    assert views.find_in_view(text, "Öl")[0][2] == "&Ouml;l" and views.find_in_view(text, "fin")[0][2] == "ﬁn"
+    assert [text[a:b] for a, b, _ in views.find_compact(text, ["acme"])] == ["\\u0041cme", "A\u200bcmе", "ac-me"]
+    assert views.find_compact("ac mask_ip_1 me", ["acme"]) == []
+    assert views.view_findings(docs_of(spark, text, None), "(?i)acme").count() == 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import json
 import re
 from collections.abc import Iterator
 
@@ -201,3 +202,133 @@ def csv_cells(docs: DataFrame, min_rows: int = 30, regular: float = 0.9, text: s
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], [doc_id, "row", "column", "start", "end", "value"])
 
     return docs.select(doc_id, text).mapInArrow(read, f"`{doc_id}` {kind}, row bigint, column string, start int, end int, value string")
+
+
+_CREATE = re.compile(r"(?is)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?[`\"\[]?([\w.]+)[`\"\]]?\s*\((.*?)\)\s*;")
+_INSERT = re.compile(r"(?is)\binsert\s+into\s+[`\"\[]?([\w.]+)[`\"\]]?\s*(?:\(([^()]*)\))?\s*values\s*")
+_NO_COLUMN = frozenset("primary foreign unique constraint check key index".split())
+
+
+def sql_records(text: str) -> list[tuple[str, list[str], list[list[tuple[int, int]]]]]:
+    """(table, columns, rows of value spans) of the INSERT statements of a text; columns are the statement's, else the CREATE's, else numbers."""
+    created = {}
+    for m in _CREATE.finditer(text):
+        names = [p.split()[0].strip('`"[]') for p in re.split(r",(?![^()]*\))", m[2]) if p.split()]
+        created[m[1].lower()] = [n for n in names if n.lower() not in _NO_COLUMN]
+    out: dict[str, tuple[str, list[str], list]] = {}
+    for m in _INSERT.finditer(text):
+        at, rows = m.end(), []
+        while at < len(text) and text[at] == "(":
+            row, at = [], at + 1
+            start = at
+            while at < len(text):
+                c = text[at]
+                if c == "'":
+                    end = at + 1
+                    while end < len(text) and (text[end] != "'" or text[end + 1 : end + 2] == "'"):
+                        end += 2 if text[end] == "'" else 1
+                    row.append((at + 1, end))
+                    at = start = end + 1
+                    while at < len(text) and text[at] not in ",)":
+                        at += 1
+                elif c in ",)":
+                    a, b = start, at
+                    while a < b and text[a].isspace():
+                        a += 1
+                    while b > a and text[b - 1].isspace():
+                        b -= 1
+                    row.append((a, b))
+                else:
+                    at += 1
+                    continue
+                if text[at : at + 1] == ")":
+                    break
+                at += 1
+                start = at
+                while start < len(text) and text[start].isspace():
+                    start += 1
+                at = start
+            rows.append(row)
+            at += 1
+            more = re.compile(r"\s*,\s*(?=\()").match(text, at)
+            if not more:
+                break
+            at = more.end()
+        if rows:
+            width = len(rows[0])
+            columns = [c.strip().strip('`"[]') for c in m[2].split(",")] if m[2] else created.get(m[1].lower(), [str(i) for i in range(width)])
+            table = out.setdefault(m[1].lower(), (m[1], columns, []))
+            table[2].extend(r for r in rows if len(r) == len(table[1]))
+    return list(out.values())
+
+
+def json_records(text: str) -> list[tuple[str, list[str], list[dict[str, object]]]]:
+    """(table, columns, rows) of a JSON text or of JSON lines: each array of objects is a table of dotted columns, nested arrays are tables of their own."""
+    try:
+        roots = [json.loads(text)]
+    except ValueError:
+        try:
+            roots = [[json.loads(x) for x in text.splitlines() if x.strip()]]
+        except ValueError:
+            return []
+    tables: dict[str, list[dict[str, object]]] = {}
+
+    def flat(x: dict, prefix: str, path: str, row: dict[str, object]) -> None:
+        for k, v in x.items():
+            if isinstance(v, dict):
+                flat(v, f"{prefix}{k}.", path, row)
+            elif isinstance(v, list):
+                walk(v, f"{path}.{prefix}{k}")
+            else:
+                row[f"{prefix}{k}"] = v
+
+    def walk(x: object, path: str) -> None:
+        if isinstance(x, list):
+            if x and all(isinstance(v, dict) for v in x):
+                for v in x:
+                    row: dict[str, object] = {}
+                    flat(v, "", path, row)
+                    tables.setdefault(path, []).append(row)
+            else:
+                for v in x:
+                    walk(v, path)
+        elif isinstance(x, dict):
+            for k, v in x.items():
+                walk(v, f"{path}.{k}")
+
+    for root in roots:
+        walk(root, "$")
+    return [(p, list(dict.fromkeys(k for r in rows for k in r)), rows) for p, rows in tables.items()]
+
+
+def table_cells(docs: DataFrame, min_rows: int = 30, doc_id: str = "doc_id", text: str = "text", suffix: str = "suffix") -> DataFrame:
+    """(doc_id, table, row, column, value) of the tables in texts, read by suffix: .csv and .tsv, .sql, .json, .jsonl and .ndjson."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+
+            def add(d, table, rows):
+                if len(rows) >= min_rows:
+                    for i, row in enumerate(rows):
+                        for name, value in row:
+                            for x, v in zip(out, (d, table, i, name, value), strict=True):  # noqa: B023
+                                x.append(v)
+
+            for d, body, s in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                body = body or ""
+                if s in (".csv", ".tsv"):
+                    records = csv_records(body, "\t" if s == ".tsv" else None)
+                    names = [body[a:b] for a, b in records[0]] if records else []
+                    add(d, "", [[(n, body[a:b]) for n, (a, b) in zip(names, r, strict=False)] for r in records[1:]])
+                elif s == ".sql":
+                    for table, columns, rows in sql_records(body):
+                        add(d, table, [[(n, body[a:b]) for n, (a, b) in zip(columns, r, strict=True)] for r in rows])
+                elif s in (".json", ".jsonl", ".ndjson"):
+                    for table, _, rows in json_records(body):
+                        add(d, table, [[(k, None if v is None else str(v)) for k, v in r.items()] for r in rows])
+            types = (batch.schema.field(0).type, pa.string(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], [doc_id, "table", "row", "column", "value"])
+
+    return docs.select(doc_id, text, suffix).mapInArrow(read, f"`{doc_id}` {kind}, table string, row bigint, column string, value string")

@@ -111,10 +111,13 @@ def findings_by_rule(spark, d):
     return found.groupBy("rule", "lang").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-@_query(f"""select rule, count(*)::bigint as n, count(distinct conv_id)::bigint as n_conversations from ({_found_sql("conversations", "conv_id, turn", (EMAIL, IP, PHONE))}) group by rule""")
-def findings_conversations(spark, d):
-    found = detect.long(detect.detect(_t(spark, d, "conversations").select("conv_id", "turn", "text"), _rules(EMAIL, IP, PHONE)), keep=("conv_id", "turn"))
-    return found.groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("n_conversations"))
+@_query(r"""select page_id, len(regexp_extract_all(html, '\bhttps?://[a-z0-9.-]+'))::bigint as n, len(list_distinct(regexp_extract_all(html, '[a-z0-9-]+\.example\.[a-z]+')))::bigint as n_hosts from pages where regexp_matches(html, '[a-z0-9-]+\.example\.[a-z]+')""")
+def findings_pages(spark, d):
+    """Hosts in page sources, by a rule added at run time."""
+    rules = R.register_rule((), R.Rule("example_host", "regex", "host", r"[a-z0-9-]+\.example\.[a-z]+", "mask_host", 60))
+    found = detect.detect(_t(spark, d, "pages").select("page_id", "html"), R.bound(rules), "html")
+    urls = F.size(detect.matches(F.col("html"), r"\bhttps?://[a-z0-9.-]+")).cast("long")
+    return found.where(F.size("findings") > 0).select("page_id", urls.alias("n"), F.size(F.array_distinct(F.transform("findings", lambda f: f["value"]))).cast("long").alias("n_hosts"))
 
 
 @_query(f"""select doc_id, rule, s as "start", e as "end", v as value from ({_found_sql()})""")
@@ -268,14 +271,14 @@ def value_registry(spark, d):
     return consistency.registry(found).select("value_key", F.col("entities").alias("rules"), "n_findings", "n_docs")
 
 
-@_query(f"""with r as (select distinct lower(v) as value_key from ({_found_sql(names=(EMAIL, IP))})), t as (select conv_id, turn, unnest(regexp_extract_all(lower(text), '[^\\s"''<>(){{}}\\[\\],;]+')) as w from conversations),
-k as (select conv_id, turn, regexp_replace(regexp_replace(w, '^[^a-z0-9+]+', ''), '[^a-z0-9]+$', '') as value_key from t)
-select conv_id, value_key, count(*)::bigint as n from k join r using (value_key) group by conv_id, value_key""")
+@_query(f"""with r as (select distinct lower(v) as value_key from ({_found_sql(names=(EMAIL, IP))})), t as (select doc_id, unnest(regexp_extract_all(lower(text), '[^\\s"''<>(){{}}\\[\\],;]+')) as w from documents),
+k as (select doc_id, regexp_replace(regexp_replace(w, '^[^a-z0-9+]+', ''), '[^a-z0-9]+$', '') as value_key from t)
+select doc_id, value_key, count(*)::bigint as n from k join r using (value_key) group by doc_id, value_key""")
 def registry_consistency(spark, d):
-    """Values found in documents that stand open in conversations."""
+    """Where the values found in documents stand open, between word limits."""
     reg = consistency.registry(detect.long(detect.detect(_docs(spark, d), _rules(EMAIL, IP))))
-    open_ = consistency.open_occurrences(_t(spark, d, "conversations").select("conv_id", "text"), reg, "conv_id")
-    return open_.groupBy("conv_id", "value_key").agg(F.sum("n_occurrences").cast("long").alias("n"))
+    open_ = consistency.open_occurrences(_docs(spark, d), reg)
+    return open_.groupBy("doc_id", "value_key").agg(F.sum("n_occurrences").cast("long").alias("n"))
 
 
 _FOLD = "translate(lower({}), 'ışğçöü', 'isgcou')"
