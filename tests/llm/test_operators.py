@@ -237,6 +237,14 @@ def test_jaccard_of_many_short_texts(spark):
     assert sorted(map(tuple, got)) == sorted(brute.components(rows))
 
 
+def test_intersections_of_blocks():
+    rng = np.random.default_rng(7)
+    make = lambda n: [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(n)]
+    x, y = make(30), make(25)
+    got = jaccard.intersections(*((np.concatenate(s), np.array([len(i) for i in s])) for s in (x, y)))
+    assert got.tolist() == [[len(np.intersect1d(i, j)) for j in y] for i in x]
+
+
 def test_signatures_find_every_similar_pair():
     """Sets at the threshold share a signature, whatever their size."""
     rng = np.random.default_rng(4)
@@ -250,8 +258,10 @@ def test_signatures_find_every_similar_pair():
                 extra += 1
             b = np.concatenate([a[drop:], rng.integers(0, 1 << 62, extra).astype(np.uint64)])
             both, counts = np.concatenate([np.sort(a), np.sort(b)]), np.array([len(a), len(b)])
-            of, sigs, _ = jaccard.signatures(both, counts, bands)
-            assert set(sigs[of == 0]) & set(sigs[of == 1])
+            of, sigs, up, _ = jaccard.signatures(both, counts, bands)
+            own = [set(sigs[(of == k) & ~up]) for k in (0, 1)]
+            higher = [set(sigs[(of == k) & up]) for k in (0, 1)]
+            assert own[0] & own[1] or own[0] & higher[1] or own[1] & higher[0]
 
 
 def test_jaccard_empty_and_representatives(spark):
