@@ -21,12 +21,14 @@ signature list for each slice of input that holds them.
 
 *Groups.*  Sets with a common signature are candidates.  A group of at most
 ``small`` sets gives all its pairs.  A larger group is a passage that many
-documents share, or a large family of near copies.  Pigeonhole again: a set with
-m parts, of which h have large groups, shares a part outside these with each
-smaller partner if h < m - |difference|, so only sets with more large groups than
-that stay; what stays is linked to a hub of the group first, and only members of
-different components are compared afterwards.  Pairs are thus made for members
-that are not yet connected, and none is skipped that could connect them.
+documents share, or a large family of near copies.  Pigeonhole again: linked sets
+share at least k = m - |difference| of the m parts of the larger one, so that one
+looks for partners only in its smaller groups, all but the k - 1 largest, and
+pairs that share fewer than k signatures are no candidates.  Members of large
+groups meet a hub of the group first, in a few rounds with other hubs, and only
+members of groups that then still hold different components are compared exactly,
+cluster by cluster (what shares large groups), in blocks of which each two meet
+once and only links leave.  None is skipped that could connect components.
 
 Candidates are checked on their whole sets.  Nothing but counters reaches the
 driver.  Nulls: a null or wordless text has an empty set, links with nothing and
@@ -42,13 +44,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import bytes_of, dropped, fresh, mixed, sliced, stored, word_hashes
 from veilspark.llm.components import components
 
 WORDS, PERCENT, SMALL = 5, 75, 8
+#: Rounds in which the members of large groups meet hubs before the members of different components meet each other.
+ROUNDS = 2
+#: Bytes of text in a step; its words, shingles and signatures take some forty times as much for a moment.
+SLICE = 1 << 20
+#: Sets in a block, about.
+BLOCK = 1000
 #: Sets of at least this many elements are signed by equal parts only.
 LONG = 64
 _Q = np.uint64(0xD1B54A32D192ED03)
@@ -123,10 +131,10 @@ class Bands:
         return (100 - p) * 2 * sizes // (100 + p)
 
 
-def signatures(shingles: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, signature) pairs, and the parts with elements of each set under its own and the next band (a table of two columns)."""
-    all_sets, all_sigs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    filled = np.zeros((len(counts), 2), np.int64)
+def signatures(shingles: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sets, their signatures, whether these are of the next band, and how many parts of its own band each set fills."""
+    all_sets, all_sigs, all_up = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    filled = np.zeros(len(counts), np.int64)
     own = bands.of(np.maximum(counts, 1))
     of_set = np.repeat(np.arange(len(counts)), counts)
     spread = mixed(shingles ^ np.uint64(0x2545F4914F6CDD1D))
@@ -141,56 +149,56 @@ def signatures(shingles: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[
         heads = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (p[1:] != p[:-1])]))
         sizes = np.diff(np.append(heads, len(s)))
         hs, hp = s[heads], p[heads]
-        filled[:, up] = np.bincount(hs, minlength=len(counts))
+        if not up:
+            filled = np.bincount(hs, minlength=len(counts))
         with np.errstate(over="ignore"):
             sums = np.add.reduceat(x, heads)
             salt = tag[hs].astype(np.uint64) << np.uint64(40) ^ hp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             all_sets.append(hs)
             all_sigs.append(mixed(sums + salt))
+            all_up.append(np.full(len(hs), bool(up)))
             for i in np.flatnonzero(~bands.long[tag[hs]] & (sizes * (100 - bands.percent) >= 100)):
                 held = x[heads[i] : heads[i] + sizes[i]]
                 subs = [sums[i] - held[list(c)].sum(dtype=np.uint64) for k in range(1, sizes[i] * (100 - bands.percent) // 100 + 1) for c in combinations(range(sizes[i]), k)]
                 all_sigs.append(mixed(np.array(subs, np.uint64) + salt[i]))
                 all_sets.append(np.full(len(subs), hs[i]))
-    return np.concatenate(all_sets), np.concatenate(all_sigs), filled
+                all_up.append(np.full(len(subs), bool(up)))
+    return np.concatenate(all_sets), np.concatenate(all_sigs), np.concatenate(all_up), filled
 
 
-_ENTRY = np.dtype([("sig", "<u8"), ("set", "<u2")])
-_SET = np.dtype([("key", "<u8"), ("size", "<i8"), ("own", "<i4"), ("next", "<i4")])
+_SET = np.dtype([("key", "<u8"), ("size", "<i8"), ("parts", "<i8")])
+#: 48 bits of a signature (the bucket holds more), and a set's place in the slice; the highest bit tells the next band.
+_PACKED = np.dtype([("a", "<u4"), ("b", "<u2"), ("set", "<u2")])
 
 
 def _signed(docs: DataFrame, text: str, words: int, bands: Bands, buckets: int) -> DataFrame:
     """Rows (bucket, entries, sets): the signatures of a slice of documents that fall into a bucket."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, SLICE):
             shingles, counts = shingle_sets(bytes_of(batch, text), words)
             keys = set_keys(shingles, counts)
             _, first = np.unique(keys, return_index=True)
             first = first[counts[first] > 0]
             take = np.isin(np.arange(len(keys)), first)
-            for some in np.array_split(np.flatnonzero(take), len(first) // 60000 + 1):
+            for some in np.array_split(np.flatnonzero(take), len(first) // 30000 + 1):
                 inside = np.repeat(np.isin(np.arange(len(keys)), some), counts)
-                of, sigs, filled = signatures(shingles[inside], counts[some], bands)
+                of, sigs, up, filled = signatures(shingles[inside], counts[some], bands)
                 table = np.zeros(len(some), _SET)
-                table["key"], table["size"], table["own"], table["next"] = keys[some], counts[some], filled[:, 0], filled[:, 1]
+                table["key"], table["size"], table["parts"] = keys[some], counts[some], filled
                 bucket = (sigs % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                entries = np.zeros(len(sigs), _ENTRY)
-                entries["sig"], entries["set"] = sigs[order], of[order]
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                of, sigs, up, cuts = of[order], sigs[order], up[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
                 rows: tuple[list, list, list] = ([], [], [])
-                for b in range(buckets):
-                    if cuts[b] < cuts[b + 1]:
-                        cut = entries[cuts[b] : cuts[b + 1]]
-                        used, place = np.unique(cut["set"], return_inverse=True)
-                        wide = cut["sig"]
-                        # 48 bits besides the bucket: a clash makes a candidate that the check on whole sets refuses
-                        packed = np.zeros(len(cut), [("a", "<u4"), ("b", "<u2"), ("set", "<u2")])
-                        packed["a"], packed["b"], packed["set"] = (wide >> np.uint64(32)).astype(np.uint32), (wide >> np.uint64(16)).astype(np.uint16), place
-                        rows[0].append(b)
-                        rows[1].append(packed.tobytes())
-                        rows[2].append(table[used].tobytes())
+                for b in np.flatnonzero(np.diff(cuts)):
+                    cut = slice(cuts[b], cuts[b + 1])
+                    used, place = np.unique(of[cut], return_inverse=True)
+                    packed = np.zeros(len(place), _PACKED)
+                    packed["a"], packed["b"] = (sigs[cut] >> np.uint64(32)).astype(np.uint32), (sigs[cut] >> np.uint64(16)).astype(np.uint16)
+                    packed["set"] = place.astype(np.uint16) | up[cut].astype(np.uint16) << np.uint16(15)
+                    rows[0].append(int(b))
+                    rows[1].append(packed.tobytes())
+                    rows[2].append(table[used].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["bucket", "entries", "sets"])
 
     return docs.select(f"`{text}`").mapInArrow(scan, "bucket int, entries binary, sets binary")
@@ -199,78 +207,76 @@ def _signed(docs: DataFrame, text: str, words: int, bands: Bands, buckets: int)
 _PACKED = np.dtype([("a", "<u4"), ("b", "<u2"), ("set", "<u2")])
 
 
-def needed(size: np.ndarray, parts: np.ndarray, parts_up: np.ndarray, other: np.ndarray, bands: Bands) -> np.ndarray:
-    """How many signatures a set shares at least with a linked one that is not larger (``other``: its size).
+def _grouped(signed: DataFrame, small: int, percent: int) -> DataFrame:
+    """From signatures: pairs of small groups (a the larger, b; how many signatures they share, and how many they need; no sig), and members of large groups (sig, a, up, and what the pigeonhole needs).
 
-    Parts with elements, less those that can differ; sets of one band share the
-    parts of both bands.  Never under 1.
+    A pair meets under the larger one's own band; two sets of the band below meet there, not here.
     """
-    d = (100 - bands.percent) * (size + other) // (100 + bands.percent)
-    same = bands.of(np.maximum(size, 1)) == bands.of(np.maximum(other, 1))
-    return np.maximum(1, np.maximum(0, parts - d) + np.where(same, np.maximum(0, parts_up - d), 0))
-
-
-def _grouped(signed: DataFrame, small: int, bands: Bands) -> DataFrame:
-    """From signatures: pairs of small groups (a, b, shared signatures, and how many they need; no sig), and members of large groups (sig, a, and what the pigeonhole needs)."""
-    names = ["sig", "a", "b", "n", "need", "size", "parts", "parts_up"]
+    names = ["sig", "a", "b", "n", "need", "size", "parts", "up"]
 
     def meet(table: pa.Table) -> pa.Table:
-        sigs, sets = [], []
+        sigs, sets, ups, known = [], [], [], []
         base = 0
         for e, t in zip(table["entries"].to_pylist(), table["sets"].to_pylist(), strict=True):
             entry = np.frombuffer(e, _PACKED)
             sigs.append((entry["a"].astype(np.uint64) << np.uint64(16)) | entry["b"])
-            sets.append((entry["set"].astype(np.int64) + base, np.frombuffer(t, _SET)))
-            base += len(sets[-1][1])
-        sig = np.concatenate(sigs)
-        of = np.concatenate([x for x, _ in sets])
-        known = np.concatenate([t for _, t in sets])
+            sets.append((entry["set"] & np.uint16(0x7FFF)).astype(np.int64) + base)
+            ups.append(entry["set"] >> np.uint16(15) == 1)
+            known.append(np.frombuffer(t, _SET))
+            base += len(known[-1])
+        sig, of, up, known = (np.concatenate(x) for x in (sigs, sets, ups, known))
         bucket = table["bucket"][0].as_py()
         order = np.argsort(sig, kind="stable")
-        sig, of = sig[order], of[order]
+        sig, of, up = sig[order], of[order], up[order]
         shared = np.zeros(len(sig), bool)
         shared[1:] = sig[1:] == sig[:-1]
         shared[:-1] |= shared[1:]
-        sig, of = sig[shared], of[shared]
+        sig, of, up = sig[shared], of[shared], up[shared]
         out = {n: [] for n in names}
         if len(sig):
             key = known["key"][of]
-            order = np.lexsort((key, sig))
-            sig, of, key = sig[order], of[order], key[order]
+            order = np.lexsort((key, up, sig))  # own band first
+            sig, of, up, key = sig[order], of[order], up[order], key[order]
             new = np.ones(len(sig), bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-            sig, of, key = sig[new], of[new], key[new]
+            new[1:] = (sig[1:] != sig[:-1]) | (up[1:] != up[:-1]) | (key[1:] != key[:-1])
+            sig, of, up, key = sig[new], of[new], up[new], key[new]
             heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             sizes = np.diff(np.append(heads, len(sig)))
+            live = ~up[heads] & (sizes > 1)
+            heads, sizes = heads[live], sizes[live]
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for g in range(2, small + 1):
                 rows = heads[sizes == g]
                 for i, j in combinations(range(g), 2):
-                    left.append(rows + i)
-                    right.append(rows + j)
+                    some = rows[~up[rows + i]]
+                    left.append(some + i)
+                    right.append(some + j)
             left, right = np.concatenate(left), np.concatenate(right)
-            pair = np.stack([key[left], key[right]], 1)
-            found, at, times = np.unique(pair, axis=0, return_index=True, return_counts=True)
-            x, y = known[of[left[at]]], known[of[right[at]]]
-            swap = y["size"] > x["size"]
+            x, y = known[of[left]], known[of[right]]
+            fits = (x["key"] != y["key"]) & (100 * np.minimum(x["size"], y["size"]) >= percent * np.maximum(x["size"], y["size"]))
+            x, y = x[fits], y[fits]
+            swap = (y["size"] > x["size"]) | (y["size"] == x["size"]) & (y["key"] > x["key"])
             x, y = np.where(swap, y, x), np.where(swap, x, y)
-            need = needed(x["size"], x["own"].astype(np.int64), x["next"].astype(np.int64), y["size"], bands)
+            pair = np.stack([x["key"], y["key"]], 1)
+            found, at, times = np.unique(pair, axis=0, return_index=True, return_counts=True)
+            need = np.maximum(1, x["parts"][at] - (100 - percent) * (x["size"][at] + y["size"][at]) // (100 + percent))
             found = found.view(np.int64)
-            big = np.repeat(sizes > small, sizes)
-            n, m = len(found), int(big.sum())
-            spread = (sig[big] << np.uint64(14)) ^ np.uint64(bucket)
+            rows = np.repeat(heads[sizes > small], sizes[sizes > small])
+            rows = rows + np.arange(len(rows)) - np.repeat(np.cumsum(sizes[sizes > small]) - sizes[sizes > small], sizes[sizes > small])
+            n, m = len(found), len(rows)
+            spread = (sig[rows] << np.uint64(14)) ^ np.uint64(bucket)
             first, last = np.arange(n + m) >= n, np.arange(n + m) < n
             both = lambda u, v: np.concatenate([u, v]).astype(np.int64)
-            none_n, none_m, member = np.zeros(n), np.zeros(m), known[of[big]]
+            none_n, none_m, member = np.zeros(n), np.zeros(m), known[of[rows]]
             out = {
                 "sig": pa.array(np.concatenate([np.zeros(n, np.int64), spread.view(np.int64)]), mask=last),
-                "a": pa.array(np.concatenate([found[:, 0], key[big].view(np.int64)])),
+                "a": pa.array(np.concatenate([found[:, 0], key[rows].view(np.int64)])),
                 "b": pa.array(np.concatenate([found[:, 1], np.zeros(m, np.int64)]), mask=first),
                 "n": pa.array(both(times, none_m)),
                 "need": pa.array(both(need, none_m)),
                 "size": pa.array(both(none_n, member["size"])),
-                "parts": pa.array(both(none_n, member["own"])),
-                "parts_up": pa.array(both(none_n, member["next"])),
+                "parts": pa.array(both(none_n, member["parts"])),
+                "up": pa.array(both(none_n, up[rows])),
             }
         return pa.table({n: pa.array(out[n], pa.int64()) if isinstance(out[n], list) else out[n] for n in names})
 
@@ -281,7 +287,7 @@ def _sets(docs: DataFrame, text: str, words: int, wanted: DataFrame) -> DataFram
     """(key, shingles) of the wanted keys (column key), one row each."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, SLICE):
             shingles, counts = shingle_sets(bytes_of(batch, text), words)
             keys = set_keys(shingles, counts)
             _, first = np.unique(keys, return_index=True)
@@ -304,79 +310,164 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
 
 
+def intersections(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of one block with every set of another; a block is (elements, set sizes)."""
+    nx, ny = len(x[1]), len(y[1])
+    elements, place = np.unique(np.concatenate([x[0], y[0]]), return_inverse=True)
+    px, py = place[: len(x[0])], place[len(x[0]) :]
+    ox, oy = np.repeat(np.arange(nx), x[1]), np.repeat(np.arange(ny), y[1])
+    cx, cy = np.bincount(px, minlength=len(elements)), np.bincount(py, minlength=len(elements))
+    out = np.zeros((nx, ny), np.float32)
+    dense = np.flatnonzero(cx * cy > 64)  # frequent elements: products of 0-1 matrices
+    column = np.full(len(elements), -1)
+    column[dense] = np.arange(len(dense))
+    for at in range(0, len(dense), 1024):
+        u, v = np.zeros((nx, 1024), np.float32), np.zeros((ny, 1024), np.float32)
+        for m, p, o in ((u, column[px], ox), (v, column[py], oy)):
+            inside = (p >= at) & (p < at + 1024)
+            m[o[inside], p[inside] - at] = 1
+        out += u @ v.T
+    rare = (cx * cy > 0) & (column < 0)  # others: each meeting by itself
+    kx, ky = np.flatnonzero(rare[px]), np.flatnonzero(rare[py])
+    kx, ky = kx[np.argsort(px[kx], kind="stable")], ky[np.argsort(py[ky], kind="stable")]
+    first = np.searchsorted(py[ky], np.arange(len(elements)))
+    n = cy[px[kx]]
+    row = np.repeat(ox[kx], n)
+    col = oy[ky[np.repeat(first[px[kx]], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]] if len(row) else row
+    return out.astype(np.int64) + np.bincount(row * ny + col, minlength=nx * ny).reshape(nx, ny)
+
+
+def _compared(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between sets (key, shingles, root, cluster, block) of one cluster and different roots, one for each two roots of two blocks.
+
+    Blocks of a cluster meet pairwise, each meeting is one row and one task's
+    work of bounded size; only links leave it.
+    """
+
+    def pack(table: pa.Table) -> pa.Table:
+        lists = table["shingles"].combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        data = [table["key"].to_numpy().tobytes(), table["root"].to_numpy().tobytes(), sizes.tobytes(), lists.flatten().to_numpy().tobytes()]
+        return pa.table({"cluster": table["cluster"][:1], "block": table["block"][:1], **{n: pa.array([x], pa.binary()) for n, x in zip(("keys", "roots", "sizes", "elements"), data, strict=True)}})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one, two = ([np.frombuffer(batch.column(k + j)[i].as_py(), np.int64) for j in range(4)] for k in (0, 4))
+                same = batch.column(8)[i].as_py()
+                inter = intersections((one[3], one[2]), (two[3], two[2]))
+                links = (100 * inter >= percent * (one[2][:, None] + two[2][None, :] - inter)) & (one[1][:, None] != two[1][None, :])
+                if same:
+                    links &= np.arange(len(one[0]))[:, None] < np.arange(len(two[0]))[None, :]
+                u, v = np.nonzero(links)
+                _, at = np.unique(np.stack([one[1][u], two[1][v]], 1), axis=0, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(one[0][u[at]]), pa.array(two[0][v[at]])], ["a", "b"])
+
+    fields = ("keys", "roots", "sizes", "elements")
+    blocks = sets.groupBy("cluster", "block").applyInArrow(pack, "cluster bigint, block int, keys binary, roots binary, sizes binary, elements binary")
+    blocks = stored(blocks, "blocks")
+    other = blocks.select(F.col("cluster").alias("cluster_2"), F.col("block").alias("block_2"), *(F.col(f).alias(f"{f}_2") for f in fields))
+    pairs = blocks.join(other, (F.col("cluster") == F.col("cluster_2")) & (F.col("block") <= F.col("block_2")))
+    pairs = pairs.select(*fields, *(f"{f}_2" for f in fields), (F.col("block") == F.col("block_2")).alias("same"))
+    return pairs.repartition(max(64, pairs.sparkSession.sparkContext.defaultParallelism * 4)).mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
 def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
     """One row for each row of ``docs``: its id, n_shingles, component_id, and class_key (equal sets share it; null for empty ones)."""
     bands = Bands(percent)
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    buckets = max(64, 2 * docs.rdd.getNumPartitions())
+    buckets = max(64, 4 * docs.rdd.getNumPartitions())
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             shingles, counts = shingle_sets(bytes_of(batch, "text"), words)
             keys = set_keys(shingles, counts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int64)), pa.array(keys.view(np.int64), mask=counts == 0), batch.column(2)], ["doc_id", "n_shingles", "class_key", "row_hash"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stored(docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash")).mapInArrow(keyed, f"doc_id {kind}, n_shingles bigint, class_key bigint, row_hash bigint"), "classes")
-    groups = stored(_grouped(_signed(docs, "text", words, bands, buckets), small, bands), "candidates")
-
-    # Large groups: a set that has enough parts elsewhere meets its smaller partners there.
-    members = groups.where("sig is not null").select("sig", "a", "size", "parts", "parts_up")
-    difference = F.floor(F.lit((100 - percent) * 2) * F.col("size") / (100 + percent))
-    hot = members.groupBy("a").agg(F.count("*").alias("h"), F.first("size").alias("size"), F.first("parts").alias("parts"))
-    hot = stored(hot.select("a", "h", (F.col("h") >= F.col("parts") - difference).alias("unsafe")), "hot")
-    unsafe = members.join(hot, "a")
-    hubs = unsafe.where("unsafe").groupBy("sig").agg(F.max_by(F.struct("a", "size", "parts", "parts_up", "h"), F.struct("size", "a")).alias("hub"))
-    unsafe = stored(unsafe.join(hubs, "sig"), "large-groups")
-
-    def fewest(x: Column, y: Column) -> Column:
-        """What :func:`needed` asks of two sets, whichever is larger, by the larger one's own band only."""
-        big, low = F.when(x["size"] >= y["size"], x).otherwise(y), F.least(x["size"], y["size"])
-        return F.greatest(F.lit(1), big["parts"] - F.floor(F.lit(100 - percent) * (big["size"] + low) / (100 + percent)))
-
-    own = F.struct("a", "size", "parts", "parts_up", "h")
-    spokes = unsafe.where(F.col("a") != F.col("hub.a")).where(F.least("h", "hub.h") >= fewest(own, F.col("hub")))
-    spokes = spokes.select(F.least("a", "hub.a").alias("a"), F.greatest("a", "hub.a").alias("b")).distinct()
-    # Pairs of small groups share at least what they need, counting every large group of both as shared.
-    pairs = groups.where("sig is null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("need").alias("need"))
-    hot_of = lambda k: hot.select(F.col("a").alias(k), F.col("h").alias(f"h{k}"))
-    pairs = pairs.join(hot_of("a"), "a", "left").join(hot_of("b"), "b", "left").where(F.col("n") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= F.col("need"))
-    pairs = stored(pairs.select("a", "b").union(spokes).distinct(), "pairs")
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    groups = stored(_grouped(_signed(docs, "text", words, bands, buckets), small, percent), "candidates")
     first = rows.groupBy(F.col("class_key").alias("key")).agg(F.min("row_hash").alias("row_hash"))
-    wanted = stored(wanted.join(first, "key"), "wanted")
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        some = docs.join(wanted.select("row_hash").distinct(), F.xxhash64("text") == F.col("row_hash"), "left_semi").select("text")
-        return stored(_sets(some, "text", words, wanted.select("key")), "sets")
+    # How many large groups a set is in, under its own band (0) and the next one (1).
+    members = groups.where("sig is not null").select("sig", "a", "size", "parts", "up")
+    hot = members.groupBy("a").agg(F.count_if(F.col("up") == 0).alias("h0"), F.count_if(F.col("up") == 1).alias("h1"), F.first("size").alias("size"), F.first("parts").alias("parts"))
+    slack = F.greatest(F.lit(1), F.col("parts") - F.floor(F.lit((100 - percent) * 2) * F.col("size") / (100 + percent)))
+    hot = stored(hot.select("a", "h0", "h1", slack.alias("least")), "hot")
 
-    sets = sets_of(wanted)
-    edges = stored(_linked(pairs, sets, percent), "edges")
+    # Pairs of small groups share at least what they need, counting every large group of both as shared.
+    pairs = groups.where("sig is null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("need").alias("need"))
+    pairs = pairs.join(hot.select("a", F.col("h0").alias("ha")), "a", "left").join(hot.select(F.col("a").alias("b"), F.greatest("h0", "h1").alias("hb")), "b", "left")
+    pairs = stored(pairs.where(F.col("n") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= F.col("need")).select("a", "b"), "pairs")
+
+    # Large groups.  A linked pair shares at least ``least`` parts of the larger set's own band, so the larger set need look
+    # for partners only in its smaller groups, all but the ``least`` - 1 largest ones; in all others it may be a partner.
+    sizes = members.groupBy("sig").agg(F.count("*").alias("g"))
+    ranked = members.join(sizes, "sig").join(hot, "a")
+    rank = F.row_number().over(Window.partitionBy("a", "up").orderBy("g", "sig"))
+    members = stored(ranked.withColumn("asks", (F.col("up") == 0) & (rank <= F.col("h0") - F.col("least") + 1)).withColumn("h", F.when(F.col("up") == 0, F.col("h0")).otherwise(F.col("h1"))).select("sig", "a", "size", "parts", "h", "asks"), "large-groups")
+    members = members.join(members.where("asks").select("sig").distinct(), "sig", "left_semi")
+
+    # The whole sets of all that may be compared, read from the texts once.
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).union(members.select("a")).distinct().join(first, "key"), "wanted")
+    some = docs.join(wanted.select("row_hash").distinct(), F.xxhash64("text") == F.col("row_hash"), "left_semi").select("text")
+    sets = stored(_sets(some, "text", words, wanted.select("key")), "sets")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of the pairs those whose whole sets link."""
+        keys = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
+        return stored(_linked(pairs, sets.join(keys, "key", "left_semi"), percent), "edges")
+
+    edges = linked(pairs)
     found = stored(components(edges), "components")
-    dropped(spark, sets)
-
-    # What stays of large groups are members of different components, the larger one without parts elsewhere.
-    split = unsafe.join(found.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    mixed_groups = split.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    split = stored(split.join(mixed_groups, "sig", "left_semi"), "large-groups")
-    big = split.where("unsafe").select("sig", F.col("root").alias("pr"), F.struct("a", "size", "parts", "parts_up", "h").alias("p"))
-    more = split.join(big, "sig").where((F.col("root") != F.col("pr")) & ((F.col("size") < F.col("p.size")) | (F.col("size") == F.col("p.size")) & (F.col("a") > F.col("p.a"))) & (100 * F.col("size") >= percent * F.col("p.size")) & (F.least("h", "p.h") >= fewest(own, F.col("p"))))
-    more = stored(more.select(F.least("a", "p.a").alias("a"), F.greatest("a", "p.a").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if more.limit(1).count():
-        wanted = stored(more.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(first, "key"), "wanted")
-        sets = sets_of(wanted)
-        more = stored(_linked(more, sets, percent), "edges")
-        dropped(spark, sets)
+
+    item = F.struct("a", "size", "parts", "h", "root")
+
+    def larger(x: Column, y: Column) -> Column:
+        return (x["size"] > y["size"]) | (x["size"] == y["size"]) & (x["a"] > y["a"])
+
+    def can_link(x: Column, y: Column) -> Column:
+        """Whether two members of a group may link, by their sizes and large groups."""
+        big, low = F.when(larger(x, y), x).otherwise(y), F.when(larger(x, y), y).otherwise(x)
+        need = big["parts"] - F.floor(F.lit(100 - percent) * (big["size"] + low["size"]) / (100 + percent))
+        return (x["root"] != y["root"]) & (100 * low["size"] >= percent * big["size"]) & (F.least(x["h"], y["h"]) >= need)
+
+    def mixed_members(members: DataFrame) -> DataFrame:
+        """Members of groups that hold more than one component."""
+        rooted = members.drop("root").join(found.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+        several = rooted.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.bool_or("asks").alias("z")).where("x <> y and z").select("sig")
+        return stored(rooted.join(several, "sig", "left_semi"), "large-groups")
+
+    tried, members = pairs, mixed_members(members)
+    for turn in range(ROUNDS):
+        if not members.limit(1).count():
+            break
+        # The same member is the hub of most groups that it is in, so a family of near copies has few hubs.
+        hubs = members.groupBy("sig").agg(F.min_by(item, F.xxhash64("a", F.lit(turn))).alias("hub"))
+        new = members.join(hubs, "sig").where(can_link(item, F.col("hub"))).select(F.when(larger(item, F.col("hub")), F.col("a")).otherwise(F.col("hub.a")).alias("a"), F.when(larger(item, F.col("hub")), F.col("hub.a")).otherwise(F.col("a")).alias("b"))
+        new = stored(new.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(new)
+        more = linked(new)
+        edges = edges.unionByName(more)
+        if more.limit(1).count():
+            found = stored(components(edges), "components")
+            members = mixed_members(members)
+    if members.limit(1).count():
+        # Sets that share no large group, not even by way of others, cannot link: they are in different clusters.
+        clusters = stored(components(members.select("a", F.col("sig").alias("b"))), "clusters")
+        keys = members.select(F.col("a").alias("key"), "root").distinct().join(clusters.select(F.col("node").alias("key"), F.col("root").alias("cluster")), "key")
+        counts = keys.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        keys = stored(keys.join(counts, "cluster").select("key", "root", "cluster", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")), "keys")
+        more = stored(_compared(sets.join(keys, "key"), percent), "edges")
         if more.limit(1).count():
-            found = stored(components(edges.union(more)), "components")
+            found = stored(components(edges.unionByName(more)), "components")
 
     smallest = rows.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("low"))
     rooted = smallest.join(found.select(F.col("node").alias("class_key"), "root"), "class_key", "left").select("class_key", "low", F.coalesce("root", "class_key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     by_class = stored(rooted.join(named, "root").select("class_key", "component_id"), "class-names")
-    dropped(spark, groups, unsafe, split)
+    dropped(spark, groups, sets)
     return rows.join(by_class, "class_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class_key")
 
 
