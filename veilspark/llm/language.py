@@ -103,7 +103,7 @@ def _scored(df: DataFrame, model: TextModel, text: str, ll: str, letters: str, d
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = var.value
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, 1 << 20):
             own = bytes_of(batch, text)
             scores = m.score(own)
             offsets = np.arange(0, scores.size + 1, scores.shape[1], dtype=np.int32)
