@@ -53,6 +53,7 @@ from veilspark.llm.components import components
 WORDS, PERCENT, SMALL = 5, 75, 8
 #: Rounds in which the members of large groups meet hubs before the members of different components meet each other.
 ROUNDS = 2
+BROADCAST_ROWS = 2_000_000
 #: Bytes of text in a step; its words, shingles and signatures take some forty times as much for a moment.
 SLICE = 1 << 20
 #: Sets in a block, about.
@@ -411,7 +412,10 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     # The whole sets of all that may be compared, read from the texts once.
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).union(members.select("a")).distinct().join(first, "key"), "wanted")
-    some = docs.join(wanted.select("row_hash").distinct(), F.xxhash64("text") == F.col("row_hash"), "left_semi").select("text")
+    hashes = stored(wanted.select("row_hash").distinct(), "hashes")
+    # Their hashes are counted: up to BROADCAST_ROWS (16 MB) go to the texts, more are joined by key.
+    side = F.broadcast(hashes) if hashes.count() <= BROADCAST_ROWS else hashes
+    some = docs.join(side, F.xxhash64("text") == F.col("row_hash"), "left_semi").select("text")
     sets = stored(_sets(some, "text", words, wanted.select("key")), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
