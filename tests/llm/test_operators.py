@@ -95,6 +95,12 @@ def test_automaton_is_a_probability_and_carries_its_state():
     assert a.score([texts[0]])[0] > a.score([texts[0][::-1]])[0]
 
 
+def test_contexts_of_seven_bytes_count(spark):
+    rows = [(i, ("axxxxxxb", "cxxxxxxd")[i % 2]) for i in range(100)] + [(1000, "axxxxxxd"), (1001, "cxxxxxxb")]
+    got = {r.doc_id: r.score for r in score.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0] > got[1000] + 0.5 and got[1] > got[1001] + 0.5
+
+
 def test_scores_of_empty_tables(spark):
     assert score.lm_scores(empty(spark)).count() == 0
     only = score.lm_scores(spark.createDataFrame([(4, "a b")], "doc_id bigint, text string")).first()
