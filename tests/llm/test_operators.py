@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -101,6 +102,19 @@ def test_contexts_of_seven_bytes_count(spark):
     assert got[0] > got[1000] + 0.5 and got[1] > got[1001] + 0.5
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 25, 20000])
+def test_shards_score_like_the_automaton_in_memory(docs, corpus, block_bytes):
+    """The arcs are the n-grams seen twice, however large the corpus (here the long row is most of it), and all bytes and pairs."""
+    held = lambda d: zlib.crc32(str("" if d is None else d).encode()) % score.FOLDS == 0
+    train = [(t or "").encode() for d, t in corpus if not held(d)]
+    grams = _grams(train, score.ORDER)
+    pairs = np.unique(score.top_grams(train, 2), return_counts=True)
+    grams[1] = pairs
+    want = score.automaton(grams, int(sum(grams[0][1])), len(train)).score([(t or "").encode() for _, t in corpus])
+    got = score.lm_scores(docs, floor=0.01, block_bytes=block_bytes).select("doc_id", "score").collect()
+    assert sorted(r.score for r in got) == pytest.approx(sorted(want), rel=1e-6)
+
+
 def test_scores_of_empty_tables(spark):
     assert score.lm_scores(empty(spark)).count() == 0
     only = score.lm_scores(spark.createDataFrame([(4, "a b")], "doc_id bigint, text string")).first()

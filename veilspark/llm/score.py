@@ -2,19 +2,20 @@
 
 The model is a backoff n-gram model over the bytes of a text's words (lower-cased
 A-Z, joined by single spaces, closed by an end symbol).  It learns from every
-training text: each task counts all its n-grams of the highest order, lower
-orders are sums of these, and counts are added up in shards by the last three
-bytes.  N-grams with at least a share ``floor`` of all training symbols become
-arcs; since shares sum to one, an order has at most 1/floor arcs, whatever the
-input, and that bounds what is broadcast.
+training text.  N-grams of order 3 and more become arcs from ``LEAST``
+occurrences on, whatever the size of the input; shorter ones always do.
 
-*Automaton.*  States are the kept contexts, arcs the kept n-grams with absolute
+*Automaton.*  States are the contexts, arcs the kept n-grams with absolute
 discounting, and a failure arc leads to the context without its first byte; its
-weight makes the probabilities of a state sum to one.  A text is read once from
-left to right: the state is carried from symbol to symbol, a failure arc adds its
-weight until an arc fits, and the log-probabilities add up.  Many texts are read
-in step, one lane each; a long text takes several lanes, each of which starts a
-few symbols early, which is all a state depends on.
+weight makes the probabilities of a state sum to one.  :class:`Automaton` holds
+it in memory, for a model that fits there, and reads texts from left to right in
+lanes.  A model of a whole corpus does not fit, so :func:`lm_scores` deals the
+states out in shards by the three bytes before the predicted symbol: all
+contexts of three bytes and more that a symbol can meet on its failure path lie
+in one shard.  Texts are held in blocks of about ``BLOCK`` bytes; each block
+sends its distinct n-grams of the highest order to the shards, with their
+training counts, and gets the weight of each one's path back in the same order.
+Paths below order 4 end in one table over all trigrams, which is shared.
 
 *Base.*  A unigram model over words with add-0.1 smoothing needs the count of
 every word.  Words with a share of at least ``floor`` are broadcast (at most
@@ -29,7 +30,7 @@ every symbol has probability 1/257 and no word is known.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,9 +44,10 @@ from veilspark.llm.common import bytes_of, dropped, mixed, sliced, stored, word_
 
 ORDER, FLOOR, DISCOUNT, ADD, FOLDS = 8, 1e-6, 0.7, 0.1, 10
 END, PAD = 0x0A, 0x20
+LEAST, SHARED = 2, 3
 LANE = 128
-#: Bytes of text after which a task hands on what it has counted.
-FLUSH = 32 << 20
+#: Bytes of text after which a task hands on what it has counted, and bytes of text of a block.
+FLUSH, BLOCK = 32 << 20, 14 << 20
 
 
 def streams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +129,8 @@ class Automaton:
             m = len(text) if step < 0 else int(active[step])
             if not m:
                 break
+            if step == 0:
+                state[first == 0] = self.start  # the spaces before a text are no arcs
             symbol = data[at[:m] + step + context]
             now = state[:m]
             added = np.zeros(m)
@@ -226,7 +230,108 @@ def automaton(grams: list[tuple[np.ndarray, np.ndarray]], symbols: int, texts: i
         slot[left] = (slot[left] + 1) & (size - 1)
     target, weight = np.zeros(size, np.int32), np.zeros(size)
     target[slots], weight[slots] = to, w
-    return Automaton(keys, target, weight, fail, fail_weight, np.log10(root), 0, order)
+    return Automaton(keys, target, weight, fail, fail_weight, np.log10(root), int(state_of(pads[order - 1 :], order - 1)[0]) if order > 1 else 0, order)
+
+
+def path_weights(keys: np.ndarray, counts: np.ndarray, order: int, least: float, lower: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Probability of the path of each n-gram (context, then symbol) of one order.
+
+    ``keys`` are distinct, ascending and hold every training n-gram of each of
+    their contexts; a count of 0 is a question only.  ``lower`` gives the same
+    for the distinct n-grams without their first byte and their counts.
+    """
+    if not len(keys):
+        return np.zeros(0)
+    short, at = np.unique(keys & np.uint64((1 << 8 * (order - 1)) - 1), return_inverse=True)
+    below = lower(short, np.bincount(at, weights=counts, minlength=len(short)))[at]
+    context = keys >> np.uint64(8)
+    heads = np.concatenate([[True], context[1:] != context[:-1]])
+    place = np.cumsum(heads) - 1
+    kept = counts >= (least if order > 2 else 1)
+    total = np.bincount(place, weights=counts)
+    p = np.where(kept, np.maximum(counts - DISCOUNT, 1e-9) / np.maximum(total[place], np.maximum(counts, 1)), 0.0)
+    seen, under = np.bincount(place, weights=p), np.bincount(place, weights=np.where(kept, below, 0.0))
+    fail = np.maximum(1 - seen, 1e-9) / np.maximum(1 - under, 1e-9)
+    return np.where(kept, p, fail[place] * below)
+
+
+def shared_paths(keys: np.ndarray, counts: np.ndarray, order: int, least: float) -> np.ndarray:
+    """Probability of the path of each of the corpus' n-grams of a low order; all of them must be given."""
+    if order == 1:
+        return (counts + ADD) / (counts.sum() + ADD * 257)
+    return path_weights(keys, counts, order, least, lambda k, c: shared_paths(k, c, order - 1, least))
+
+
+def shard_paths(keys: np.ndarray, counts: np.ndarray, order: int, least: float, known: np.ndarray, known_p: np.ndarray) -> np.ndarray:
+    """Probability of the path of each n-gram of a shard; those of order ``SHARED`` are looked up."""
+    if order <= SHARED:
+        return known_p[np.searchsorted(known, keys)]
+    return path_weights(keys, counts, order, least, lambda k, c: shard_paths(k, c, order - 1, least, known, known_p))
+
+
+def gram_counts(texts: list[bytes], held_out: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of all texts, ascending, and how often the training texts have each."""
+    train, counts = np.unique(top_grams([t for t, h in zip(texts, held_out, strict=True) if not h], order), return_counts=True)
+    other = np.unique(top_grams([t for t, h in zip(texts, held_out, strict=True) if h], order))
+    return summed(np.concatenate([train, other]), np.concatenate([counts, np.zeros(len(other), np.int64)])) if len(other) else (train, counts)
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes; ascending keys are written as differences."""
+    if x.dtype == np.uint64:
+        x = np.diff(x, prepend=np.uint64(0))
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _plain(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    x = np.ascontiguousarray(np.frombuffer(_plain(data), np.uint8).reshape(width, -1).T).view(kind).ravel()
+    return np.cumsum(x, dtype=np.uint64) if kind is np.uint64 else x
+
+
+def _block(texts: list[bytes], held_out: list[bool]) -> bytes:
+    """Texts and their folds as one compressed string."""
+    head = np.array([len(texts), *(len(t) << 1 | h for t, h in zip(texts, held_out, strict=True))], np.int64).tobytes()
+    raw = head + b"".join(texts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _slices(block: bytes, budget: int = 2 << 20) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Texts of a block and their folds, about ``budget`` bytes at a time."""
+    raw = _plain(block)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    head = np.frombuffer(raw, np.int64, n, 8)
+    ends = np.cumsum(head >> 1)
+    start = 0
+    while start < n:
+        base = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, base + budget, "right")))
+        edges = (8 + 8 * n + np.concatenate([[base], ends[start:end]])).tolist()
+        yield [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)], (head[start:end] & 1).astype(bool)
+        start = end
+
+
+def _merged(parts: Iterable[tuple[np.ndarray, np.ndarray]], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`summed` over parts that need not fit in memory together."""
+    keys, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+    for k, c in parts:
+        held.append((k, c))
+        size += len(k)
+        if size > max(most, len(keys) // 2):
+            keys, counts = summed(*(np.concatenate(x) for x in zip((keys, counts), *held, strict=True)))
+            held, size = [], 0
+    return summed(*(np.concatenate(x) for x in zip((keys, counts), *held, strict=True))) if held else (keys, counts)
+
+
+def _block_grams(block: bytes, order: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of a block, ascending, their training counts and their shards."""
+    keys, counts = _merged(gram_counts(texts, held_out, order) for texts, held_out in _slices(block))
+    return keys, counts, (mixed(keys >> np.uint64(8) & np.uint64((1 << 8 * SHARED) - 1)) % np.uint64(shards)).astype(np.int32)
 
 
 _PACKS = "kind int, bucket int, keys binary, counts binary, n bigint"
@@ -254,8 +359,8 @@ def _word_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes % np.uint64(buckets)).astype(np.int64)
 
 
-def _counted(train: DataFrame, order: int, buckets: int) -> DataFrame:
-    """Counts of n-grams and words of the training texts, by task and bucket."""
+def _counted(docs: DataFrame, order: int, buckets: int) -> DataFrame:
+    """Training counts of all texts' n-grams of a low order, and of the training texts' words, by task and bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {GRAMS: [], WORDS: []}
@@ -266,16 +371,15 @@ def _counted(train: DataFrame, order: int, buckets: int) -> DataFrame:
             for kind, parts in held.items():
                 if parts:
                     keys, counts = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                    bucket = ((mixed(keys & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)) if kind == GRAMS else _word_bucket(keys, buckets)
-                    _packs(kind, keys, counts, bucket, buckets, out)
+                    _packs(kind, keys, counts, _word_bucket(keys, buckets), buckets, out)
                 parts.clear()
             types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
 
         for batch in sliced(batches, "text"):
-            texts = bytes_of(batch, "text")
-            held[GRAMS].append(np.unique(top_grams(texts, order), return_counts=True))
-            hashes, _ = word_hashes(texts)
+            texts, held_out = bytes_of(batch, "text"), batch.column(1).to_numpy(zero_copy_only=False)
+            held[GRAMS].append(gram_counts(texts, held_out, order))
+            hashes, _ = word_hashes([t for t, h in zip(texts, held_out, strict=True) if not h])
             held[WORDS].append(np.unique(hashes, return_counts=True))
             size += sum(map(len, texts))
             if size > FLUSH:
@@ -283,25 +387,18 @@ def _counted(train: DataFrame, order: int, buckets: int) -> DataFrame:
                 size = 0
         yield flush()
 
-    return train.select("text").mapInArrow(count, _PACKS)
+    return docs.select("text", "held_out").mapInArrow(count, _PACKS)
 
 
-def _kept(packs: DataFrame, order: int, least: float) -> DataFrame:
-    """(order, key, count) of the n-grams of order 3 and more that occur often enough, and all sums of order 2 and 1 by bucket."""
+def _grams(packs: DataFrame) -> DataFrame:
+    """(key, count) of the n-grams of a low order."""
 
-    def keep(table: pa.Table) -> pa.Table:
+    def add(table: pa.Table) -> pa.Table:
         parts = [_unpacked(k, c) for k, c in zip(table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True)]
         keys, counts = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        out = []
-        for k in range(order, 0, -1):
-            keys, counts = summed(keys & np.uint64((1 << 8 * k) - 1), counts)
-            ok = counts >= (least if k > 2 else 1)
-            out.append((np.full(int(ok.sum()), k), keys[ok].view(np.int64), counts[ok]))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-        return pa.table({"size": pa.array(cols[0].astype(np.int32)), "key": pa.array(cols[1]), "count": pa.array(cols[2].astype(np.int64))})
+        return pa.table({"key": pa.array(keys.view(np.int64)), "count": pa.array(counts)})
 
-    made = packs.where(F.col("kind") == GRAMS).groupBy("bucket").applyInArrow(keep, "size int, key bigint, count bigint")
-    return made.groupBy("size", "key").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
+    return packs.where(F.col("kind") == GRAMS).groupBy("bucket").applyInArrow(add, "key bigint, count bigint")
 
 
 def _words(packs: DataFrame) -> DataFrame:
@@ -316,31 +413,26 @@ def _words(packs: DataFrame) -> DataFrame:
 
 
 _RARE = np.dtype([("hash", "<u8"), ("row", "<u4"), ("times", "<u4")])
-DOCS, RARE = 0, 1
+DOCS, RARE, TEXTS = 0, 1, 2
 
 
-def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, floor: float = FLOOR, folds: int = FOLDS) -> DataFrame:
+def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, floor: float = FLOOR, folds: int = FOLDS, least: int = LEAST, block_bytes: int = BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``."""
     session = docs.sparkSession.sparkContext
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), (F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))) % folds == 0).alias("held_out"))
-    train = docs.where("not held_out")
+    low = min(order, SHARED)
     buckets = max(64, 2 * docs.rdd.getNumPartitions())
-    packs = stored(_counted(train, order, buckets), "counts")
+    packs = stored(_counted(docs, low, buckets), "counts")
     sums = {r.kind: r.n for r in packs.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    n_train = train.count()
-    symbols, n_tokens = sums.get(GRAMS, 0), sums.get(WORDS, 0) + n_train
-    # At most 1/floor n-grams of each order, and 1/floor words, have these counts.
-    least = max(2.0, floor * symbols)
-    rows = _kept(packs, order, least).toArrow()
-    sizes, keys, counts = (rows[c].to_numpy() for c in ("size", "key", "count"))
-    grams = []
-    for k in range(1, order + 1):
-        own = sizes == k
-        grams.append(summed(keys[own].view(np.uint64), counts[own]))
-    model = session.broadcast(automaton(grams, symbols, n_train, order))
+    n_train = docs.where("not held_out").count()
+    n_tokens = sums.get(WORDS, 0) + n_train
+    rows = _grams(packs).toArrow()
+    keys, counts = summed(rows["key"].to_numpy().view(np.uint64), rows["count"].to_numpy())
+    low_paths = session.broadcast((keys, shared_paths(keys, counts, low, least)))
     words = stored(_words(packs), "words")
     distinct = (words.agg(F.sum("n")).first()[0] or 0) + (n_train > 0)
+    # At most 1/floor words have this count.
     frequent_from = max(1.0, floor * n_tokens)
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,15 +445,16 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order
     table = words.select("keys", "counts").mapInArrow(frequent, "hash bigint, n bigint").toArrow()
     common_words = session.broadcast(summed(table["hash"].to_numpy().view(np.uint64), table["n"].to_numpy()))
     bottom = float(n_tokens + ADD * (distinct + 1))
-    doc_fields = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double"
+    doc_fields = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         block, size, row = 0, 0, 0
         rare: list[np.ndarray] = []
+        held: list[tuple[list[bytes], list[bool]]] = []
         known_hash, known_count = common_words.value
         logs = np.log10(known_count + ADD)
-        names = ["kind", "block", "row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "bucket", "entries"]
+        names = ["kind", "block", "row", "doc_id", "held_out", "n_tokens", "known", "base", "bucket", "entries"]
         id_type = None
 
         def label() -> str:
@@ -373,10 +466,11 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order
             o = np.argsort(bucket, kind="stable")
             x, cuts = x[o], np.searchsorted(bucket[o], np.arange(buckets + 1))
             used = np.flatnonzero(np.diff(cuts))
-            n = len(used)
+            n = len(used) + 1
+            whole = _block([t for ts, _ in held for t in ts], [h for _, hs in held for h in hs])
             empty = lambda t: pa.nulls(n, t)
             return pa.RecordBatch.from_arrays(
-                [pa.array([RARE] * n, pa.int32()), pa.array([label()] * n, pa.string()), empty(pa.int64()), empty(id_type), empty(pa.bool_()), empty(pa.int64()), empty(pa.int64()), empty(pa.float64()), empty(pa.float64()), pa.array(used.astype(np.int32)), pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary())],
+                [pa.array([RARE] * len(used) + [TEXTS], pa.int32()), pa.array([label()] * n, pa.string()), empty(pa.int64()), empty(id_type), empty(pa.bool_()), empty(pa.int64()), empty(pa.int64()), empty(pa.float64()), pa.array([*used.tolist(), None], pa.int32()), pa.array([*(x[cuts[b] : cuts[b + 1]].tobytes() for b in used), whole], pa.binary())],
                 names,
             )
 
@@ -396,19 +490,21 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order
             x = np.zeros(len(heads), _RARE)
             x["hash"], x["row"], x["times"] = other[heads], where[heads] + row, np.diff(np.append(heads, len(other)))
             rare.append(x)
+            held.append((texts, batch.column(2).to_pylist()))
             n = len(texts)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([DOCS] * n, pa.int32()), pa.array([label()] * n, pa.string()), pa.array(np.arange(row, row + n)), batch.column(0), batch.column(2), pa.array(n_words + 1), pa.array(known.astype(np.int64)),
-                    pa.array(base), pa.array(model.value.score(texts)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                    pa.array(base), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
                 ],
                 names,
             )
             row += n
             size += sum(map(len, texts))
-            if size > FLUSH:
+            if size > block_bytes:
                 yield flush()
                 rare.clear()
+                held.clear()
                 block, size, row = block + 1, 0, 0
         if row:
             yield flush()
@@ -436,11 +532,39 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order
             found.append(y.tobytes())
         return pa.table({"block": pa.array(blocks, pa.string()), "found": pa.array(found, pa.binary())})
 
+    shards = 8 * buckets
+    texts = scored.where(F.col("kind") == TEXTS).select("block", "entries")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, entries in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys, counts, shard = _block_grams(entries.as_py(), order, shards)
+                o = np.argsort(shard, kind="stable")
+                keys, counts, cuts = keys[o], counts[o].astype(np.uint32), np.searchsorted(shard[o], np.arange(shards + 1))
+                used = np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(used.astype(np.int32)), pa.array([name] * len(used), pa.string()), *(pa.array([_squeezed(x[cuts[b] : cuts[b + 1]]) for b in used], pa.binary()) for x in (keys, counts))],
+                    ["shard", "block", "keys", "counts"],
+                )
+
+    def answer(table: pa.Table) -> pa.Table:
+        merged = _merged((_numbers(k.as_py(), np.uint64), _numbers(c.as_py(), np.uint32)) for k, c in zip(table["keys"], table["counts"], strict=True))
+        keys = merged[0]
+        paths = np.log10(shard_paths(keys, merged[1], order, least, *low_paths.value)).astype(np.float32)
+        found = [_squeezed(paths[np.searchsorted(keys, _numbers(k.as_py(), np.uint64))]) for k in table["keys"]]
+        return pa.table({"block": table["block"], "shard": table["shard"], "paths": pa.array(found, pa.binary())})
+
+    asked = texts.mapInArrow(ask, "shard int, block string, keys binary, counts binary").groupBy("shard").applyInArrow(answer, "block string, shard int, paths binary")
     rare_rows = scored.where(F.col("kind") == RARE).select("bucket", "block", "entries", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"))
     word_rows = words.select("bucket", F.lit(None).cast("string").alias("block"), F.lit(None).cast("binary").alias("entries"), "keys", "counts")
     returned = rare_rows.unionByName(word_rows).groupBy("bucket").applyInArrow(look_up, "block string, found binary")
-    doc_rows = scored.where(F.col("kind") == DOCS).select("block", "row", "doc_id", "held_out", "n_tokens", "known", "base", "score", F.lit(None).cast("binary").alias("found"))
-    back = returned.select("block", *(F.lit(None).cast(doc_rows.schema[c].dataType).alias(c) for c in doc_rows.columns[1:-1]), "found")
+    extra = {"found": "binary", "shard": "int", "paths": "binary", "entries": "binary"}
+    doc_rows = scored.where(F.col("kind") == DOCS).select("block", "row", "doc_id", "held_out", "n_tokens", "known", "base", *(F.lit(None).cast(t).alias(c) for c, t in extra.items()))
+
+    def beside(df: DataFrame) -> DataFrame:
+        return df.select(*(c if c in df.columns else F.lit(None).cast(doc_rows.schema[c].dataType).alias(c) for c in doc_rows.columns))
+
+    back = beside(returned).union(beside(asked)).union(beside(texts))
 
     def finish(table: pa.Table) -> pa.Table:
         own = table.filter(pc.is_valid(table["row"])).sort_by("row")
@@ -451,11 +575,21 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order
                 y = np.frombuffer(f, [("row", "<u4"), ("known", "<u4"), ("base", "<f8")])
                 base[y["row"]] += y["base"]
                 known[y["row"]] += y["known"]
+        given = table.filter(pc.is_valid(table["paths"])).sort_by("shard")["paths"]
+        whole = table.filter(pc.is_valid(table["entries"]))["entries"][0].as_py()
+        keys, _, shard = _block_grams(whole, order, shards)
+        paths = np.empty(len(keys), np.float32)
+        paths[np.argsort(shard, kind="stable")] = np.concatenate([_numbers(p.as_py(), np.float32) for p in given])
+        score = []
+        for part, _ in _slices(whole):
+            grams, place = np.unique(top_grams(part, order), return_inverse=True)
+            _, sizes = streams(part, order)
+            score.append(np.bincount(np.repeat(np.arange(len(part)), sizes - order + 1), weights=paths[np.searchsorted(keys, grams)][place], minlength=len(part)))
         tokens = own["n_tokens"].to_numpy()
         return pa.table(
             {
                 "doc_id": own["doc_id"], "held_out": own["held_out"], "n_tokens": own["n_tokens"], "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, n_tokens, np.int64)),
-                "base_score": pa.array(base - tokens * np.log10(bottom)), "score": own["score"],
+                "base_score": pa.array(base - tokens * np.log10(bottom)), "score": pa.array(np.concatenate(score)),
             }
         )
 
