@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import string
 import zlib
 
 import numpy as np
@@ -211,6 +212,17 @@ def test_secrets_against_brute_force(spark):
     assert secrets.redacted(df).columns == df.columns
 
 
+def test_random_letters_and_short_keys_are_secrets():
+    encode = secrets.encoding(secrets.VOCABULARY).encode_ordinary
+    rng = random.Random(8)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    upper, lower, digits = string.ascii_uppercase, string.ascii_lowercase, string.digits
+    for letters, n, share in ((upper + lower, 20, 0.98), (upper + lower + digits, 16, 0.98), (upper + "234567", 16, 0.95), (upper, 16, 0.85), (lower, 16, 0.7)):
+        assert sum(any(k == 3 for _, k, _ in secrets.secret_spans(f"see {draw(letters, n)} here", encode)) for _ in range(400)) >= share * 400
+    for clean in ("internationalization", "HttpServletRequestFactory", "Donaudampfschifffahrtsgesellschaft", "docs/getting-started/installation", "4024007198964305", "=" * 40, "-" * 16):
+        assert not [x for x in secrets.secret_spans(f"a {clean} b", encode) if x[1] == 3]
+
+
 # -- 5 -------------------------------------------------------------------------------------------
 
 

@@ -4,8 +4,10 @@ Ordinary words cost a byte-pair vocabulary about one token for four characters;
 a random string has no frequent substrings, so that it costs a token for about
 one or two.  A run of key characters whose characters per token stay under
 ``max_ratio`` is reported as ``random``, unless it is a known digest (hex of a
-digest's length, a sub-resource integrity value), a UUID or an identifier made
-of words and short numbers.
+digest's length, a sub-resource integrity value) or a UUID.  What could be an
+identifier made of words and short numbers must stay under ``WORD_RATIO``, which
+words do not.  Runs without letters are left out: digits cost a token for two to
+three whether they are random or not, so the test tells nothing about numbers.
 
 Nulls: a null text is empty and has no spans.  Ties: spans that start together
 are ordered as the kinds are listed.  Repeated rows are scanned alike.  Nothing
@@ -27,13 +29,13 @@ from veilspark.llm.common import fresh, sliced, texts_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 KINDS = ("assign", "access", "hex", "random")
-MIN_RANDOM, MAX_RATIO = 20, 2.2
+MIN_RANDOM, MAX_RATIO, WORD_RATIO = 16, 2.2, 1.8
 
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: The leftmost greedy runs of [0-9a-f] are maximal, so that the length can stand in the pattern.
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RANDOM},}}")
 _DIGEST = re.compile(r"(?i)(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|sha(?:256|384|512)-[A-Za-z0-9+/]+=*)")
 _UUID = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+|[^A-Za-z0-9]+")
@@ -59,11 +61,9 @@ def is_identifier(run: str) -> bool:
 
 def is_random(run: str, encode: Callable[[str], list[int]], max_ratio: float = MAX_RATIO) -> bool:
     """Whether a run of key characters reads as a random string."""
-    if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
+    if not re.search("[A-Za-z]", run) or _DIGEST.fullmatch(run) or _UUID.fullmatch(run.strip("-_=/+")):
         return False
-    if _DIGEST.fullmatch(run) or _UUID.fullmatch(run.strip("-_=/+")) or is_identifier(run):
-        return False
-    return len(run) < max_ratio * len(encode(run))
+    return len(run) < (min(max_ratio, WORD_RATIO) if is_identifier(run) else max_ratio) * len(encode(run))
 
 
 def secret_spans(text: str, encode: Callable[[str], list[int]], max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
