@@ -247,6 +247,22 @@ def test_contamination_near_and_empty(spark):
     assert [tuple(r) for r in decontaminate.decontaminated(df, bench).collect()] == [(1, item.replace("delta", "delta x"), 9)]
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_contamination_with_a_replaced_word(spark, parts):
+    """A near match depends on its document alone; words of the next document do not complete it."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    gone = {i: " ".join("x" if k == i else w for k, w in enumerate(item.split())) for i in range(10)}
+    rows = [*gone.items(), (20, item.replace("zeta", "")), (21, "alpha beta gamma delta epsilon"), (22, "zeta eta theta iota kappa"), (23, " ".join(reversed(item.split())))]
+    near = {d: 1 if d <= 20 else 0 for d, _ in rows}
+    for more in ([], [(30, "delta"), (31, "zeta kappa")]):
+        df = spark.createDataFrame(rows + more, "doc_id bigint, text string").coalesce(1).repartition(parts)
+        got = {r.doc_id: (r.n_hit, r.n_near) for r in decontaminate.contamination(df, bench).collect()}
+        assert got == {d: (0, near.get(d, 0)) for d, _ in rows + more}
+    alone = spark.createDataFrame([(4, f"before {gone[4]} after")], "doc_id bigint, text string")
+    assert decontaminate.contamination(alone, bench).first().n_near == 1
+
+
 # -- 6 -------------------------------------------------------------------------------------------
 
 

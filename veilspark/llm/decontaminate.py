@@ -7,8 +7,10 @@ lookup starts from the posting list of the window's rarest term, shifted by the
 term's offset, and is intersected with the shifted lists of the other terms from
 rare to frequent, so that a frequent word costs nothing unless all rarer words
 of its window stand around it.  What is left after the last list is an exact
-phrase.  Candidates that miss it but have the window's rarest terms within
-``slop`` words of their places are proximity matches.
+phrase.  A proximity match has seven tenths of a window's terms (windows of four
+words and more) within ``slop`` words of their places in the same document; it
+is sought from the terms that are rarest in the benchmark, as many as a match
+cannot miss together, so that it depends on no other document.
 
 The benchmark travels to the shards in blocks of at most ``block_words`` words,
 which bounds what is broadcast; a larger benchmark takes more passes of the same
@@ -23,6 +25,7 @@ judged alike.  Empty tables give no rows, or documents without hits.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import bytes_of, fresh, sliced
 
 WINDOW, SLOP, BLOCK_WORDS = 10, 3, 2_000_000
+#: Tenths of a window's terms that a proximity match must hold.
+NEAR = 7
 #: Words after A-Z have become a-z, on UTF-8 bytes: digits, letters, and all that is not ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -46,6 +51,7 @@ class Block:
     windows: np.ndarray  # one row a window, ids of terms, -1 behind a short one
     lengths: np.ndarray
     items: np.ndarray  # item of each window
+    rank: np.ndarray  # places of each window, terms that are rare in the block first, those behind a short one last
 
 
 def blocks_of(benchmark: DataFrame, item_id: str, text: str, window: int, block_words: int) -> Iterator[Block]:
@@ -65,7 +71,9 @@ def blocks_of(benchmark: DataFrame, item_id: str, text: str, window: int, block_
         table = np.full((len(rows), window), -1, np.int32)
         for i, (cut, _) in enumerate(rows):
             table[i, : len(cut)] = cut
-        return Block(terms, table, np.array(lengths, np.int64), np.array(ids, np.int64))
+        rarity = np.bincount(table[table >= 0], minlength=len(terms)) * (1 << 32) + np.fromiter(map(zlib.crc32, terms), np.int64, len(terms))
+        rank = np.argsort(np.where(table >= 0, rarity[np.maximum(table, 0)], np.iinfo(np.int64).max), axis=1, kind="stable")
+        return Block(terms, table, np.array(lengths, np.int64), np.array(ids, np.int64), rank)
 
     held, size = [], 0
     for row in benchmark.select(F.col(f"`{item_id}`").cast("long"), F.col(f"`{text}`").cast("string")).toLocalIterator():
@@ -117,7 +125,7 @@ class Shard:
         rank = np.argsort(df[alive], axis=1, kind="stable")  # places by rarity; those behind a short window come last
         rare = block.windows[alive, rank[:, 0]]
         sizes = self.df[rare]
-        exact_w, exact_s, near = [none], [none], [np.zeros((0, 2), np.int64)]
+        exact_w, exact_s = [none], [none]
         cuts = np.searchsorted(np.cumsum(sizes), np.arange(most, sizes.sum() + most, most), "right")
         start = 0
         for end in [*np.maximum(cuts, 1), len(alive)]:
@@ -141,16 +149,44 @@ class Shard:
                 left = left[past | (self.ids[np.minimum(at[left] + place, len(self.ids) - 1)] == wanted)]
             exact_w.append(alive[row[left]])
             exact_s.append(at[left])
-            missed = np.ones(len(row), bool)
-            missed[left] = False
-            other = np.flatnonzero(missed & (length > 3))
-            for k in (1, 2, 3):
-                place = rank[row[other], k]
-                spot = at[other] + place
-                other = other[self.has(block.windows[alive[row[other]], place], spot - slop, spot + slop)]
-            near.append(np.stack([self.doc[at[other]], alive[row[other]]], 1))
             start = end
-        return np.concatenate(exact_w), np.concatenate(exact_s), np.unique(np.concatenate(near), axis=0)
+        return np.concatenate(exact_w), np.concatenate(exact_s), self.near(block, slop, most)
+
+    def near(self, block: Block, slop: int, most: int) -> np.ndarray:
+        """Documents and windows of proximity matches, whatever else the slice holds.
+
+        A match misses ``spare`` terms at most, so it holds one of any spare + 1;
+        these are the ones rarest in the block, and each of their places in a
+        document is an alignment, which the other terms keep within ``slop``.
+        """
+        spare = block.lengths - -(-NEAR * block.lengths // 10)
+        tried = [np.flatnonzero((block.lengths > 3) & (spare >= k)) for k in range(block.windows.shape[1])]
+        anchor = np.repeat(np.arange(len(tried)), [len(t) for t in tried])
+        window = np.concatenate(tried)
+        sizes = self.df[block.windows[window, block.rank[window, anchor]]]
+        anchor, window, sizes = anchor[sizes > 0], window[sizes > 0], sizes[sizes > 0]
+        ends = np.cumsum(self.counts)
+        begins = ends - self.counts
+        found, start, sums = [np.zeros((0, 2), np.int64)], 0, np.cumsum(sizes)
+        while start < len(window):
+            end = max(start + 1, int(np.searchsorted(sums, (sums[start - 1] if start else 0) + most, "right")))
+            n = sizes[start:end]
+            row = np.repeat(np.arange(start, end), n)
+            inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            w = window[row]
+            place = block.rank[w, anchor[row]]
+            spot = self.postings[self.first[block.windows[w, place]] + inner]
+            doc, at, missed = self.doc[spot], spot - place, np.zeros(len(row), np.int64)
+            for k in range(block.windows.shape[1]):
+                place = block.rank[w, k]
+                low, high = np.maximum(at + place - slop, begins[doc]), np.minimum(at + place + slop, ends[doc] - 1)
+                there = (low <= high) & self.has(block.windows[w, place], low, high)
+                missed += ~there & (k < block.lengths[w])
+                left = missed <= spare[w]
+                w, doc, at, missed = w[left], doc[left], at[left], missed[left]
+            found.append(np.unique(np.stack([doc, w], 1), axis=0))
+            start = end
+        return np.unique(np.concatenate(found), axis=0)
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +212,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
 
     def lookup(block_var, first: bool):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = block_var.value if block_var else Block({}, np.zeros((0, window), np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            block = block_var.value if block_var else Block({}, np.zeros((0, window), np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, window), np.int64))
             for batch in sliced(batches, text, 8 << 20):
                 shard = Shard(bytes_of(batch, text), block.terms)
                 n, ends = len(shard.counts), np.cumsum(shard.counts)
