@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +50,13 @@ def fresh(name: str, taken: Iterable[str]) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one on a local master and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = at.get() if at.isDefined() else None
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="veilspark-")
         spark.conf.set("spark.checkpoint.dir", at)
@@ -81,25 +84,40 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def lean(spark: SparkSession) -> None:
+    """Small Arrow batches and small row groups, so that a task of long texts holds few of them at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+    spark.conf.set("parquet.block.size", 16 << 20)
 
 
 # -- words and hashes ---------------------------------------------------------------------------
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_powers: dict[str, np.ndarray] = {}
+#: Powers that a process keeps; longer ones, for single long texts, are made anew.
+KEPT_POWERS = 1 << 22
+_powers: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, base: np.uint64 = _ODD) -> tuple[np.ndarray, np.ndarray]:
-    """base**0.. and base**-0.. modulo 2**64, at least ``n`` of each; kept by the process."""
-    for key, b in ((f"+{base}", int(base)), (f"-{base}", pow(int(base), -1, 1 << 64))):
-        if len(_powers.get(key, ())) < n:
+    """base**0.. and base**-0.. modulo 2**64, at least ``n`` of each; the process keeps up to KEPT_POWERS of them."""
+    out = []
+    for b in (int(base), pow(int(base), -1, 1 << 64)):
+        if (x := _powers.get(b)) is None or len(x) < n:
             x = np.full(max(n, 1 << 16), b, np.uint64)
             x[0] = 1
             with np.errstate(over="ignore"):
-                _powers[key] = np.multiply.accumulate(x)
-    return _powers[f"+{base}"], _powers[f"-{base}"]
+                x = np.multiply.accumulate(x)
+            if n <= KEPT_POWERS:
+                _powers[b] = x
+        out.append(x)
+    return out[0], out[1]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

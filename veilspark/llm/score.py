@@ -1,598 +1,276 @@
-"""Language-model scoring with a weighted backoff automaton.
-
-The model is a backoff n-gram model over the bytes of a text's words (lower-cased
-A-Z, joined by single spaces, closed by an end symbol).  It learns from every
-training text.  N-grams of order 3 and more become arcs from ``LEAST``
-occurrences on, whatever the size of the input; shorter ones always do.
-
-*Automaton.*  States are the contexts, arcs the kept n-grams with absolute
-discounting, and a failure arc leads to the context without its first byte; its
-weight makes the probabilities of a state sum to one.  :class:`Automaton` holds
-it in memory, for a model that fits there, and reads texts from left to right in
-lanes.  A model of a whole corpus does not fit, so :func:`lm_scores` deals the
-states out in shards by the three bytes before the predicted symbol: all
-contexts of three bytes and more that a symbol can meet on its failure path lie
-in one shard.  Texts are held in blocks of about ``BLOCK`` bytes; each block
-sends its distinct n-grams of the highest order to the shards, with their
-training counts, and gets the weight of each one's path back in the same order.
-Paths below order 4 end in one table over all trigrams, which is shared.
-
-*Base.*  A unigram model over words with add-0.1 smoothing needs the count of
-every word.  Words with a share of at least ``floor`` are broadcast (at most
-1/floor of them); occurrences of all others are dealt out by word, next to the
-words' counts, and return as sums for each document.
-
-Held-out texts are those whose ``crc32(id as text) % folds`` is 0.  Nulls: a null
-text has no words but its end; a null id counts as the empty text for the fold.
-Repeated rows count as often as they occur.  If nothing is left to learn from,
-every symbol has probability 1/257 and no word is known.
+"""Language-model scoring with a weighted backoff automaton over words.
+
+Tokens are the words of a text (lower-cased A-Z) and one end.  The model is a
+smoothed n-gram model of order 3 that learns from every training text and keeps
+every n-gram, however rare.
+
+*Automaton.*  States are the contexts that training texts hold (pairs, words, the
+empty one), arcs the n-grams they hold.  The arc of an n-gram that occurred c
+times after a context that occurred n times weighs ``log10((c + m * p) / (n + m))``,
+where p is the probability of the shorter n-gram and m the mass of that order
+(a hierarchy of Dirichlet priors).  A failure arc leads from a context to the one
+without its first word and weighs ``log10(m / (n + m))``, so that the
+probabilities of a state sum to one.  A text is read once from left to right: the
+state is the longest context that is known, a token takes its arc, or failure
+arcs until there is one, and the weights add up.  At the empty context every
+token has an arc, the add-0.1 unigram model (which is also ``base_score``).
+
+*Scale.*  The automaton grows with the corpus and is held by no machine.  Texts
+are taken in blocks of about ``BLOCK`` bytes.  Each block deals its distinct
+n-grams with their training counts to shards by the n-gram's hash (so no context
+or word gathers in one task, and an n-gram has one row from each block at most);
+shards add up and answer each block in its order; with the answers a block has
+all states and arcs that its texts can reach, and reads them.  N-grams are told
+apart by 64-bit hashes of words and 56 bits of hash of longer ones.
+
+Blocks are made twice, so ``docs`` must give its rows in the same order again, as
+tables in files do; a block that differs raises an error.  Held-out texts are
+those whose ``crc32(id as text) % folds`` is 0.  Nulls: a null text has no words
+but its end; a null id counts as the empty text for the fold.  Repeated rows
+count as often as they occur.  If nothing is left to learn from, every token has
+probability 1 and no word is known.  A single text is never cut: it makes a block
+of its own size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import bytes_of, dropped, mixed, sliced, stored, word_hashes
+from veilspark.llm.common import bytes_of, dropped, mixed, released, sliced, stored, word_hashes
 
-ORDER, FLOOR, DISCOUNT, ADD, FOLDS = 8, 1e-6, 0.7, 0.1, 10
-END, PAD = 0x0A, 0x20
-LEAST, SHARED = 2, 3
-LANE = 128
-#: Bytes of text after which a task hands on what it has counted, and bytes of text of a block.
-FLUSH, BLOCK = 32 << 20, 14 << 20
+ORDER, ADD, FOLDS = 3, 0.1, 10
+#: Mass of the shorter n-gram's probability, for pairs and for triples.
+MASS = (300.0, 2.0)
+#: Bytes of text of a block, and n-grams of a shard.
+BLOCK, SHARD = 8 << 20, 1 << 20
+END = np.uint64(0x5851F42D4C957F2D)
+_FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def streams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the texts, each after order - 1 spaces and closed by the end symbol, and the number of symbols of each, spaces included."""
-    parts = [b" " * (order - 1) + b" ".join(t.lower().split()) + b"\n" for t in texts]
-    return np.frombuffer(b"".join(parts), np.uint8), np.fromiter(map(len, parts), np.int64, len(parts))
-
-
-def top_grams(texts: list[bytes], order: int = ORDER) -> np.ndarray:
-    """The n-gram of the highest order that ends at each predicted symbol, packed into 64 bits."""
-    data, sizes = streams(texts, order)
-    keys = np.zeros(max(0, len(data) - order + 1), np.uint64)
-    for k in range(order):
-        keys = keys << np.uint64(8) | data[k : k + len(keys)]
-    ends = np.cumsum(sizes)
-    ok = np.ones(len(keys), bool)
-    for k in range(order - 1):  # those that would reach into the next text's spaces
-        cut = ends - order + 1 + k
-        ok[cut[cut < len(keys)]] = False
-    return keys[ok]
-
-
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, with the sums of their counts."""
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[heads], np.add.reduceat(counts, heads)
+@dataclass
+class Grams:
+    """The n-grams of some texts, by order: distinct keys, where each first stands, and which one ends at each place (-1: the text is too short there)."""
+
+    of: np.ndarray
+    keys: list[np.ndarray]
+    first: list[np.ndarray]
+    place: list[np.ndarray]
+
+    def packed(self) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of all orders, ascending, and their places in the concatenation of ``keys``."""
+        whole = np.concatenate(self.keys)
+        order = np.argsort(whole, kind="stable")
+        return whole[order], order
+
+    def counts(self, chosen: np.ndarray) -> list[np.ndarray]:
+        """How often each key occurs at chosen places."""
+        return [np.bincount(p[chosen & (p >= 0)], minlength=len(k)) for k, p in zip(self.keys, self.place, strict=True)]
+
+
+def grams(texts: list[bytes]) -> Grams:
+    """All n-grams of the texts up to ``ORDER``; keys of order 1 are odd, others even."""
+    hashes, words = word_hashes(texts)
+    sizes = words + 1
+    of = np.repeat(np.arange(len(texts)), sizes)
+    token = np.full(len(of), END, np.uint64)
+    inside = np.ones(len(of), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    token[inside] = hashes
+    behind = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]
+    out = Grams(of, [], [], [])
+    gram = token
+    for k in range(ORDER):
+        if k:
+            with np.errstate(over="ignore"):
+                longer = gram.copy()
+                longer[1:] = mixed(gram[:-1] * _FACTORS[k - 1] + token[1:] + np.uint64(k))
+            gram = longer
+        at = np.flatnonzero(behind >= k)
+        key = gram[at] | np.uint64(1) if k == 0 else gram[at] >> np.uint64(8) << np.uint64(8)
+        keys, first, place = np.unique(key, return_index=True, return_inverse=True)
+        out.keys.append(keys)
+        out.first.append(at[first])
+        whole = np.full(len(of), -1, np.int32)
+        whole[at] = place
+        out.place.append(whole)
+    return out
 
 
 @dataclass
 class Automaton:
-    """Arcs in an open hash table on (state, byte), failure arcs by state; state 0 is the empty context."""
-
-    keys: np.ndarray
-    target: np.ndarray
-    weight: np.ndarray
-    fail: np.ndarray
-    fail_weight: np.ndarray
-    root: np.ndarray
-    start: int
-    order: int
-
-    def arc(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Slot of the arc of each (state, symbol), or -1."""
-        wanted = (state.astype(np.int64) << 8 | symbol) + 1
-        mask = len(self.keys) - 1
-        slot = (mixed(wanted.view(np.uint64)) & np.uint64(mask)).astype(np.int64)
-        found = self.keys[slot]
-        out = np.where(found == wanted, slot, -1)
-        left = np.flatnonzero((found != wanted) & (found != 0))
-        while len(left):
-            slot[left] = (slot[left] + 1) & mask
-            found = self.keys[slot[left]]
-            hit = found == wanted[left]
-            out[left[hit]] = slot[left[hit]]
-            left = left[~hit & (found != 0)]
-        return out
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of each text's probability."""
-        data, sizes = streams(texts, self.order)
-        context = self.order - 1
-        begins = np.cumsum(sizes) - sizes + context
-        n = sizes - context
-        lanes = -(-n // LANE)
-        text = np.repeat(np.arange(len(texts)), lanes)
-        first = (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
-        length = np.minimum(LANE, n[text] - first)
-        order = np.argsort(-length, kind="stable")
-        text, first, length = text[order], first[order], length[order]
-        at = begins[text] + first - context
-        active = np.searchsorted(-length, -np.arange(LANE), "left")  # lanes with more symbols than that
-        state = np.zeros(len(text), np.int32)
-        total = np.zeros(len(text))
-        for step in range(-context, LANE):
-            m = len(text) if step < 0 else int(active[step])
-            if not m:
-                break
-            if step == 0:
-                state[first == 0] = self.start  # the spaces before a text are no arcs
-            symbol = data[at[:m] + step + context]
-            now = state[:m]
-            added = np.zeros(m)
-            todo = np.arange(m)
-            while len(todo):
-                slot = self.arc(now[todo], symbol[todo])
-                hit = slot >= 0
-                got = todo[hit]
-                added[got] += self.weight[slot[hit]]
-                now[got] = self.target[slot[hit]]
-                todo = todo[~hit]
-                lost = todo[now[todo] == 0]
-                added[lost] += self.root[symbol[lost]]
-                todo = todo[now[todo] != 0]
-                added[todo] += self.fail_weight[now[todo]]
-                now[todo] = self.fail[now[todo]]
-            if step < 0:
-                continue
-            total[:m] += added
-        return np.bincount(text, weights=total, minlength=len(texts))
-
-
-def automaton(grams: list[tuple[np.ndarray, np.ndarray]], symbols: int, texts: int, order: int = ORDER, discount: float = DISCOUNT) -> Automaton:
-    """Compile kept n-grams (by order from 1: keys ascending, counts) into the automaton.
-
-    ``grams[0]`` must hold all single symbols; an n-gram's suffixes and its
-    context must be kept too, which a common lower bound of counts ensures.
-    """
-    root_counts = np.zeros(256)
-    root_counts[grams[0][0].astype(np.int64)] = grams[0][1]
-    root = (root_counts + ADD) / (symbols + ADD * 257)
-    # Contexts of spaces alone also stand before each text.
-    pads = [np.uint64(int.from_bytes(b" " * k, "big")) for k in range(order)]
-    states: list[np.ndarray] = [np.zeros(1, np.uint64)]
-    counts: list[np.ndarray] = [np.array([float(symbols)])]
-    for k in range(1, order):
-        keys, c = grams[k - 1]
-        inside = (keys & np.uint64(255)) != END
-        keys, c = keys[inside], c[inside].astype(float)
-        keys, c = summed(np.append(keys, pads[k]), np.append(c, float(texts)))
-        states.append(keys)
-        counts.append(c)
-    base = np.cumsum([0, *map(len, states)])
-
-    def state_of(keys: np.ndarray, k: int) -> np.ndarray:
-        at = np.searchsorted(states[k], keys)
-        ok = (at < len(states[k])) & (states[k][np.minimum(at, len(states[k]) - 1)] == keys)
-        return np.where(ok, base[k] + at, -1)
-
-    total = int(base[-1])
-    fail, fail_weight = np.zeros(total, np.int32), np.zeros(total)
-    arcs_state, arcs_symbol, arcs_to, arcs_weight = [], [], [], []
-    lower_keys, lower_p = np.arange(256, dtype=np.uint64), root
-    for k in range(2, order + 1):
-        keys, c = grams[k - 1]
-        context = state_of(keys >> np.uint64(8), k - 1)
-        keys, c, context = keys[context >= 0], c[context >= 0], context[context >= 0]
-        p = np.maximum(c - discount, 1e-9) / np.maximum(counts[k - 1][context - base[k - 1]], c)
-        short = keys & np.uint64((1 << 8 * (k - 1)) - 1)
-        at = np.searchsorted(lower_keys, short)
-        known = (at < len(lower_keys)) & (lower_keys[np.minimum(at, len(lower_keys) - 1)] == short)
-        keys, c, context, p, at = keys[known], c[known], context[known], p[known], at[known]
-        seen = np.bincount(context - base[k - 1], weights=p, minlength=len(states[k - 1]))
-        below = np.bincount(context - base[k - 1], weights=lower_p[at], minlength=len(states[k - 1]))
-        span = slice(int(base[k - 1]), int(base[k]))
-        fail_weight[span] = np.log10(np.maximum(1 - seen, 1e-9) / np.maximum(1 - below, 1e-9))
-        suffix = states[k - 1] & np.uint64((1 << 8 * (k - 2)) - 1)
-        fail[span] = np.maximum(state_of(suffix, k - 2), 0) if k > 2 else 0
-        to = np.full(len(keys), -1)
-        for j in range(min(k, order - 1), -1, -1):
-            rest = to < 0
-            to[rest] = state_of(keys[rest] & np.uint64((1 << 8 * j) - 1), j) if j else 0
-        arcs_state.append(context)
-        arcs_symbol.append((keys & np.uint64(255)).astype(np.int64))
-        arcs_to.append(to)
-        arcs_weight.append(np.log10(p))
-        lower_keys, lower_p = keys, p
-    # The empty context has an arc for each symbol that is a state.
-    single = states[1].astype(np.int64)
-    arcs_state.append(np.zeros(len(single), np.int64))
-    arcs_symbol.append(single)
-    arcs_to.append(base[1] + np.arange(len(single)))
-    arcs_weight.append(np.log10(root[single]))
-    s, b, to, w = (np.concatenate(x) for x in (arcs_state, arcs_symbol, arcs_to, arcs_weight))
-    size = 1 << max(8, int(np.ceil(np.log2(len(s) * 2 + 1))))
-    keys, slots = np.zeros(size, np.int64), np.zeros(len(s), np.int64)
-    wanted = (s.astype(np.int64) << 8 | b) + 1
-    slot = (mixed(wanted.view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
-    left = np.arange(len(s))
-    while len(left):  # each free slot takes one of the arcs that want it
-        free = keys[slot[left]] == 0
-        put = left[free]
-        keys[slot[put]] = wanted[put]
-        won = keys[slot[left]] == wanted[left]
-        slots[left[won]] = slot[left[won]]
-        left = left[~won]
-        slot[left] = (slot[left] + 1) & (size - 1)
-    target, weight = np.zeros(size, np.int32), np.zeros(size)
-    target[slots], weight[slots] = to, w
-    return Automaton(keys, target, weight, fail, fail_weight, np.log10(root), int(state_of(pads[order - 1 :], order - 1)[0]) if order > 1 else 0, order)
-
-
-def path_weights(keys: np.ndarray, counts: np.ndarray, order: int, least: float, lower: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Probability of the path of each n-gram (context, then symbol) of one order.
-
-    ``keys`` are distinct, ascending and hold every training n-gram of each of
-    their contexts; a count of 0 is a question only.  ``lower`` gives the same
-    for the distinct n-grams without their first byte and their counts.
-    """
-    if not len(keys):
-        return np.zeros(0)
-    short, at = np.unique(keys & np.uint64((1 << 8 * (order - 1)) - 1), return_inverse=True)
-    below = lower(short, np.bincount(at, weights=counts, minlength=len(short)))[at]
-    context = keys >> np.uint64(8)
-    heads = np.concatenate([[True], context[1:] != context[:-1]])
-    place = np.cumsum(heads) - 1
-    kept = counts >= (least if order > 2 else 1)
-    total = np.bincount(place, weights=counts)
-    p = np.where(kept, np.maximum(counts - DISCOUNT, 1e-9) / np.maximum(total[place], np.maximum(counts, 1)), 0.0)
-    seen, under = np.bincount(place, weights=p), np.bincount(place, weights=np.where(kept, below, 0.0))
-    fail = np.maximum(1 - seen, 1e-9) / np.maximum(1 - under, 1e-9)
-    return np.where(kept, p, fail[place] * below)
-
-
-def shared_paths(keys: np.ndarray, counts: np.ndarray, order: int, least: float) -> np.ndarray:
-    """Probability of the path of each of the corpus' n-grams of a low order; all of them must be given."""
-    if order == 1:
-        return (counts + ADD) / (counts.sum() + ADD * 257)
-    return path_weights(keys, counts, order, least, lambda k, c: shared_paths(k, c, order - 1, least))
-
-
-def shard_paths(keys: np.ndarray, counts: np.ndarray, order: int, least: float, known: np.ndarray, known_p: np.ndarray) -> np.ndarray:
-    """Probability of the path of each n-gram of a shard; those of order ``SHARED`` are looked up."""
-    if order <= SHARED:
-        return known_p[np.searchsorted(known, keys)]
-    return path_weights(keys, counts, order, least, lambda k, c: shard_paths(k, c, order - 1, least, known, known_p))
-
-
-def gram_counts(texts: list[bytes], held_out: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of all texts, ascending, and how often the training texts have each."""
-    train, counts = np.unique(top_grams([t for t, h in zip(texts, held_out, strict=True) if not h], order), return_counts=True)
-    other = np.unique(top_grams([t for t, h in zip(texts, held_out, strict=True) if h], order))
-    return summed(np.concatenate([train, other]), np.concatenate([counts, np.zeros(len(other), np.int64)])) if len(other) else (train, counts)
-
-
-def _squeezed(x: np.ndarray) -> bytes:
-    """Numbers as compressed planes of bytes; ascending keys are written as differences."""
-    if x.dtype == np.uint64:
-        x = np.diff(x, prepend=np.uint64(0))
-    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _plain(data: bytes) -> bytes:
+    """The states and arcs that some texts can reach: weights by n-gram; NaN where training texts hold none."""
+
+    grams: Grams
+    arc: list[np.ndarray]
+    fail: list[np.ndarray]
+
+    def score(self, texts: int) -> np.ndarray:
+        """log10 of each text's probability: one walk over all texts at once, as the state after a token depends on the last two tokens only."""
+        g = self.grams
+        n = len(g.of)
+        weight = np.zeros(n)
+        open_ = np.ones(n, bool)
+        for k in range(ORDER - 1, -1, -1):
+            has = open_ & (g.place[k] >= 0)
+            arc = np.full(n, np.nan)
+            arc[has] = self.arc[k][g.place[k][has]]
+            taken = ~np.isnan(arc)
+            weight[taken] += arc[taken]
+            open_ &= ~taken
+            if k:  # no arc: if the context is a state, its failure arc is taken
+                at = np.flatnonzero(open_ & (g.place[k] >= 0))
+                fail = self.fail[k - 1][g.place[k - 1][at - 1]]
+                weight[at] += np.where(np.isnan(fail), 0.0, fail)
+        return np.bincount(g.of, weights=weight, minlength=texts)
+
+
+def automaton(g: Grams, counts: list[np.ndarray], total: int, distinct: int, mass: tuple[float, ...] = MASS) -> Automaton:
+    """Arcs and failure arcs from the training counts of the keys; total and distinct: training tokens and types."""
+    p = [(counts[0] + ADD) / (total + ADD * (distinct + 1))]
+    fail = []
+    for k in range(1, ORDER):
+        at = g.first[k]
+        shorter = p[k - 1][g.place[k - 1][at]]
+        context = counts[k - 1][g.place[k - 1][at - 1]]
+        p.append(np.where(context > 0, (counts[k] + mass[k - 1] * shorter) / (context + mass[k - 1]), shorter))
+        fail.append(np.where(counts[k - 1] > 0, np.log10(mass[k - 1] / (counts[k - 1] + mass[k - 1])), np.nan))
+    arcs = [np.log10(p[0])] + [np.where(counts[k] > 0, np.log10(p[k]), np.nan) for k in range(1, ORDER)]
+    return Automaton(g, arcs, fail)
+
+
+# -- bytes for the shuffles ----------------------------------------------------------------------
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes, so that high bytes of small numbers cost nothing."""
+    data = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _raw(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
 def _numbers(data: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    x = np.ascontiguousarray(np.frombuffer(_plain(data), np.uint8).reshape(width, -1).T).view(kind).ravel()
-    return np.cumsum(x, dtype=np.uint64) if kind is np.uint64 else x
-
-
-def _block(texts: list[bytes], held_out: list[bool]) -> bytes:
-    """Texts and their folds as one compressed string."""
-    head = np.array([len(texts), *(len(t) << 1 | h for t, h in zip(texts, held_out, strict=True))], np.int64).tobytes()
-    raw = head + b"".join(texts)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _slices(block: bytes, budget: int = 2 << 20) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Texts of a block and their folds, about ``budget`` bytes at a time."""
-    raw = _plain(block)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    head = np.frombuffer(raw, np.int64, n, 8)
-    ends = np.cumsum(head >> 1)
-    start = 0
-    while start < n:
-        base = int(ends[start - 1]) if start else 0
-        end = max(start + 1, int(np.searchsorted(ends, base + budget, "right")))
-        edges = (8 + 8 * n + np.concatenate([[base], ends[start:end]])).tolist()
-        yield [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)], (head[start:end] & 1).astype(bool)
-        start = end
-
-
-def _merged(parts: Iterable[tuple[np.ndarray, np.ndarray]], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`summed` over parts that need not fit in memory together."""
-    keys, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-    for k, c in parts:
-        held.append((k, c))
-        size += len(k)
-        if size > max(most, len(keys) // 2):
-            keys, counts = summed(*(np.concatenate(x) for x in zip((keys, counts), *held, strict=True)))
-            held, size = [], 0
-    return summed(*(np.concatenate(x) for x in zip((keys, counts), *held, strict=True))) if held else (keys, counts)
-
-
-def _block_grams(block: bytes, order: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams of a block, ascending, their training counts and their shards."""
-    keys, counts = _merged(gram_counts(texts, held_out, order) for texts, held_out in _slices(block))
-    return keys, counts, (mixed(keys >> np.uint64(8) & np.uint64((1 << 8 * SHARED) - 1)) % np.uint64(shards)).astype(np.int32)
-
-
-_PACKS = "kind int, bucket int, keys binary, counts binary, n bigint"
-GRAMS, WORDS = 0, 1
-
-
-def _packs(kind: int, keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray, buckets: int, out: dict[str, list]) -> None:
-    order = np.argsort(bucket, kind="stable")
-    keys, counts, cuts = keys[order], counts[order].astype(np.int64), np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cuts)):
-        part = slice(cuts[b], cuts[b + 1])
-        out["kind"].append(kind)
-        out["bucket"].append(int(b))
-        out["keys"].append(keys[part].tobytes())
-        out["counts"].append(counts[part].astype(np.uint32).tobytes() if counts[part].max() < 1 << 32 else counts[part].tobytes())
-        out["n"].append(int(counts[part].sum()))
-
-
-def _unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    k = np.frombuffer(keys, np.uint64)
-    return k, np.frombuffer(counts, np.uint32 if len(counts) == 4 * len(k) else np.int64).astype(np.int64)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(_raw(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _word_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return (hashes % np.uint64(buckets)).astype(np.int64)
+def _keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data, np.uint64), dtype=np.uint64)
 
 
-def _counted(docs: DataFrame, order: int, buckets: int) -> DataFrame:
-    """Training counts of all texts' n-grams of a low order, and of the training texts' words, by task and bucket."""
+def _blocks(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[tuple[int, pa.Array, pa.Array, list[bytes]]]:
+    """Number of the block, ids, whether held out, and texts; each partition's rows in order."""
+    base = TaskContext.get().partitionId() << 32
+    held: list[pa.RecordBatch] = []
+    size = number = 0
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {GRAMS: [], WORDS: []}
-        size = 0
+    def whole() -> tuple[int, pa.Array, pa.Array, list[bytes]]:
+        t = pa.Table.from_batches(held)
+        return base + number, t["doc_id"].combine_chunks(), t["held_out"].combine_chunks(), [x for b in held for x in bytes_of(b, "text")]
 
-        def flush() -> pa.RecordBatch:
-            out: dict[str, list] = {k: [] for k in ("kind", "bucket", "keys", "counts", "n")}
-            for kind, parts in held.items():
-                if parts:
-                    keys, counts = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                    _packs(kind, keys, counts, _word_bucket(keys, buckets), buckets, out)
-                parts.clear()
-            types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
+    for batch in sliced(batches, "text", budget >> 2):
+        held.append(batch)
+        size += sum(map(len, bytes_of(batch, "text"))) + batch.num_rows
+        if size >= budget:
+            yield whole()
+            held, size, number = [], 0, number + 1
+    if held:
+        yield whole()
 
-        for batch in sliced(batches, "text"):
-            texts, held_out = bytes_of(batch, "text"), batch.column(1).to_numpy(zero_copy_only=False)
-            held[GRAMS].append(gram_counts(texts, held_out, order))
-            hashes, _ = word_hashes([t for t, h in zip(texts, held_out, strict=True) if not h])
-            held[WORDS].append(np.unique(hashes, return_counts=True))
-            size += sum(map(len, texts))
-            if size > FLUSH:
-                yield flush()
-                size = 0
-        yield flush()
 
-    return docs.select("text", "held_out").mapInArrow(count, _PACKS)
+def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = FOLDS, mass: tuple[float, ...] = MASS, block_bytes: int = BLOCK, shard_grams: int = SHARD) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and token_score (score by token) of every row of ``docs``.
 
-
-def _grams(packs: DataFrame) -> DataFrame:
-    """(key, count) of the n-grams of a low order."""
-
-    def add(table: pa.Table) -> pa.Table:
-        parts = [_unpacked(k, c) for k, c in zip(table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True)]
-        keys, counts = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        return pa.table({"key": pa.array(keys.view(np.int64)), "count": pa.array(counts)})
-
-    return packs.where(F.col("kind") == GRAMS).groupBy("bucket").applyInArrow(add, "key bigint, count bigint")
-
-
-def _words(packs: DataFrame) -> DataFrame:
-    """The packs of words, added up: one row for each bucket; n is the number of distinct words."""
-
-    def add(table: pa.Table) -> pa.Table:
-        parts = [_unpacked(k, c) for k, c in zip(table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True)]
-        keys, counts = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        return pa.table({"kind": pa.array([WORDS], pa.int32()), "bucket": table["bucket"][:1], "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "n": pa.array([len(keys)], pa.int64())})
-
-    return packs.where(F.col("kind") == WORDS).groupBy("bucket").applyInArrow(add, _PACKS)
-
-
-_RARE = np.dtype([("hash", "<u8"), ("row", "<u4"), ("times", "<u4")])
-DOCS, RARE, TEXTS = 0, 1, 2
-
-
-def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, floor: float = FLOOR, folds: int = FOLDS, least: int = LEAST, block_bytes: int = BLOCK) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``."""
-    session = docs.sparkSession.sparkContext
+    Other columns, whatever their names, are not read.
+    """
+    spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), (F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))) % folds == 0).alias("held_out"))
-    low = min(order, SHARED)
-    buckets = max(64, 2 * docs.rdd.getNumPartitions())
-    packs = stored(_counted(docs, low, buckets), "counts")
-    sums = {r.kind: r.n for r in packs.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    n_train = docs.where("not held_out").count()
-    n_tokens = sums.get(WORDS, 0) + n_train
-    rows = _grams(packs).toArrow()
-    keys, counts = summed(rows["key"].to_numpy().view(np.uint64), rows["count"].to_numpy())
-    low_paths = session.broadcast((keys, shared_paths(keys, counts, low, least)))
-    words = stored(_words(packs), "words")
-    distinct = (words.agg(F.sum("n")).first()[0] or 0) + (n_train > 0)
-    # At most 1/floor words have this count.
-    frequent_from = max(1.0, floor * n_tokens)
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, n = _unpacked(k, c)
-                ok = n >= frequent_from
-                yield pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.array(n[ok])], ["hash", "n"])
-
-    table = words.select("keys", "counts").mapInArrow(frequent, "hash bigint, n bigint").toArrow()
-    common_words = session.broadcast(summed(table["hash"].to_numpy().view(np.uint64), table["n"].to_numpy()))
-    bottom = float(n_tokens + ADD * (distinct + 1))
-    doc_fields = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double"
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        block, size, row = 0, 0, 0
-        rare: list[np.ndarray] = []
-        held: list[tuple[list[bytes], list[bool]]] = []
-        known_hash, known_count = common_words.value
-        logs = np.log10(known_count + ADD)
-        names = ["kind", "block", "row", "doc_id", "held_out", "n_tokens", "known", "base", "bucket", "entries"]
-        id_type = None
-
-        def label() -> str:
-            return f"{task.partitionId()}-{block}"
-
-        def flush() -> pa.RecordBatch:
-            x = np.concatenate(rare) if rare else np.zeros(0, _RARE)
-            bucket = _word_bucket(x["hash"], buckets)
-            o = np.argsort(bucket, kind="stable")
-            x, cuts = x[o], np.searchsorted(bucket[o], np.arange(buckets + 1))
-            used = np.flatnonzero(np.diff(cuts))
-            n = len(used) + 1
-            whole = _block([t for ts, _ in held for t in ts], [h for _, hs in held for h in hs])
-            empty = lambda t: pa.nulls(n, t)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([RARE] * len(used) + [TEXTS], pa.int32()), pa.array([label()] * n, pa.string()), empty(pa.int64()), empty(id_type), empty(pa.bool_()), empty(pa.int64()), empty(pa.int64()), empty(pa.float64()), pa.array([*used.tolist(), None], pa.int32()), pa.array([*(x[cuts[b] : cuts[b + 1]].tobytes() for b in used), whole], pa.binary())],
-                names,
-            )
-
-        for batch in sliced(batches, "text", 4 << 20):
-            id_type = batch.schema.field(0).type
-            texts = bytes_of(batch, "text")
-            hashes, n_words = word_hashes(texts)
-            of = np.repeat(np.arange(len(texts)), n_words)
-            at = np.searchsorted(known_hash, hashes)
-            hit = (at < len(known_hash)) & (known_hash[np.minimum(at, len(known_hash) - 1)] == hashes) if len(known_hash) else np.zeros(len(hashes), bool)
-            base = np.bincount(of[hit], weights=logs[at[hit]], minlength=len(texts)) + np.log10(n_train + ADD)
-            known = np.bincount(of[hit], minlength=len(texts)) + (n_train > 0)
-            other, where = hashes[~hit], of[~hit]
-            o = np.lexsort((where, other))
-            other, where = other[o], where[o]
-            heads = np.flatnonzero(np.concatenate([[True], (other[1:] != other[:-1]) | (where[1:] != where[:-1])])) if len(other) else np.zeros(0, np.int64)
-            x = np.zeros(len(heads), _RARE)
-            x["hash"], x["row"], x["times"] = other[heads], where[heads] + row, np.diff(np.append(heads, len(other)))
-            rare.append(x)
-            held.append((texts, batch.column(2).to_pylist()))
-            n = len(texts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([DOCS] * n, pa.int32()), pa.array([label()] * n, pa.string()), pa.array(np.arange(row, row + n)), batch.column(0), batch.column(2), pa.array(n_words + 1), pa.array(known.astype(np.int64)),
-                    pa.array(base), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
-                ],
-                names,
-            )
-            row += n
-            size += sum(map(len, texts))
-            if size > block_bytes:
-                yield flush()
-                rare.clear()
-                held.clear()
-                block, size, row = block + 1, 0, 0
-        if row:
-            yield flush()
-
-    scored = stored(docs.mapInArrow(score, f"kind int, block string, row bigint, {doc_fields}, bucket int, entries binary"), "scores")
-
-    def look_up(table: pa.Table) -> pa.Table:
-        own = [_unpacked(k, c) for k, c in zip(table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True) if k is not None]
-        keys, counts = own[0] if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        blocks, found = [], []
-        for block, entries in zip(table["block"].to_pylist(), table["entries"].to_pylist(), strict=True):
-            if entries is None:
-                continue
-            x = np.frombuffer(entries, _RARE)
-            at = np.searchsorted(keys, x["hash"])
-            hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == x["hash"]) if len(keys) else np.zeros(len(x), bool)
-            c = np.zeros(len(x))
-            c[hit] = counts[at[hit]]
-            heads, place = np.unique(x["row"], return_inverse=True)
-            y = np.zeros(len(heads), [("row", "<u4"), ("known", "<u4"), ("base", "<f8")])
-            y["row"] = heads
-            y["base"] = np.bincount(place, weights=np.log10(c + ADD) * x["times"], minlength=len(heads))
-            y["known"] = np.bincount(place, weights=(c > 0) * x["times"], minlength=len(heads)).astype(np.int64)
-            blocks.append(block)
-            found.append(y.tobytes())
-        return pa.table({"block": pa.array(blocks, pa.string()), "found": pa.array(found, pa.binary())})
-
-    shards = 8 * buckets
-    texts = scored.where(F.col("kind") == TEXTS).select("block", "entries")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = int(size // 4 // shard_grams) + 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, entries in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys, counts, shard = _block_grams(entries.as_py(), order, shards)
-                o = np.argsort(shard, kind="stable")
-                keys, counts, cuts = keys[o], counts[o].astype(np.uint32), np.searchsorted(shard[o], np.arange(shards + 1))
-                used = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(used.astype(np.int32)), pa.array([name] * len(used), pa.string()), *(pa.array([_squeezed(x[cuts[b] : cuts[b + 1]]) for b in used], pa.binary()) for x in (keys, counts))],
-                    ["shard", "block", "keys", "counts"],
-                )
+        for block, _, held_out, texts in _blocks(batches, block_bytes):
+            g = grams(texts)
+            train = ~held_out.to_numpy(zero_copy_only=False)[g.of]
+            keys, order = g.packed()
+            counts = np.concatenate(g.counts(train))[order].astype(np.uint32)
+            del g
+            shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+            cuts = np.searchsorted(shard, np.arange(shards + 1))
+            used = np.flatnonzero(np.diff(cuts))
+            packed = ([_planes(np.diff(keys[cuts[s] : cuts[s + 1]], prepend=np.uint64(0))) for s in used], [_planes(counts[cuts[s] : cuts[s + 1]]) for s in used])
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([block] * len(used), pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], ["shard", "block", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
-        merged = _merged((_numbers(k.as_py(), np.uint64), _numbers(c.as_py(), np.uint32)) for k, c in zip(table["keys"], table["counts"], strict=True))
-        keys = merged[0]
-        paths = np.log10(shard_paths(keys, merged[1], order, least, *low_paths.value)).astype(np.float32)
-        found = [_squeezed(paths[np.searchsorted(keys, _numbers(k.as_py(), np.uint64))]) for k in table["keys"]]
-        return pa.table({"block": table["block"], "shard": table["shard"], "paths": pa.array(found, pa.binary())})
-
-    asked = texts.mapInArrow(ask, "shard int, block string, keys binary, counts binary").groupBy("shard").applyInArrow(answer, "block string, shard int, paths binary")
-    rare_rows = scored.where(F.col("kind") == RARE).select("bucket", "block", "entries", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"))
-    word_rows = words.select("bucket", F.lit(None).cast("string").alias("block"), F.lit(None).cast("binary").alias("entries"), "keys", "counts")
-    returned = rare_rows.unionByName(word_rows).groupBy("bucket").applyInArrow(look_up, "block string, found binary")
-    extra = {"found": "binary", "shard": "int", "paths": "binary", "entries": "binary"}
-    doc_rows = scored.where(F.col("kind") == DOCS).select("block", "row", "doc_id", "held_out", "n_tokens", "known", "base", *(F.lit(None).cast(t).alias(c) for c, t in extra.items()))
+        parts = [_keys(k.as_py()) for k in table["keys"]]
+        keys = np.concatenate(parts)
+        order = np.argsort(keys, kind="stable")
+        new = np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]])
+        sums = np.add.reduceat(np.concatenate([_numbers(c.as_py(), np.uint32) for c in table["counts"]])[order].astype(np.int64), np.flatnonzero(new))
+        word = (keys[order[new]] & np.uint64(1)).astype(bool)
+        found = np.empty(len(keys), np.int64)
+        found[order] = sums[np.cumsum(new) - 1]
+        cuts = np.cumsum([0, *map(len, parts)])
+        n = len(parts)
+        return pa.table(
+            {
+                "block": pa.concat_arrays([*table["block"].chunks, pa.nulls(1, pa.int64())]), "shard": pa.concat_arrays([*table["shard"].chunks, table["shard"].chunk(0)[:1]]),
+                "found": pa.array([*(_planes(found[a:b].view(np.uint64)) for a, b in zip(cuts, cuts[1:], strict=False)), None], pa.binary()),
+                "tokens": pa.array([*[None] * n, int(sums[word].sum())], pa.int64()), "types": pa.array([*[None] * n, int((sums[word] > 0).sum())], pa.int64()),
+            }
+        )
 
-    def beside(df: DataFrame) -> DataFrame:
-        return df.select(*(c if c in df.columns else F.lit(None).cast(doc_rows.schema[c].dataType).alias(c) for c in doc_rows.columns))
+    answers = stored(docs.mapInArrow(ask, "shard int, block bigint, keys binary, counts binary").groupBy("shard").applyInArrow(answer, "block bigint, shard int, found binary, tokens bigint, types bigint"), "answers")
+    released(spark)
+    sums = answers.agg(F.sum("tokens"), F.sum("types")).first()
+    total, distinct = sums[0] or 0, sums[1] or 0
 
-    back = beside(returned).union(beside(asked)).union(beside(texts))
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, held_out, texts in _blocks(batches, block_bytes):
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            data = b"".join(texts)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), x) for x in (ids, held_out)]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *lists, pa.array([_planes(sizes)], pa.binary()), pa.array([len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)], pa.binary())], ["block", "shard", "found", "ids", "held", "sizes", "texts"])
 
     def finish(table: pa.Table) -> pa.Table:
-        own = table.filter(pc.is_valid(table["row"])).sort_by("row")
-        n = own.num_rows
-        base, known = own["base"].to_numpy().copy(), own["known"].to_numpy().copy()
-        for f in table["found"].to_pylist():
-            if f is not None:
-                y = np.frombuffer(f, [("row", "<u4"), ("known", "<u4"), ("base", "<f8")])
-                base[y["row"]] += y["base"]
-                known[y["row"]] += y["known"]
-        given = table.filter(pc.is_valid(table["paths"])).sort_by("shard")["paths"]
-        whole = table.filter(pc.is_valid(table["entries"]))["entries"][0].as_py()
-        keys, _, shard = _block_grams(whole, order, shards)
-        paths = np.empty(len(keys), np.float32)
-        paths[np.argsort(shard, kind="stable")] = np.concatenate([_numbers(p.as_py(), np.float32) for p in given])
-        score = []
-        for part, _ in _slices(whole):
-            grams, place = np.unique(top_grams(part, order), return_inverse=True)
-            _, sizes = streams(part, order)
-            score.append(np.bincount(np.repeat(np.arange(len(part)), sizes - order + 1), weights=paths[np.searchsorted(keys, grams)][place], minlength=len(part)))
-        tokens = own["n_tokens"].to_numpy()
+        own = table.filter(table["texts"].is_valid())
+        given = table.filter(table["found"].is_valid()).sort_by("shard")["found"]
+        ids, held_out = (own[c].combine_chunks().flatten() for c in ("ids", "held"))
+        sizes, data = _numbers(own["sizes"][0].as_py(), np.int64), _raw(own["texts"][0].as_py())
+        ends = np.cumsum(sizes)
+        texts = [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+        del data, own
+        g = grams(texts)
+        keys, order = g.packed()
+        found = np.concatenate([_numbers(x.as_py(), np.int64) for x in given])
+        if len(found) != len(keys):
+            raise ValueError("the rows of a block changed between two reads; write the table first")
+        counts = np.empty(len(keys), np.int64)
+        counts[order] = found
+        del keys, order, found
+        a = automaton(g, np.split(counts, np.cumsum([len(k) for k in g.keys])[:-1]), total, distinct, mass)
+        n = len(texts)
+        n_tokens = np.bincount(g.of, minlength=n)
+        known = np.bincount(g.of, weights=counts[g.place[0]] > 0, minlength=n).astype(np.int64)
+        base = np.bincount(g.of, weights=a.arc[0][g.place[0]], minlength=n)
+        score = a.score(n)
         return pa.table(
             {
-                "doc_id": own["doc_id"], "held_out": own["held_out"], "n_tokens": own["n_tokens"], "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, n_tokens, np.int64)),
-                "base_score": pa.array(base - tokens * np.log10(bottom)), "score": pa.array(np.concatenate(score)),
+                "doc_id": ids, "held_out": held_out, "n_tokens": pa.array(n_tokens), "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, total, np.int64)),
+                "base_score": pa.array(base), "score": pa.array(score), "token_score": pa.array(score / n_tokens),
             }
         )
 
-    out = doc_rows.union(back).groupBy("block").applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-    dropped(docs.sparkSession, packs)
-    return out
+    blocks = docs.mapInArrow(hold, f"block bigint, shard int, found binary, ids array<{kind}>, held array<boolean>, sizes binary, texts binary")
+    back = answers.where("block is not null").select("block", "shard", "found", *(F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in ("ids", "held", "sizes", "texts")))
+    return blocks.union(back).groupBy("block").applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, token_score double")
