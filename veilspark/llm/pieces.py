@@ -16,8 +16,9 @@ there is exactly one last piece; the search keeps that one only.
 
 No piece of these vocabularies goes on into a U+2581 after another character
 (this is checked when the file is compiled; otherwise a text is one segment), so
-that a text's path is the concatenation of the paths of its segments.  Each
-worker keeps the paths of segments in a bounded cache.
+that a text's path is the concatenation of the paths of its segments.  The
+distinct segments of a slice are looked up together in arrays of bounded size
+that each worker keeps.
 
 Nulls: a null text encodes to no ids and decodes to the empty text, with
 round_trip true.  Nothing is shuffled.
@@ -34,11 +35,12 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from veilspark.llm.common import sliced, texts_of
+from veilspark.llm.common import mixed, powers, sliced, texts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 400_000
+#: Segments whose paths a worker keeps (some 30 bytes each), and entries of its caches of parts and of neighbours.
+CACHE, PARTS, JOINS = 1_000_000, 50_000, 300_000
 _machines: dict[str, "Machine"] = {}
 
 
@@ -92,17 +94,28 @@ class Machine:
         of_byte = {i: bytes([b]) for b, i in self.byte.items()}
         self.out = [of_byte.get(i, b"" if special[i] else s.replace(SPACE, " ").encode()) for i, s in enumerate(self.surface)]
         self.longest = max(map(len, self.ids), default=1)
-        crossing = any(SPACE in s.lstrip(SPACE) for s in self.ids)
+        self.crossing = crossing = any(SPACE in s.lstrip(SPACE) for s in self.ids)
         self.segments = re.compile("(?s).+" if crossing else f"(?s){SPACE}*[^{SPACE}]+|{SPACE}+")
         self.lowest = min(self.score, default=0.0)
         #: Neighbours that stand together in some piece: no piece spans any other two characters, so paths are cut there.
         self.inner = {s[i : i + 2] for s in self.ids for i in range(len(s) - 1)}
+        #: Lengths of the pieces that end with given three characters (or are shorter), the longest first.
+        self.lengths: dict[str, tuple[int, ...]] = {}
+        for s in self.ids:
+            if len(s) > 2:
+                self.lengths[s[-3:]] = (*self.lengths.get(s[-3:], ()), len(s))
+        self.lengths = {s: (*sorted(set(x), reverse=True), 2, 1) for s, x in self.lengths.items()}
         self.ends: dict[str, bool] = {}
         self.joins: dict[int, bool] = {}
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.forget()
+        self.pool = pa.array(self.out, pa.binary())
         self.parts: dict[str, list[int]] = {}
 
+    def forget(self) -> None:
+        """Empty the cache of segments: hashes, ascending, and where in ``paths`` the ids of each begin and how many there are."""
+        self.known, self.begin, self.many = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.paths, self.filled = np.zeros(1 << 16, np.int32), 0
+
     def normalised(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
@@ -112,7 +125,18 @@ class Machine:
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short string by merging, the best score first, then the leftmost: the definition of the acceptor's weights."""
-        parts, after = list(text), list(range(1, len(text) + 1))
+        parts = list(text)
+        if len(text) <= 32:
+            get, score = self.ids.get, self.score
+            while True:
+                best, at = None, -1
+                for i in range(len(parts) - 1):
+                    if (k := get(parts[i] + parts[i + 1])) is not None and (best is None or score[k] > best):
+                        best, at = score[k], i
+                if best is None:
+                    return parts
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        after = list(range(1, len(text) + 1))
         before, heap = list(range(-1, len(text) - 1)), []
 
         def offer(i: int) -> None:
@@ -139,7 +163,7 @@ class Machine:
         """Whether pieces a and b stay apart when their strings are merged together: weight 0, else infinity."""
         key = a << 32 | b
         if (known := self.joins.get(key)) is None:
-            if len(self.joins) > 8 * CACHE:
+            if len(self.joins) > JOINS:
                 self.joins.clear()
             known = self.joins[key] = self.merged(self.surface[a] + self.surface[b]) == [self.surface[a], self.surface[b]]
         return known
@@ -147,6 +171,8 @@ class Machine:
     def whole(self, piece: str) -> bool:
         """Whether merging a piece's own string gives that piece."""
         if (known := self.ends.get(piece)) is None:
+            if len(self.ends) > JOINS:
+                self.ends.clear()
             known = self.ends[piece] = self.merged(piece) == [piece]
         return known
 
@@ -166,7 +192,7 @@ class Machine:
         if (known := self.parts.get(part)) is None:
             known = self._bpe_path(part) if self.bpe else self._unigram_path(part)
             if len(part) <= 64:
-                if len(self.parts) >= CACHE:
+                if len(self.parts) >= PARTS:
                     self.parts.clear()
                 self.parts[part] = known
         return known
@@ -174,12 +200,15 @@ class Machine:
     def _bpe_path(self, segment: str) -> list[int]:
         if (i := self.ids.get(segment)) is not None and self.whole(segment):
             return [i]
-        get, joins, agree, whole, longest = self.ids.get, self.joins.get, self.agree, self.whole, self.longest
+        get, joins, agree, whole, lengths = self.ids.get, self.joins.get, self.agree, self.whole, self.lengths.get
         n = len(segment)
         last = [-1] * (n + 1)  # the last piece of the finite path to each state; -1: byte fallback, or the start
         length = [0] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(end - longest if end > longest else 0, end):
+            for size in lengths(segment[end - 3 : end], (2, 1)) if end > 2 else (2, 1)[2 - end :]:
+                start = end - size
+                if start < 0:
+                    continue
                 i = get(segment[start:end])
                 if i is None:
                     continue
@@ -189,7 +218,7 @@ class Machine:
                 elif (ok := joins(before << 32 | i)) is None:
                     ok = agree(before, i)
                 if ok:
-                    last[end], length[end] = i, end - start
+                    last[end], length[end] = i, size
                     break
             else:  # a character without a piece: only fallback leads on
                 if get(segment[end - 1]) is None:
@@ -221,20 +250,85 @@ class Machine:
         return [i for x in reversed(out) for i in x]
 
     def encode(self, text: str) -> np.ndarray:
-        cache, older, found = self.cache, self.older, []
-        for s in self.segments.findall(self.normalised(text)):
-            known = cache.get(s)
-            if known is None:
-                known = older.get(s)
-                if known is None:
-                    known = np.array(self.path(s), np.int32).tobytes()
-                if len(s) <= 64:
-                    if len(cache) >= CACHE:  # what was used lately stays for another round
-                        self.older = older = cache
-                        self.cache = cache = {}
-                    cache[s] = known
-            found.append(known)
-        return np.frombuffer(b"".join(found), np.int32)
+        """The ids of one text, without the cache of segments."""
+        return np.array([i for s in self.segments.findall(self.normalised(text)) for i in self.path(s)], np.int32)
+
+    def _learn(self, hashes: np.ndarray, segments: list[str]) -> None:
+        """Add the paths of new segments to the cache."""
+        if len(self.known) + len(hashes) > CACHE:
+            self.forget()
+        found = [self.path(s) for s in segments]
+        many = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter((i for x in found for i in x), np.int32, int(many.sum()))
+        if self.filled + len(flat) > len(self.paths):
+            self.paths = np.concatenate([self.paths[: self.filled], np.zeros(len(flat) + self.filled // 2 + (1 << 16), np.int32)])
+        self.paths[self.filled : self.filled + len(flat)] = flat
+        at = np.searchsorted(self.known, hashes)
+        self.begin = np.insert(self.begin, at, self.filled + np.cumsum(many) - many)
+        self.many = np.insert(self.many, at, many)
+        self.known = np.insert(self.known, at, hashes)
+        self.filled += len(flat)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts in order, how many each has, and whether they decode to it.
+
+        Segments are looked up by 64-bit hashes, distinct ones once; a text whose
+        ids do not give it back (a clash, or characters without a piece) is
+        encoded again without the cache.
+        """
+        plain = [not self.crossing and SPACE not in t for t in texts]
+        own = [self.normalised(t).replace(SPACE, " ").encode() if ok else b"" for t, ok in zip(texts, plain, strict=True)]
+        data = np.frombuffer(b"".join(own), np.uint8)
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        ends = np.cumsum(sizes)
+        head = np.zeros(len(data) + 1, bool)
+        head[1:-1] = (data[1:] == 32) & (data[:-1] != 32)
+        head[ends - sizes] = True
+        starts = np.flatnonzero(head[:-1])
+        stops = np.append(starts[1:], len(data))
+        up, down = powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+            hashes = mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        new = np.ones(len(distinct), bool)
+        if len(self.known):
+            new = self.known[np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)] != distinct
+        if new.any():
+            if len(self.known) + int(new.sum()) > CACHE:
+                self.forget()
+                new[:] = True
+            self._learn(distinct[new], [bytes(data[a:b]).decode().replace(" ", SPACE) for a, b in zip(starts[first[new]], stops[first[new]], strict=True)])
+        at = np.searchsorted(self.known, distinct)
+        many, begin = self.many[at][place], self.begin[at][place]
+        before = np.cumsum(many) - many
+        flat = self.paths[np.repeat(begin - before, many) + np.arange(int(many.sum()))] if len(many) else np.zeros(0, np.int32)
+        totals = np.append(np.cumsum(many), 0)  # the last entry serves texts before the first segment
+        upto = totals[np.searchsorted(starts, ends, "left") - 1]
+        n_ids = np.diff(upto, prepend=0)
+        same = self._gives(flat, upto, own)
+        again = [i for i, (ok, good) in enumerate(zip(plain, same, strict=True)) if not (ok and good)]
+        if again:
+            parts = np.split(flat, upto[:-1])
+            for i in again:
+                parts[i] = self.encode(texts[i])
+                n_ids[i] = len(parts[i])
+                same[i] = self.decode(parts[i].tolist()) == self.expected(texts[i])
+            flat = np.concatenate(parts)
+        return flat, n_ids, same
+
+    def _gives(self, flat: np.ndarray, upto: np.ndarray, own: list[bytes]) -> np.ndarray:
+        """Whether the ids up to each end decode to the bytes of each text, its prefix included."""
+        surface = self.pool.take(pa.array(flat))
+        offsets = np.frombuffer(surface.buffers()[1], np.int32)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
+        out = surface.buffers()[2].to_pybytes() if len(flat) else b""
+        cuts = [0, *offsets[upto].tolist()]
+        return np.fromiter((out[a:b] == t for a, b, t in zip(cuts, cuts[1:], own, strict=False)), bool, len(own))
+
+    def expected(self, text: str) -> str:
+        """What the ids of a text decode to, if every character has a piece."""
+        return re.sub(" +", " ", text).strip(" ") if self.squeeze else text
 
     def decode(self, ids: list[int]) -> str:
         out = self.out
@@ -263,12 +357,8 @@ def encode(df: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(model)
         for batch in sliced(batches, text, 2 << 20):
-            own = texts_of(batch, text)
-            ids = [m.encode(t) for t in own]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat, sizes, same = m.encode_all(texts_of(batch, text))
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            same = [m.decode(x.tolist()) == (" ".join(t.split(" ")) if not m.squeeze else re.sub(" +", " ", t).strip(" ")) for x, t in zip(ids, own, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes), pa.array(same)], [*names, *added])
 
     return df.mapInArrow(scan, schema)
