@@ -89,3 +89,47 @@ def base_secrets(text: str | None) -> list[tuple[int, int, int]]:
         ("[0-9a-f]+", 0, lambda m: len(m[0]) >= 16),
     ]
     return sorted((m.start(), k, m.end()) for k, (p, f, ok) in enumerate(kinds) for m in re.finditer(p, text or "", f) if ok(m))
+
+
+def passages(docs: list[tuple[int | None, str | None]], n: int = 51) -> dict[tuple, tuple[int, int]]:
+    """By row: runs of words inside strings of ``n`` words that a different row holds, and their words."""
+    words = {row: SPACED.findall((row[1] or "").translate(LOWER)) for row in docs}
+    holders: dict[tuple, set] = defaultdict(set)
+    for row, w in words.items():
+        for k in range(len(w) - n + 1):
+            holders[tuple(w[k : k + n])].add(row)
+    out = {}
+    for row, w in words.items():
+        hit = bytearray(len(w))
+        for k in range(len(w) - n + 1):
+            if len(holders[tuple(w[k : k + n])]) > 1:
+                hit[k : k + n] = b"\1" * n
+        out[row] = (len(re.findall(b"\1+", bytes(hit))), sum(hit))
+    return out
+
+
+def backoff_scores(docs: list[tuple[int | None, str | None]], mass: tuple[float, ...] = (300.0, 2.0), order: int = 3) -> list[float]:
+    """log10 probabilities of the texts under a backoff model: dictionaries of arcs, and a walk that carries its context."""
+    tokens = [[*SPACED.findall((t or "").translate(LOWER)), "\n"] for _, t in docs]
+    train = [ts for (d, _), ts in zip(docs, tokens, strict=True) if zlib.crc32(("" if d is None else str(d)).encode()) % 10]
+    c = Counter(tuple(ts[i : i + k]) for ts in train for k in range(1, order + 1) for i in range(len(ts) - k + 1))
+    n, v = sum(map(len, train)), len({w for ts in train for w in ts})
+
+    def probability(gram: tuple) -> float:
+        if len(gram) == 1:
+            return (c[gram] + 0.1) / (n + 0.1 * (v + 1))
+        shorter = probability(gram[1:])
+        return (c[gram] + mass[len(gram) - 2] * shorter) / (c[gram[:-1]] + mass[len(gram) - 2]) if c[gram[:-1]] else shorter
+
+    out = []
+    for ts in tokens:
+        state: tuple = ()
+        total = 0.0
+        for w in ts:
+            while state and not c[(*state, w)]:
+                total += math.log10(mass[len(state) - 1] / (c[state] + mass[len(state) - 1])) if c[state] else 0.0
+                state = state[1:]
+            total += math.log10(probability((*state, w)))
+            state = (*state, w)[-(order - 1) :]
+        out.append(total)
+    return out

@@ -53,67 +53,23 @@ def empty(spark):
 # -- 1 -------------------------------------------------------------------------------------------
 
 
-def test_scores_against_brute_force(docs, corpus):
-    got = sorted((tuple(r) for r in score.lm_scores(docs).collect()), key=str)
-    want = sorted(brute.base_scores(corpus), key=str)
-    assert len(got) == len(want)
-    for g, w in zip(sorted(got, key=lambda x: (str(x[:5]), x[5])), sorted(want, key=lambda x: (str(x[:5]), x[5])), strict=True):
+@pytest.mark.parametrize(("block_bytes", "shard_grams"), [(1 << 23, 1 << 20), (20000, 500)])
+def test_scores_against_brute_force(docs, corpus, block_bytes, shard_grams):
+    """Base and automaton against dictionaries, in one block and in many, with one shard and with many."""
+    out = score.lm_scores(docs, block_bytes=block_bytes, shard_grams=shard_grams).drop("token_score").collect()
+    want = [(*b, s) for b, s in zip(brute.base_scores(corpus), brute.backoff_scores(corpus), strict=True)]
+    order = lambda x: (str(x[:5]), x[5])
+    assert len(out) == len(want)
+    for g, w in zip(sorted(map(tuple, out), key=order), sorted(want, key=order), strict=True):
         assert g[:5] == w[:5]
-        assert g[5] == pytest.approx(w[5], rel=1e-9)
-        assert g[6] < 0
-
-
-def _grams(texts, order):
-    keys, counts = np.unique(score.top_grams(texts, order), return_counts=True)
-    out = []
-    for k in range(order, 0, -1):
-        keys, counts = score.summed(keys & np.uint64((1 << 8 * k) - 1 if k < 8 else 2**64 - 1), counts)
-        out.append((keys[counts >= (2 if k > 1 else 1)], counts[counts >= (2 if k > 1 else 1)]))
-    return out[::-1]
-
-
-def test_automaton_is_a_probability_and_carries_its_state():
-    rng = random.Random(1)
-    texts = [words(rng, 60, 30).encode() for _ in range(50)]
-    grams = _grams(texts, 4)
-    a = score.automaton(grams, int(sum(grams[0][1])), len(texts), 4)
-    for state in range(0, len(a.fail), 7):  # the probabilities of all symbols in a state sum to one, but for the share of unseen bytes
-        total = 0.0
-        for symbol in range(256):
-            s, w = state, 0.0
-            while (slot := int(a.arc(np.array([s], np.int32), np.array([symbol], np.uint8))[0])) < 0 and s:
-                w += a.fail_weight[s]
-                s = int(a.fail[s])
-            total += 10 ** (w + (a.weight[slot] if slot >= 0 else a.root[symbol]))
-        assert total == pytest.approx(1.0, abs=1e-3)
-    long = b" ".join(texts)
-    one = score.LANE
-    try:
-        score.LANE = 7
-        cut = a.score([long, b"", texts[0]])
-    finally:
-        score.LANE = one
-    assert cut == pytest.approx(a.score([long, b"", texts[0]]))
-    assert a.score([texts[0]])[0] > a.score([texts[0][::-1]])[0]
-
-
-def test_contexts_of_seven_bytes_count(spark):
-    rows = [(i, ("axxxxxxb", "cxxxxxxd")[i % 2]) for i in range(100)] + [(1000, "axxxxxxd"), (1001, "cxxxxxxb")]
-    got = {r.doc_id: r.score for r in score.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got[0] > got[1000] + 0.5 and got[1] > got[1001] + 0.5
-
-
-@pytest.mark.parametrize("block_bytes", [1 << 25, 20000])
-def test_shards_score_like_the_automaton_in_memory(docs, corpus, block_bytes):
-    """The arcs are the n-grams seen twice, however large the corpus (here the long row is most of it), and all bytes and pairs."""
-    held = lambda d: zlib.crc32(str("" if d is None else d).encode()) % score.FOLDS == 0
-    train = [(t or "").encode() for d, t in corpus if not held(d)]
-    grams = _grams(train, score.ORDER)
-    pairs = np.unique(score.top_grams(train, 2), return_counts=True)
-    grams[1] = pairs
-    want = score.automaton(grams, int(sum(grams[0][1])), len(train)).score([(t or "").encode() for _, t in corpus])
-    got = score.lm_scores(docs, floor=0.01, block_bytes=block_bytes).select("doc_id", "score").collect()
-    assert sorted(r.score for r in got) == pytest.approx(sorted(want), rel=1e-6)
+        assert g[5:] == pytest.approx(w[5:], rel=1e-9)
+
+
+def test_held_out_score_beats_the_base(spark):
+    """On whole tables the automaton tells held-out texts better than words alone."""
+    for sf in ("sf0.001", "sf0.01"):
+        out = score.lm_scores(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        assert out[0] / out[2] > out[1] / out[2] + 0.5
 
 
 def test_scores_of_empty_tables(spark):
@@ -438,6 +394,24 @@ def test_repeats_against_brute_force(docs, corpus, hot):
     assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize(("hot", "n"), [(2000, 51), (1, 51), (2000, 20), (1, 20)])
+def test_passages_against_brute_force(docs, corpus, hot, n):
+    out = repeats.without_repeats(docs.select("doc_id", "text"), hot=hot, passage=n).select("doc_id", "text", "n_passages", "n_passage_words").collect()
+    want = brute.passages(corpus, n)
+    assert len(out) == len(corpus)
+    for r in out:
+        assert (r.n_passages, r.n_passage_words) == want[(r.doc_id, r.text)]
+
+
+def test_passages_that_only_one_row_repeats(spark):
+    """A passage twice in one text is none; once another text holds it, both its places count."""
+    rng = random.Random(8)
+    p, q = words(rng, 60), words(rng, 70)
+    rows = [(1, f"{p} a b c {p} {q}"), (2, words(rng, 90)), (3, f"x y {q} z {q.upper()}"), (4, f"{p[: len(p) // 2]}")]
+    out = repeats.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)).orderBy("doc_id").select("n_passages", "n_passage_words").collect()
+    assert [tuple(r) for r in out] == [(1, 70), (0, 0), (2, 140), (0, 0)]
+
+
 def test_repeats_of_short_lengths_and_empty(spark):
     rng = random.Random(6)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(300))) for _ in range(30)]
@@ -453,7 +427,7 @@ def test_repeats_of_short_lengths_and_empty(spark):
 def test_queries_return_their_contracts(spark):
     want = {
         "op1_lm": "doc_id held_out n_tokens n_known train_tokens base_score score", "op2_neighbours": "query_id rank vec_id score", "op3_pages": "page_id url text n_chars", "op4_secrets": "doc_id n_assign n_access n_hex base_sha256 spans",
-        "op5_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated", "op6_jaccard": "doc_id n_shingles component_id", "op10_repeats": "doc_id n_bytes n_removed n_spans kept_sha256",
+        "op5_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated", "op6_jaccard": "doc_id n_shingles component_id", "op10_repeats": "doc_id n_bytes n_removed n_spans kept_sha256 n_passages n_passage_words",
     }
     for name, columns in want.items():
         out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")

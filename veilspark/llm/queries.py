@@ -75,9 +75,9 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the long strings that occur elsewhere."""
+    """Every document without the long strings that occur elsewhere, and its passages of over 50 words that other documents hold."""
     out = repeats.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_words")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

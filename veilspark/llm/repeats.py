@@ -16,8 +16,9 @@ input, in one text or in two.  Every byte that a repeated string covers goes.
    of a segment stand elsewhere too.  Shards have a bounded size; the number of
    shards grows with the input.
 4. An anchor with more than ``hot`` unequal segments (the edges of a passage that
-   very many documents hold) is not gathered in one shard: its windows are dealt
-   out by their own content instead, each to the shard of its hash.
+   very many documents hold) is gathered nowhere: its segments are compared where
+   their content sends them, and their windows are dealt out by their own content
+   instead, each to the shard of its hash.
 
 Whole texts take part; nothing is sampled or capped.  Nulls: a null text is
 empty, a null id is carried.  Repeated rows are separate texts, so their long
@@ -33,10 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import bytes_of, dropped, fresh, mixed, powers, sliced, stored
+from veilspark.llm.common import bytes_of, dropped, fresh, mixed, powers, released, sliced, stored, word_hashes
 from veilspark.llm.induced import repeated_starts
 
 LENGTH, GRAM, HOT, SHARD_BYTES = 400, 32, 2000, 4 << 20
+#: Words of a passage (over 50), and of its anchors.
+PASSAGE, PASSAGE_GRAM = 51, 8
+MOST_HOT = 2_000_000
 _ANCHOR = np.dtype([("hash", "<u8"), ("content", "<u8"), ("row", "<i8"), ("start", "<i8"), ("size", "<i4"), ("many", "u1")])
 _WINDOW = np.dtype([("hash", "<u8"), ("row", "<i8"), ("start", "<i8")])
 
@@ -61,8 +65,11 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of the texts: text, hash of the gram, hash of the segment, its start in the text, and its size."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    return _anchors(np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts)), length, gram)
+
+
+def _anchors(data: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for any symbols, and the numbers of them in each text."""
     ends = np.cumsum(sizes)
     begins = ends - sizes
     windows = np.maximum(sizes - length + 1, 0)
@@ -75,7 +82,7 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     bits = np.uint64(max(1, int(len(data)).bit_length()))
     packed = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     place = (_sliding_min(packed, length - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    text = np.repeat(np.arange(len(texts)), windows)
+    text = np.repeat(np.arange(len(sizes)), windows)
     start = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows) + begins[text]
     at = place[start]
     heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
@@ -86,8 +93,8 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     return text[heads], grams[at[heads]], content, first - begins[text[heads]], last - first
 
 
-def window_hashes(segment: bytes, length: int) -> np.ndarray:
-    data = np.frombuffer(segment, np.uint8)
+def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the strings of ``length`` symbols at all starts."""
     sums, down = _sums(data)
     with np.errstate(over="ignore"):
         return mixed((sums[length:] - sums[:-length]) * down[: len(data) - length + 1])
@@ -147,7 +154,43 @@ def _anchored(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(scan, "bucket int, entries binary, spans binary")
 
 
-def _met(anchored: DataFrame, hot: int) -> DataFrame:
+def _crowded(anchored: DataFrame, entry: np.dtype, hot: int) -> np.ndarray:
+    """Hashes of the anchors with more than ``hot`` unequal segments, ascending; or with more than a share of all, so that they are MOST_HOT at most."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.column(0):
+                hashes, n = np.unique(np.frombuffer(b.as_py(), entry)["hash"], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["hash", "n"])
+
+    sums = stored(anchored.where("bucket is not null").select("entries").mapInArrow(each, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1"), "anchor-counts")
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    found = sums.where(F.col("n") > max(hot, total // MOST_HOT)).select("hash").toArrow()["hash"].to_numpy().view(np.uint64)
+    dropped(anchored.sparkSession, sums)
+    return np.sort(found)
+
+
+def _dealt_out(anchored: DataFrame, entry: np.dtype, crowds: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, hot, entries): entries of crowded anchors leave their bucket and go to others by their content."""
+    session = anchored.sparkSession.sparkContext
+    crowds = session.broadcast(crowds)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(data.as_py(), entry)
+                hot = np.isin(x["hash"], crowds.value)
+                rows = [(bucket, x[~hot])] if not hot.all() else []
+                y = x[hot]
+                to = (y["content"] % np.uint64(buckets)).astype(np.int64)
+                rows += [(int(b), y[to == b]) for b in np.unique(to)]
+                flags = [False] * (len(rows) - len(np.unique(to))) + [True] * len(np.unique(to))
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array(flags), pa.array([z.tobytes() for _, z in rows], pa.binary())], ["bucket", "hot", "entries"])
+
+    return anchored.where("bucket is not null").select("bucket", "entries").mapInArrow(deal, "bucket int, hot boolean, entries binary")
+
+
+def _met(anchored: DataFrame, hot: int, buckets: int) -> DataFrame:
     """Spans of segments that slices share, and the segments that must be sorted."""
 
     def meet(table: pa.Table) -> pa.Table:
@@ -162,14 +205,15 @@ def _met(anchored: DataFrame, hot: int) -> DataFrame:
         groups = np.flatnonzero(np.concatenate([[True], one["hash"][1:] != one["hash"][:-1]]))
         kinds = np.diff(np.append(groups, len(one)))
         asked = np.add.reduceat((~many).astype(np.int64), groups)
-        sort = np.repeat((kinds > 1) & (asked > 0), kinds)
-        crowd = np.repeat(kinds > hot, kinds)
+        crowd = np.full(len(one), table["hot"][0].as_py())
+        sort = np.repeat((kinds > 1) & (asked > 0), kinds) | crowd
         for chosen, kind in ((sort & ~many & ~crowd, ASKED), (sort & many & ~crowd, WITNESS), (sort & ~many & crowd, HOT_ASKED), (sort & many & crowd, HOT_WITNESS)):
             y = one[chosen]
             parts.append(_found(y["row"], y["start"], y["start"] + y["size"], y["hash"].view(np.int64), kind))
         return pa.table({k: pa.array(np.concatenate([p[k] for p in parts])) for k in parts[0]})
 
-    return anchored.where("bucket is not null").groupBy("bucket").applyInArrow(meet, _FOUND)
+    crowds = _crowded(anchored, _ANCHOR, hot)
+    return _dealt_out(anchored, _ANCHOR, crowds, buckets).groupBy("bucket", "hot").applyInArrow(meet, _FOUND)
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, length: int, shards: int) -> DataFrame:
@@ -189,7 +233,7 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int, shards: int) -> DataFr
                         out["kind"].append(s["kind"])
                         out["bytes"].append(part)
                     else:
-                        h = window_hashes(part, length)
+                        h = window_hashes(np.frombuffer(part, np.uint8), length)
                         w = np.zeros(len(h), _WINDOW)
                         w["hash"], w["row"], w["start"] = h, row, np.arange(len(h)) + s["start"]
                         windows.append(w)
@@ -255,7 +299,8 @@ def repeated_spans(slim: DataFrame, length: int = LENGTH, hot: int = HOT, shard_
     """
     buckets = max(64, 2 * slim.rdd.getNumPartitions())
     anchored = stored(_anchored(slim, length, buckets), "anchors")
-    met = stored(_met(anchored, hot), "segments")
+    met = stored(_met(anchored, hot, buckets), "segments")
+    released(slim.sparkSession)
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,31 +318,176 @@ def repeated_spans(slim: DataFrame, length: int = LENGTH, hot: int = HOT, shard_
     return found
 
 
-def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``docs`` with removed array<struct<start, end>> (maximal runs of repeated bytes), n_bytes, n_removed and kept (binary, the remaining bytes).
+# -- passages of words ---------------------------------------------------------------------------
+
+#: Row of a witness: its windows stand in several rows already, so whoever else holds them shares them.
+NO_ROW = np.iinfo(np.int64).min
+_HEAD = np.dtype([("hash", "<u8"), ("content", "<u8"), ("row", "<i8"), ("start", "<i4"), ("size", "<i4"), ("many", "u1")])
+
+
+def shared_passages(slim: DataFrame, words: int = PASSAGE, hot: int = HOT) -> DataFrame:
+    """(row, n_passages, n_passage_words): maximal runs of words that lie in strings of ``words`` words which another row holds too.
+
+    Rows without any are left out.  Words are runs of bytes other than \\x20 and
+    \\x09-\\x0D, with A-Z as a-z.  The steps are those of :func:`repeated_spans`
+    with words in place of bytes: anchors, equal segments as wholes, and the
+    windows of unequal segments under one anchor dealt out by their content, so
+    that no anchor, however many segments it has, is sorted in one task.  A
+    repetition within one row only, or in rows that are equal in all columns, is
+    none.
+    """
+    buckets = max(64, 2 * slim.rdd.getNumPartitions())
+
+    def dealt(x: np.ndarray, spans: np.ndarray) -> pa.RecordBatch:
+        bucket = (x["hash"] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        x, cuts = x[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+        used = np.flatnonzero(np.diff(cuts))
+        return pa.RecordBatch.from_arrays([pa.array([*used.tolist(), None], pa.int32()), pa.array([*(x[cuts[b] : cuts[b + 1]].tobytes() for b in used), None], pa.binary()), pa.array([*[None] * len(used), spans.tobytes()], pa.binary())], ["bucket", "entries", "spans"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            hashes, sizes = word_hashes(bytes_of(batch, "text"))
+            text, grams, content, start, size = _anchors(hashes, sizes, words, PASSAGE_GRAM)
+            if not len(text):
+                continue
+            row = batch.column(0).to_numpy()[text]
+            order = np.lexsort((row, content, grams))
+            row, grams, content, start, size = (x[order] for x in (row, grams, content, start, size))
+            heads = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (content[1:] != content[:-1])]))
+            count = np.diff(np.append(heads, len(grams)))
+            many = row[heads] != row[heads + count - 1]  # rows ascend within a group
+            all_many = np.repeat(many, count)
+            spans = np.stack([row[all_many], start[all_many], start[all_many] + size[all_many]], 1)
+            x = np.zeros(len(heads), _HEAD)
+            for name, value in (("hash", grams[heads]), ("content", content[heads]), ("row", row[heads]), ("start", start[heads]), ("size", size[heads]), ("many", many)):
+                x[name] = value
+            # A segment that stands several times in one row is told by each of its places: the others go on as well.
+            other = np.flatnonzero(~all_many & ~np.isin(np.arange(len(grams)), heads))
+            if len(other):
+                y = np.zeros(len(other), _HEAD)
+                for name, value in (("hash", grams), ("content", content), ("row", row), ("start", start), ("size", size)):
+                    y[name] = value[other]
+                x = np.concatenate([x, y])
+            yield dealt(x, spans)
+
+    def meet(table: pa.Table) -> pa.Table:
+        x = np.concatenate([np.frombuffer(b.as_py(), _HEAD) for b in table["entries"]])
+        x = x[np.lexsort((x["row"], x["content"], x["hash"]))]
+        heads = np.flatnonzero(np.concatenate([[True], (x["hash"][1:] != x["hash"][:-1]) | (x["content"][1:] != x["content"][:-1])]))
+        count = np.diff(np.append(heads, len(x)))
+        last = heads + count - 1
+        shared = (x["row"][heads] != x["row"][last]) | (np.maximum.reduceat(x["many"], heads) > 0)
+        tell = np.repeat(shared, count) & (x["many"] == 0)
+        head = np.isin(np.arange(len(x)), heads)
+        groups = np.flatnonzero(np.concatenate([[True], x["hash"][1:] != x["hash"][:-1]]))
+        size = np.diff(np.append(groups, len(x)))
+        unequal = np.repeat(np.add.reduceat(head.astype(np.int64), groups) > 1, size) | table["hot"][0].as_py()
+        first = np.repeat(shared, count)
+        # Windows are asked for by segments that are not shared; one of each shared content bears witness.
+        ask, witness = unequal & ~first, unequal & first & head
+        kind = np.select([ask, witness], [ASKED, WITNESS], SPAN)
+        some = tell | ask | witness
+        out = [(x[tell], np.full(int(tell.sum()), SPAN)), (x[ask | witness], kind[ask | witness])] if some.any() else []
+        rows = np.concatenate([np.stack([y["row"], y["start"].astype(np.int64), y["start"].astype(np.int64) + y["size"], k.astype(np.int64)], 1) for y, k in out]) if out else np.zeros((0, 4), np.int64)
+        return pa.table({n: pa.array(np.ascontiguousarray(rows[:, k])) for k, n in enumerate(("row", "start", "end", "kind"))})
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 3) for b in batch.column(0).to_pylist()] or [np.zeros((0, 3), np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, k])) for k in range(3)], ["row", "start", "end"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            hashes, sizes = word_hashes(bytes_of(batch, "text"))
+            ends = np.cumsum(sizes)
+            parts = [np.zeros(0, _WINDOW)]
+            for row, begin, end, segments in zip(batch.column(0).to_pylist(), ends - sizes, ends, batch.column(2).to_pylist(), strict=True):
+                for kind, own in ((ASKED, row), (WITNESS, NO_ROW)):
+                    for s in merged_segments([x for x in segments if x["kind"] == kind]):
+                        h = window_hashes(hashes[begin + s[0] : min(end, begin + s[1])], words)
+                        w = np.zeros(len(h), _WINDOW)
+                        w["hash"], w["row"], w["start"] = h, own, np.arange(len(h)) + s[0]
+                        parts.append(w)
+            yield dealt(np.concatenate(parts), np.zeros(0, np.int64))
+
+    def again(table: pa.Table) -> pa.Table:
+        w = np.concatenate([np.frombuffer(b.as_py(), _WINDOW) for b in table["entries"]])
+        w = w[np.lexsort((w["row"], w["hash"]))]
+        heads = np.flatnonzero(np.concatenate([[True], w["hash"][1:] != w["hash"][:-1]]))
+        count = np.diff(np.append(heads, len(w)))
+        w = w[np.repeat(w["row"][heads] != w["row"][heads + count - 1], count) & (w["row"] != NO_ROW)]
+        far = int(w["start"].max(initial=0)) + 2 * words
+        rows, place = np.unique(w["row"], return_inverse=True)
+        s, e = merged(place * far + w["start"], place * far + w["start"] + words)
+        return pa.table({"row": pa.array(rows[s // far] if len(s) else np.zeros(0, np.int64)), "start": pa.array(s % far), "end": pa.array(e - s // far * far)})
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = [], []
+            for given in batch.column(1).to_pylist():
+                s, e = merged(*(np.array([x[k] for x in given], np.int64) for k in ("start", "end")))
+                n.append(len(s))
+                m.append(int((e - s).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["row", "n_passages", "n_passage_words"])
+
+    packed = "bucket int, entries binary, spans binary"
+    anchored = stored(slim.select("row", "text").mapInArrow(scan, packed), "passage-anchors")
+    met = stored(_dealt_out(anchored, _HEAD, _crowded(anchored, _HEAD, hot), buckets).groupBy("bucket", "hot").applyInArrow(meet, "row bigint, start bigint, end bigint, kind bigint"), "passage-segments")
+    released(slim.sparkSession)
+    lists = met.where(F.col("kind") != SPAN).groupBy("row").agg(F.collect_set(F.struct("start", "end", "kind")).alias("segments"))
+    windows = slim.select("row", "text").join(lists, "row").select("row", "text", "segments").mapInArrow(cut, packed)
+    found = windows.where("bucket is not null").groupBy("bucket").applyInArrow(again, "row bigint, start bigint, end bigint")
+    whole = anchored.where("spans is not null").select("spans").mapInArrow(unpacked, "row bigint, start bigint, end bigint").union(met.where(F.col("kind") == SPAN).select("row", "start", "end")).union(found)
+    out = whole.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans")).mapInArrow(summed, "row bigint, n_passages bigint, n_passage_words bigint")
+    out = stored(out, "passages")
+    dropped(slim.sparkSession, anchored, met)
+    return out
+
+
+def merged_segments(segments: list[dict]) -> list[tuple[int, int]]:
+    """Overlapping segments (start, end) as one; those that only touch stay apart, as no window spans both."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted((x["start"], x["end"]) for x in segments):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES, passage: int = PASSAGE) -> DataFrame:
+    """``docs`` with removed array<struct<start, end>> (maximal runs of repeated bytes), n_bytes, n_removed and kept (binary, the remaining bytes), and n_passages and n_passage_words of :func:`shared_passages`.
 
-    Columns of those names are replaced.
+    Columns of those names are replaced.  Passages are reported only: a passage
+    of words shorter than ``length`` bytes is not removed.
     """
-    added = ["n_bytes", "n_removed", "removed", "kept"]
+    added = ["n_bytes", "n_removed", "removed", "kept", "n_passages", "n_passage_words"]
     docs = docs.drop(*added)
     names, t = docs.columns, F.col(f"`{text}`")
     row, spans = fresh("row", names), fresh("spans", names)
     # Rows are told apart by their content: equal rows are repeated alike, so they can share what is found.
     keyed = docs.withColumn(row, F.xxhash64(*(F.col(f"`{c}`") for c in names)))
-    found = repeated_spans(keyed.select(F.col(row).alias("row"), t.alias("text")), length, hot, shard_bytes)
-    found = found.select(F.col("row").alias(row), F.col("spans").alias(spans))
+    slim = keyed.select(F.col(row).alias("row"), t.alias("text"))
+    found = repeated_spans(slim, length, hot, shard_bytes)
+    released(docs.sparkSession)
+    found = found.join(shared_passages(slim, passage, hot), "row", "full")
+    found = found.select(F.col("row").alias(row), F.struct("spans", "n_passages", "n_passage_words").alias(spans))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text):
-            n_bytes, n_removed, removed, kept = [], [], [], []
+            n_bytes, n_removed, removed, kept, n_passages, n_words = [], [], [], [], [], []
             for data, given in zip(bytes_of(batch, text), batch.column(len(names)).to_pylist(), strict=True):
-                s, e = merged(*(np.array([x[k] for x in given or ()], np.int64) for k in ("start", "end")))
+                given = given or {}
+                s, e = merged(*(np.array([x[k] for x in given.get("spans") or ()], np.int64) for k in ("start", "end")))
+                n_passages.append(given.get("n_passages") or 0)
+                n_words.append(given.get("n_passage_words") or 0)
                 n_bytes.append(len(data))
                 n_removed.append(int((e - s).sum()))
                 removed.append([{"start": int(a), "end": int(b)} for a, b in zip(s, e, strict=True)])
                 kept.append(b"".join(data[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(data)], strict=True)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary())], [*names, *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary()), pa.array(n_passages, pa.int64()), pa.array(n_words, pa.int64())], [*names, *added])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_bytes bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, kept binary"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_bytes bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, kept binary, n_passages bigint, n_passage_words bigint"
     return keyed.join(found, row, "left").select(*(f"`{c}`" for c in names), spans).mapInArrow(remove, schema)
