@@ -358,7 +358,10 @@ def shared_passages(slim: DataFrame, words: int = PASSAGE, hot: int = HOT) -> Da
             count = np.diff(np.append(heads, len(grams)))
             many = row[heads] != row[heads + count - 1]  # rows ascend within a group
             all_many = np.repeat(many, count)
-            spans = np.stack([row[all_many], start[all_many], start[all_many] + size[all_many]], 1)
+            own, place = np.unique(row[all_many], return_inverse=True)
+            far = int((start + size).max()) + 1
+            s, e = merged(place * far + start[all_many], place * far + start[all_many] + size[all_many])
+            spans = np.stack([own[s // far], s % far, e - s // far * far], 1) if len(s) else np.zeros((0, 3), np.int64)
             x = np.zeros(len(heads), _HEAD)
             for name, value in (("hash", grams[heads]), ("content", content[heads]), ("row", row[heads]), ("start", start[heads]), ("size", size[heads]), ("many", many)):
                 x[name] = value
