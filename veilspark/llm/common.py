@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -86,8 +89,18 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
 
 def released(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of jobs that are over: it does so when the driver collects its garbage."""
+    for _ in range(2):  # what the first round frees lets go of the rest
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
+def trimmed() -> None:
+    """Give memory that a worker no longer uses back to the machine."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def lean(spark: SparkSession) -> None:
@@ -137,7 +150,20 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all ``texts`` in order, and the number of words of each text.
 
     A-Z count as a-z; words are runs of bytes other than \\x20 and \\x09-\\x0D.
+    Texts are taken SLICE_BYTES at a time, as a step needs some forty times its bytes.
     """
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    out, start = [], 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE_BYTES, "right")))
+        out.append(_word_hashes(texts[start:end], ends[start:end] - (ends[start - 1] if start else 0)))
+        start = end
+    if len(out) == 1:
+        return out[0]
+    return (np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _word_hashes(texts: list[bytes], limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
     edges = np.flatnonzero(np.diff(SPACE[data].view(np.int8), prepend=np.int8(1)))
     starts, ends = edges[::2], edges[1::2]
@@ -146,6 +172,5 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
         hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    limits = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     counts = np.diff(np.searchsorted(starts, limits, "left"), prepend=0)
     return hashes, counts

@@ -20,8 +20,9 @@ are taken in blocks of about ``BLOCK`` bytes.  Each block deals its distinct
 n-grams with their training counts to shards by the n-gram's hash (so no context
 or word gathers in one task, and an n-gram has one row from each block at most);
 shards add up and answer each block in its order; with the answers a block has
-all states and arcs that its texts can reach, and reads them.  N-grams are told
-apart by 64-bit hashes of words and 56 bits of hash of longer ones.
+all states and arcs that its texts can reach, and reads them.  Words are told
+apart by 64-bit hashes, longer n-grams by as many bits as leave a strange n-gram
+the hash of a known one in less than one of 65,536 cases, and 48 at least.
 
 Blocks are made twice, so ``docs`` must give its rows in the same order again, as
 tables in files do; a block that differs raises an error.  Held-out texts are
@@ -43,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import bytes_of, dropped, mixed, released, sliced, stored, word_hashes
+from veilspark.llm.common import bytes_of, mixed, released, sliced, stored, trimmed, word_hashes
 
 ORDER, ADD, FOLDS = 3, 0.1, 10
 #: Mass of the shorter n-gram's probability, for pairs and for triples.
@@ -74,8 +75,9 @@ class Grams:
         return [np.bincount(p[chosen & (p >= 0)], minlength=len(k)) for k, p in zip(self.keys, self.place, strict=True)]
 
 
-def grams(texts: list[bytes]) -> Grams:
-    """All n-grams of the texts up to ``ORDER``; keys of order 1 are odd, others even."""
+def grams(texts: list[bytes], bits: int = 56) -> Grams:
+    """All n-grams of the texts up to ``ORDER``; keys of order 1 are odd, others have their highest ``bits`` only."""
+    rest = np.uint64(64 - bits)
     hashes, words = word_hashes(texts)
     sizes = words + 1
     of = np.repeat(np.arange(len(texts)), sizes)
@@ -93,7 +95,7 @@ def grams(texts: list[bytes]) -> Grams:
                 longer[1:] = mixed(gram[:-1] * _FACTORS[k - 1] + token[1:] + np.uint64(k))
             gram = longer
         at = np.flatnonzero(behind >= k)
-        key = gram[at] | np.uint64(1) if k == 0 else gram[at] >> np.uint64(8) << np.uint64(8)
+        key = gram[at] | np.uint64(1) if k == 0 else gram[at] >> rest << rest
         keys, first, place = np.unique(key, return_index=True, return_inverse=True)
         out.keys.append(keys)
         out.first.append(at[first])
@@ -197,10 +199,11 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), (F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))) % folds == 0).alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(size // 4 // shard_grams) + 1
+    bits = min(62, max(48, int(size).bit_length() - 1 + 16))  # there are about half as many n-grams as bytes
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, held_out, texts in _blocks(batches, block_bytes):
-            g = grams(texts)
+            g = grams(texts, bits)
             train = ~held_out.to_numpy(zero_copy_only=False)[g.of]
             keys, order = g.packed()
             counts = np.concatenate(g.counts(train))[order].astype(np.uint32)
@@ -210,6 +213,8 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds
             used = np.flatnonzero(np.diff(cuts))
             packed = ([_planes(np.diff(keys[cuts[s] : cuts[s + 1]], prepend=np.uint64(0))) for s in used], [_planes(counts[cuts[s] : cuts[s + 1]]) for s in used])
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([block] * len(used), pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], ["shard", "block", "keys", "counts"])
+            del texts, keys, order, counts, shard, packed
+            trimmed()
 
     def answer(table: pa.Table) -> pa.Table:
         parts = [_keys(k.as_py()) for k in table["keys"]]
@@ -250,7 +255,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds
         ends = np.cumsum(sizes)
         texts = [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
         del data, own
-        g = grams(texts)
+        g = grams(texts, bits)
         keys, order = g.packed()
         found = np.concatenate([_numbers(x.as_py(), np.int64) for x in given])
         if len(found) != len(keys):
@@ -264,6 +269,8 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds
         known = np.bincount(g.of, weights=counts[g.place[0]] > 0, minlength=n).astype(np.int64)
         base = np.bincount(g.of, weights=a.arc[0][g.place[0]], minlength=n)
         score = a.score(n)
+        del a, g, counts, texts
+        trimmed()
         return pa.table(
             {
                 "doc_id": ids, "held_out": held_out, "n_tokens": pa.array(n_tokens), "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, total, np.int64)),
