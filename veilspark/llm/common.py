@@ -20,7 +20,7 @@ SLICE_BYTES = 2 << 20
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about ``budget`` bytes of ``column``, and at least one row."""
+    """Cut batches so that each holds about ``budget`` bytes of ``column``, and at least one row; at the end the worker gives memory back."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -32,6 +32,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, budget: int = SLICE_B
             end = max(start + 1, int(np.searchsorted(ends, base + budget, "right")))
             yield batch.slice(start, end - start)
             start = end
+    trimmed()
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import bytes_of, dropped, fresh, mixed, sliced, stored, word_hashes
+from veilspark.llm.common import bytes_of, dropped, fresh, mixed, released, sliced, stored, trimmed, word_hashes
 from veilspark.llm.components import components
 
 WORDS, PERCENT, SMALL = 5, 75, 8
@@ -205,9 +205,6 @@ def _signed(docs: DataFrame, text: str, words: int, bands: Bands, buckets: int)
     return docs.select(f"`{text}`").mapInArrow(scan, "bucket int, entries binary, sets binary")
 
 
-_PACKED = np.dtype([("a", "<u4"), ("b", "<u2"), ("set", "<u2")])
-
-
 def _grouped(signed: DataFrame, small: int, percent: int) -> DataFrame:
     """From signatures: pairs of small groups (a the larger, b; how many signatures they share, and how many they need; no sig), and members of large groups (sig, a, up, and what the pigeonhole needs).
 
@@ -279,6 +276,8 @@ def _grouped(signed: DataFrame, small: int, percent: int) -> DataFrame:
                 "parts": pa.array(both(none_n, member["parts"])),
                 "up": pa.array(both(none_n, up[rows])),
             }
+        del sigs, sets, ups, known, sig, of, up
+        trimmed()
         return pa.table({n: pa.array(out[n], pa.int64()) if isinstance(out[n], list) else out[n] for n in names})
 
     return signed.groupBy("bucket").applyInArrow(meet, ", ".join(f"{n} bigint" for n in names))
@@ -389,6 +388,7 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stored(docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash")).mapInArrow(keyed, f"doc_id {kind}, n_shingles bigint, class_key bigint, row_hash bigint"), "classes")
     groups = stored(_grouped(_signed(docs, "text", words, bands, buckets), small, percent), "candidates")
+    released(spark)
     first = rows.groupBy(F.col("class_key").alias("key")).agg(F.min("row_hash").alias("row_hash"))
 
     # How many large groups a set is in, under its own band (0) and the next one (1).

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import bytes_of, dropped, fresh, mixed, powers, released, sliced, stored, word_hashes
+from veilspark.llm.common import bytes_of, dropped, fresh, mixed, powers, released, sliced, stored, trimmed, word_hashes
 from veilspark.llm.induced import repeated_starts
 
 LENGTH, GRAM, HOT, SHARD_BYTES = 400, 32, 2000, 4 << 20
@@ -286,6 +286,7 @@ def _sorted(cuts: DataFrame, length: int) -> DataFrame:
                 out[1].append(w["start"][heads])
                 out[2].append(w["start"][np.append(heads[1:], len(w)) - 1] + length)
         cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+        trimmed()
         return pa.table({"row": pa.array(cols[0]), "start": pa.array(cols[1]), "end": pa.array(cols[2])})
 
     return cuts.groupBy("shard").applyInArrow(judge, "row bigint, start bigint, end bigint")
