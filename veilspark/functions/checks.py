@@ -6,7 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Literals that are no secrets.
-NO_SECRETS = ("true", "false", "null", "none", "undefined", "password", "secret", "token", "changeme", "change_me", "example", "placeholder", "your_password", "your_token", "xxx", "test", "dummy", "redacted")
+NO_SECRETS = (
+    "null", "none", "nil", "true", "false", "undefined", "empty",
+    "changeme", "change_me", "change-me", "password", "passwd", "secret", "token",
+    "your_password", "yourpassword", "your-password", "placeholder",
+)
 
 
 def digits(value: Column) -> Column:
@@ -57,12 +61,13 @@ def entropy(value: Column) -> Column:
 
 
 def secret_value(value: Column) -> Column:
-    """Whether an assigned value can be a secret: no known literal, no repeated sign, no reference or format, no bare identifier."""
-    quoted = value.rlike("""^(?:"[^"]*"|'[^']*')$""")
-    v = F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+    """Whether an assigned value can be a secret: no known literal, no repeated sign, no reference or format, and, unless quoted, no bare identifier."""
+    quoted = (F.length(value) >= 2) & value.rlike("""(?s)^(?:".*"|'.*')$""")
+    v = F.regexp_replace(F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value), r"^\s+|\s+$", "")
     literal = F.lower(v).isin(*NO_SECRETS)
-    repeated = v.rlike(r"^(.)\1*$")
-    reference = v.rlike(r"^(?:\$\{.*\}|\$[A-Za-z_]\w*|%[A-Za-z_]\w*%|\{\{.*\}\}|<[^>]*>|#\{.*\}|process\.env\..*|os\.environ.*|env\(.*\))$")
-    form = v.rlike(r"^(?:%[sdif]|\{[0-9A-Za-z_]*\}|#[0-9A-Fa-f]{3,8})$")
-    word = ~quoted & v.rlike("^[A-Za-z]+(?:_[A-Za-z]+)*$")
-    return F.coalesce((F.length(v) > 0) & ~literal & ~repeated & ~reference & ~form & ~word, F.lit(False))
+    repeated = v.rlike(r"(?s)^(.)\1*$")
+    # References (only names in capitals after a bare $), formats and colours, names in code.
+    reference = v.rlike(r"^(?:\$\{|\$\(|\$[A-Z_][A-Z0-9_]*$|%[A-Za-z_][\w.]*%$|\{\{|#\{|<%)")
+    form = v.rlike(r"^(?:\{[\w.]*\}|%(?:\([\w.]+\))?[sd]|<[\w-]+>|#[0-9A-Fa-f]{3,8})$")
+    name = ~quoted & v.rlike("^[A-Za-z_]+$|^[a-z][a-z0-9]*(?:_[a-z0-9]+)+$")
+    return F.coalesce((F.length(v) > 0) & ~literal & ~repeated & ~reference & ~form & ~name, F.lit(False))

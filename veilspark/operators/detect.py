@@ -40,6 +40,17 @@ def matches(text: Column, pattern: str) -> Column:
 EMPTY = "array<struct<start:int,end:int,value:string>>"
 
 
+def narrowed(text: Column, pattern: str, group: int) -> Column:
+    """:func:`matches`, each narrowed to a group that is not empty; group 1 is what stands before it in the match."""
+    heads, values = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, group))
+
+    def cut(m: Column, i: Column) -> Column:
+        start, value = m["start"] + F.length(F.get(heads, i)), F.get(values, i)
+        return F.when(value == "", m).otherwise(F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value")))
+
+    return F.transform(matches(text, pattern), cut)
+
+
 def _placeholders(text: Column) -> Column:
     return matches(text, rf"\b(?:{R.PLACEHOLDER}|{R.OLD_PLACEHOLDER})\b")
 
@@ -52,7 +63,7 @@ def _allowed(text: Column, rules: list[R.Rule]) -> Column:
 def _found(text: Column, masked: Column, allow: Column, rule: R.Rule, natural: tuple[str, ...]) -> Column:
     """Findings of one rule, beside placeholders and allowed spans."""
     second = rule.kind == "recogniser"
-    found = F.filter(matches(text, rule.java), lambda m: ~S.touched(m, masked))
+    found = F.filter(narrowed(text, *rule.narrowed) if rule.narrowed else matches(text, rule.java), lambda m: ~S.touched(m, masked))
     if rule.validator:
         valid = R.VALIDATORS[rule.validator]
         found = F.filter(found, lambda m: valid(m["value"]))

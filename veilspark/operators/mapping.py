@@ -74,6 +74,18 @@ def masked(docs: DataFrame, findings: DataFrame, mapping: DataFrame, doc_id: str
 TOKEN = rf"(?<![A-Za-z0-9_])(?:{R.PLACEHOLDER}|{R.OLD_PLACEHOLDER})(?![A-Za-z0-9_])|(?<![0-9])(?:{R.JSON_NUMBER})(?![0-9])"
 
 
+#: Tokens of earlier rules, ``PREFIX_n``: they are put back if the mapping knows them; other names of that form are left alone and not reported.
+BARE = r"(?<![A-Za-z0-9_])[A-Z][A-Z0-9_]*_[0-9]+(?![A-Za-z0-9_])"
+#: What looks like a damaged token: it is reported and never guessed.
+SUSPECT = r"(?i)(?<![A-Za-z0-9_])(?:mask_[a-z][a-z0-9_]*_[0-9]+[A-Za-z0-9_]*|[a-z][a-z0-9_]*_test_[0-9]+[A-Za-z0-9_]*)(?![A-Za-z0-9_])"
+
+
+def suspects(docs: DataFrame, mapping: DataFrame, doc_id: str = "doc_id", text: str = "masked_text") -> DataFrame:
+    """(doc_id, start, token): what has the form of a token but is none that the mapping knows."""
+    found = docs.select(doc_id, F.explode(matches(F.coalesce(F.col(text), F.lit("")), SUSPECT)).alias("m")).select(doc_id, "m.start", F.col("m.value").alias("token"))
+    return found.join(mapping.select(F.col("placeholder").alias("token")), "token", "left_anti").select(doc_id, "start", "token")
+
+
 def unmasked(docs: DataFrame, mapping: DataFrame, doc_id: str = "doc_id", text: str = "masked_text", out: str = "restored") -> DataFrame:
     """``docs`` with the original values put back, and ``unresolved``: the tokens without a mapping.
 
@@ -81,11 +93,11 @@ def unmasked(docs: DataFrame, mapping: DataFrame, doc_id: str = "doc_id", text:
     as one array for each document.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    tokens = docs.select(doc_id, F.explode(matches(body, TOKEN)).alias("m")).select(doc_id, "m.start", "m.end", F.col("m.value").alias("placeholder"))
+    tokens = docs.select(doc_id, F.explode(matches(body, f"{TOKEN}|{BARE}")).alias("m")).select(doc_id, "m.start", "m.end", F.col("m.value").alias("placeholder"))
     known = tokens.join(mapping.select("placeholder", "value"), "placeholder", "left")
     back = known.groupBy(doc_id).agg(
         F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("start", "end", F.col("value").alias("replacement"))))).alias("__spans"),
-        F.array_sort(F.collect_set(F.when(F.col("value").isNull(), F.col("placeholder")))).alias("unresolved"),
+        F.array_sort(F.collect_set(F.when(F.col("value").isNull() & F.col("placeholder").rlike(f"^(?:{R.PLACEHOLDER}|{R.OLD_PLACEHOLDER}|{R.JSON_NUMBER})$"), F.col("placeholder")))).alias("unresolved"),
     )
     none = F.array().cast("array<struct<start:int,end:int,replacement:string>>")
     joined = docs.join(back, doc_id, "left").withColumn("__spans", F.coalesce("__spans", none)).withColumn("unresolved", F.coalesce("unresolved", F.array().cast("array<string>")))

@@ -34,6 +34,19 @@ class Rule:
         flags = "".join(f for f in ("i", "s", "m") if f in self.flags)
         return (f"(?{flags}{'u' if 'i' in flags else ''})" if flags else "") + (self.pattern or "")
 
+    @property
+    def narrowed(self) -> tuple[str, int] | None:
+        """For a pattern with the group ``(?P<deger>...)``, which a finding is narrowed to: the pattern with all before the group as group 1, and the group's number."""
+        before, mark, after = (self.pattern or "").partition("(?P<deger>")
+        if not mark:
+            return None
+        try:
+            inner = re.compile(before).groups
+        except re.error as e:
+            raise ValueError(f"rule {self.name}: the group deger must not stand inside another group") from e
+        flags = self.java[: len(self.java) - len(self.pattern)]
+        return f"{flags}({before})({after}", inner + 2
+
 
 # Names, patterns, priorities and prefixes that results are compared by.
 RULES: tuple[Rule, ...] = (
@@ -83,17 +96,22 @@ JSON_NUMBER = r"811199[0-9]{9}|911199[0-9]{10}"
 
 VALIDATORS: dict[str, Callable[[Column], Column]] = {"tc_kimlik_no": checks.national_id, "luhn": checks.luhn, "iban": checks.iban, "secret_value": checks.secret_value}
 
-#: What joins a value to its neighbours, and what may follow it as a case ending.
-_JOINED = "A-Za-z0-9_"
-_ENDINGS = "(?:y?[ıiuü]|n[ıiuü]n|[dt][ae]n?|y?[ae]|l[ae]r)"
+#: What joins a value to its neighbours, and the endings that may follow it.
+_LOWER, _UPPER = "a-zçğıöşü", "A-ZÇĞİÖŞÜ"
+_JOINED = f"0-9_{_LOWER}{_UPPER}"
+_ENDINGS = (
+    "dan", "den", "tan", "ten",
+    "dır", "dir", "dur", "dür", "tır", "tir", "tur", "tür",
+    "nın", "nin", "nun", "nün", "ın", "in", "un", "ün",
+)
 
 
 def parametric(value: str | None) -> str | None:
-    """The pattern of a run-time value: whole, between word limits or case changes, with a case ending behind; None without a value."""
+    """The pattern of a run-time value: whole, between word limits or case changes, or with an ending that ends the word; None without a value."""
     if not (value or "").strip():
         return None
-    left = f"(?:(?<![{_JOINED}])|(?<=[a-z])(?=(?-i:[A-Z])))"
-    right = f"(?=$|[^{_JOINED}]|(?-i:(?<=[a-z])[A-Z])|'?{_ENDINGS}(?![{_JOINED}]))"
+    left = f"(?:(?<![{_JOINED}])|(?-i:(?<=[{_LOWER}])(?=[{_UPPER}])|(?<=[{_UPPER}])(?=[{_UPPER}][{_LOWER}])))"
+    right = f"(?=$|[^{_JOINED}]|(?-i:(?<=[{_LOWER}])[{_UPPER}]|(?<=[{_UPPER}])[{_UPPER}][{_LOWER}])|(?:{'|'.join(_ENDINGS)})(?![{_JOINED}]))"
     return left + re.escape(value.strip()) + right
 
 

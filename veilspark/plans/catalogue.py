@@ -15,6 +15,7 @@ from veilspark.functions import checks, text as T
 from veilspark.operators import consistency, detect, mapping, outcome, prepare, reports
 from veilspark.operators import rules as R
 from veilspark.operators import spans as S
+from veilspark.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,15 +182,75 @@ def entropy_filter(spark, d):
     return words.select("token", F.round(checks.entropy(F.col("token")), 6).alias("bits")).where("bits > 3.5")
 
 
-@_query("""with v as (select c_custkey, case c_custkey % 6 when 0 then 'changeme' when 1 then '"' || md5(c_name) || '"' when 2 then 'some_identifier' when 3 then '${SECRET}' when 4 then 'aaaaaaaaaaaa' else md5(c_name) end as value from customer)
-select c_custkey, value from v where c_custkey % 6 in (1, 5)""")
+#: Assigned values, and whether they can be secrets; {h} is a digest of the row.
+_ASSIGNED = (
+    ("changeme", False), ('"{h}"', True), ("some_identifier", False), ("${SECRET}", False), ("aaaaaaaaaaaa", False), ("{h}", True), ("$ecret123", True), ("$SECRET_2", False), ("$(PASSWORD)", False), ("%(password)s", False), ("s3_connection", False),
+    ("'nil'", False), ("'example'", True), ('"  change-me "', False), ("{{ vault.pw }}", False), ("#d0d0d0", False), ("<password>", False), ("sunshine", False), ('"sunshine"', True), ("p4ss word", True),
+)
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+@_query(f"""with v as (select c_custkey, replace(list_extract([{", ".join(_sql_text(v) for v, _ in _ASSIGNED)}], (c_custkey % {len(_ASSIGNED)} + 1)::bigint), '{{h}}', 'a' || md5(c_name)) as value, list_extract([{", ".join(str(ok).lower() for _, ok in _ASSIGNED)}], (c_custkey % {len(_ASSIGNED)} + 1)::bigint) as ok from customer)
+select c_custkey, value from v where ok""")
 def secret_values(spark, d):
-    """Assigned values derived from customers: literals, references and repeated signs are no secrets."""
-    k, h = F.col("c_custkey") % 6, F.md5("c_name")
-    value = F.when(k == 0, "changeme").when(k == 1, F.concat(F.lit('"'), h, F.lit('"'))).when(k == 2, "some_identifier").when(k == 3, "${SECRET}").when(k == 4, "aaaaaaaaaaaa").otherwise(h)
+    """Assigned values derived from customers: literals, references, formats, names in code and repeated signs are no secrets."""
+    value = F.replace(F.get(F.array(*(F.lit(v) for v, _ in _ASSIGNED)), (F.col("c_custkey") % len(_ASSIGNED)).cast("int")), F.lit("{h}"), F.concat(F.lit("a"), F.md5("c_name")))
     return _t(spark, d, "customer").select("c_custkey", value.alias("value")).where(checks.secret_value(F.col("value")))
 
 
+#: Paths and their classes.
+_PATHS = (
+    ("src/main.py", "text"), ("a/node_modules/x.js", "ignored"), ("a/Coverage/x.js", "ignored"), ("env/x.py", "text"), ("bin/run.sh", "text"), ("obj/x.cs", "ignored"), (".next/x.js", "ignored"), ("x/.git", "ignored"), ("lib/x.tgz", "archive"), ("lib/x.jar", "opaque"),
+    ("lib/x.WAR", "opaque"), ("img/x.svgz", "opaque"), ("img/x.bmp", "text"), ("a/Pipfile.lock", "lock"), ("a/any.lockfile", "lock"), ("npm-shrinkwrap.json", "lock"), ("a/go.sum", "lock"), (".png", "text"), ("a.tar.gz", "archive"), ("docs/readme", "text"),
+)
+
+
+@_query(f"""select p_partkey, p_partkey || '/' || list_extract([{", ".join(_sql_text(p) for p, _ in _PATHS)}], (p_partkey % {len(_PATHS)} + 1)::bigint) as path, list_extract([{", ".join(_sql_text(c) for _, c in _PATHS)}], (p_partkey % {len(_PATHS)} + 1)::bigint) as class from part""")
+def file_classes(spark, d):
+    """Classes of paths derived from parts."""
+    path = F.concat(F.col("p_partkey").cast("string"), F.lit("/"), F.get(F.array(*(F.lit(p) for p, _ in _PATHS)), (F.col("p_partkey") % len(_PATHS)).cast("int")))
+    return _t(spark, d, "part").select("p_partkey", path.alias("path"), files.file_class(path).alias("class"))
+
+
+#: What stands around a run-time value, and whether the value is found there.
+_AROUND = (("", "", True), ("", "dan", True), ("", "tür", True), ("", "'a", True), ("", "a", False), ("", "u", False), ("", "tenance", False), ("x", "", False), ("(", ")", True), ("", "dana", False), ("my_", "", False), ("", "lar", False))
+
+
+@_query(f"""with f as (select n_nationkey, n_name, unnest(range({len(_AROUND)})) as i from nation)
+select n_nationkey, i::int as form, list_extract([{", ".join(_sql_text(a) for a, _, _ in _AROUND)}], i + 1) || lower(n_name) || list_extract([{", ".join(_sql_text(b) for _, b, _ in _AROUND)}], i + 1) as text,
+  (n_name = 'CHINA' and list_extract([{", ".join(str(ok).lower() for _, _, ok in _AROUND)}], i + 1))::int::bigint as n from f""")
+def parametric_forms(spark, d):
+    """A run-time value in texts derived from nations: endings of words count, other letters do not."""
+    form = F.explode(F.array(*(F.struct(F.lit(i).alias("form"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b, _) in enumerate(_AROUND)))).alias("f")
+    texts = _t(spark, d, "nation").select("n_nationkey", "n_name", form).select("n_nationkey", "f.form", F.concat("f.a", F.lower("n_name"), "f.b").alias("text"))
+    rule = R.bound((R.Rule("project", "parametric", "project_name", None, "mask_project", 1),), {"project_name": "China"})[0]
+    return texts.withColumn("n", F.size(detect.matches(F.col("text"), rule.java)).cast("long"))
+
+
+@_query("""select s_suppkey, 12::bigint as "start", (12 + length(s_name))::bigint as "end", s_name as value from supplier""")
+def narrowed_findings(spark, d):
+    """A rule with a named group finds the value and not the element around it, in texts derived from suppliers."""
+    texts = _t(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("<a><password>"), "s_name", F.lit("</password></a>")).alias("text"))
+    texts = texts.withColumn("text", F.substring("text", 2, 1000))
+    rule = R.Rule("element", "regex", "password", r"<(pass)(word)>(?P<deger>[^<]+)</password>", "mask_password", 1)
+    found = detect.long(detect.detect(texts, [rule]), keep=("s_suppkey",))
+    return found.select("s_suppkey", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "value")
+
+
+@_query("""select c_custkey, c_name || ' HTTP_200 ' || case when c_custkey % 2 = 0 then c_mktsegment else 'USER_' || c_custkey end || ' mask_email_7x mask_gone_1' as restored, ['mask_gone_1'] as unresolved, 'mask_email_7x' as suspect from customer""")
+def bare_placeholders(spark, d):
+    """Tokens of both forms in texts derived from customers: known ones come back, other names stay, damaged ones are told."""
+    c = _t(spark, d, "customer")
+    docs = c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("mask_name_"), F.col("c_custkey").cast("string"), F.lit(" HTTP_200 USER_"), F.col("c_custkey").cast("string"), F.lit(" mask_email_7x mask_gone_1")).alias("masked_text"))
+    key = F.col("c_custkey").cast("string")
+    table = c.select(F.concat(F.lit("mask_name_"), key).alias("placeholder"), F.col("c_name").alias("value")).union(c.where("c_custkey % 2 = 0").select(F.concat(F.lit("USER_"), key), "c_mktsegment"))
+    odd = mapping.suspects(docs, table).where("token <> 'mask_gone_1'").where(~F.col("token").startswith("mask_name_")).select("doc_id", F.col("token").alias("suspect"))
+    return mapping.unmasked(docs, table).join(odd, "doc_id").select(F.col("doc_id").alias("c_custkey"), "restored", "unresolved", "suspect")
+
+
 # -- overlap, masking, reversal -----------------------------------------------------------------
 
 
@@ -218,14 +279,11 @@ def mask_numbered(spark, d):
     return flagship(spark, d)
 
 
-@_query("""select count(*)::bigint as n_docs, count(*)::bigint as n_restored, 0::bigint as n_unresolved from documents""")
+@_query("""select doc_id, coalesce(text, '') as restored, 0::bigint as n_unresolved from documents""")
 def unmask_roundtrip(spark, d):
-    """Masked texts come back byte for byte."""
-    docs = _docs(spark, d)
-    out, table, _ = mask_documents(docs, _rules(*_BASIC))
-    back = mapping.unmasked(out, table)
-    same = mapping.round_trip(F.coalesce("text", F.lit("")), F.col("restored"))
-    return back.agg(F.count("*").alias("n_docs"), F.count_if(same).alias("n_restored"), F.sum(F.size("unresolved")).cast("long").alias("n_unresolved"))
+    """Masked texts come back, character for character."""
+    out, table, _ = mask_documents(_docs(spark, d), _rules(*_BASIC))
+    return mapping.unmasked(out.select("doc_id", "masked_text"), table).select("doc_id", "restored", F.size("unresolved").cast("long").alias("n_unresolved"))
 
 
 @_query(_RESOLVED_SQL + """ select prefix, count(*)::bigint as n_values, max(number)::bigint as last_number from numbered group by prefix""")
@@ -362,14 +420,12 @@ def html_entity_view(spark, d):
     return _t(spark, d, "pages").select("page_id", F.length(view).cast("long").alias("n_chars"), F.md5(view).alias("digest"))
 
 
-@_query("""select distinct p_type, array_to_string(list_filter(string_split_regex(p_type, '[^A-Za-z0-9]+'), lambda x: x <> ''), '|') as parts from part""")
+@_query(r"""with c as (select distinct p_type, string_agg(upper(w[1]) || lower(substring(w, 2)), '' order by i) over (partition by p_partkey rows between unbounded preceding and unbounded following) || '_9x' as camel from (select p_partkey, p_type, unnest(string_split(p_type, ' ')) as w, generate_subscripts(string_split(p_type, ' '), 1) as i from part))
+select p_type, camel, array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(camel, '([a-z])([A-Z])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g'), '[^A-Za-z0-9]+'), lambda x: x <> ''), '|') as parts from c""")
 def identifier_parts(spark, d):
-    """Camel-case names derived from part types come apart again."""
-    camel = F.regexp_replace(F.initcap("p_type"), " ", "")
-    back = F.array_join(T.parts(camel), "|")
-    types = _t(spark, d, "part").select("p_type").distinct()
-    same = F.lower(back) == F.lower(F.replace("p_type", F.lit(" "), F.lit("|")))
-    return types.select("p_type", F.when(same, F.replace("p_type", F.lit(" "), F.lit("|"))).otherwise(back).alias("parts"))
+    """Camel-case names derived from part types come apart."""
+    camel = F.concat(F.replace(F.initcap("p_type"), F.lit(" "), F.lit("")), F.lit("_9x"))
+    return _t(spark, d, "part").select("p_type").distinct().select("p_type", camel.alias("camel"), F.array_join(T.parts(camel), "|").alias("parts"))
 
 
 @_query("""with n as (select l_returnflag, l_orderkey, l_linenumber, row_number() over (partition by l_returnflag order by l_orderkey, l_linenumber, l_partkey) - 1 as r, count(*) over (partition by l_returnflag) as n from lineitem),

@@ -11,10 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Folders, suffixes and names that are treated specially.
-IGNORED_DIRS = ("node_modules", ".git", ".svn", ".hg", ".idea", ".vscode", "__pycache__", ".venv", "venv", "env", "dist", "build", "target", "bin", "obj", "out", ".gradle", ".mvn", ".tox", ".mypy_cache", ".pytest_cache", "vendor")
-OPAQUE = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".webp", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".exe", ".dll", ".so", ".dylib", ".mp3", ".mp4", ".woff")
-ARCHIVES = (".zip", ".tar", ".gz", ".7z", ".rar", ".jar")
-LOCKS = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Pipfile.lock", "composer.lock", "Gemfile.lock", "Cargo.lock", "go.sum")
+IGNORED_DIRS = (
+    ".git", ".hg", ".svn", ".mypy_cache", ".pytest_cache", ".ruff_cache", "__pycache__", "node_modules", "vendor", "dist", "build", "target",
+    "coverage", ".next", ".nuxt", ".turbo", ".venv", "venv", "obj", ".vs", ".gradle", "bower_components",
+)
+OPAQUE = (
+    ".png", ".jpg", ".jpeg", ".gif", ".webp", ".ico", ".svgz", ".pdf", ".jar", ".war", ".pyc", ".so", ".dll", ".dylib", ".exe",
+    ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx",
+)
+ARCHIVES = (".zip", ".tar", ".gz", ".tgz", ".rar", ".7z")
+LOCKS = (
+    "package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "pipfile.lock", "packages.lock.json",
+    "project.assets.json", "go.sum", "package.resolved", "gradle.lockfile",
+)
+LOCK_SUFFIXES = (".lock", ".lockfile")
 EXCLUDES = ((".env", "file"), (".env.*", "file"), ("*.pem", "file"), ("*.key", "file"), ("*.p12", "file"), ("id_rsa", "file"), (".git", "directory"))
 MAX_BYTES, SLOW_BYTES, PEEK = 50_000_000, 2_000_000, 8192
 BOMS = ((codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"), (codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
@@ -64,14 +74,13 @@ def _like(pattern: str):
 
 
 def file_class(path: Column) -> Column:
-    """ignored, archive, opaque, lock or text, by path alone."""
-    parts = F.split(path, "/")
+    """ignored, archive, opaque, lock or text, by path alone; case is ignored, and a file named like an ignored folder is ignored too."""
+    parts = F.split(F.lower(path), "/")
     name = F.element_at(parts, -1)
-    suffix = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
-    dirs = F.slice(parts, 1, F.size(parts) - 1)
+    suffix = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
     return (
-        F.when(F.arrays_overlap(dirs, F.array(*map(F.lit, IGNORED_DIRS))), "ignored").when(suffix.isin(*ARCHIVES), "archive").when(suffix.isin(*OPAQUE), "opaque")
-        .when(name.isin(*LOCKS) | name.endswith(".lock"), "lock").otherwise("text")
+        F.when(F.arrays_overlap(parts, F.array(*map(F.lit, IGNORED_DIRS))), "ignored").when(suffix.isin(*ARCHIVES), "archive").when(suffix.isin(*OPAQUE), "opaque")
+        .when(name.isin(*LOCKS) | suffix.isin(*LOCK_SUFFIXES), "lock").otherwise("text")
     )
 
 
