@@ -135,21 +135,33 @@ def test_page_structure():
 
 
 def test_host_suffix_array_removes_what_pages_repeat(spark):
-    rng = random.Random(2)
-    note = "this site is brought to you by the friends of long boilerplate sentences"
-    rows = [(i, f"http://{'a' if i < 8 else 'b'}.example/{i}", f"<body><div>{note}</div><div>{words(rng, 40, 10**6)}</div></body>") for i in range(9)]
-    rows += [(20, "http://a.example/x", None), (21, None, "<p>alone</p>"), (22, None, ""), (23, "http://c.example", "<div>" + "same words again and again in one page only ok " * 2 + "</div>")]
-    df = spark.createDataFrame([(*r, "old") for r in rows], "page_id bigint, url string, html string, text string")
-    got = {r.page_id: r.text for r in pages.main_text(df).collect()}
-    for i, _, html in rows[:8]:
-        assert got[i] == html.split("<div>")[2].split("</div>")[0]
-    assert note in got[8] and got[20] == "" and got[21] == "alone" and got[22] == ""
+    """Notices that a host repeats go, inside articles too; what two articles share, what a page repeats, copies and small hosts stay."""
+    rng = random.Random(3)
+    notice, quote = words(rng, 12), words(rng, 30)
+    rows, want = [], {}
+    for i in range(8):
+        own = words(rng, 40)
+        body = [own] + [quote] * (i in (2, 3))
+        rows.append((i, f"http://a.example/{i}", f"<article><p>{own}</p><div>{notice}</div>{f'<p>{quote}</p>' * (i in (2, 3))}</article>"))
+        want[i] = "\n\n".join(body)
+    for i in range(10, 18):  # no article: structure leaves all open
+        own = words(rng, 40)
+        rows.append((i, f"http://b.example/{i}", f"<div>{notice}</div><div>{own} {notice}</div>"))
+        want[i] = own
+    twice = words(rng, 10)
+    rows.append((20, "http://c.example/1", f"<div>{twice}</div><p>x</p><div>{twice}</div>"))
+    want[20] = f"{twice}\n\nx\n\n{twice}"
+    rows += [(21 + k, f"http://d.example/?page={k}", f"<div>{quote}</div>") for k in range(4)]
+    want |= {21 + k: quote for k in range(4)}
+    rows += [(30, None, None), (31, "http://a.example/x", ""), (32, "::bad::", "<p>a</p>")]
+    want |= {30: "", 31: "", 32: "a"}
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"host": F.lit(7), "text": F.lit("old"), "row": F.lit(1)}).repartition(3)
+    out = pages.main_text(df)
+    assert out.columns == ["page_id", "url", "host", "row", "text"]
+    assert {r.page_id: r.text for r in out.collect()} == want
     assert pages.main_text(df.limit(0)).count() == 0
 
 
-# -- 4 -------------------------------------------------------------------------------------------
-
-
 def test_secrets_against_brute_force(spark):
     encode = secrets.encoding(secrets.VOCABULARY).encode_ordinary
     rng = random.Random(3)

@@ -1,23 +1,27 @@
-"""Main text of web pages: page structure first, then a host's suffix array for what structure leaves open.
+"""Main text of web pages: page structure as a prior, and each host's suffix array as the judge.
 
 A page is read into blocks of text.  Elements that hold no article (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments, by their names, roles, and words of class or id) are left out with all
-that is in them.  If the page has an article (or a main element), its blocks are
-the text.  Otherwise structure leaves open which blocks are boilerplate, and the
-host tells: the open blocks of each page form a stream of tokens, the streams of
-a host are sorted as suffixes (see :mod:`veilspark.llm.repeats`; tokens carry
-their host, so only pages of one host match), and runs of at least ``run`` tokens
-that other pages of the host repeat are removed; the unique runs are the text.
+that is in them.  If the page has an article (or a main element), only its blocks
+are open; otherwise all are.
 
-Removing repeated runs inside an article would cut articles that two pages
-share, which the result must keep whole; so there structure decides alone.
+The open blocks of every page form a stream of tokens that carry their host.  The
+streams are sorted as suffixes (see :mod:`veilspark.llm.repeats`), which gives the
+runs of at least ``run`` tokens that stand elsewhere on the host too.  For the
+windows of ``run`` tokens inside those runs the distinct pages are counted (pages
+of a host with equal streams, such as a print view, are one page).  A window is
+boilerplate from ``least`` pages on that are a share of the host's pages: ``share``
+where structure leaves the page open, and ``inside`` within an article, where
+moreover only blocks that are boilerplate from end to end go.  So what two
+articles quote, what a page says twice, and small hosts stay whole, and the
+notice that a host puts into every article goes.  Boilerplate goes and the
+unique runs are the text.
 
 Character references are decoded once, white space inside a block becomes one
 space, blocks are joined by an empty line.  Nulls: a null page is empty; a null
-address is a host of its own name "".  Repeated rows are read alike, and (having
-the same address and html) do not count as other pages.  A page cut off inside a
-comment, script or tag ends there.
+address is a host of its own name "".  Repeated rows are read alike and count as
+one page.  A page cut off inside a comment, script or tag ends there.
 """
 
 from __future__ import annotations
@@ -28,15 +32,17 @@ from html import unescape
 from urllib.parse import urlsplit
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from veilspark.llm.common import fresh, sliced, stored, texts_of
-from veilspark.llm.repeats import merged, repeated_spans
+from veilspark.llm.repeats import merged, repeated_spans, window_hashes
 
-RUN = 8
+RUN, LEAST, SHARE, INSIDE = 8, 3, 0.2, 0.5
 #: HTML's own element lists.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noembed noframes xmp textarea title".split())
@@ -159,6 +165,11 @@ def blocks(html: str) -> tuple[list[str], bool]:
     return [t for t, a in found if a or not sure], sure or not found
 
 
+@F.pandas_udf(StringType())
+def _host(url: pd.Series) -> pd.Series:
+    return url.map(host_of, na_action=None)
+
+
 def host_of(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").lower()
@@ -166,60 +177,88 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _stream(host: str, texts: list[str]) -> np.ndarray:
-    """Hashes of the tokens of some blocks under a host."""
+def _streams(host: str, texts: list[str]) -> list[np.ndarray]:
+    """Hashes of the tokens of each block under a host."""
     seed = xxhash.xxh64_intdigest(host)
-    return np.array([xxhash.xxh64_intdigest(w, seed) for t in texts for w in t.split()], np.uint64)
+    return [np.array([xxhash.xxh64_intdigest(w, seed) for w in t.split()], np.uint64) for t in texts]
+
 
+def _row(stream: bytes) -> int:
+    return xxhash.xxh64_intdigest(stream) - (1 << 63)
 
-def main_text(pages: DataFrame, html: str = "html", url: str = "url", run: int = RUN) -> DataFrame:
-    """``pages`` without ``html``, with text (string, empty if none); a column that has the name text is replaced."""
+
+def main_text(pages: DataFrame, html: str = "html", url: str = "url", run: int = RUN, least: int = LEAST, share: float = SHARE, inside: float = INSIDE) -> DataFrame:
+    """``pages`` without ``html``, with text (string, empty if none); a column that has the name text is replaced.
+
+    The pages are read again for each step instead of being kept, so they must
+    be a table or something as cheap to read.
+    """
     carry = [c for c in pages.columns if c not in (html, "text")]
-    row, open_ = fresh("row", [*carry, html, url]), fresh("open_blocks", [*carry, html, url])
-    keyed = pages.withColumn(row, F.xxhash64(F.col(f"`{url}`"), F.col(f"`{html}`")))
+    host = fresh("host", [*carry, html, url])
+    keyed = pages.withColumn(host, F.lit(""))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*(f"`{c}`" for c in carry)).schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, html):
-            text, left = [], []
-            for page in texts_of(batch, html):
-                found, sure = blocks(page)
-                text.append("\n\n".join(found) if sure else None)
-                left.append(None if sure else found)
-            at = batch.schema.get_field_index
-            yield pa.RecordBatch.from_arrays([*(batch.column(at(c)) for c in carry), batch.column(at(row)), batch.column(at(url)), pa.array(text, pa.string()), pa.array(left, pa.list_(pa.string()))], [*carry, row, "own_url", "text", open_])
-
-    pages_read = stored(keyed.mapInArrow(read, f"{fields}{',' if fields else ''} `{row}` bigint, own_url string, text string, `{open_}` array<string>"), "pages")
-    settled = pages_read.where(F.col(open_).isNull()).select(*(f"`{c}`" for c in carry), "text")
-    left = pages_read.where(F.col(open_).isNotNull())
-    if not left.limit(1).count():
-        return settled
-
-    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [_stream(host_of(u), list(dict.fromkeys(b))).tobytes() for u, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["row", "text"])
-
-    once = left.select(F.col(row).alias("row"), "own_url", F.col(open_).alias("blocks")).dropDuplicates(["row"])
-    spans = repeated_spans(once.mapInArrow(streams, "row bigint, text binary"), 8 * run)
+        for batch in sliced(batches, "html"):
+            out = []
+            for page, u in zip(texts_of(batch, "html"), batch.column(1).to_pylist(), strict=True):
+                at = host_of(u)
+                stream = b"".join(x.tobytes() for x in _streams(at, blocks(page)[0]))
+                if stream:
+                    out.append((_row(stream), at, stream))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary()))], ["row", "host", "text"])
+
+    streams = pages.select(F.col(f"`{html}`").alias("html"), F.col(f"`{url}`").alias("url")).mapInArrow(read, "row bigint, host string, text binary")
+    spans = repeated_spans(streams.select("row", "text"), 8 * run)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            rows, hosts, found = [], [], []
+            for row, at, data, given in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                s, e = merged(*(np.array([x[k] for x in given], np.int64) for k in ("start", "end")))
+                h = _hashes(np.frombuffer(data, np.uint64), run)
+                own = np.unique(np.concatenate([h[-(-a // 8) : max(0, b // 8 - run + 1)] for a, b in zip(s, e, strict=True)] or [h[:0]]))
+                rows.append(np.full(len(own), row))
+                hosts += [at] * len(own)
+                found.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows or [np.zeros(0, np.int64)])), pa.array(hosts, pa.string()), pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], ["row", "host", "window"])
+
+    shared = streams.join(spans, "row").select("row", "host", "text", "spans").mapInArrow(windows, "row bigint, host string, window bigint").distinct()
+    counts = shared.groupBy("host", "window").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    sizes = streams.select("row", "host").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    often = counts.join(sizes, "host").where(F.col("n") >= F.lit(min(share, inside)) * F.col("pages"))
+    # A host has at most 1 / share times as many such windows as a page of it has on average.
+    judged = stored(often.groupBy("host").agg(F.collect_list(F.when(F.col("n") >= F.lit(share) * F.col("pages"), F.col("window"))).alias("open"), F.collect_list(F.when(F.col("n") >= F.lit(inside) * F.col("pages"), F.col("window"))).alias("inside")), "boilerplate")
 
     def unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(carry)
-        for batch in batches:
+        for batch in sliced(batches, html):
             text = []
-            for own, given in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
-                distinct = list(dict.fromkeys(own))
-                s, e = merged(*(np.array([x[k] for x in given or ()], np.int64) for k in ("start", "end")))
-                counts = [len(t.split()) for t in distinct]
-                gone = np.zeros(sum(counts), bool)
-                for a, b in zip(s, e, strict=True):
-                    gone[-(-a // 8) : b // 8] = True
-                kept, start = {}, 0
-                for t, c in zip(distinct, counts, strict=True):
-                    kept[t] = " ".join(w for w, g in zip(t.split(), gone[start : start + c], strict=True) if not g)
-                    start += c
-                text.append("\n\n".join(k for t in own if (k := kept[t])))
+            for page, at, wide, strict_ in zip(texts_of(batch, html), *(batch.column(n + 1 + k).to_pylist() for k in range(3)), strict=True):
+                own, sure = blocks(page)
+                bad = np.array(strict_ if sure else wide, np.int64) if wide is not None else np.zeros(0, np.int64)
+                if len(bad) and own:
+                    parts = _streams(at, own)
+                    whole = np.concatenate(parts)
+                    hit = np.flatnonzero(np.isin(_hashes(whole, run).view(np.int64), bad))
+                    edge = np.zeros(len(whole) + 1, np.int64)
+                    np.add.at(edge, hit, 1)
+                    np.add.at(edge, hit + run, -1)
+                    gone = np.split(np.cumsum(edge[:-1]) > 0, np.cumsum([len(x) for x in parts])[:-1])
+                    if sure:
+                        own = [t for t, g in zip(own, gone, strict=True) if not g.all()]
+                    else:
+                        own = [t for t in (" ".join(w for w, x in zip(t.split(), g, strict=True) if not x) for t, g in zip(own, gone, strict=True)) if t]
+                text.append("\n\n".join(own))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(text, pa.string())], [*carry, "text"])
 
-    joined = left.join(spans.select(F.col("row").alias(row), "spans"), row, "left").select(*(f"`{c}`" for c in carry), open_, "spans")
-    return settled.unionByName(joined.mapInArrow(unique_runs, f"{fields}{',' if fields else ''} text string"))
+    open_, in_ = fresh("open", keyed.columns), fresh("inside", keyed.columns)
+    judged = judged.select(F.col("host").alias(host), F.col("open").alias(open_), F.col("inside").alias(in_))
+    named = keyed.select(*(f"`{c}`" for c in carry), f"`{html}`", _host(F.col(f"`{url}`")).alias(host))
+    joined = named.join(judged, host, "left").select(*(f"`{c}`" for c in carry), f"`{html}`", host, open_, in_)
+    return joined.mapInArrow(unique_runs, f"{fields}{',' if fields else ''} text string")
+
+
+def _hashes(tokens: np.ndarray, run: int) -> np.ndarray:
+    """Hashes of the windows of ``run`` tokens."""
+    return window_hashes(tokens, run) if len(tokens) >= run else np.zeros(0, np.uint64)
