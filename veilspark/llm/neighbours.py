@@ -9,10 +9,11 @@ probable part; a query goes to its ``probes`` most probable ones, where all rows
 are compared by their exact distances.  ``probes`` is the smallest number that
 reaches ``target`` of the neighbours within the sample.
 
-Index and queries travel in blocks of bounded size.  Blocks of a part are dealt
-over ``salts`` buckets and each block of queries goes to all of them, so a part
-with a third of all rows (one vector many times, say) is many small pieces of
-work.  A query that finds fewer than ``k`` neighbours, though there are as many
+There are ``parts`` parts at every size (a sample of fewer than four vectors a part
+is one part).  Index and queries travel in blocks of bounded size.  Blocks of a
+part are dealt over salts, one for each ``salt_rows`` rows that a part has on
+average, and each block of queries goes to all of them, so a part with a third of
+all rows (one vector many times, say) is many small pieces of work.  A query that finds fewer than ``k`` neighbours, though there are as many
 rows, is sent to every part.
 
 Vectors that are null or zero, hold nulls or numbers that are not finite, or have
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import stored
 
-SAMPLE_ROWS, PART_ROWS, MAX_PARTS, TARGET, SALTS, BLOCK, K = 4000, 1500, 64, 0.97, 8, 2048, 10
+SAMPLE_ROWS, PARTS, TARGET, SALT_ROWS, BLOCK, K = 4000, 16, 0.94, 20_000, 2048, 10
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -227,7 +228,7 @@ def _searched(index: DataFrame, queries: DataFrame, router, probes: int | None,
     return pairs.mapInArrow(compare, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
 
 
-def search(df: DataFrame, queries: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, sample_rows: int = SAMPLE_ROWS, part_rows: int = PART_ROWS, target: float = TARGET, salts: int = SALTS) -> DataFrame:
+def search(df: DataFrame, queries: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, sample_rows: int = SAMPLE_ROWS, parts: int = PARTS, target: float = TARGET, salt_rows: int = SALT_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for each row that satisfies ``queries`` (a condition on ``df``)."""
     v = F.transform(F.col(f"`{vector}`"), lambda x: x.cast("double"))
     rows = df.select(F.col(f"`{vec_id}`").cast("bigint").alias("id"), v.alias("v"), F.coalesce(queries, F.lit(False)).alias("asked")).where(F.col("id").isNotNull() & usable(F.col("v")))
@@ -238,14 +239,12 @@ def search(df: DataFrame, queries: Column, vec_id: str = "vec_id", vector: str =
     hashed = F.xxhash64("v", "id")
     bound = int(min(1.0, 1.2 * sample_rows / n) * 2**64) - 2**63 - 1
     sample = rows.where(hashed <= F.lit(bound)).select(hashed.alias("h"), "v").orderBy("h").limit(sample_rows).collect()
-    parts = 1
-    while parts * 2 <= min(MAX_PARTS, n // part_rows):
-        parts *= 2
+    salts = int(n // (parts * salt_rows)) + 1
     x = np.array([r.v for r in sample], np.float64).reshape(len(sample), dims)
     router = df.sparkSession.sparkContext.broadcast(fitted(np.unique(x, axis=0), parts, k, target))
     index, asked = rows.select("id", "v"), rows.where("asked").select("id", "v")
     found = stored(_searched(index, asked, router, router.value.probes, k, salts, BLOCK), "neighbours")
-    if parts > 1:
+    if router.value.w2.shape[1] > 1:
         counted = asked.select(F.col("id").alias("query_id")).distinct().join(found.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
         poor = stored(counted.where(F.coalesce("n", F.lit(0)) < min(k, n - 1)).select(F.col("query_id").alias("id")), "poor")
         if poor.limit(1).count():
