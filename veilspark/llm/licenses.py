@@ -4,7 +4,9 @@ Wherever a text speaks of a licence, the words around are compared with the
 templates: windows of a template's length slide over the place, both sides are
 vectors of words and word pairs weighted by their inverse document frequency
 among the templates, and the template with the largest cosine wins if it reaches
-``threshold``.  A file most of whose words lie in such windows is a licence file
+``threshold``.  A whole file is also compared with the whole licence texts (the files
+in ``licence_texts``, by SPDX identifier): from a cosine of ``WHOLE`` on it is that
+licence's file, whatever notice it quotes.  A file most of whose words lie in such windows is a licence file
 and speaks for its folder; a licence found in any other file speaks for that file
 (its header).  A file without a licence of its own takes that of the nearest
 folder above it that has a licence file.  Folders are looked up by joins on the
@@ -24,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import fresh, sliced, stored, texts_of
 
-THRESHOLD, FILE_SHARE = 0.7, 0.5
+THRESHOLD, FILE_SHARE, WHOLE = 0.7, 0.5, 0.9
+#: Cosines of windows that the scan of one text keeps at a time.
+KEPT = 20_000
 #: Short notices by SPDX identifier; each line is a template.
 TEMPLATES = {
     "AGPL-3.0": ["This program is free software under the terms of the GNU Affero General Public License version 3", "licensed under the GNU Affero General Public License version 3"],
@@ -77,12 +82,35 @@ def _unit(words: list[str], idf: dict[str, float], unseen: float) -> dict[str, f
     return {t: x / norm for t, x in v.items()}
 
 
+@cache
+def _whole() -> tuple[list[tuple[str, int, dict[str, float]]], dict[str, float], float, frozenset[str]]:
+    """The whole licence texts as (identifier, words, unit vector), the weights of terms, that of an unseen term, and all words."""
+    texts = [(f.stem, _WORD.findall(f.read_text(encoding="utf-8").lower())) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+    df = Counter(term for _, words in texts for term in set(_terms(words)))
+    idf = {term: math.log((1 + len(texts)) / (1 + n)) + 1 for term, n in df.items()}
+    unseen = math.log(1 + len(texts)) + 1
+    return [(name, len(words), _unit(words, idf, unseen)) for name, words in texts], idf, unseen, frozenset(w for _, words in texts for w in words)
+
+
+def whole_file(words: list[str], at_least: float = WHOLE) -> tuple[str, float] | None:
+    """The licence whose whole text a file holds, and the cosine; None if there is none."""
+    texts, idf, unseen, vocabulary = _whole()
+    fits = [t for t in texts if t[1] <= 2 * len(words) and len(words) <= 2 * t[1]]
+    if not fits or sum(w in vocabulary for w in words) < 0.75 * len(words):
+        return None
+    u = _unit(words, idf, unseen)
+    best = max(((round(sum(x * u.get(t, 0.0) for t, x in vector.items()), 12), name) for name, _, vector in fits), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+    return (best[1], best[0]) if best[0] >= at_least else None
+
+
 def scan(text: str, threshold: float = THRESHOLD) -> tuple[str | None, float, float, list[tuple[str, float]]]:
     """(best licence, its cosine, share of the words inside matches, all licences with their best cosines)."""
     if not _SPEAKS.search(text):
         return None, 0.0, 0.0, []
     templates, idf, unseen = _model()
     words = _WORD.findall(text.lower())
+    if (file := whole_file(words)) is not None:
+        return file[0], file[1], 1.0, [file]
     best: dict[str, float] = {}
     covered: set[int] = set()
     tried: set[tuple[int, int]] = set()
@@ -98,6 +126,8 @@ def scan(text: str, threshold: float = THRESHOLD) -> tuple[str | None, float, fl
                 tried.add((start, n))
                 window = (n, *words[start : start + n])
                 if window not in cosines:
+                    if len(cosines) >= KEPT:
+                        cosines.clear()
                     u = _unit(list(window[1:]), idf, unseen)
                     cosines[window] = [sum(x * u.get(t, 0.0) for t, x in vector.items()) for _, vector in group]
                 for (name, _), c in zip(group, cosines[window], strict=True):
