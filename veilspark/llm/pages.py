@@ -6,17 +6,22 @@ comments, by their names, roles, and words of class or id) are left out with all
 that is in them.  If the page has an article (or a main element), only its blocks
 are open; otherwise all are.
 
-The open blocks of every page form a stream of tokens that carry their host.  The
-streams are sorted as suffixes (see :mod:`veilspark.llm.repeats`), which gives the
-runs of at least ``run`` tokens that stand elsewhere on the host too.  For the
-windows of ``run`` tokens inside those runs the distinct pages are counted (pages
-of a host with equal streams, such as a print view, are one page).  A window is
-boilerplate from ``least`` pages on that are a share of the host's pages: ``share``
-where structure leaves the page open, and ``inside`` within an article, where
-moreover only blocks that are boilerplate from end to end go.  So what two
-articles quote, what a page says twice, and small hosts stay whole, and the
-notice that a host puts into every article goes.  Boilerplate goes and the
-unique runs are the text.
+The open blocks of every page form a stream of tokens.  A run of at least ``run``
+tokens is boilerplate if it stands on a share of the host's pages (``share`` where
+structure leaves the page open, ``inside`` within an article, where moreover only
+blocks that are boilerplate from end to end go) and on ``least`` distinct pages at
+least (pages with equal streams, such as a print view, are one).  So what two
+articles quote, what a page says twice, and small hosts stay whole, and the notice
+that a host puts into every article goes.
+
+1. What reaches a share of a host's pages reaches that share in some slice of the
+   input.  So in each slice the streams of a host's pages are concatenated,
+   windows of ``run`` tokens that too few of them hold are passed over, and the
+   runs that are left are sorted as suffixes by induction
+   (:mod:`veilspark.llm.induced`), whose common prefixes confirm them.
+2. The windows so found are counted over all pages, exactly; only they are
+   shuffled, with partial sums, so that a hot host is no hot task.
+3. Every page drops what its host's boilerplate covers and keeps its unique runs.
 
 Character references are decoded once, white space inside a block becomes one
 space, blocks are joined by an empty line.  Nulls: a null page is empty; a null
@@ -27,6 +32,7 @@ one page.  A page cut off inside a comment, script or tag ends there.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from urllib.parse import urlsplit
@@ -39,10 +45,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from veilspark.llm.common import fresh, sliced, stored, texts_of
-from veilspark.llm.repeats import merged, repeated_spans, window_hashes
+from veilspark.llm.common import fresh, mixed, sliced, stored, texts_of, word_hashes
+from veilspark.llm.decontaminate import runs
+from veilspark.llm.induced import repeated_starts
+from veilspark.llm.repeats import window_hashes
 
 RUN, LEAST, SHARE, INSIDE = 8, 3, 0.2, 0.5
+SLICE = 4 << 20
 #: HTML's own element lists.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noembed noframes xmp textarea title".split())
@@ -177,14 +186,49 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _streams(host: str, texts: list[str]) -> list[np.ndarray]:
-    """Hashes of the tokens of each block under a host."""
-    seed = xxhash.xxh64_intdigest(host)
-    return [np.array([xxhash.xxh64_intdigest(w, seed) for w in t.split()], np.uint64) for t in texts]
-
-
-def _row(stream: bytes) -> int:
-    return xxhash.xxh64_intdigest(stream) - (1 << 63)
+def _streams(pages_: list[str], hosts: list[str], run: int) -> list[tuple[list[str], bool, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each page: its open blocks, whether structure has chosen them, their numbers of tokens, the tokens' hashes, and the hashes of all windows of ``run`` tokens under the host."""
+    read = [blocks(p) for p in pages_]
+    tokens, counts = word_hashes([t.encode() for own, _ in read for t in own])
+    ends = np.cumsum([len(own) for own, _ in read])
+    cuts = np.concatenate([[0], np.cumsum(counts)])
+    out = []
+    for (own, sure), host, end in zip(read, hosts, ends.tolist(), strict=True):
+        mine = tokens[cuts[end - len(own)] : cuts[end]]
+        seed = np.uint64(xxhash.xxh64_intdigest(host))
+        out.append((own, sure, counts[end - len(own) : end], mine, mixed(_hashes(mine, run) ^ seed)))
+    return out
+
+
+def _candidates(pages_: list[tuple], hosts: list[str], share: float, run: int) -> dict[str, np.ndarray]:
+    """By host, the windows that a share of its pages in a slice hold, confirmed by a suffix array of their runs."""
+    by: dict[str, list[int]] = {}
+    for i, host in enumerate(hosts):
+        if len(pages_[i][4]):
+            by.setdefault(host, []).append(i)
+    out = {}
+    for host, own in by.items():
+        if len(own) < 2:  # one page of a host in this slice: all it holds may be boilerplate
+            out[host] = np.unique(pages_[own[0]][4])
+            continue
+        held = [np.unique(pages_[i][4]) for i in own]
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        found = found[n >= max(share * len(own), 1 if len(own) * share <= 1 else 2)]
+        if share * len(own) <= 1:  # windows of any page may be
+            out[host] = found
+            continue
+        segments, windows = [], []
+        for i in own:
+            tokens, h = pages_[i][3], pages_[i][4]
+            s, e = runs(np.isin(h, found))
+            for x, y in zip(s, e, strict=True):
+                segments.append(tokens[x : y + run - 1].tobytes())
+                windows.append(h[x:y])
+        if not segments:
+            continue
+        again = [r[::8][: len(w)] for r, w in zip(repeated_starts(segments, 8 * run), windows, strict=True)]
+        out[host] = np.unique(np.concatenate([w[r] for w, r in zip(windows, again, strict=True)]))
+    return out
 
 
 def main_text(pages: DataFrame, html: str = "html", url: str = "url", run: int = RUN, least: int = LEAST, share: float = SHARE, inside: float = INSIDE) -> DataFrame:
@@ -194,57 +238,56 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", run: int =
     be a table or something as cheap to read.
     """
     carry = [c for c in pages.columns if c not in (html, "text")]
-    host = fresh("host", [*carry, html, url])
-    keyed = pages.withColumn(host, F.lit(""))
+    host, given = fresh("host", [*carry, html, url]), fresh("windows", [*carry, html, url])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*(f"`{c}`" for c in carry)).schema)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "html"):
-            out = []
-            for page, u in zip(texts_of(batch, "html"), batch.column(1).to_pylist(), strict=True):
-                at = host_of(u)
-                stream = b"".join(x.tobytes() for x in _streams(at, blocks(page)[0]))
-                if stream:
-                    out.append((_row(stream), at, stream))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary()))], ["row", "host", "text"])
-
-    streams = pages.select(F.col(f"`{html}`").alias("html"), F.col(f"`{url}`").alias("url")).mapInArrow(read, "row bigint, host string, text binary")
-    spans = repeated_spans(streams.select("row", "text"), 8 * run)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
-            rows, hosts, found = [], [], []
-            for row, at, data, given in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                s, e = merged(*(np.array([x[k] for x in given], np.int64) for k in ("start", "end")))
-                h = _hashes(np.frombuffer(data, np.uint64), run)
-                own = np.unique(np.concatenate([h[-(-a // 8) : max(0, b // 8 - run + 1)] for a, b in zip(s, e, strict=True)] or [h[:0]]))
-                rows.append(np.full(len(own), row))
-                hosts += [at] * len(own)
-                found.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows or [np.zeros(0, np.int64)])), pa.array(hosts, pa.string()), pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], ["row", "host", "window"])
-
-    shared = streams.join(spans, "row").select("row", "host", "text", "spans").mapInArrow(windows, "row bigint, host string, window bigint").distinct()
-    counts = shared.groupBy("host", "window").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    sizes = streams.select("row", "host").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    often = counts.join(sizes, "host").where(F.col("n") >= F.lit(min(share, inside)) * F.col("pages"))
-    # A host has at most 1 / share times as many such windows as a page of it has on average.
-    judged = stored(often.groupBy("host").agg(F.collect_list(F.when(F.col("n") >= F.lit(share) * F.col("pages"), F.col("window"))).alias("open"), F.collect_list(F.when(F.col("n") >= F.lit(inside) * F.col("pages"), F.col("window"))).alias("inside")), "boilerplate")
+    slim = pages.select(F.col(f"`{html}`").alias("html"), _host(F.col(f"`{url}`")).alias("host"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "html", SLICE):
+            hosts = batch.column(1).to_pylist()
+            found = _candidates(_streams(texts_of(batch, "html"), hosts, run), hosts, min(share, inside), run)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x.view(np.int64) for x in found.values()], pa.list_(pa.int64()))], ["host", "windows"])
+
+    # Slices name the same windows again and again; each host's are merged in parts, by their hashes.
+    named = slim.mapInArrow(find, "host string, windows array<bigint>").select("host", F.explode("windows").alias("window")).distinct()
+    asked = stored(named.groupBy("host").agg(F.collect_list("window").alias("windows")), "windows")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "html", SLICE):
+            hosts = batch.column(1).to_pylist()
+            sums: dict[tuple[str, int], list[int]] = {}
+            for page, at, wanted in zip(_streams(texts_of(batch, "html"), hosts, run), hosts, batch.column(2), strict=True):
+                row = xxhash.xxh64_intdigest(page[3].tobytes()) - (1 << 63)
+                own = np.unique(page[4]).view(np.int64)
+                own = own[np.isin(own, wanted.values.to_numpy())] if wanted.is_valid else own[:0]
+                for w in own.tolist():
+                    sums.setdefault((at, w), []).append(row)
+                if page[0]:
+                    sums.setdefault((at, None), []).append(row)
+            rows = [(k[0], k[1], r, n) for k, v in sums.items() for r, n in Counter(v).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "window", "row", "n"])
+
+    counted = slim.join(asked, "host", "left").select("html", "host", "windows").mapInArrow(count, "host string, window bigint, row bigint, n bigint")
+    counted = counted.groupBy("host", "window", "row").agg(F.sum("n").alias("n")).groupBy("host", "window").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    counted = stored(counted.where(F.col("window").isNull() | (F.col("rows") >= least)), "window-counts")
+    sizes = counted.where("window is null").select("host", F.col("n").alias("pages"))
+    often = counted.where("window is not null").join(sizes, "host").where(F.col("n") >= F.lit(min(share, inside)) * F.col("pages"))
+    wide, strict_ = (F.collect_list(F.when(F.col("n") >= F.lit(x) * F.col("pages"), F.col("window"))) for x in (share, inside))
+    # Each page has so many windows at most, so a host has 1 / share times as many that reach the share.
+    judged = stored(often.groupBy("host").agg(F.struct(wide.alias("open"), strict_.alias("inside")).alias("windows")), "boilerplate")
 
     def unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(carry)
-        for batch in sliced(batches, html):
+        for batch in sliced(batches, html, SLICE):
             text = []
-            for page, at, wide, strict_ in zip(texts_of(batch, html), *(batch.column(n + 1 + k).to_pylist() for k in range(3)), strict=True):
-                own, sure = blocks(page)
-                bad = np.array(strict_ if sure else wide, np.int64) if wide is not None else np.zeros(0, np.int64)
-                if len(bad) and own:
-                    parts = _streams(at, own)
-                    whole = np.concatenate(parts)
-                    hit = np.flatnonzero(np.isin(_hashes(whole, run).view(np.int64), bad))
-                    edge = np.zeros(len(whole) + 1, np.int64)
+            bad = batch.column(n + 2)
+            for k, (own, sure, counts, tokens, h) in enumerate(_streams(texts_of(batch, html), batch.column(n + 1).to_pylist(), run)):
+                if bad[k].is_valid and own and len(h):
+                    hit = np.flatnonzero(np.isin(h.view(np.int64), bad[k]["inside" if sure else "open"].values.to_numpy()))
+                    edge = np.zeros(len(tokens) + 1, np.int64)
                     np.add.at(edge, hit, 1)
                     np.add.at(edge, hit + run, -1)
-                    gone = np.split(np.cumsum(edge[:-1]) > 0, np.cumsum([len(x) for x in parts])[:-1])
+                    gone = np.split(np.cumsum(edge[:-1]) > 0, np.cumsum(counts)[:-1])
                     if sure:
                         own = [t for t, g in zip(own, gone, strict=True) if not g.all()]
                     else:
@@ -252,10 +295,9 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", run: int =
                 text.append("\n\n".join(own))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(text, pa.string())], [*carry, "text"])
 
-    open_, in_ = fresh("open", keyed.columns), fresh("inside", keyed.columns)
-    judged = judged.select(F.col("host").alias(host), F.col("open").alias(open_), F.col("inside").alias(in_))
-    named = keyed.select(*(f"`{c}`" for c in carry), f"`{html}`", _host(F.col(f"`{url}`")).alias(host))
-    joined = named.join(judged, host, "left").select(*(f"`{c}`" for c in carry), f"`{html}`", host, open_, in_)
+    judged = judged.select(F.col("host").alias(host), F.col("windows").alias(given))
+    keyed = pages.select(*(f"`{c}`" for c in carry), F.col(f"`{html}`"), _host(F.col(f"`{url}`")).alias(host))
+    joined = keyed.join(judged, host, "left").select(*(f"`{c}`" for c in carry), f"`{html}`", host, given)
     return joined.mapInArrow(unique_runs, f"{fields}{',' if fields else ''} text string")
 
 
