@@ -3,8 +3,9 @@
 Four kinds of evidence about a text's language are added as log-probabilities:
 
 * the text: a naive Bayes model over hashed byte trigrams of the whole text,
-  fitted on at most ``sample_rows`` rows that declare a language (the rows with
-  the smallest hashes, so the sample does not depend on order or partitions);
+  fitted on at most ``sample_rows`` rows that declare a language (of each language
+  as many, those with the smallest hashes, so the sample does not depend on order
+  or partitions, and a rare language has its place);
   the class ``und`` gives every trigram the same probability and so wins over
   all languages for texts that are in none of them;
 * the declared markup language, by how often rows of each language declare it;
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import bytes_of, fresh, sliced, stored
 
-SAMPLE_ROWS, BUCKETS, MIN_LABELLED = 4000, 1 << 16, 5
+SAMPLE_ROWS, BUCKETS = 4000, 1 << 16
 #: Weight of the text's log-likelihood (trigrams overlap, so they are no independent evidence), and strength of shrinking.
 TEXT_WEIGHT, KAPPA = 0.3, 20.0
 UND = "und"
@@ -60,7 +61,7 @@ class TextModel:
     """Log-probabilities of trigrams by language; the last row is ``und``."""
 
     def __init__(self, texts: list[bytes], labels: list[str]) -> None:
-        seen = sorted({x for x in labels if labels.count(x) >= MIN_LABELLED}) if len(labels) < 50 else sorted(x for x, n in zip(*np.unique(labels, return_counts=True), strict=True) if n >= MIN_LABELLED)
+        seen = sorted(set(labels))
         self.languages = [str(x) for x in seen if x != UND] + [UND]
         table = np.zeros((len(self.languages), BUCKETS))
         for k, x in enumerate(self.languages[:-1]):
@@ -86,14 +87,28 @@ def has_letters(texts: list[bytes]) -> list[bool]:
 
 
 def fitted(df: DataFrame, text: str, declared: str, sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """Fit the text model on at most ``sample_rows`` rows with a declared language and a text, those of the smallest hashes."""
+    """Fit the text model on at most ``sample_rows`` different labelled texts: of each declared language as many, those of the smallest hashes.
+
+    However rare a language is, it takes part (of more than ``sample_rows`` the
+    most frequent); copies of a text count once.
+    """
     t, d = F.col(f"`{text}`"), F.lower(F.trim(F.col(f"`{declared}`").cast("string")))
     labelled = df.where(t.isNotNull() & d.isNotNull() & (F.length(t) > 0)).select(F.xxhash64(t, d).alias("h"), t.alias("t"), d.alias("d"))
-    # Hashes are uniform, so about 1.1 times the sample lies below this bound, and no task offers more than its share.
-    share = min(1.0, 1.1 * sample_rows / max(1, labelled.count()))
-    bound = int(share * 2**64) - 2**63 - 1
-    rows = labelled.where(F.col("h") <= F.lit(bound)).orderBy("h", "d").limit(sample_rows).collect()
-    return TextModel([r.t.encode() for r in rows], [r.d for r in rows])
+    counts = labelled.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(sample_rows).collect()
+    if not counts:
+        return TextModel([], [])
+    # Each language has its share, and what smaller languages leave of theirs; hashes are uniform, so about 1.1 times the share of n rows lies below its bound.
+    left, shares = sample_rows, {}
+    for k, r in enumerate(reversed(counts)):
+        shares[r.d] = min(r.n, max(1, left // (len(counts) - k)))
+        left -= shares[r.d]
+    bounds = df.sparkSession.createDataFrame([(r.d, int(min(1.0, (1.1 * shares[r.d] + 10) / r.n) * 2**64) - 2**63 - 1) for r in counts], "d string, bound bigint")
+    below = labelled.join(F.broadcast(bounds), "d").where("h <= bound").groupBy("h", "d").agg(F.min("t").alias("t"))
+    taken: dict[str, list] = {}
+    for r in below.orderBy("h", "d").toLocalIterator():
+        if len(own := taken.setdefault(r.d, [])) < shares[r.d]:
+            own.append(r.t.encode())
+    return TextModel([x for own in taken.values() for x in own], [k for k, own in taken.items() for _ in own])
 
 
 def _scored(df: DataFrame, model: TextModel, text: str, ll: str, letters: str, drop_text: bool = False) -> DataFrame:

@@ -80,10 +80,89 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_words")
 
 
+def language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page: its text with the declared markup language, the suffix of its address, and its host."""
+    seen = language.page_evidence(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return language.identify(seen.select("page_id", "page_text", "markup_language", "host"), "page_text", "markup_language", "host", carry=["page_id"])
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op1_lm: all but the automaton's score."""
+    return op1_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op4_secrets: all but the spans that the vocabulary finds."""
+    return op4_secrets(spark, sf_dir).drop("spans")
+
+
+def contamination_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op5_decontaminate: all but the proximity matches."""
+    return op5_decontaminate(spark, sf_dir).drop("n_near", "hits")
+
+
+def jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of op6_jaccard."""
+    return op6_jaccard(spark, sf_dir).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lm, op2_neighbours, op3_pages, op4_secrets, op5_decontaminate, op6_jaccard, op7_licences, op8_pieces, op9_language, op10_repeats)
+    for f in (op1_lm, op2_neighbours, op3_pages, op4_secrets, op5_decontaminate, op6_jaccard, op7_licences, op8_pieces, op9_language, op10_repeats, language_pages, lm_base, secrets_base, contamination_exact, jaccard_components)
 }
 
-#: None of the ten has a form in SQL that runs on whole tables (learned models, vocabularies, suffix arrays, transitive links); tests/llm holds brute-force versions.
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+_PLAIN = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: crc32 of the digits of doc_id: each byte goes in and is followed by eight steps (marked -1).
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(1, length(doc_id::varchar) + 1), lambda i: [ascii(substring(doc_id::varchar, i, 1))::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, b: case when b >= 0 then xor(c, b) when c & 1 = 1 then xor(c // 2, 3988292384) else c // 2 end), 4294967295::bigint)"""
+
+
+def _kind_sql(kind: str, rank: int, pattern: str, kept: str) -> str:
+    return f"""select doc_id, '{kind}' as kind, {rank} as rank, s, e from (
+  select doc_id, v, v2, (sum(g) over w + sum(length(v)) over w - length(v))::bigint as s, (sum(g) over w + sum(length(v)) over w)::bigint as e
+  from (select doc_id, unnest(ms) as v, unnest(m2) as v2, unnest(list_transform(list_slice(gs, 1, len(ms)), lambda g: length(g))) as g, generate_subscripts(ms, 1) as i
+    from (select doc_id, regexp_extract_all(text, '{pattern}') as ms, regexp_extract_all(text, '{pattern}', {2 if kind == "assign" else 0}) as m2, string_split_regex(text, '{pattern}') as gs from documents where regexp_matches(text, '{pattern}')))
+  window w as (partition by doc_id order by i)) where {kept}"""
+
+
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+#: SQL of what it can express; learned models, vocabularies and page structure have none, and tests/llm holds plain versions of them.
+ORACLES: dict[str, str] = {
+    "lm_base": f"""with d as (select doc_id, {_CRC} % 10 = 0 as held_out, list_append({_WORDS}, chr(10)) as w from documents),
+t as (select doc_id, held_out, unnest(w) as w from d), c as (select w, count(*) as c from t where not held_out group by w), s as (select coalesce(sum(c), 0)::bigint as n, count(*) as v from c)
+select doc_id, held_out, count(*)::bigint as n_tokens, count(c.c)::bigint as n_known, any_value(s.n)::bigint as train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.1::double) / (s.n + 0.1::double * (s.v + 1)))), 4) as base_score
+from t left join c using (w), s group by doc_id, held_out""",
+    "secrets_base": f"""with f as ({_kind_sql("assign", 0, _ASSIGN, "length(v2) >= 12")} union all {_kind_sql("access", 1, "AKIA[A-Z0-9]+", "length(v) >= 18")} union all {_kind_sql("hex", 2, "[0-9a-f]+", "length(v) >= 16")})
+select d.doc_id, count(*) filter (kind = 'assign')::bigint as n_assign, count(*) filter (kind = 'access')::bigint as n_access, count(*) filter (kind = 'hex')::bigint as n_hex, sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, rank), '')) as base_sha256
+from documents d left join f using (doc_id) group by d.doc_id""",
+    "contamination_exact": f"""with b as (select item_id, {_PLAIN} as w from benchmark where item_id is not null),
+bw as (select distinct item_id, case when len(w) < 10 then len(w) else 10 end as n, array_to_string(list_slice(w, i, i + 9), ' ') as x from (select item_id, w, unnest(range(1, greatest(2, len(w) - 8))) as i from b where len(w) > 0)),
+d as (select doc_id, {_PLAIN} as w from documents), n as (select distinct n from bw),
+dw as (select doc_id, n.n as n, i, array_to_string(list_slice(w, i, i + n.n - 1), ' ') as x from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d), n where i + n.n - 1 <= len(w)),
+f as (select doc_id, i, dw.n, item_id from dw join bw on dw.x = bw.x and dw.n = bw.n),
+h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from f) group by doc_id), g as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from f group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join h using (doc_id) left join g using (doc_id)""",
+    "jaccard_components": f"""with recursive d as (select doc_id, {_WORDS} as w from documents),
+s as (select distinct doc_id, array_to_string(list_slice(w, i, i + 4), ' ') || case when len(w) < 5 then chr(10) || len(w) else '' end as x from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id), p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+e as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * k >= 75 * (x.n + y.n - k)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, e.b from r join e on e.a = r.b)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, (select min(b) from r where r.a = documents.doc_id)::bigint as component_id from documents left join n using (doc_id)""",
+    "op10_repeats": f"""with d as (select doc_id, encode(coalesce(text, '')) as b, {_WORDS} as w from documents),
+x as (select doc_id, i, hash(array_slice(b, i, i + 399)) as h, md5(array_slice(b, i, i + 399)) as m from (select doc_id, b, unnest(range(1, octet_length(b) - 398)) as i from d where octet_length(b) >= 400)),
+r as (select doc_id, i from x join (select h, m from x group by h, m having count(*) > 1) using (h, m)),
+o as (select doc_id, i, i - coalesce(lag(i) over (partition by doc_id order by i), -400) as gap from r), g as (select doc_id, i, sum(case when gap > 400 then 1 else 0 end) over (partition by doc_id order by i) as run from o),
+spans as (select doc_id, run, min(i) as s, max(i) + 400 as e from g group by doc_id, run),
+cuts as (select doc_id, s, e, coalesce(lag(e) over (partition by doc_id order by s), 1) as before from spans),
+kept as (select doc_id, string_agg(hex(array_slice(b, before, s - 1)), '' order by s) as head, max(e) as tail, sum(e - s) as n_removed, count(*) as n_spans from cuts join d using (doc_id) group by doc_id),
+pw as (select doc_id, i, md5(array_to_string(list_slice(w, i, i + 50), ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 49)) as i from d where len(w) >= 51)),
+pr as (select doc_id, i from pw join (select h from pw group by h having count(distinct doc_id) > 1) using (h)),
+po as (select doc_id, i, i - coalesce(lag(i) over (partition by doc_id order by i), -51) as gap from pr), pg as (select doc_id, i, sum(case when gap > 51 then 1 else 0 end) over (partition by doc_id order by i) as run from po),
+ps as (select doc_id, count(*) as n, sum(k) as k from (select doc_id, run, max(i) + 51 - min(i) as k from pg group by doc_id, run) group by doc_id)
+select d.doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(case when head is null then hex(b) else head || hex(array_slice(b, tail, octet_length(b))) end)) as kept_sha256, coalesce(ps.n, 0)::bigint as n_passages, coalesce(ps.k, 0)::bigint as n_passage_words
+from d left join kept using (doc_id) left join ps using (doc_id)""",
+}
