@@ -32,7 +32,6 @@ one page.  A page cut off inside a comment, script or tag ends there.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from urllib.parse import urlsplit
@@ -51,7 +50,8 @@ from veilspark.llm.induced import repeated_starts
 from veilspark.llm.repeats import window_hashes
 
 RUN, LEAST, SHARE, INSIDE = 8, 3, 0.2, 0.5
-SLICE = 4 << 20
+#: Bytes of html that are read in a step, and tokens whose windows a task compares at a time.
+SLICE, TOKENS = 4 << 20, 4_000_000
 #: HTML's own element lists.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noembed noframes xmp textarea title".split())
@@ -243,10 +243,24 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", run: int =
     slim = pages.select(F.col(f"`{html}`").alias("html"), _host(F.col(f"`{url}`")).alias("host"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        names: list[str] = []
+
+        def told() -> pa.RecordBatch:
+            found = _candidates(held, names, min(share, inside), run)
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x.view(np.int64) for x in found.values()], pa.list_(pa.int64()))], ["host", "windows"])
+
+        # The larger the part of a host that a slice holds, the fewer windows reach the share by chance.
         for batch in sliced(batches, "html", SLICE):
             hosts = batch.column(1).to_pylist()
-            found = _candidates(_streams(texts_of(batch, "html"), hosts, run), hosts, min(share, inside), run)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x.view(np.int64) for x in found.values()], pa.list_(pa.int64()))], ["host", "windows"])
+            held += [(None, sure, None, tokens, h) for _, sure, _, tokens, h in _streams(texts_of(batch, "html"), hosts, run)]
+            names += hosts
+            if sum(len(x[3]) for x in held) >= TOKENS:
+                yield told()
+                held.clear()
+                names.clear()
+        if held:
+            yield told()
 
     # Slices name the same windows again and again; each host's are merged in parts, by their hashes.
     named = slim.mapInArrow(find, "host string, windows array<bigint>").select("host", F.explode("windows").alias("window")).distinct()
@@ -255,17 +269,19 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", run: int =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "html", SLICE):
             hosts = batch.column(1).to_pylist()
-            sums: dict[tuple[str, int], list[int]] = {}
-            for page, at, wanted in zip(_streams(texts_of(batch, "html"), hosts, run), hosts, batch.column(2), strict=True):
-                row = xxhash.xxh64_intdigest(page[3].tobytes()) - (1 << 63)
+            at, rows, windows = [], [], []
+            for k, (page, wanted) in enumerate(zip(_streams(texts_of(batch, "html"), hosts, run), batch.column(2), strict=True)):
+                if not page[0]:
+                    continue
                 own = np.unique(page[4]).view(np.int64)
                 own = own[np.isin(own, wanted.values.to_numpy())] if wanted.is_valid else own[:0]
-                for w in own.tolist():
-                    sums.setdefault((at, w), []).append(row)
-                if page[0]:
-                    sums.setdefault((at, None), []).append(row)
-            rows = [(k[0], k[1], r, n) for k, v in sums.items() for r, n in Counter(v).items()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "window", "row", "n"])
+                at.append(np.full(len(own) + 1, k))
+                rows.append(np.full(len(own) + 1, xxhash.xxh64_intdigest(page[3].tobytes()) - (1 << 63)))
+                windows += [own, np.zeros(1, np.int64)]
+            if at:
+                at, rows, windows = (np.concatenate(x) for x in (at, rows, windows))
+                page_row = np.append(at[1:] != at[:-1], True)  # the last row of each page stands for the page itself
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at)), pa.array(windows, mask=page_row), pa.array(rows), pa.array(np.ones(len(at), np.int64))], ["host", "window", "row", "n"])
 
     counted = slim.join(asked, "host", "left").select("html", "host", "windows").mapInArrow(count, "host string, window bigint, row bigint, n bigint")
     counted = counted.groupBy("host", "window", "row").agg(F.sum("n").alias("n")).groupBy("host", "window").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
