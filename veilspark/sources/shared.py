@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below spark.checkpoint.dir and read it back: what follows neither recomputes nor inlines what came before."""
+    """Write ``df`` below spark.checkpoint.dir and read it back: what follows neither recomputes nor inlines what came before.
+
+    Where the setting is absent, a local master uses a temporary folder and a cluster raises an error.
+    """
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="veilspark-")
         spark.conf.set("spark.checkpoint.dir", at)
