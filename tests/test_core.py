@@ -302,6 +302,70 @@ def test_streams_number_values_across_batches(spark, tmp_path):
     assert out == {0: "mask_email_1 mask_email_2", 5: "mask_email_2 mask_email_3"}
 
 
+def test_order_across_stretches(spark):
+    from veilspark.operators import ordered
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(500), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, x int, i int")
+    got = {r.i: (r["__row"], r["__size"]) for r in ordered.row_numbers(df, ["x", "i"], ["g"], width=7).collect()}
+    for g in ("a", "b", None):
+        own = sorted((x, i) for k, x, i in rows if k == g)
+        assert [got[i] for _, i in own] == [(n, len(own)) for n in range(len(own))]
+    assert ordered.row_numbers(df.where("false"), ["x"], ["g"]).count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_interval_union_across_stretches(spark, width):
+    rng = random.Random(4)
+    rows = [(rng.randrange(2), a, a + rng.randrange(40)) for _ in range(80) for a in [rng.randrange(300)]]
+    df = spark.createDataFrame(rows, "k int, start bigint, end bigint")
+    got = {r.k: (r.busy, r.n_islands, r.n) for r in reports.union_length(df, ["k"], width=width).collect()}
+    for k in range(2):
+        own, busy, islands, top = sorted((a, b) for j, a, b in rows if j == k), 0, 0, None
+        for a, b in own:
+            islands += top is None or a > top
+            busy += max(0, b - (a if top is None else max(a, top)))
+            top = b if top is None else max(top, b)
+        assert got[k] == (busy, islands, len(own))
+
+
+def test_percentiles_are_exact(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.choice([None, 1.0, 1.0, rng.random() * n])) for k, n in (("a", 2000), ("b", 5), (None, 30)) for _ in range(n)] + [("empty", None)]
+    got = {r.k: r for r in reports.nearest_rank(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", (0.1, 0.5, 0.95, 0.99)).collect()}
+    assert len(got) == 4 and got["empty"].p50 is None and got["empty"].n == 1
+    for k in ("a", "b", None):
+        own = sorted(v for j, v in rows if j == k and v is not None)
+        assert [got[k][f"p{p}"] for p in (10, 50, 95, 99)] == [own[max(1, math.ceil(len(own) * p / 100)) - 1] for p in (10, 50, 95, 99)]
+
+
+def test_chunks_are_split_at_the_nearest_line(spark):
+    rng = random.Random(7)
+    chunks = ["".join(rng.choice("ab\n" if rng.random() < p else "ab") for _ in range(n)) for n in (0, 399, 400, 401, 900, 4000) for p in (0, 0.01, 0.3)] + [None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(chunks)], "i int, t string").select("i", prepare.split_at(F.col("t"), 500).alias("s"))
+    for i, s in ((r.i, r.s) for r in df.collect()):
+        x = chunks[i]
+        if x is None or len(x) < 400:
+            assert s is None
+            continue
+        mid = len(x) // 2
+        ends = [p + 1 for p in (x.rfind("\n", 200, mid), x.find("\n", mid, len(x) - 200)) if p >= 0]
+        cut = min(ends, key=lambda c: abs(c - mid), default=mid)
+        assert (s.cut, s.right) == (cut, cut - min(500, cut // 4))
+
+
+def test_dates_need_a_digit_and_numbers_a_plain_place(spark):
+    date = R.Rule("date", "recogniser", "DATE_TIME", r"[A-Za-z0-9=]+", "mask_date", 300, entity="DATE_TIME", score=0.85)
+    found = docs_of(spark, "items= 12May").select(F.transform(detect.findings_array(F.col("text"), [date]), lambda f: f["value"]).alias("v")).first().v
+    assert found == ["12May"]
+    for value, n in (("p12", 0), ("SHA256", 0), ("rsa2048", 0), ("p13", 1)):
+        rule = R.bound((R.Rule("number", "parametric", "sicil_no", None, "mask_sicil", 1),), {"sicil_no": value})
+        assert docs_of(spark, f"key {value} here").select(F.size(detect.findings_array(F.col("text"), rule)).alias("n")).first().n == n
+    passive = R.Rule("term", "regex", "term", "[a-z]+_[0-9]+", "mask_term", 1)
+    assert docs_of(spark, "mask_email_1 and term_2", "").select(detect.passive_count(F.col("text"), [passive]).alias("n")).collect() == [(1,), (0,)]
+
+
 def _rows(rows):
     return sorted(tuple("%.9g" % x if isinstance(x, float) else str(x) for x in r) for r in rows)
 

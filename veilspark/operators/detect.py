@@ -60,15 +60,45 @@ def _allowed(text: Column, rules: list[R.Rule]) -> Column:
     return F.concat(*allowed) if allowed else F.array().cast(EMPTY)
 
 
+def technical(text: Column, found: Column) -> Column:
+    """Whether a personnel number is a technical name, or stands in one: p12, sha256, ``{1}``, versions, names of key types."""
+    value, sign = found["value"], "[A-Za-z0-9_.-]*"
+    before, after = F.substring(text, found["start"], F.lit(1)), F.substring(text, found["end"] + 1, F.lit(1))
+    before = F.when(found["start"] > 0, before).otherwise("")
+    left = F.reverse(F.regexp_extract(F.reverse(F.substring(text, F.lit(1), found["start"])), f"^{sign}", 0))
+    token = F.concat(left, value, F.regexp_extract(F.substring(text, found["end"] + 1, F.length(text)), f"^{sign}", 0))
+    place = ((before == "{") & (after == "}")) | (before == ".") | (after == ".") | token.rlike(r"(?i)^(?:v?\d+(?:\.\d+)+(?:[-+][A-Za-z0-9_.-]+)?|(?:rsa|sha|pkcs)\d+)$")
+    return value.rlike(r"(?i)^(?:p12|pkcs12|sha256|rsa\d+)$") | (value.rlike(r"^\p{Nd}+$") & place)
+
+
+def passive_count(text: Column, rules: Iterable[R.Rule]) -> Column:
+    """How often terms that are switched off stand in a text, placeholders aside; for the report only."""
+    text = F.coalesce(text, F.lit(""))
+    masked, total = _placeholders(text), F.lit(0)
+    for rule in rules:
+        total = total + F.size(F.filter(matches(text, rule.java), lambda m: ~S.inside(m, masked)))
+    return total.cast("long")
+
+
+def display_path(path: Column, rules: Iterable[R.Rule]) -> Column:
+    """A path for the eye: what a rule finds becomes its prefix and ``_*``; nothing is numbered, and nothing comes back."""
+    found = S.accepted(S.resolve(findings_array(path, rules)))
+    return F.when(path.isNotNull(), S.rebuild(path, F.transform(found, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), F.concat(F.coalesce(f["prefix"], F.lit("mask")), F.lit("_*")).alias("replacement")))))
+
+
 def _found(text: Column, masked: Column, allow: Column, rule: R.Rule, natural: tuple[str, ...]) -> Column:
     """Findings of one rule, beside placeholders and allowed spans."""
     second = rule.kind == "recogniser"
     found = F.filter(narrowed(text, *rule.narrowed) if rule.narrowed else matches(text, rule.java), lambda m: ~S.touched(m, masked))
+    if rule.kind == "parametric" and rule.category == "sicil_no":
+        found = F.filter(found, lambda m: ~technical(text, m))
     if rule.validator:
         valid = R.VALIDATORS[rule.validator]
         found = F.filter(found, lambda m: valid(m["value"]))
     if second:
         found = F.filter(found, lambda m: ~S.touched(m, allow))
+        if rule.entity == "DATE_TIME":
+            found = F.filter(found, lambda m: m["value"].rlike(r"\p{Nd}"))
         if rule.entity in natural:
             found = F.filter(found, lambda m: checks.entropy(m["value"]) <= 3.5)
     confidence = "yuksek" if not second or rule.score >= 0.85 else "orta" if rule.score >= 0.6 else "dusuk"

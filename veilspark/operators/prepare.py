@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import text as T
+from veilspark.operators import ordered
 from veilspark.operators.detect import matches
 
 
@@ -119,20 +120,36 @@ def binary_spans(text: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def sample_rows(rows: DataFrame, order: list[str], group: list[str], n: int = 25) -> DataFrame:
+def sample_rows(rows: DataFrame, order: list[str], group: list[str], n: int = 25, row: str | None = None) -> DataFrame:
     """``n`` evenly spaced rows of each group (all, if there are fewer): those numbered int(i * size / n).
 
-    Row numbers come from blocks of the first order column, like placeholders
-    (see :mod:`veilspark.operators.mapping`), when a group is one; here groups
-    are windows, with their sizes from a separate aggregation.
+    ``order`` starts with a number; see :func:`veilspark.operators.ordered.row_numbers`.
+    ``row`` names a column for a row's number in its group, from 0.
     """
-    from pyspark.sql import Window
-
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("__size"))
-    numbered = rows.withColumn("__row", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).join(sizes, group)
+    numbered = ordered.row_numbers(rows, order, group)
     place = F.ceil(F.col("__row") * n / F.col("__size"))
     chosen = (F.col("__size") <= n) | ((place < n) & (F.floor(place * F.col("__size") / n) == F.col("__row")))
-    return numbered.where(chosen).drop("__size", "__row")
+    kept = numbered.where(chosen).drop("__size")
+    return kept.withColumnRenamed("__row", row) if row else kept.drop("__row")
+
+
+def split_at(chunk: Column, overlap: int, least: int = 200) -> Column:
+    """Where a chunk that was too long is cut in two: struct<cut, right>, null if it is shorter than two halves of ``least``.
+
+    The cut stands behind the line end that is nearest to the middle (the one
+    before it, if both are as near), or in the middle; the right half starts
+    ``overlap`` signs before it, a quarter of the left half at most.
+    """
+    n, low = F.length(chunk), F.lit(least)
+    mid, high = F.floor(n / 2).cast("int"), n - least
+    left = F.substring(chunk, low + 1, mid - low)  # signs low to mid
+    back = F.locate("\n", F.reverse(left))
+    before = F.when(back > 0, mid - back + 1)
+    ahead = F.locate("\n", F.substring(chunk, mid + 1, high - mid))
+    after = F.when((ahead > 0) & (mid + ahead <= high), mid + ahead)
+    nearest = F.when(after.isNull() | (mid - before <= after - mid), before).otherwise(after)
+    cut = F.coalesce(nearest, after, mid)
+    return F.when(n >= 2 * least, F.struct(cut.alias("cut"), (cut - F.greatest(F.lit(0), F.least(F.lit(overlap), F.floor(cut / 4).cast("int")))).alias("right")))
 
 
 def classify_columns(cells: DataFrame, findings: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.operators import ordered
+
 
 def latest_by_context(contexts: DataFrame, runs: DataFrame) -> DataFrame:
     """Each context with its last start, contexts without runs last."""
@@ -38,17 +40,18 @@ def failed_checks(warnings: DataFrame, file: str = "file_ref", check: str = "fai
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, percents: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """n, mean, min, max and nearest-rank percentiles."""
-    ranks = [F.expr(f"percentile_disc({p}) within group (order by {value})").alias(f"p{round(p * 100)}") for p in percents]
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), *ranks)
+    return ordered.percentiles(df, by, value, percents, F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+
 
+def union_length(intervals: DataFrame, by: list[str], start: str = "start", end: str = "end", width: int = 86_400_000_000) -> DataFrame:
+    """Length of the union of intervals by key; touching intervals merge.
 
-def union_length(intervals: DataFrame, by: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Length of the union of intervals by key; touching intervals merge."""
-    order = Window.partitionBy(*by).orderBy(start, end)
-    reached = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ``width`` (a day of microseconds, unless named) is the stretch of starts that is put in order at a time.
+    """
+    reached = F.col("__reached")
     covered = F.greatest(F.col(end) - F.greatest(F.col(start), F.coalesce(reached, F.col(start))), F.lit(0))
     island = F.when(reached.isNull() | (F.col(start) > reached), 1).otherwise(0)
-    return intervals.withColumns({"__covered": covered, "__island": island}).groupBy(*by).agg(F.sum("__covered").alias("busy"), F.sum("__island").alias("n_islands"), F.count("*").alias("n"))
+    return ordered.reached(intervals, by, start, end, width).withColumns({"__covered": covered, "__island": island}).groupBy(*by).agg(F.sum("__covered").alias("busy"), F.sum("__island").alias("n_islands"), F.count("*").alias("n"))
 
 
 def advisor(tokens: DataFrame, mappings: DataFrame, least: int = 20, ratio: float = 0.5) -> DataFrame:
@@ -78,7 +81,8 @@ def manifest_diff(expected: DataFrame, actual: DataFrame, key: str = "path", dig
 
 
 def usage(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.expr(f"percentile_disc(0.5) within group (order by {value})").alias("p50"), F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"))
+    """n, total, mean, median and 95th percentile."""
+    return ordered.percentiles(df, by, value, (0.5, 0.95), F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
 
 
 def first_of(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -90,3 +94,37 @@ def transitions(review: DataFrame, decided: DataFrame) -> DataFrame:
     """Review rows after decisions (run_id, file_ref, value, entity, status): pending rows that equal a decided one follow it."""
     d = decided.groupBy("run_id", "file_ref", "value", "entity").agg(F.min_by("status", "decision_id").alias("__new"))
     return review.join(d, ["run_id", "file_ref", "value", "entity"], "left").withColumn("status", F.when((F.col("status") == "pending") & F.col("__new").isNotNull(), F.col("__new")).otherwise(F.col("status"))).drop("__new")
+
+
+def entries_of_run(audit: DataFrame, run_id: int, key: str = "entry_id") -> DataFrame:
+    """The audit rows of one run, oldest first."""
+    return audit.where(F.col("run_id") == run_id).orderBy(key)
+
+
+def pending_reviews(review: DataFrame, runs: DataFrame, contexts: DataFrame, **filters: str) -> DataFrame:
+    """Open reviews of runs that came to an end, with their contexts, oldest first; ``filters`` are equalities on columns of the contexts.
+
+    The rows of an unfinished or failed run are not shown: nothing of it was published.
+    """
+    for column, value in filters.items():
+        contexts = contexts.where(F.col(column) == value)
+    ended = runs.where(F.col("status").isin("completed", "completed_with_warnings")).drop("status")
+    return review.where("status = 'pending'").join(ended, "run_id").join(contexts, "context_id").orderBy("created_at", "review_id")
+
+
+def busy_contexts(runs: DataFrame) -> DataFrame:
+    """Contexts that may not start a masking run, as one is in progress: how many are, and the first."""
+    return runs.where("operation = 'mask' and status = 'in_progress'").groupBy("context_id").agg(F.count("*").alias("n_running"), F.min("run_id").alias("first_run"))
+
+
+def unambiguous(mappings: DataFrame, context: Column | int) -> DataFrame:
+    """Mappings by which one context's texts are restored: rows without a run whose token another context also gave, without a run, are left out."""
+    own = mappings.where(F.col("context_id") == context)
+    others = mappings.where((F.col("context_id") != context) & F.col("run_id").isNull()).select(F.col("token").alias("__token")).distinct()
+    return own.join(others, F.col("run_id").isNull() & (F.col("token") == F.col("__token")), "left_anti")
+
+
+def combined(repetitions: DataFrame, by: list[str], measures: list[str], counts: list[str]) -> DataFrame:
+    """Repetitions of a measurement as one row a condition: their number, mean, least and largest of each measure, sums of each count."""
+    parts = [f(c).alias(f"{c}_{n}") for c in measures for f, n in ((F.avg, "mean"), (F.min, "min"), (F.max, "max"))]
+    return repetitions.groupBy(*by).agg(F.count("*").alias("n_repetitions"), *parts, *(F.sum(c).alias(c) for c in counts))

@@ -432,12 +432,9 @@ def identifier_parts(spark, d):
 s as (select l_returnflag, n, unnest(range(25)) as i from (select distinct l_returnflag, n from n))
 select distinct n.l_returnflag, n.l_orderkey, n.l_linenumber, n.r::bigint as row_no from n join s on s.l_returnflag = n.l_returnflag and n.r = (s.i * s.n) // 25""")
 def table_sample(spark, d):
+    """25 rows of each flag, evenly spaced."""
     rows = _t(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey")
-    from pyspark.sql import Window
-
-    order = ["l_orderkey", "l_linenumber", "l_partkey"]
-    numbered = rows.withColumn("row_no", (F.row_number().over(Window.partitionBy("l_returnflag").orderBy(*order)) - 1).cast("long"))
-    return prepare.sample_rows(numbered, order, ["l_returnflag"]).select("l_returnflag", "l_orderkey", "l_linenumber", "row_no")
+    return prepare.sample_rows(rows, ["l_orderkey", "l_linenumber", "l_partkey"], ["l_returnflag"], row="row_no").select("l_returnflag", "l_orderkey", "l_linenumber", F.col("row_no").cast("long").alias("row_no"))
 
 
 @_query("""with cells as (select 'c_mktsegment' as "column", c_mktsegment as value from customer union all select 'c_name', c_name from customer), f as (select distinct c_mktsegment as value from customer)
@@ -450,6 +447,44 @@ def classify_columns(spark, d):
     return prepare.classify_columns(cells, found).select("column", "n_equal")
 
 
+@_query("""with d as (select doc_id, text as t, length(text) as n, length(text) // 2 as mid from documents where length(text) >= 400),
+p as (select *, instr(reverse(substring(t, 201, mid - 200)), chr(10)) as b, instr(substring(t, mid + 1, n - 200 - mid), chr(10)) as a from d),
+c as (select *, case when b > 0 then mid - b + 1 end as x, case when a > 0 then mid + a end as y from p),
+k as (select *, coalesce(case when y is null or mid - x <= y - mid then x else y end, y, mid) as cut from c)
+select doc_id, cut::bigint as cut, (cut - greatest(0, least(500, cut // 4)))::bigint as "right" from k""")
+def split_points(spark, d):
+    """Where each text is cut when it is too long for one request."""
+    at = _docs(spark, d).select("doc_id", prepare.split_at(F.col("text"), 500).alias("s")).where("s is not null")
+    return at.select("doc_id", F.col("s.cut").cast("long").alias("cut"), F.col("s.right").cast("long").alias("right"))
+
+
+#: What stands around a personnel number, and whether it is one there.
+_NUMBERS = (("no ", " x", True), ("{", "}", False), ("1.", "", False), ("", ".4", False), ("(", ")", True), ("x-", "", True), ("v3.", "-rc", False))
+
+
+@_query(f"""with f as (select n_nationkey, unnest(range({len(_NUMBERS)})) as i from nation)
+select n_nationkey, i::int as form, (n_nationkey = 7 and list_extract([{", ".join(str(ok).lower() for _, _, ok in _NUMBERS)}], i + 1))::int::bigint as n from f""")
+def technical_numbers(spark, d):
+    """A personnel number in texts derived from nations: inside versions and braces it is none."""
+    form = F.explode(F.array(*(F.struct(F.lit(i).alias("form"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b, _) in enumerate(_NUMBERS)))).alias("f")
+    texts = _t(spark, d, "nation").select("n_nationkey", form).select("n_nationkey", "f.form", F.concat("f.a", (F.col("n_nationkey") + 10000).cast("string"), "f.b").alias("text"))
+    rules = R.bound((R.Rule("number", "parametric", "sicil_no", None, "mask_sicil", 1),), {"sicil_no": "10007"})
+    return detect.detect(texts, rules).select("n_nationkey", "form", F.size("findings").cast("long").alias("n"))
+
+
+@_query(f"""select doc_id, (len(regexp_extract_all(coalesce(text, ''), '{_P["builtin_email"]}')) + len(regexp_extract_all(coalesce(text, ''), '{_P["builtin_ip"]}')))::bigint as n from documents""")
+def passive_terms(spark, d):
+    """Matches of two rules that count as switched off."""
+    return _docs(spark, d).select("doc_id", detect.passive_count(F.col("text"), _rules("builtin_email", "builtin_ip")).alias("n"))
+
+
+@_query("""select c_custkey, 'home/mask_email_*/' || (c_custkey % 7) || '/x.txt' as shown from customer""")
+def display_paths(spark, d):
+    """Paths derived from customers, with an address in each."""
+    path = F.concat(F.lit("home/c"), F.col("c_custkey").cast("string"), F.lit("@corp.example/"), (F.col("c_custkey") % 7).cast("string"), F.lit("/x.txt"))
+    return _t(spark, d, "customer").select("c_custkey", detect.display_path(path, _rules(EMAIL)).alias("shown"))
+
+
 # -- reports ------------------------------------------------------------------------------------
 
 
@@ -585,3 +620,41 @@ def sensitive_breakdown(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", "source", "text")
     found = docs.select(F.col("source").alias("src"), F.explode(detect.findings_array(F.col("text"), _rules(*_BASIC))).alias("f"))
     return found.groupBy(F.col("src").alias("source")).agg(F.countDistinct(F.lower("f.value")).alias("n_terms"), F.count("*").alias("n_findings"))
+
+
+@_query("""select event_id as entry_id, event_type as action from events where user_id = (select min(user_id) from events)""")
+def audit_entries(spark, d):
+    """The audit rows of the first run (here a user)."""
+    audit = _t(spark, d, "events").select(F.col("event_id").alias("entry_id"), F.col("user_id").alias("run_id"), F.col("event_type").alias("action"))
+    return reports.entries_of_run(audit, audit.agg(F.min("run_id")).first()[0], "entry_id").select("entry_id", "action")
+
+
+@_query("""select l_orderkey * 8 + l_linenumber as review_id, o_orderkey as run_id, c_name as project from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey where l_returnflag = 'N' and o_orderstatus in ('F', 'P') and c_mktsegment = 'BUILDING'""")
+def pending_reviews(spark, d):
+    """Open reviews (lines) of ended runs (orders) of a branch (a segment)."""
+    runs, contexts = _runs(spark, d)
+    runs = runs.withColumn("status", F.when(F.col("status") == "F", "completed").when(F.col("status") == "P", "completed_with_warnings").otherwise("in_progress"))
+    review = _t(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("review_id"), F.col("l_orderkey").alias("run_id"), F.when(F.col("l_returnflag") == "N", "pending").otherwise("decided").alias("status"), F.col("l_shipdate").alias("created_at"))
+    return reports.pending_reviews(review, runs, contexts, branch="BUILDING").select("review_id", "run_id", "project")
+
+
+@_query("""select o_custkey as context_id, count(*)::bigint as n_running, min(o_orderkey) as first_run from orders where o_orderstatus = 'O' and o_orderkey % 3 > 0 group by o_custkey""")
+def busy_contexts(spark, d):
+    runs = _runs(spark, d)[0]
+    runs = runs.withColumns({"operation": F.when(F.col("run_id") % 3 > 0, "mask").otherwise("unmask"), "status": F.when(F.col("status") == "O", "in_progress").otherwise("completed")})
+    return reports.busy_contexts(runs)
+
+
+@_query("""with m as (select l_partkey as token, l_suppkey as context_id, case when l_returnflag = 'N' then null else l_orderkey end as run_id, l_linenumber from lineitem)
+select token, run_id, l_linenumber from m where context_id = 1 and not (run_id is null and token in (select token from m where context_id <> 1 and run_id is null))""")
+def unambiguous_mappings(spark, d):
+    """Mappings of one context (a supplier) whose tokens (parts) no other context gave without a run."""
+    m = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("token"), F.col("l_suppkey").alias("context_id"), F.when(F.col("l_returnflag") != "N", F.col("l_orderkey")).alias("run_id"), "l_linenumber")
+    return reports.unambiguous(m, 1).select("token", "run_id", "l_linenumber")
+
+
+@_query("""select event_type, user_id % 10 as users, count(*)::bigint as n_repetitions, round(avg(value), 6) as value_mean, min(value) as value_min, max(value) as value_max, sum(event_id % 5)::bigint as failed from events group by event_type, user_id % 10""")
+def repetitions_combined(spark, d):
+    """Measurements (events) by condition."""
+    e = _t(spark, d, "events").select("event_type", (F.col("user_id") % 10).alias("users"), "value", (F.col("event_id") % 5).alias("failed"))
+    return reports.combined(e, ["event_type", "users"], ["value"], ["failed"]).withColumn("value_mean", F.round("value_mean", 6))
