@@ -3,12 +3,14 @@
 A rule's matches and their places come from built-in expressions: the matches,
 and the pieces between them, whose lengths add up to the starts.  So detection is
 one projection over the scan, in generated code, without Python and without a
-shuffle; a cheap test by the same pattern lets texts without a match pass quickly.
+shuffle; texts without a string that every match needs, and then those in which
+the pattern finds nothing, pass quickly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +22,11 @@ from veilspark.operators import spans as S
 FINDING = "array<struct<rule:string,kind:string,entity:string,source:string,confidence:string,authority:int,priority:int,prefix:string,start:int,end:int,value:string,ord:int>>"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the leftmost matches of a Java pattern; they do not overlap, and none is empty."""
+def matches(text: Column, pattern: str, needs: Iterable[str] = ()) -> Column:
+    """array<struct<start, end, value>> of the leftmost matches of a Java pattern; they do not overlap, and none is empty.
+
+    ``needs``: strings of which every match holds one.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
@@ -34,13 +39,15 @@ def matches(text: Column, pattern: str) -> Column:
         ),
         lambda acc: acc["out"],
     )
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    needed = [text.contains(x) for x in needs]
+    worth = reduce(Column.__or__, needed) & text.rlike(pattern) if needed else text.rlike(pattern)
+    return F.when(worth, walked).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
 EMPTY = "array<struct<start:int,end:int,value:string>>"
 
 
-def narrowed(text: Column, pattern: str, group: int) -> Column:
+def narrowed(text: Column, pattern: str, group: int, needs: Iterable[str] = ()) -> Column:
     """:func:`matches`, each narrowed to a group that is not empty; group 1 is what stands before it in the match."""
     heads, values = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, group))
 
@@ -48,15 +55,15 @@ def narrowed(text: Column, pattern: str, group: int) -> Column:
         start, value = m["start"] + F.length(F.get(heads, i)), F.get(values, i)
         return F.when(value == "", m).otherwise(F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value")))
 
-    return F.transform(matches(text, pattern), cut)
+    return F.transform(matches(text, pattern, needs), cut)
 
 
 def _placeholders(text: Column) -> Column:
-    return matches(text, rf"\b(?:{R.PLACEHOLDER}|{R.OLD_PLACEHOLDER})\b")
+    return matches(text, rf"\b(?:{R.PLACEHOLDER}|{R.OLD_PLACEHOLDER})\b", ("mask_", "_TEST_"))
 
 
 def _allowed(text: Column, rules: list[R.Rule]) -> Column:
-    allowed = [matches(text, r.java) for r in rules if r.kind == "allow"]
+    allowed = [matches(text, r.java, r.needs) for r in rules if r.kind == "allow"]
     return F.concat(*allowed) if allowed else F.array().cast(EMPTY)
 
 
@@ -76,7 +83,7 @@ def passive_count(text: Column, rules: Iterable[R.Rule]) -> Column:
     text = F.coalesce(text, F.lit(""))
     masked, total = _placeholders(text), F.lit(0)
     for rule in rules:
-        total = total + F.size(F.filter(matches(text, rule.java), lambda m: ~S.inside(m, masked)))
+        total = total + F.size(F.filter(matches(text, rule.java, rule.needs), lambda m: ~S.inside(m, masked)))
     return total.cast("long")
 
 
@@ -89,7 +96,7 @@ def display_path(path: Column, rules: Iterable[R.Rule]) -> Column:
 def _found(text: Column, masked: Column, allow: Column, rule: R.Rule, natural: tuple[str, ...]) -> Column:
     """Findings of one rule, beside placeholders and allowed spans."""
     second = rule.kind == "recogniser"
-    found = F.filter(narrowed(text, *rule.narrowed) if rule.narrowed else matches(text, rule.java), lambda m: ~S.touched(m, masked))
+    found = F.filter(narrowed(text, *rule.narrowed, rule.needs) if rule.narrowed else matches(text, rule.java, rule.needs), lambda m: ~S.touched(m, masked))
     if rule.kind == "parametric" and rule.category == "sicil_no":
         found = F.filter(found, lambda m: ~technical(text, m))
     if rule.validator:

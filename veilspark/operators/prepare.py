@@ -140,16 +140,23 @@ def split_at(chunk: Column, overlap: int, least: int = 200) -> Column:
     before it, if both are as near), or in the middle; the right half starts
     ``overlap`` signs before it, a quarter of the left half at most.
     """
-    n, low = F.length(chunk), F.lit(least)
-    mid, high = F.floor(n / 2).cast("int"), n - least
-    left = F.substring(chunk, low + 1, mid - low)  # signs low to mid
-    back = F.locate("\n", F.reverse(left))
-    before = F.when(back > 0, mid - back + 1)
-    ahead = F.locate("\n", F.substring(chunk, mid + 1, high - mid))
-    after = F.when((ahead > 0) & (mid + ahead <= high), mid + ahead)
-    nearest = F.when(after.isNull() | (mid - before <= after - mid), before).otherwise(after)
-    cut = F.coalesce(nearest, after, mid)
-    return F.when(n >= 2 * least, F.struct(cut.alias("cut"), (cut - F.greatest(F.lit(0), F.least(F.lit(overlap), F.floor(cut / 4).cast("int")))).alias("right")))
+    mid, low = F.floor(F.length(chunk) / 2).cast("int"), F.lit(least)
+    ends = F.struct(
+        mid.alias("mid"),
+        F.locate("\n", F.reverse(F.substring(chunk, low + 1, mid - low))).alias("back"),
+        F.locate("\n", F.substring(chunk, mid + 1, F.length(chunk) - least - mid)).alias("ahead"),
+    )
+
+    def cut(x: Column) -> Column:
+        before, after = x["back"] > 0, x["ahead"] > 0
+        near = before & (~after | (x["back"] - 1 <= x["ahead"]))
+        return F.when(near, x["mid"] - x["back"] + 1).when(after, x["mid"] + x["ahead"]).otherwise(x["mid"])
+
+    def halves(at: Column) -> Column:
+        return F.struct(at.alias("cut"), (at - F.greatest(F.lit(0), F.least(F.lit(overlap), F.floor(at / 4).cast("int")))).alias("right"))
+
+    found = F.transform(F.transform(F.array(ends), cut), halves)  # arrays of one, so that each step is evaluated once
+    return F.when(F.length(chunk) >= 2 * least, F.get(found, F.lit(0)))
 
 
 def classify_columns(cells: DataFrame, findings: DataFrame) -> DataFrame:

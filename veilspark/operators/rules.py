@@ -27,6 +27,8 @@ class Rule:
     entity: str | None = None
     score: float = 0.85
     active: bool = True
+    #: Strings of which every match holds one; texts without any are not searched by the pattern.
+    needs: tuple[str, ...] = ()
 
     @property
     def java(self) -> str:
@@ -53,24 +55,24 @@ RULES: tuple[Rule, ...] = (
     Rule("project_name", "parametric", "project_name", None, "mask_proje_adi", 1),
     Rule("personnel_no", "parametric", "sicil_no", None, "mask_personel_no", 2),
     Rule("branch_name", "parametric", "branch_name", None, "mask_branch", 3),
-    Rule("private_key_block", "regex", "secret", r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----.*?-----END \1-----", "mask_private_key", 5, "s"),
-    Rule("aws_access_key", "regex", "secret", r"\bAKIA[0-9A-Z]{16}\b", "mask_aws_key", 10),
-    Rule("google_api_key", "regex", "secret", r"\bAIza[0-9A-Za-z_-]{35}\b", "mask_google_api_key", 11),
-    Rule("github_token", "regex", "secret", r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b", "mask_github_token", 12),
-    Rule("slack_token", "regex", "secret", r"\bxox[baprs]-[A-Za-z0-9-]{10,72}\b", "mask_slack_token", 13),
-    Rule("stripe_api_key", "regex", "secret", r"\b(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{10,99}\b", "mask_stripe_key", 14),
-    Rule("jwt_token", "regex", "secret", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", "mask_jwt_token", 15),
+    Rule("private_key_block", "regex", "secret", r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----.*?-----END \1-----", "mask_private_key", 5, "s", needs=("PRIVATE KEY",)),
+    Rule("aws_access_key", "regex", "secret", r"\bAKIA[0-9A-Z]{16}\b", "mask_aws_key", 10, needs=("AKIA",)),
+    Rule("google_api_key", "regex", "secret", r"\bAIza[0-9A-Za-z_-]{35}\b", "mask_google_api_key", 11, needs=("AIza",)),
+    Rule("github_token", "regex", "secret", r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b", "mask_github_token", 12, needs=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    Rule("slack_token", "regex", "secret", r"\bxox[baprs]-[A-Za-z0-9-]{10,72}\b", "mask_slack_token", 13, needs=("xox",)),
+    Rule("stripe_api_key", "regex", "secret", r"\b(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{10,99}\b", "mask_stripe_key", 14, needs=("_live_", "_test_")),
+    Rule("jwt_token", "regex", "secret", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", "mask_jwt_token", 15, needs=("eyJ",)),
     Rule("generic_secret_assignment", "regex", "secret", r"""(?:(?<![A-Za-z0-9_])|(?<=_))(?:[A-Za-z0-9]+_)*(?:api[_-]?key|secret|token|password|passwd)(?:_[A-Za-z0-9]+)*\b\s*[:=]\s*(?:"[^"\n]{12,}"|'[^'\n]{12,}'|[^\s'"(){}\[\],;.]{12,})""", "mask_secret", 20, "i"),
-    Rule("http_basic_auth_credentials", "regex", "credential", r"""(?<=://)[^\s/@'"]+:[^\s/@'"]+@[^\s/'"]+""", "mask_basic_auth", 25),
-    Rule("unc_network_path", "regex", "network_path", r"\\\\[\w.-]+(?:\\[\w.$ -]+)+", "mask_ag_yolu", 26),
-    Rule("email_address", "regex", "email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "mask_email", 30),
+    Rule("http_basic_auth_credentials", "regex", "credential", r"""(?<=://)[^\s/@'"]+:[^\s/@'"]+@[^\s/'"]+""", "mask_basic_auth", 25, needs=("://",)),
+    Rule("unc_network_path", "regex", "network_path", r"\\\\[\w.-]+(?:\\[\w.$ -]+)+", "mask_ag_yolu", 26, needs=("\\\\",)),
+    Rule("email_address", "regex", "email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "mask_email", 30, needs=("@",)),
     Rule("ipv4_address", "regex", "ip", r"\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\b", "mask_ip", 40),
     Rule("uuid", "regex", "uuid", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "mask_uuid", 45, "i"),
     Rule("tc_kimlik_no", "regex", "tc_kimlik_no", r"\b[1-9][0-9]{10}\b", "mask_tc_kimlik", 50, validator="tc_kimlik_no"),
     Rule("contextual_personnel_id", "regex", "personel_kimlik_no", r"\b(?:sicil(?:\s*(?:no|numaras[ıi]))?|personel\s*(?:no|numaras[ıi])|employee\s*id)\s*[:\-]?\s*[0-9]{5,8}\b(?:\s*(?:,|/|ve)\s*[0-9]{5,8}\b)*", "mask_personel_kimlik", 52, "i"),
-    Rule("allow_rfc5737_192_0_2", "allow", "rfc5737_test_ip", r"\b192\.0\.2\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b", "mask_rfc5737_ip", 200, entity="RFC5737_TEST_IP", score=1.0),
-    Rule("allow_rfc5737_198_51_100", "allow", "rfc5737_test_ip", r"\b198\.51\.100\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b", "mask_rfc5737_ip", 201, entity="RFC5737_TEST_IP", score=1.0),
-    Rule("allow_rfc5737_203_0_113", "allow", "rfc5737_test_ip", r"\b203\.0\.113\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b", "mask_rfc5737_ip", 202, entity="RFC5737_TEST_IP", score=1.0),
+    Rule("allow_rfc5737_192_0_2", "allow", "rfc5737_test_ip", r"\b192\.0\.2\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b", "mask_rfc5737_ip", 200, entity="RFC5737_TEST_IP", score=1.0, needs=("192.0.2.",)),
+    Rule("allow_rfc5737_198_51_100", "allow", "rfc5737_test_ip", r"\b198\.51\.100\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b", "mask_rfc5737_ip", 201, entity="RFC5737_TEST_IP", score=1.0, needs=("198.51.100.",)),
+    Rule("allow_rfc5737_203_0_113", "allow", "rfc5737_test_ip", r"\b203\.0\.113\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b", "mask_rfc5737_ip", 202, entity="RFC5737_TEST_IP", score=1.0, needs=("203.0.113.",)),
     Rule("allow_xmlns_namespace_uri", "allow", "xml_namespace_uri", r"""\bxmlns(?::[\w.-]+)?\s*=\s*(?:"https?://[^"]*"|'https?://[^']*')""", "mask_xml_ns", 203, "i", entity="XML_NAMESPACE_URI", score=1.0),
     Rule("presidio_dotenv_reference", "recogniser", "config_secret_reference", r"\.env\b", "mask_config_secret_ref", 210, "i", entity="CONFIG_SECRET_REFERENCE", score=0.95),
     Rule("presidio_yaml_secrets_reference", "recogniser", "config_secret_reference", r"\bsecrets?\.ya?ml\b", "mask_config_secret_ref", 211, "i", entity="CONFIG_SECRET_REFERENCE", score=0.95),
@@ -82,11 +84,11 @@ RULES: tuple[Rule, ...] = (
 
 #: Second-layer recognisers that need no language model, with their scores.
 RECOGNISERS: tuple[Rule, ...] = (
-    Rule("builtin_email", "recogniser", "EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "mask_email_address", 300, entity="EMAIL_ADDRESS", score=0.85),
+    Rule("builtin_email", "recogniser", "EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "mask_email_address", 300, entity="EMAIL_ADDRESS", score=0.85, needs=("@",)),
     Rule("builtin_ip", "recogniser", "IP_ADDRESS", r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])", "mask_ip_address", 301, entity="IP_ADDRESS", score=0.85),
     Rule("builtin_card", "recogniser", "CREDIT_CARD", r"[0-9]{13,19}", "mask_credit_card", 302, validator="luhn", entity="CREDIT_CARD", score=0.75),
     Rule("builtin_iban", "recogniser", "IBAN_CODE", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", "mask_iban_code", 303, validator="iban", entity="IBAN_CODE", score=0.85),
-    Rule("builtin_phone", "recogniser", "PHONE_NUMBER", r"\+?[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "mask_phone_number", 304, entity="PHONE_NUMBER", score=0.65),
+    Rule("builtin_phone", "recogniser", "PHONE_NUMBER", r"\+?[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "mask_phone_number", 304, entity="PHONE_NUMBER", score=0.65, needs=(" (",)),
 )
 
 #: Placeholders: the current form, the older form, and bare numbers that stand for numbers in JSON.
