@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step works on; a single longer text is one step of its own.
@@ -113,6 +114,9 @@ def lean(spark: SparkSession) -> None:
 
 # -- words and hashes ---------------------------------------------------------------------------
 
+#: Seed of the words' hashes.
+SEED = 0x5EED0F17
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Powers that a process keeps; longer ones, for single long texts, are made anew.
 KEPT_POWERS = 1 << 22
@@ -145,33 +149,64 @@ def mixed(x: np.ndarray) -> np.ndarray:
 #: True for the bytes that end a word: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: True for the bytes that end a word of letters and digits: all of ASCII but 0-9, a-z (and A-Z, which become a-z).
+PLAIN = np.ones(256, bool)
+PLAIN[[*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(0x80, 0x100)]] = False
+
+
+def word_codes(texts: list[bytes], ends: np.ndarray = SPACE) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of ``texts``, which of them stands at each place, and the number of words of each text.
+
+    A-Z count as a-z; ``ends`` tells the bytes that no word holds.  Words are
+    compared byte by byte.
+    """
+    data = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
+    limits = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    edges = np.flatnonzero(np.diff(ends[data].view(np.int8), prepend=np.int8(1)))
+    counts = np.diff(np.searchsorted(edges[::2], limits, "left"), prepend=0)
+    if not len(edges):
+        return pa.array([], pa.binary()), np.zeros(0, np.int32), counts
+    runs = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])  # a word, what follows it, a word, ...
+    found = runs.take(pa.array(np.arange(0, len(edges), 2))).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy(zero_copy_only=False), counts
+
+
+#: Bytes of the longest word that is its own hash, with its length in the eighth byte.
+OWN = 7
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(OWN + 1)], np.uint64)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all ``texts`` in order, and the number of words of each text.
 
     A-Z count as a-z; words are runs of bytes other than \\x20 and \\x09-\\x0D.
-    Texts are taken SLICE_BYTES at a time, as a step needs some forty times its bytes.
+    Words of up to OWN bytes never share a hash with each other; of longer ones
+    the whole word is hashed with a seed.  Texts are taken SLICE_BYTES at a time,
+    as a step needs some twenty times its bytes.
     """
-    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    sizes = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     out, start = [], 0
     while start < len(texts):
-        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE_BYTES, "right")))
-        out.append(_word_hashes(texts[start:end], ends[start:end] - (ends[start - 1] if start else 0)))
+        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + SLICE_BYTES, "right")))
+        out.append(_word_hashes(texts[start:end]))
         start = end
     if len(out) == 1:
         return out[0]
     return (np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _word_hashes(texts: list[bytes], limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    body = b"\n".join(texts).lower() + b"\n" * 8
+    data = np.frombuffer(body, np.uint8)
+    limits = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     edges = np.flatnonzero(np.diff(SPACE[data].view(np.int8), prepend=np.int8(1)))
-    starts, ends = edges[::2], edges[1::2]
-    up, down = powers(len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    counts = np.diff(np.searchsorted(starts, limits, "left"), prepend=0)
-    return hashes, counts
+    starts, sizes = edges[::2], np.diff(edges)[::2]
+    eight = np.ndarray((len(body) - 7,), "<u8", body, strides=(1,))  # the eight bytes from each place on
+    short = np.minimum(sizes, OWN)
+    hashes = mixed(eight[starts] & _MASKS[short] | sizes.astype(np.uint64) << np.uint64(56))
+    long = np.flatnonzero(sizes > OWN)
+    if len(long):
+        begins, digest = starts[long], xxhash.xxh3_64_intdigest
+        cuts = zip(begins.tolist(), (begins + sizes[long]).tolist(), strict=True)
+        hashes[long] = np.fromiter((digest(body[i:j], SEED) for i, j in cuts), np.uint64, len(long))
+    return hashes, np.diff(np.searchsorted(starts, limits, "left"), prepend=0)

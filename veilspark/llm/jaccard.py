@@ -72,7 +72,7 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np
     rolled = np.zeros(n, np.uint64)
     q = np.uint64(1)
     with np.errstate(over="ignore"):
-        for k in range(words):
+        for k in range(min(words, n)):
             rolled[: n - k] += hashes[k:] * q
             q = q * _Q
         full = np.maximum(counts - words + 1, 0)

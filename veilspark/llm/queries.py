@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import decontaminate, jaccard, language, licenses, neighbours, pages, pieces, repeats, score, secrets
+from veilspark.llm import decontaminate, jaccard, language, licenses, neighbours, pages, pieces, ranked, repeats, score, secrets, sharding, trie
 from veilspark.llm.common import lean
 
 
@@ -80,6 +80,21 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_words")
 
 
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document. [native]"""
+    return sharding.shard_table(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every benchmark item."""
+    return ranked.search(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of rebuilt conversations."""
+    return trie.conversation_trie(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every page: its text with the declared markup language, the suffix of its address, and its host."""
     seen = language.page_evidence(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -108,15 +123,35 @@ def jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lm, op2_neighbours, op3_pages, op4_secrets, op5_decontaminate, op6_jaccard, op7_licences, op8_pieces, op9_language, op10_repeats, language_pages, lm_base, secrets_base, contamination_exact, jaccard_components)
+    for f in (op1_lm, op2_neighbours, op3_pages, op4_secrets, op5_decontaminate, op6_jaccard, op7_licences, op8_pieces, op9_language, op10_repeats, op11_shards, op12_ranked, op13_trie, language_pages, lm_base, secrets_base, contamination_exact, jaccard_components)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
 _PLAIN = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-#: crc32 of the digits of doc_id: each byte goes in and is followed by eight steps (marked -1).
-_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(1, length(doc_id::varchar) + 1), lambda i: [ascii(substring(doc_id::varchar, i, 1))::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
-  lambda c, b: case when b >= 0 then xor(c, b) when c & 1 = 1 then xor(c // 2, 3988292384) else c // 2 end), 4294967295::bigint)"""
+
+
+def _crc(text: str) -> str:
+    """crc32 of an SQL text's UTF-8 bytes, half a byte at a time."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+
+    def step(c: str, half: str) -> str:
+        return f"xor(({table}::bigint[])[((xor({c}, {half}) & 15) + 1)::bigint], ({c}) // 16)"
+
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::bigint)), lambda c, b: {step(step('c', 'b'), '(b // 16)')}), 4294967295::bigint)"
+
+
+_CRC = _crc("doc_id::varchar")
+
+
+def _bid(shards: int) -> str:
+    """The shard of each document among so many, as SQL."""
+    return f"""(select doc_id, arg_min(s, c) as shard from (select distinct doc_id, s, -ln((('0x' || substr(md5(coalesce(length(doc_id::varchar) || ':' || doc_id::varchar, '-') || '/' || s), 1, 13))::bigint::double + 0.5) / 4503599627370496) as c from documents, range(0, {shards}) r(s)) group by doc_id)"""
+
 
 
 def _kind_sql(kind: str, rank: int, pattern: str, kept: str) -> str:
@@ -165,4 +200,22 @@ ps as (select doc_id, count(*) as n, sum(k) as k from (select doc_id, run, max(i
 select d.doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
   sha256(unhex(case when head is null then hex(b) else head || hex(array_slice(b, tail, octet_length(b))) end)) as kept_sha256, coalesce(ps.n, 0)::bigint as n_passages, coalesce(ps.k, 0)::bigint as n_passage_words
 from d left join kept using (doc_id) left join ps using (doc_id)""",
+    "op11_shards": f"""select d.doc_id, (octet_length(encode(coalesce(text, ''))) + 8)::bigint as size, {_crc("coalesce(text, '')")}::bigint as text_crc32, 'key' as law, a.shard::int as shard,
+  (row_number() over (partition by a.shard order by md5(coalesce(length(d.doc_id::varchar) || ':' || d.doc_id::varchar, '-')), octet_length(encode(coalesce(text, '')))) - 1)::bigint as slot, b.shard::int as grown_shard
+from documents d join {_bid(24)} a on a.doc_id is not distinct from d.doc_id join {_bid(25)} b on b.doc_id is not distinct from d.doc_id""",
+    "op12_ranked": """with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+s as (select count(*) filter (len(w) > 0) as nn, sum(len(w))::bigint as ll from d), t as (select r, term, count(*) as tf from (select r, unnest(w) as term from d) group by r, term),
+q as (select item_id, term, count(*) as k from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark) group by item_id, term),
+f as (select term, floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)))::bigint as w from t, s group by term, nn),
+x as (select item_id, d.doc_id, d.r, sum(k * f.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(d.w) * nn) // ll))))::bigint as score from q join t using (term) join f using (term) join d using (r), s group by item_id, d.doc_id, d.r)
+select item_id, rank, doc_id, score from (select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score from x where score > 0) where rank <= 20""",
+    "op13_trie": f"""with o as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first) as p, md5(coalesce(role, '') || chr(0) || coalesce(text, '')) as x, octet_length(encode(coalesce(text, ''))) as b from conversations where conv_id is not null),
+l as (select c, list(x order by p) as xs, list(b order by p) as bs, {_crc("c::varchar")} % 9 as h from o group by c),
+s as (select l.c, list_concat(coalesce(m.xs, [])[1:l.h], l.xs[l.h + 1:]) as xs, list_concat(coalesce(m.bs, [])[1:l.h], l.bs[l.h + 1:]) as bs from l left join l m on m.c = l.c - l.c % 5),
+i as (select c, unnest(range(0, len(xs) + 1)) as d, xs, bs from s), k as (select c, d, array_to_string(xs[1:d], '') as key, len(xs) = d as ends, case when d = 0 then 0 else bs[d] end as b from i),
+n as (select d, key, min(c) as conv_id, count(*) as n_convs, any_value(b) as b, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '')) as ends_sha256 from k group by d, key),
+e as (select n.*, p.conv_id as parent from n left join n p on p.d = n.d - 1 and p.key = left(n.key, 32 * (n.d::int - 1))), g as (select d - 1 as d, parent, count(*) as kids from e where d > 0 group by 1, 2),
+f as (select e.*, coalesce(kids, 0) as kids from e left join g on g.d = e.d and g.parent = e.conv_id),
+u as (select a.d, a.key, count(*) filter (z.kids = 0) as n_leaves, sum((z.n_convs - 1) * z.b) as saved from f a join f z on z.d >= a.d and left(z.key, 32 * a.d::int) = a.key group by a.d, a.key)
+select conv_id, d::bigint as depth, parent as parent_conv_id, n_convs, kids as n_children, n_leaves, saved::bigint as saved_tokens, ends_sha256 from f join u using (d, key)""",
 }
