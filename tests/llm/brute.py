@@ -133,3 +133,64 @@ def backoff_scores(docs: list[tuple[int | None, str | None]], mass: tuple[float,
             state = (*state, w)[-(order - 1) :]
         out.append(total)
     return out
+
+
+def ranking(docs: list[tuple[int | None, str | None]], items: list[tuple[int | None, str | None]], k: int = 20) -> set[tuple]:
+    """(item_id, rank, doc_id, score)."""
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    bags = [Counter(term.findall((t or "").translate(LOWER))) for _, t in docs]
+    sizes = [sum(b.values()) for b in bags]
+    n, total, df = sum(s > 0 for s in sizes), sum(sizes), Counter(w for b in bags for w in b)
+    asked: dict = defaultdict(Counter)
+    for i, t in set(items):
+        asked[i].update(term.findall((t or "").translate(LOWER)))
+    out = set()
+    for i, q in asked.items():
+        scored = []
+        for (d, _), b, s in zip(docs, bags, sizes, strict=True):
+            m = 75 + (25 * s * n // total if total else 0)
+            points = sum(c * math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) * (1_000_000_000 * b[w] // (1000 * b[w] + 12 * m)) for w, c in q.items() if b[w])
+            if points > 0:
+                scored.append((-points, d is None, d or 0, d))
+        out |= {(i, r + 1, d, -p) for r, (p, _, _, d) in enumerate(sorted(scored, key=lambda x: x[:3])[:k])}
+    return out
+
+
+def shards(keys: list, n: int) -> list[int]:
+    """The shard of each key: the lowest -ln(draw)."""
+    out = []
+    for key in keys:
+        text = "-" if key is None else f"{len(str(key))}:{key}"
+        draws = [(int(hashlib.md5(f"{text}/{s}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13 for s in range(n)]
+        out.append(max(range(n), key=draws.__getitem__))
+    return out
+
+
+def trie(rows: list[tuple]) -> list[tuple]:
+    """Nodes of rows (conv_id, turn, role, text), by a dictionary of all beginnings."""
+    own: dict[int, list] = defaultdict(list)
+    for c, t, r, x in rows:
+        if c is not None:
+            digest = hashlib.sha256(b"".join(f"{len(p.encode())}:".encode() + p.encode() for p in (r or "", x or ""))).digest()[:16]
+            own[c].append(((t is not None, t or 0, digest), r or "", x or ""))
+    own = {c: [x[1:] for x in sorted(v, key=lambda x: x[0])] for c, v in own.items()}
+    built = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        built[c] = (*own.get(c - int(math.fmod(c, 5)), [])[:h], *turns[h:])
+    nodes: dict[tuple, list[int]] = defaultdict(list)
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            nodes[turns[:d]].append(c)
+    kids: dict[tuple, list] = defaultdict(list)
+    for key in nodes:
+        if key:
+            kids[key[:-1]].append(key)
+    leaves, saved = Counter(), Counter()
+    for key in sorted(nodes, key=len, reverse=True):
+        leaves[key] = sum(leaves[k] for k in kids[key]) or 1
+        saved[key] = sum(saved[k] for k in kids[key]) + ((len(nodes[key]) - 1) * len(key[-1][1].encode()) if key else 0)
+    return [
+        (min(m), len(k), min(nodes[k[:-1]]) if k else None, len(m), len(kids[k]), leaves[k], saved[k], sha(",".join(str(c) for c in sorted(m) if built[c] == k)))
+        for k, m in nodes.items()
+    ]
