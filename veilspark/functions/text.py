@@ -43,6 +43,12 @@ def parts(value: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(cut, "[^A-Za-z0-9]+", " "), " "), lambda x: x != "")
 
 
+def spaced(value: Column) -> Column:
+    """The parts of an identifier with spaces between them: split at signs and case changes of any alphabet, and between letters and digits."""
+    cut = F.regexp_replace(value, r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})", " ")
+    return F.trim(F.regexp_replace(cut, r"[^\p{L}\p{N}]+", " "))
+
+
 def contains_parts(whole: Column, term: Column) -> Column:
     """Whether the parts of ``term`` stand in a row among the parts of ``whole``; case is ignored."""
     w, t = (F.transform(parts(x), F.lower) for x in (whole, term))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import text as T
+from veilspark.operators import phrases, rows
 
 # Types whose shape alone makes them trusted.
 STRUCTURED = ("EMAIL_ADDRESS", "IP_ADDRESS", "CREDIT_CARD", "IBAN_CODE", "CRYPTO", "email", "ip")
@@ -25,33 +26,35 @@ def registry(findings: DataFrame) -> DataFrame:
     )
 
 
-def tokens(text: Column, pattern: str = r"[^\s\"'<>(){}\[\],;]+") -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
-
 def open_occurrences(docs: DataFrame, reg: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """How often each registered value stands in each document between word limits.
+    """(doc_id, value_key, n_occurrences, rule): how often each registered value, of any number of words, stands in each document between word limits.
 
-    Documents are cut into tokens, counted, and joined to the registry by the
-    token (its punctuation trimmed), so a large registry meets only texts that
-    hold its values: no nested loop over texts and values.
+    See :mod:`veilspark.operators.phrases`: a large registry meets only texts
+    that hold its values' rarest words.
     """
-    words = docs.select(doc_id, F.explode(tokens(F.lower(F.coalesce(text, F.lit(""))))).alias("w"))
-    words = words.select(doc_id, F.regexp_replace("w", r"^[^a-z0-9+]+|[^a-z0-9]+$", "").alias("value_key")).where("value_key <> ''")
-    counted = words.groupBy(doc_id, "value_key").agg(F.count("*").alias("n_occurrences"))
-    return counted.join(reg.select("value_key", "rule"), "value_key")
+    found = phrases.places(docs, reg.select("value"), doc_id, text, every=True)
+    counted = found.groupBy("doc_id", "phrase").agg(F.count("*").alias("n_occurrences")).withColumnRenamed("doc_id", doc_id)
+    named = phrases.phrase_table(reg).join(reg.select("value", "value_key", "rule"), "value").groupBy("phrase").agg(F.min(F.struct("value_key", "rule")).alias("of"))
+    return counted.join(named, "phrase").select(doc_id, F.col("of.value_key").alias("value_key"), "n_occurrences", F.col("of.rule").alias("rule"))
 
 
 def leaks(docs: DataFrame, terms: DataFrame, min_letters: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents in which terms still stand, whatever their case or marks: (doc_id, term, n).
 
-    Terms are single words or, with separators dropped, compact needles of at
-    least ``min_letters`` letters; both sides are folded alike and joined.
+    A term stands where its words follow each other, whatever is between them, or
+    where they are written as one; terms have at least ``min_letters`` letters
+    and digits.  Both sides are folded alike.
     """
-    needles = terms.select("term", T.compact(F.col("term")).alias("needle")).where(F.length("needle") >= min_letters).groupBy("needle").agg(F.min("term").alias("term"))
-    words = docs.select(doc_id, F.explode(F.split(T.fold_turkish(F.coalesce(F.col(text), F.lit(""))), r"[\s]+")).alias("w"))
-    words = words.select(doc_id, F.regexp_replace("w", "[^a-z0-9]", "").alias("needle")).where(F.length("needle") >= min_letters).groupBy(doc_id, "needle").agg(F.count("*").alias("n"))
-    return words.join(needles, "needle").select(doc_id, "term", "n")
+    letters = F.regexp_replace(T.fold_turkish(F.col("term")), r"[^\p{L}\p{N}]", "")
+    needles = terms.select("term", letters.alias("needle")).where(F.length("needle") >= min_letters).groupBy("needle").agg(F.collect_set("term").alias("terms"))
+    forms = needles.withColumn("term", F.explode("terms")).select("needle", F.explode(F.array("term", "needle", T.spaced(F.col("term")))).alias("value"))
+    found = phrases.places(docs, forms, doc_id, text, exact=False, turkish=True, every=True)
+    named = phrases.phrase_table(forms, turkish=True).join(forms, "value").select("phrase", "needle").distinct()
+    # A place counts once for a term, in as many of its forms as it may be found; equal rows have equal places.
+    spans = found.join(named, "phrase").groupBy("doc_id", rows.ROW, "start", "end", "needle", "phrase").agg(F.count("*").alias("n"))
+    spans = spans.groupBy("doc_id", rows.ROW, "start", "end", "needle").agg(F.max("n").alias("n"))
+    counted = spans.groupBy(F.col("doc_id").alias(doc_id), "needle").agg(F.sum("n").alias("n"))
+    return counted.join(needles.select("needle", F.array_min("terms").alias("term")), "needle").select(doc_id, "term", "n")
 
 
 def suppressed(findings: DataFrame, decisions: DataFrame) -> DataFrame:

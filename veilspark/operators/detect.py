@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import checks
+from veilspark.operators import rows
 from veilspark.operators import rules as R
 from veilspark.operators import spans as S
 
@@ -164,7 +165,7 @@ def external(docs: DataFrame, findings: DataFrame, source: str = "llm", min_char
 
     ``findings``: doc_id, value, entity, confidence.  Values under ``min_chars``
     count as low; unknown types and confidences become the fallback type and
-    medium.  Joined by document, so nothing is broadcast.
+    medium.  Joined by document (null ids meet null ids), so nothing is broadcast.
     """
     clean = findings.where(F.trim("value") != "").select(
         "doc_id",
@@ -176,11 +177,13 @@ def external(docs: DataFrame, findings: DataFrame, source: str = "llm", min_char
     n = F.size(F.split(body, F.concat(F.lit(r"\Q"), "wanted", F.lit(r"\E")), -1)) - 1
     gaps = F.transform(F.split(body, F.concat(F.lit(r"\Q"), "wanted", F.lit(r"\E")), -1), F.length)
     at = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: n > 0), lambda i: F.aggregate(F.slice(gaps, F.lit(1), i), F.lit(0), lambda a, g: a + g) + (i - 1) * F.length("wanted"))
-    joined = docs.join(clean, "doc_id").select("doc_id", "wanted", "entity", "confidence", body.alias("body"), F.explode(at).alias("start"))
+    clean = clean.withColumnRenamed("doc_id", "__of")
+    own = rows.ids(docs)
+    joined = docs.join(clean, docs["doc_id"].eqNullSafe(clean["__of"])).select(*own, "wanted", "entity", "confidence", body.alias("body"), F.explode(at).alias("start"))
     end = F.col("start") + F.length("wanted")
     joiner = "^[A-Za-z0-9_]$"
     free = ~(F.substring("body", F.col("start"), F.lit(1)).rlike(joiner) & F.substring("wanted", 1, 1).rlike(joiner) & (F.col("start") > 0)) & ~(F.substring("body", end + 1, F.lit(1)).rlike(joiner) & F.substring("wanted", -1, 1).rlike(joiner))
-    return joined.where(free).select("doc_id", F.lit(source).alias("source"), "entity", "confidence", "start", end.alias("end"), F.col("wanted").alias("value"))
+    return joined.where(free).select(*own, F.lit(source).alias("source"), "entity", "confidence", "start", end.alias("end"), F.col("wanted").alias("value"))
 
 
 # The types that outside detectors may give, the names they go by, and the fallback.

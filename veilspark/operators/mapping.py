@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import text as T
+from veilspark.operators import rows
 from veilspark.operators import rules as R
 from veilspark.operators import spans as S
 from veilspark.operators.detect import matches
@@ -24,11 +25,11 @@ def first_occurrences(findings: DataFrame, order: list[str], value: str = "value
 def numbered(values: DataFrame, order: list[str], block: int = BLOCK, value: str = "value") -> DataFrame:
     """Dense numbers from 1 within each prefix, in order of first occurrence, and the placeholders.
 
-    ``order`` starts with a whole number (a document's place).  Values are
-    numbered within blocks of it, and a block starts where the blocks before it
-    end; so a prefix with most of all values is still many small windows.
+    ``order`` starts with a whole number (a document's place; null comes first).
+    Values are numbered within blocks of it, and a block starts where the blocks
+    before it end; so a prefix with most of all values is still many small windows.
     """
-    lead = F.floor(F.col(order[0]) / block)
+    lead = F.coalesce(F.floor(F.col(order[0]) / block), F.lit(-1 << 62))
     keyed = values.withColumn("__block", lead)
     before = keyed.groupBy("prefix", "__block").agg(F.count("*").alias("__n"))
     span = Window.partitionBy("prefix").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
@@ -54,21 +55,30 @@ def private_prefix(source: Column, prefix: Column) -> Column:
     return F.when(source == "corporate", CORPORATE_PREFIX).otherwise(prefix)
 
 
+SPANS = "array<struct<start:int,end:int,replacement:string>>"
+
+
 def masked(docs: DataFrame, findings: DataFrame, mapping: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with masked_text and n_findings.
 
     Findings join the mapping by value and come back as one small array for each
-    document; texts are joined once, by document, and no text is regrouped.
+    row; texts are joined once, by row, and no text is regrouped.  Findings with
+    a row key (:mod:`veilspark.operators.rows`) belong to the rows of that key.
+    Without one they belong to the rows of their id, null like any other, and are
+    taken only where their value stands in the text, so what was found in one of
+    two rows of an id is not written into the other.
     """
-    spans = (
-        findings.join(mapping.select("value", F.col("placeholder").alias("replacement")), "value")
-        .groupBy(doc_id)
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("__spans"))
-    )
+    by_row = rows.ROW in findings.columns
+    key = rows.ROW if by_row else doc_id
+    known = rows.keyed(docs, text, doc_id) if by_row else docs
+    named = findings.join(mapping.select("value", F.col("placeholder").alias("replacement")), "value")
     body = F.coalesce(F.col(text), F.lit(""))
-    none = F.array().cast("array<struct<start:int,end:int,replacement:string>>")
-    out = docs.join(spans, doc_id, "left").withColumn("__spans", F.coalesce("__spans", none))
-    return out.withColumn("masked_text", F.when(F.size("__spans") > 0, S.rebuild(body, F.col("__spans"))).otherwise(body)).withColumn("n_findings", F.size("__spans").cast("long")).drop("__spans")
+    out = rows.attached(known, rows.spans_by_row(named, key, "start", "end", "replacement", "value"), key)
+    stands = F.col("__spans") if by_row else F.filter("__spans", lambda s: F.substring(body, s["start"] + 1, s["end"] - s["start"]) == s["value"])
+    spans = F.transform(F.coalesce(stands, F.array().cast("array<struct<start:int,end:int,replacement:string,value:string>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["replacement"].alias("replacement")))
+    out = out.withColumn("__spans", spans)
+    out = out.withColumn("masked_text", F.when(F.size("__spans") > 0, S.rebuild(body, F.col("__spans"))).otherwise(body)).withColumn("n_findings", F.size("__spans").cast("long"))
+    return out.drop("__spans", *({rows.ROW} - set(docs.columns)))
 
 
 TOKEN = rf"(?<![A-Za-z0-9_])(?:{R.PLACEHOLDER}|{R.OLD_PLACEHOLDER})(?![A-Za-z0-9_])|(?<![0-9])(?:{R.JSON_NUMBER})(?![0-9])"
@@ -90,18 +100,19 @@ def unmasked(docs: DataFrame, mapping: DataFrame, doc_id: str = "doc_id", text:
     """``docs`` with the original values put back, and ``unresolved``: the tokens without a mapping.
 
     Tokens are found in the row, looked up by a join on the token, and put back
-    as one array for each document.
+    as one array for each text.  A text alone says what to put back, so rows are
+    told apart by it and not by their ids.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    tokens = docs.select(doc_id, F.explode(matches(body, f"{TOKEN}|{BARE}")).alias("m")).select(doc_id, "m.start", "m.end", F.col("m.value").alias("placeholder"))
+    keyed = docs.withColumn("__text", rows.content_key(F.col(text)))
+    tokens = keyed.select("__text", F.explode(matches(body, f"{TOKEN}|{BARE}")).alias("m")).select("__text", "m.start", "m.end", F.col("m.value").alias("placeholder")).distinct()
     known = tokens.join(mapping.select("placeholder", "value"), "placeholder", "left")
-    back = known.groupBy(doc_id).agg(
+    back = known.groupBy(F.col("__text").alias("__of")).agg(
         F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("start", "end", F.col("value").alias("replacement"))))).alias("__spans"),
         F.array_sort(F.collect_set(F.when(F.col("value").isNull() & F.col("placeholder").rlike(f"^(?:{R.PLACEHOLDER}|{R.OLD_PLACEHOLDER}|{R.JSON_NUMBER})$"), F.col("placeholder")))).alias("unresolved"),
     )
-    none = F.array().cast("array<struct<start:int,end:int,replacement:string>>")
-    joined = docs.join(back, doc_id, "left").withColumn("__spans", F.coalesce("__spans", none)).withColumn("unresolved", F.coalesce("unresolved", F.array().cast("array<string>")))
-    return joined.withColumn(out, F.when(F.size("__spans") > 0, S.rebuild(body, F.col("__spans"))).otherwise(body)).drop("__spans")
+    joined = rows.attached(keyed, back, "__text").withColumn("__spans", F.coalesce("__spans", F.array().cast(SPANS))).withColumn("unresolved", F.coalesce("unresolved", F.array().cast("array<string>")))
+    return joined.withColumn(out, F.when(F.size("__spans") > 0, S.rebuild(body, F.col("__spans"))).otherwise(body)).drop("__spans", "__text")
 
 
 def round_trip(source: Column, restored: Column) -> Column:

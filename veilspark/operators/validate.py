@@ -98,7 +98,8 @@ def validated(docs: DataFrame, before: str = "text", after: str = "masked_text",
 
 def audit_verdicts(docs: DataFrame, claims: DataFrame, text: str = "masked_text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, risky, n_verified): claims of an outside auditor (doc_id, quote) count only if the quote stands in the text."""
-    joined = docs.select(doc_id, F.col(text).alias("__t")).join(claims, doc_id, "left")
+    named = claims.withColumnRenamed(doc_id, "__of")
+    joined = docs.select(doc_id, F.col(text).alias("__t")).join(named, F.col(doc_id).eqNullSafe(F.col("__of")), "left")
     real = F.coalesce(F.col("__t").contains(F.col("quote")) & F.col("quote").rlike(r"[\p{L}\p{N}]") & ~F.col("quote").rlike(r"^mask_[a-z0-9_]+_[0-9]+$"), F.lit(False))
     return joined.groupBy(doc_id).agg(F.bool_or(real).alias("risky"), F.count_if(real).alias("n_verified"))
 

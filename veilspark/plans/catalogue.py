@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import checks, text as T
-from veilspark.operators import consistency, detect, mapping, outcome, prepare, reports
+from veilspark.operators import consistency, detect, mapping, outcome, prepare, reports, rows
 from veilspark.operators import rules as R
 from veilspark.operators import spans as S
 from veilspark.sources import files
+from veilspark.sources.shared import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,8 +93,9 @@ def _accepted(docs: DataFrame, names: tuple[str, ...] = _BASIC) -> DataFrame:
 
 
 def mask_documents(docs: DataFrame, rules: list[R.Rule]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(masked documents, mapping, accepted findings) of documents (doc_id, text)."""
-    found = detect.long(detect.detect(docs, rules).select("doc_id", S.accepted(S.resolve(F.col("findings"))).alias("findings")))
+    """(masked documents, mapping, accepted findings) of documents (doc_id, text); ids may be null or repeated."""
+    found = detect.detect(rows.keyed(docs), rules).select("doc_id", rows.ROW, S.accepted(S.resolve(F.col("findings"))).alias("findings"))
+    found = stored(detect.long(found, keep=("doc_id", rows.ROW)), "findings")  # used twice, and much smaller than the texts
     table = mapping.mapping_of(found)
     return mapping.masked(docs, found, table), table, found
 
@@ -329,9 +331,14 @@ def value_registry(spark, d):
     return consistency.registry(found).select("value_key", F.col("entities").alias("rules"), "n_findings", "n_docs")
 
 
-@_query(f"""with r as (select distinct lower(v) as value_key from ({_found_sql(names=(EMAIL, IP))})), t as (select doc_id, unnest(regexp_extract_all(lower(text), '[^\\s"''<>(){{}}\\[\\],;]+')) as w from documents),
-k as (select doc_id, regexp_replace(regexp_replace(w, '^[^a-z0-9+]+', ''), '[^a-z0-9]+$', '') as value_key from t)
-select doc_id, value_key, count(*)::bigint as n from k join r using (value_key) group by doc_id, value_key""")
+#: NFKC and case folding, as far as the tables need it.
+_FOLDED = "replace(lower({}), 'ß', 'ss')"
+
+
+@_query(f"""with r as (select distinct lower(v) as value_key from ({_found_sql(names=(EMAIL, IP))})),
+p as (select doc_id, value_key, string_split({_FOLDED.format('text')}, value_key) as p from documents join r on contains({_FOLDED.format('text')}, value_key))
+select doc_id, value_key, count(*)::bigint as n from (select doc_id, value_key, p, unnest(range(1, len(p))) as i from p)
+where not regexp_matches(right(p[i], 1), '[\\p{{L}}\\p{{N}}_]') and not regexp_matches(left(p[i + 1], 1), '[\\p{{L}}\\p{{N}}_]') group by doc_id, value_key""")
 def registry_consistency(spark, d):
     """Where the values found in documents stand open, between word limits."""
     reg = consistency.registry(detect.long(detect.detect(_docs(spark, d), _rules(EMAIL, IP))))
@@ -339,15 +346,18 @@ def registry_consistency(spark, d):
     return open_.groupBy("doc_id", "value_key").agg(F.sum("n_occurrences").cast("long").alias("n"))
 
 
-_FOLD = "translate(lower({}), 'ışğçöü', 'isgcou')"
+_FOLD = "translate(replace(lower({}), 'ß', 'ss'), 'ışğçöü', 'isgcou')"
+_W = f"regexp_extract_all({_FOLD.format('{}')}, '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
 
 
-@_query(f"""with terms as (select distinct unnest(string_split_regex({_FOLD.format('text')}, '\\s+')) as w from benchmark), needles as (select distinct regexp_replace(w, '[^a-z0-9]', '', 'g') as needle from terms),
-words as (select doc_id, regexp_replace(unnest(string_split_regex({_FOLD.format('text')}, '\\s+')), '[^a-z0-9]', '', 'g') as needle from documents)
-select doc_id, count(distinct needle)::bigint as n_terms, count(*)::bigint as n from words join needles using (needle) where length(needle) >= 9 group by doc_id""")
+@_query(f"""with terms as (select distinct unnest(string_split_regex(text, '\\s+')) as t from benchmark), w as (select distinct {_W.format('t')} as w from terms),
+forms as (select array_to_string(w, '') as needle, array_to_string(w, ' ') as form, len(w) as n from w union select array_to_string(w, ''), array_to_string(w, ''), 1 from w),
+d as (select doc_id, {_W.format('text')} as w from documents), g as (select doc_id, i, n.n as n, array_to_string(list_slice(w, i, i + n.n - 1), ' ') as form from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d), (select distinct n from forms where length(needle) >= 9) n where i + n.n - 1 <= len(w)),
+f as (select distinct doc_id, i, g.n, needle from g join forms on g.form = forms.form and g.n = forms.n where length(needle) >= 9)
+select doc_id, count(distinct needle)::bigint as n_terms, count(*)::bigint as n from f group by doc_id""")
 def leak_scan(spark, d):
     """Dictionary words (those of the benchmark texts) that stand in documents, folded and without separators."""
-    terms = _t(spark, d, "benchmark").select(F.explode(F.split(T.fold_turkish(F.col("text")), r"\s+")).alias("term")).distinct()
+    terms = _t(spark, d, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("term")).distinct()
     return consistency.leaks(_docs(spark, d), terms, 9).groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("n").cast("long").alias("n"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.operators import detect, mapping
+from veilspark.operators import detect, mapping, rows
 from veilspark.operators import spans as S
 from veilspark.operators.rules import Rule
 
@@ -16,7 +16,8 @@ def mask_batch(spark: SparkSession, docs: DataFrame, rules: list[Rule], table: s
     Each batch writes its own part of the table, so a repeated batch writes the
     same part again and numbers stay as they were.
     """
-    found = detect.long(detect.detect(docs, rules).select("doc_id", S.accepted(S.resolve(F.col("findings"))).alias("findings")))
+    found = detect.detect(rows.keyed(docs), rules).select("doc_id", rows.ROW, S.accepted(S.resolve(F.col("findings"))).alias("findings"))
+    found = detect.long(found, keep=("doc_id", rows.ROW))
     schema = "value string, prefix string, number bigint, placeholder string, batch int"
     try:
         known = spark.read.schema(schema).parquet(table).where(F.col("batch") < batch)
