@@ -1,10 +1,12 @@
 """Main text of web pages: page structure as a prior, and each host's suffix array as the judge.
 
 A page is read into blocks of text.  Elements that hold no article (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments, by their names, roles, and words of class or id) are left out with all
-that is in them.  If the page has an article (or a main element), only its blocks
-are open; otherwise all are.
+headers, footers, sidebars, notices, adverts, scripts, styles, by their names and
+roles) are left out with all that is in them.  A class or id is weaker evidence: an
+element that is called by a telling word goes unless it holds an article or nearly
+all of the page; one that only has such a word within a class goes if it is a
+small part of the page; a form goes unless it wraps the page.  If the page has an
+article (or a main element), only its blocks are open; otherwise all are.
 
 The open blocks of every page form a stream of tokens.  A run of at least ``run``
 tokens is boilerplate if it stands on a share of the host's pages (``share`` where
@@ -31,6 +33,7 @@ one page.  A page cut off inside a comment, script or tag ends there.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -55,7 +58,7 @@ SLICE, TOKENS = 4 << 20, 4_000_000
 #: HTML's own element lists.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noembed noframes xmp textarea title".split())
-OUT = frozenset("head nav header footer aside form button select option datalist fieldset menu dialog svg math object canvas audio video script style noscript template iframe noembed noframes xmp textarea title".split())
+OUT = frozenset("head nav header footer aside button select option datalist fieldset menu dialog svg math object canvas audio video script style noscript template iframe noembed noframes xmp textarea title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 INLINE_CLOSERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 #: Elements that a new element of the same group closes, up to the elements that hold such a group.
@@ -67,111 +70,181 @@ WORDS = frozenset(
     " nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc sidebar sidebars aside rail widget widgets header masthead footer colophon copyright"
     " comment comments disqus respond replies discussion share sharing social related recommended newsletter subscribe subscription signup login search".split()
 )
+#: Words that tell of readers' comments, and words of a class that speaks of another element.
+COMMENT = frozenset("comment comments disqus respond replies discussion".split())
+TELLS_OTHER = frozenset("has have no not with without is hide show hides shows".split())
+#: An element with a telling word inside its class goes if it holds at most this share of a page's text.
+SMALL_PART = 0.25
+#: A form with this share of the text, and a block of so many signs, is a wrapper of the page.
+MOST, SENTENCE = 0.6, 60
+#: So is an element called by a telling word, but for comments, with this share and so many signs.
+NEARLY_ALL, PAGE = 0.8, 500
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|[^<]+|<", re.S)
 _ATTR = re.compile(r"""(?i)(?:^|[\s/"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|$)""")
 
 
-def left_out(name: str, attrs: str) -> bool:
-    """Whether an element, by its name and attributes, holds no article."""
+def judged(name: str, attrs: str) -> str:
+    """What an element's name and attributes say of it: "out" (no article), "named" (by a class or id that ends in a telling word), "hinted" (such a word elsewhere in one), "form", or nothing.
+
+    A class that says that something else is there, or is not ("has-sidebar",
+    "no-sidebar", "page-with-nav"), says nothing of the element itself.
+    """
     if name in OUT:
-        return True
+        return "out"
+    out = "form" if name == "form" else ""
     for key, *values in _ATTR.findall(attrs) if attrs.strip() else ():
-        value = next((v for v in values if v), "").lower()
+        value = next((v for v in values if v), "")
         key = key.lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and WORDS.intersection(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", next((v for v in values if v), "")).lower())):
-            return True
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in ROLES:
+            return "out"
         if key in ("class", "id") and name == "article" and re.search(r"(?i)comment|reply", value):
-            return True
-    return False
+            return "out"
+        if key in ("class", "id") and name not in ("html", "body", "article", "main", "form"):
+            for token in value.split():
+                parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if x]
+                if WORDS.isdisjoint(parts) or not TELLS_OTHER.isdisjoint(parts):
+                    continue
+                if parts[-1] not in WORDS:
+                    out = out or "hinted"
+                elif not COMMENT.isdisjoint(parts):
+                    return "comments"
+                else:
+                    out = "named"
+    return out
+
+
+class _Element:
+    """An element that structure alone does not settle: what it is called, what it stands in, and how much text it holds."""
+
+    __slots__ = ("kind", "largest", "main", "size", "up")
+
+    def __init__(self, kind: str, up: _Element | None) -> None:
+        self.kind, self.up, self.size, self.largest, self.main = kind, up, 0, 0, False
+
+    def holds_page(self, total: int) -> bool:
+        """Whether it is a wrapper of the page and no part that may go."""
+        if self.main or self.kind == "hinted":
+            return self.main or self.size > SMALL_PART * total
+        if self.kind == "form":
+            return self.size >= MOST * total and self.largest >= SENTENCE
+        return self.kind == "named" and self.size >= NEARLY_ALL * total and self.size >= PAGE
 
 
 def blocks(html: str) -> tuple[list[str], bool]:
-    """Blocks of a page in order, and whether structure alone has chosen them."""
-    stack: list[tuple[str, bool, bool]] = []  # name, left out, in the article
-    found: list[tuple[str, bool]] = []
+    """Blocks of a page in order, and whether structure alone has chosen them.
+
+    Every tag costs the same whatever is open: for each name the places of its
+    open elements are kept, and the places of open blocks.
+    """
+    stack: list[tuple[str, bool, bool, _Element | None]] = []  # name, left out, in the article, innermost unsettled element
+    places: dict[str, list[int]] = {}
+    tall: list[int] = []  # places of open blocks
+    found: list[tuple[str, bool, _Element | None]] = []
     parts: list[str] = []
     out = article = False
+    element: _Element | None = None
     at, n = 0, len(html)
 
     def close() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                found.append((text, article))
+                found.append((text, article, element))
             parts.clear()
 
     def pop(to: int) -> None:
-        nonlocal out, article
-        del stack[to:]
-        out, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        nonlocal out, article, element
+        while len(stack) > to:
+            name = stack.pop()[0]
+            places[name].pop()
+            if name in BLOCK:
+                tall.pop()
+        _, out, article, element = stack[-1] if stack else ("", False, False, None)
+
+    def last(names: set[str] | frozenset[str]) -> int:
+        return max((p[-1] for x in names if (p := places.get(x))), default=-1)
 
     while at < n:
         m = _TOKEN.match(html, at)
         at = m.end()
         name = m[2]
         if name is None:
-            if html[m.start()] != "<" or m[0] == "<":
-                if not out:
-                    parts.append(m[0])
-            elif m[0].startswith("<![CDATA[") and not out:
-                pass
+            if (html[m.start()] != "<" or m[0] == "<") and not out:
+                parts.append(m[0])
             continue
         name = name.lower()
-        if m[1]:
-            if name == "br":
-                parts.append(" ") if not out else None
-                continue
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if name in BLOCK:
-                        close()
-                    elif any(s[0] in BLOCK for s in stack[i + 1 :]):
-                        break  # an inline end tag does not close blocks
-                    pop(i)
-                    break
-            continue
         if name == "br":
             if not out:
                 parts.append(" ")
             continue
+        if m[1]:
+            if own := places.get(name):
+                i = own[-1]
+                if name in BLOCK:
+                    close()
+                elif tall and tall[-1] > i:
+                    continue  # an inline end tag does not close blocks
+                pop(i)
+            continue
         if name in VOID:
             if name == "hr":
                 close()
             continue
         if name in RAW:
-            end = re.compile(rf"(?i)</{name}(?=[\s/>])[^>]*(?:>|\Z)").search(html, at)
+            end = _raw_end(name).search(html, at)
             at = end.end() if end else n
             continue
         if name in BLOCK:
             close()
-        if name in INLINE_CLOSERS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    pop(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+        if name in INLINE_CLOSERS and tall and stack[tall[-1]][0] == "p":
+            pop(tall[-1])
         if name in SIBLINGS:
             same, holders = SIBLINGS[name]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in holders:
+            while (i := last(same)) > last(holders):
+                pop(i)
+                if name != "tr" or stack and stack[-1][0] not in same:
                     break
-                if stack[i][0] in same:
-                    pop(i)
-                    if name != "tr" or stack and stack[-1][0] not in same:
-                        break
-        gone = out or left_out(name, m[3])
-        inside = article or name in ("article", "main") or bool(re.search(r"""(?i)\brole\s*=\s*["']?(?:main|article)\b""", m[3]))
-        if gone != out or inside != article:
+        kind = "" if out else judged(name, m[3])
+        gone = out or kind == "out"
+        own_article = name in ("article", "main") or bool(re.search(r"""(?i)\brole\s*=\s*["']?(?:main|article)\b""", m[3]))
+        inside = article or own_article
+        if own_article and not gone:
+            up = element
+            while up is not None and not up.main:
+                up.main, up = True, up.up
+        new = _Element(kind, element) if kind and not gone else element
+        if gone != out or inside != article or new is not element:
             close()
-        stack.append((name, gone, inside))
-        out, article = gone, inside
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            tall.append(len(stack))
+        stack.append((name, gone, inside, new))
+        out, article, element = gone, inside, new
     close()
-    sure = any(a for _, a in found)
-    return [t for t, a in found if a or not sure], sure or not found
+    total = sum(len(t) for t, _, _ in found)
+    for t, _, e in found:
+        while e is not None:
+            e.size, e.largest, e = e.size + len(t), max(e.largest, len(t)), e.up
+    stays: dict[_Element | None, bool] = {None: True}
+
+    def kept(e: _Element | None) -> bool:
+        chain = []
+        while e not in stays:
+            chain.append(e)
+            e = e.up
+        for x in reversed(chain):
+            stays[x] = stays[x.up] and x.holds_page(total)
+        return stays[chain[0]] if chain else stays[e]
+
+    left = [(t, a) for t, a, e in found if kept(e)]
+    sure = any(a for _, a in left)
+    return [t for t, a in left if a or not sure], sure or not left
+
+
+@functools.cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"(?i)</{name}(?=[\s/>])[^>]*(?:>|\Z)")
 
 
 @F.pandas_udf(StringType())
@@ -200,23 +273,25 @@ def _streams(pages_: list[str], hosts: list[str], run: int) -> list[tuple[list[s
     return out
 
 
-def _candidates(pages_: list[tuple], hosts: list[str], share: float, run: int) -> dict[str, np.ndarray]:
-    """By host, the windows that a share of its pages in a slice hold, confirmed by a suffix array of their runs."""
+def _candidates(pages_: list[tuple], hosts: list[str], share: float, run: int) -> list[tuple[str, np.ndarray, np.ndarray, int, int]]:
+    """By host: windows of its pages in a slice, on how many of them each stands, the host's pages in the slice, and those if it is a large part (else 0).
+
+    Of a large part (of which a share is more than one page) only windows that
+    reach the share are told, confirmed by a suffix array of their runs; of a
+    small one all are.
+    """
     by: dict[str, list[int]] = {}
     for i, host in enumerate(hosts):
-        if len(pages_[i][4]):
+        if len(pages_[i][3]):
             by.setdefault(host, []).append(i)
-    out = {}
+    out = []
     for host, own in by.items():
-        if len(own) < 2:  # one page of a host in this slice: all it holds may be boilerplate
-            out[host] = np.unique(pages_[own[0]][4])
-            continue
         held = [np.unique(pages_[i][4]) for i in own]
         found, n = np.unique(np.concatenate(held), return_counts=True)
-        found = found[n >= max(share * len(own), 1 if len(own) * share <= 1 else 2)]
-        if share * len(own) <= 1:  # windows of any page may be
-            out[host] = found
+        if share * len(own) <= 1:
+            out.append((host, found, n, len(own), 0))
             continue
+        found = found[n >= max(share * len(own), 2)]
         segments, windows = [], []
         for i in own:
             tokens, h = pages_[i][3], pages_[i][4]
@@ -224,10 +299,15 @@ def _candidates(pages_: list[tuple], hosts: list[str], share: float, run: int) -
             for x, y in zip(s, e, strict=True):
                 segments.append(tokens[x : y + run - 1].tobytes())
                 windows.append(h[x:y])
-        if not segments:
-            continue
-        again = [r[::8][: len(w)] for r, w in zip(repeated_starts(segments, 8 * run), windows, strict=True)]
-        out[host] = np.unique(np.concatenate([w[r] for w, r in zip(windows, again, strict=True)]))
+        if segments:
+            again = [r[::8][: len(w)] for r, w in zip(repeated_starts(segments, 8 * run), windows, strict=True)]
+            found = np.unique(np.concatenate([w[r] for w, r in zip(windows, again, strict=True)]))
+        else:
+            found = found[:0]
+        n = np.zeros(len(found), np.int64)
+        for h in held:
+            n += np.isin(found, h)
+        out.append((host, found, n, len(own), len(own)))
     return out
 
 
@@ -247,8 +327,17 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", run: int =
         names: list[str] = []
 
         def told() -> pa.RecordBatch:
-            found = _candidates(held, names, min(share, inside), run)
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x.view(np.int64) for x in found.values()], pa.list_(pa.int64()))], ["host", "windows"])
+            rows = _candidates(held, names, min(share, inside), run)
+            sizes = [len(w) + 1 for _, w, *_ in rows]
+            first = np.cumsum([0, *sizes[:-1]]).astype(np.int64) if rows else np.zeros(0, np.int64)
+            host = pa.array([r[0] for r in rows], pa.string()).take(pa.array(np.repeat(np.arange(len(rows)), sizes)))
+            none, windows, n = np.zeros(sum(sizes), bool), np.zeros(sum(sizes), np.int64), np.zeros(sum(sizes), np.int64)
+            none[first] = True  # one row of each host has its pages, no window
+            large = np.zeros(len(n), np.int64)
+            for at, (_, w, c, here, big) in zip(first, rows, strict=True):
+                windows[at + 1 : at + 1 + len(w)], n[at + 1 : at + 1 + len(w)] = w.view(np.int64), c
+                n[at], large[at : at + 1 + len(w)] = here, big
+            return pa.RecordBatch.from_arrays([host, pa.array(windows, mask=none), pa.array(n), pa.array(large)], ["host", "window", "n", "large"])
 
         # The larger the part of a host that a slice holds, the fewer windows reach the share by chance.
         for batch in sliced(batches, "html", SLICE):
@@ -262,9 +351,15 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", run: int =
         if held:
             yield told()
 
-    # Slices name the same windows again and again; each host's are merged in parts, by their hashes.
-    named = slim.mapInArrow(find, "host string, windows array<bigint>").select("host", F.explode("windows").alias("window")).distinct()
-    asked = stored(named.groupBy("host").agg(F.collect_list("window").alias("windows")), "windows")
+    # Slices name the same windows again and again: their counts are summed.  A large slice that does not name a window has it on
+    # less than a share of its pages, a small one on none, so what cannot reach the share and ``least`` pages of a host is known here,
+    # and a host keeps 1 / share times as many windows as a page has, about.
+    named = slim.mapInArrow(find, "host string, window bigint, n bigint, large bigint").groupBy("host", "window").agg(F.sum("n").alias("n"), F.sum("large").alias("large"))
+    named = stored(named, "window-names")
+    hosts_ = named.where("window is null").select("host", F.col("n").alias("pages"), F.col("large").alias("pages_large"))
+    most = F.col("n") + F.lit(min(share, inside)) * (F.col("pages_large") - F.col("large"))
+    fit = named.where("window is not null").join(hosts_, "host").where((most >= F.lit(min(share, inside)) * F.col("pages")) & (most >= least))
+    asked = stored(fit.groupBy("host").agg(F.collect_list("window").alias("windows")), "windows")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "html", SLICE):

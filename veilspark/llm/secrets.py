@@ -74,8 +74,16 @@ def secret_spans(text: str, encode: Callable[[str], list[int]], max_ratio: float
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    found += [(m.start(), 3, m.end()) for m in _RUN.finditer(text) if is_random(m[0], encode, max_ratio) and not any(m.start() < e and s < m.end() for s, k, e in found if k < 3)]
-    return sorted(found)
+    found.sort()
+    # Runs come from left to right, and so do the spans that may touch them.
+    at, reached, more = 0, 0, []
+    for m in _RUN.finditer(text):
+        while at < len(found) and found[at][0] < m.end():
+            reached = max(reached, found[at][2])
+            at += 1
+        if reached <= m.start() and is_random(m[0], encode, max_ratio):
+            more.append((m.start(), 3, m.end()))
+    return sorted(found + more)
 
 
 def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets", vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> DataFrame:
