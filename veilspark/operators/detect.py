@@ -9,13 +9,16 @@ the pattern finds nothing, pass quickly.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import checks
+from veilspark.functions.arrays import let, running
 from veilspark.operators import rows
 from veilspark.operators import rules as R
 from veilspark.operators import spans as S
@@ -28,18 +31,13 @@ def matches(text: Column, pattern: str, needs: Iterable[str] = ()) -> Column:
 
     ``needs``: strings of which every match holds one.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-    walked = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(F.transform(gaps, F.length), 1, F.size(found)).alias("g")),
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + F.length(x["m"])).alias("end"), x["m"].alias("value")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.transform(F.split(text, pattern, -1), F.length).alias("g"))
+
+    def placed(pairs: Column) -> Column:
+        ends = running(F.transform(pairs, lambda x: x["g"] + F.length(x["m"])), lambda a, b: a + b)
+        return let(ends, lambda e: F.transform(pairs, lambda x, i: F.struct((F.get(e, i) - F.length(x["m"])).alias("start"), F.get(e, i).alias("end"), x["m"].alias("value"))))
+
+    walked = let(F.filter(pairs, lambda x: x["m"].isNotNull()), placed)  # what follows the last match has none
     needed = [text.contains(x) for x in needs]
     worth = reduce(Column.__or__, needed) & text.rlike(pattern) if needed else text.rlike(pattern)
     return F.when(worth, walked).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
@@ -48,6 +46,28 @@ def matches(text: Column, pattern: str, needs: Iterable[str] = ()) -> Column:
 EMPTY = "array<struct<start:int,end:int,value:string>>"
 
 
+def grouped(text: Column, pattern: str, flags: str, group: str = R.VALUE_GROUP) -> Column:
+    """Matches of a Python pattern, each narrowed to a named group unless it is empty or took no part; for groups within other groups or alternatives, whose places Spark's functions do not tell."""
+    mode = 0
+    for letter, flag in (("i", re.I), ("s", re.S), ("m", re.M)):
+        mode |= flag if letter in flags else 0
+
+    def each(texts: pd.Series) -> pd.Series:
+        compiled = re.compile(pattern, mode)
+
+        def one(body: str | None) -> list[dict]:
+            out = []
+            for m in compiled.finditer(body or ""):
+                a, b = m.span(group) if m[group] else m.span()
+                if a < b:
+                    out.append({"start": a, "end": b, "value": body[a:b]})
+            return out
+
+        return texts.map(one)
+
+    return F.pandas_udf(each, EMPTY)(text)
+
+
 def narrowed(text: Column, pattern: str, group: int, needs: Iterable[str] = ()) -> Column:
     """:func:`matches`, each narrowed to a group that is not empty; group 1 is what stands before it in the match."""
     heads, values = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, group))
@@ -94,10 +114,16 @@ def display_path(path: Column, rules: Iterable[R.Rule]) -> Column:
     return F.when(path.isNotNull(), S.rebuild(path, F.transform(found, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), F.concat(F.coalesce(f["prefix"], F.lit("mask")), F.lit("_*")).alias("replacement")))))
 
 
+def _matches(text: Column, rule: R.Rule) -> Column:
+    if rule.by_python:
+        return grouped(text, rule.pattern, rule.flags)
+    return narrowed(text, *rule.narrowed, rule.needs) if rule.narrowed else matches(text, rule.java, rule.needs)
+
+
 def _found(text: Column, masked: Column, allow: Column, rule: R.Rule, natural: tuple[str, ...]) -> Column:
     """Findings of one rule, beside placeholders and allowed spans."""
     second = rule.kind == "recogniser"
-    found = F.filter(narrowed(text, *rule.narrowed, rule.needs) if rule.narrowed else matches(text, rule.java, rule.needs), lambda m: ~S.touched(m, masked))
+    found = F.filter(_matches(text, rule), lambda m: ~S.touched(m, masked))
     if rule.kind == "parametric" and rule.category == "sicil_no":
         found = F.filter(found, lambda m: ~technical(text, m))
     if rule.validator:

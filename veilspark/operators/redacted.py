@@ -89,31 +89,25 @@ def to_view(regions: Column, start: Column, end: Column) -> Column:
 
 
 def compose(first: list[dict[str, int]], second: list[dict[str, int]]) -> list[dict[str, int]]:
-    """The map to the source of a view (``second``) of a view (``first``)."""
+    """The map to the source of a view (``second``) of a view (``first``).
+
+    Tokens of the first view and spans that the second replaces become one region
+    if they share a sign, so what is left of a token that was cut belongs to the
+    region too.
+    """
+    # In the first view: what stands there instead of the source, and what goes on to the second view.
+    inner = [(r["view_start"], r["view_end"], r["end"] - r["view_end"], None) for r in first]
+    outer = [(r["start"], r["end"], None, r["view_end"] - r["end"]) for r in second]
     out: list[dict[str, int]] = []
-    i, shift1, shift2 = 0, 0, 0  # regions of ``first`` that are done; how far source and first view, first and second view, are apart
-
-    def add(view_start: int, view_end: int, start: int, end: int) -> None:
-        out.append({"view_start": view_start, "view_end": view_end, "start": start, "end": end})
-
-    for r in second:
-        low, high = r["start"], r["end"]  # in the first view
-        while i < len(first) and first[i]["view_end"] <= low:
-            f = first[i]
-            add(f["view_start"] + shift2, f["view_end"] + shift2, f["start"], f["end"])
-            shift1 = f["end"] - f["view_end"]
-            i += 1
-        start, end = low + shift1, None
-        while i < len(first) and first[i]["view_start"] < high:
-            f = first[i]
-            start = min(start, f["start"])
-            end = f["end"] + max(0, high - f["view_end"])
-            shift1 = f["end"] - f["view_end"]
-            i += 1
-        add(r["view_start"], r["view_end"], start, high + shift1 if end is None else end)
-        shift2 = r["view_end"] - high
-    for f in first[i:]:
-        add(f["view_start"] + shift2, f["view_end"] + shift2, f["start"], f["end"])
+    to_source = to_view = 0
+    high = -1
+    for low, end, source, view in sorted(inner + outer, key=lambda x: x[:2]):
+        if not out or low >= high:
+            out.append({"view_start": low + to_view, "view_end": 0, "start": low + to_source, "end": 0})
+            high = end
+        high = max(high, end)
+        to_source, to_view = to_source if source is None else source, to_view if view is None else view
+        out[-1]["view_end"], out[-1]["end"] = high + to_view, high + to_source
     return out
 
 

@@ -6,7 +6,9 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import checks
@@ -33,21 +35,76 @@ class Rule:
     @property
     def java(self) -> str:
         """The pattern for Spark's regular expressions; case-insensitive ones also fold letters outside ASCII."""
+        return self._flags + (java_pattern(self.pattern) if self.pattern else "")
+
+    @property
+    def _flags(self) -> str:
         flags = "".join(f for f in ("i", "s", "m") if f in self.flags)
-        return (f"(?{flags}{'u' if 'i' in flags else ''})" if flags else "") + (self.pattern or "")
+        return f"(?{flags}{'u' if 'i' in flags else ''})" if flags else ""
 
     @property
     def narrowed(self) -> tuple[str, int] | None:
         """For a pattern with the group ``(?P<deger>...)``, which a finding is narrowed to: the pattern with all before the group as group 1, and the group's number."""
-        before, mark, after = (self.pattern or "").partition("(?P<deger>")
-        if not mark:
+        place = _value_group(self.pattern or "")
+        if place is None or not place[1]:
             return None
-        try:
-            inner = re.compile(before).groups
-        except re.error as e:
-            raise ValueError(f"rule {self.name}: the group deger must not stand inside another group") from e
-        flags = self.java[: len(self.java) - len(self.pattern)]
-        return f"{flags}({before})({after}", inner + 2
+        before, number = self.pattern[: place[0]], place[2]
+        head = java_pattern(self.pattern, 1)
+        cut = len(java_pattern(before, 1, self.pattern))
+        return f"{self._flags}({head[:cut]}){head[cut:]}", number + 1
+
+    @property
+    def by_python(self) -> bool:
+        """Whether the group that a finding is narrowed to stands in another group or an alternative."""
+        place = _value_group(self.pattern or "")
+        return place is not None and not place[1]
+
+
+#: The group that findings are narrowed to.
+VALUE_GROUP = "deger"
+_PIECE = re.compile(r"\\(?:[1-9][0-9]?|.)|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?P<(\w+)>|\(\?P=(\w+)\)|\(\?|[()|]|.", re.S)
+
+
+def _group_numbers(pattern: str) -> dict[str, int]:
+    numbers, n = {}, 0
+    for m in _PIECE.finditer(pattern):
+        if m[1] or m[0] == "(":
+            n += 1
+        if m[1]:
+            numbers[m[1]] = n
+    return numbers
+
+
+def _value_group(pattern: str) -> tuple[int, bool, int] | None:
+    """Where the value's group begins, whether it stands alone at the top of the pattern, and its number; None if there is none."""
+    depth, place, alone, bars = 0, None, True, False
+    for m in _PIECE.finditer(pattern):
+        if m[1] == VALUE_GROUP:
+            place, alone = m.start(), depth == 0
+        if m[0][0] == "(" and not m[2]:
+            depth += 1
+        elif m[0] == ")":
+            depth -= 1
+        elif m[0] == "|" and depth == 0:
+            bars = True
+    return None if place is None else (place, alone and not bars, _group_numbers(pattern)[VALUE_GROUP])
+
+
+def java_pattern(pattern: str, shift: int = 0, whole: str | None = None) -> str:
+    """A Python pattern for Java: named groups and references to them by number, each number up by ``shift``; ``whole`` is the pattern that names stand in, if this is its beginning."""
+    numbers, out = _group_numbers(whole or pattern), []
+    for m in _PIECE.finditer(pattern):
+        piece = m[0]
+        if m[1]:
+            piece = "("
+        elif m[2]:
+            piece = f"(?:\\{numbers[m[2]] + shift})"
+        elif len(piece) > 1 and piece[0] == "\\" and piece[1:].isdigit():
+            piece = f"(?:\\{int(piece[1:]) + shift})"
+        elif piece == "\\Z":
+            piece = "\\z"
+        out.append(piece)
+    return "".join(out)
 
 
 # Names, patterns, priorities and prefixes that results are compared by.
@@ -135,9 +192,21 @@ def bound(rules: tuple[Rule, ...] = RULES, values: dict[str, str] | None = None)
 
 
 def register_rule(rules: tuple[Rule, ...], rule: Rule) -> tuple[Rule, ...]:
-    """``rules`` with one more, or with the one of that name replaced; its pattern must be a regular expression."""
+    """``rules`` with one more, or with the one of that name replaced.
+
+    Its pattern must be a regular expression of Python, and of Java in the form
+    that Spark will use, which an active session compiles here: what would stop a
+    job is refused now.
+    """
     if rule.pattern:
         re.compile(rule.pattern)
+        spark = SparkSession.getActiveSession()
+        if spark is not None and not rule.by_python:
+            used = rule.narrowed[0] if rule.narrowed else rule.java
+            try:
+                spark.range(1).select(F.concat(F.lit("a"), F.col("id").cast("string")).rlike(used)).collect()
+            except (PySparkException, Py4JJavaError) as e:
+                raise ValueError(f"rule {rule.name}: Spark cannot use the pattern {used!r}") from e
     return (*(r for r in rules if r.name != rule.name), rule)
 
 

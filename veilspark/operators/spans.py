@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspark.functions.arrays import let, running
+
 CONFIDENCE = {"dusuk": 0, "orta": 1, "yuksek": 2}
 SOURCES = {"llm_audit": 0, "llm": 1, "katman2_presidio": 2, "dictionary": 3}
 
@@ -32,14 +34,36 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["end"] > b["start"]) & (a["start"] < b["end"])
 
 
+def _clusters(spans: Column) -> Column:
+    """Spans in the order of their starts, cut into arrays that no overlap joins."""
+
+    def cut(ordered: Column) -> Column:
+        reach = running(F.transform(ordered, lambda s: s["end"].cast("int")), F.greatest)
+
+        def split(reach: Column) -> Column:
+            heads = F.filter(F.transform(ordered, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(reach, i - 1)), i)), lambda i: i.isNotNull())
+            return let(heads, lambda h: F.transform(h, lambda at, k: F.slice(ordered, at + 1, F.coalesce(F.get(h, k + 1), F.size(ordered)) - at)))
+
+        return let(reach, split)
+
+    ordered = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["ord"].alias("c"), s.alias("span")))), lambda x: x["span"])
+    return let(ordered, cut)
+
+
 def resolve(spans: Column) -> Column:
     """Greedy choice among overlapping spans, as an array of struct<span, accepted, winner>.
 
     ``spans``: structs with authority, confidence, source, priority, start, end
     and ord (a number that breaks all ties).  Ranked by authority, confidence,
     length, lower priority number and source; a span is accepted unless it
-    overlaps one accepted before, which is then named by its ``ord``.
+    overlaps one accepted before, which is then named by its ``ord``.  Spans that
+    no chain of overlaps joins cannot meet, so each such cluster is ranked by
+    itself, and a text with many findings costs little more than their number.
     """
+    return F.flatten(F.transform(_clusters(spans), _resolved))
+
+
+def _resolved(spans: Column) -> Column:
     ranked = F.transform(
         F.array_sort(
             F.transform(
@@ -72,25 +96,28 @@ def accepted(resolved: Column) -> Column:
 def union(spans: Column) -> Column:
     """Overlapping and touching spans become one: array<struct<start, end>> by start."""
     plain = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"))))
-    none = F.filter(plain, lambda x: F.lit(False))
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when((F.size(done) > 0) & (x["start"] <= last["end"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(x)))
+    def joined(plain: Column) -> Column:
+        reach = running(F.transform(plain, lambda s: s["end"]), F.greatest)
+
+        def cut(reach: Column) -> Column:
+            heads = F.filter(F.transform(plain, lambda s, i: F.when((i == 0) | (s["start"] > F.get(reach, i - 1)), i)), lambda i: i.isNotNull())
+            return let(heads, lambda h: F.transform(h, lambda at, k: F.struct(F.get(plain, at)["start"].alias("start"), F.get(reach, F.coalesce(F.get(h, k + 1), F.size(plain)) - 1).alias("end"))))
+
+        return let(reach, cut)
 
-    return F.aggregate(plain, none, step)
+    return let(plain, joined)
 
 
 def rebuild(text: Column, spans: Column, replacement: str = "replacement") -> Column:
     """``text`` with each span (disjoint, by start) replaced by its field ``replacement``."""
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-    return F.aggregate(
-        spans,
-        start,
-        lambda acc, s: F.struct(F.concat(acc["done"], F.substring(text, acc["at"] + 1, s["start"].cast("int") - acc["at"]), s[replacement]).alias("done"), s["end"].cast("int").alias("at")),
-        lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+
+    def built(spans: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(spans, i - 1)["end"].cast("int")).otherwise(0)
+        pieces = F.transform(spans, lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"].cast("int") - before(i)), s[replacement]))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, before(F.size(spans)) + 1, F.length(text)))
+
+    return let(spans, built)
 
 
 def blank(text: Column, spans: Column) -> Column:
