@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from veilspark.operators import consistency, detect, learned, mapping, paths, phrases, redacted, rows, structure, variants
+from veilspark.operators import consistency, detect, learned, locks, mapping, paths, phrases, redacted, rows, structure, variants, warnings
 from veilspark.plans.catalogue import _FOLDED, _P, EMAIL, IP, PHONE, _accepted, _docs, _found_sql, _query, _rules, _t, mask_documents
+from veilspark.sources import publish
+from veilspark.sources.shared import shared_dir
 
 _WORD = r"[\p{L}\p{N}]+"
 _OPEN = r"[\p{L}\p{N}_]"
@@ -141,3 +145,49 @@ def member_places(spark, d):
     kept = variants.kept_texts(classes)
     found = kept.select(rows.ROW, F.explode(detect.matches(F.col("text"), "[0-9]+")).alias("m")).select(rows.ROW, "m.start", "m.end")
     return variants.member_spans(classes, found).select("doc_id", F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"))
+
+
+_LOCK = """'{"resolved": "https://' || (['registry.npmjs.org', 'nexus.corp-' || s_nationkey || '.local:8081', 'ci:pw@registry.npmjs.org'])[s_suppkey % 3 + 1] || '/pkg/' || s_suppkey || '.tgz", "integrity": "sha512-' || md5(s_name) || '"}'"""
+
+
+@_query(f"""with x as (select s_suppkey, {_LOCK} as t, s_suppkey % 3 <> 0 as internal from supplier), n as (select s_suppkey, row_number() over (order by s_suppkey) as n from x where internal)
+select x.s_suppkey, case when internal then regexp_replace(t, 'https://[^"]+', 'https://mask-paket-adresi-' || n || '.invalid') else t end as masked_text, internal::int::bigint as n_masked, true as sound from x left join n using (s_suppkey)""")
+def lock_addresses(spark, d):
+    """Lock files with the addresses of internal registries masked (entries derived from suppliers)."""
+    key = F.col("s_suppkey")
+    host = F.get(F.array(F.lit("registry.npmjs.org"), F.concat(F.lit("nexus.corp-"), "s_nationkey", F.lit(".local:8081")), F.lit("ci:pw@registry.npmjs.org")), (key % 3).cast("int"))
+    text = F.concat(F.lit('{"resolved": "https://'), host, F.lit("/pkg/"), key.cast("string"), F.lit('.tgz", "integrity": "sha512-'), F.md5(F.col("s_name").cast("binary")), F.lit('"}'))
+    done, _ = locks.mask_addresses(_t(spark, d, "supplier").select(key.alias("doc_id"), text.alias("text")))
+    return done.select(F.col("doc_id").alias("s_suppkey"), "masked_text", "n_masked", "sound")
+
+
+@_query("""with recursive w as (select distinct user_id as u from events), c as (select event_id as i, user_id as u, event_id % 4 as v, (['confirm', 'dismiss', 'mask', 'accept_syntax_error', 'other'])[event_id % 7 % 5 + 1] as act, value > 50 as ok from events),
+a as (select *, act <> 'confirm' and not coalesce(ok, false) as bad from c where act <> 'other'),
+k as (select u, 0::bigint as v, (-1)::bigint as i, 'pending' as status, false as failed from w
+  union all select u, v + 1, m.i, case when m.bad then 'pending' when m.act = 'confirm' then 'confirmed' when m.act = 'mask' then 'masked' else 'dismissed' end, failed or m.bad
+  from (select k.u, k.v, k.failed, min(struct_pack(i := a.i, act := a.act, bad := a.bad)) as m from k join a on a.u = k.u and a.v = k.v and a.i > k.i
+    where k.status = 'pending' and not (a.act in ('dismiss', 'mask') and k.failed) and not (a.act = 'accept_syntax_error' and k.u % 3 <> 0) and not (a.act = 'mask' and k.u % 5 = 0) group by k.u, k.v, k.failed))
+select u as user_id, max_by(status, v) as status, max(v) as version, bool_or(failed) as audit_failed from k group by u""")
+def warning_decisions(spark, d):
+    """Held files after the decisions on them: users stand for warnings, events for decisions on a version."""
+    events = _t(spark, d, "events")
+    key = F.col("warning_id")
+    held = events.select(F.col("user_id").alias("warning_id")).distinct().select(
+        key, F.lit("pending").alias("status"), F.lit(0).cast("long").alias("version"), F.when(key % 3 == 0, "sozdizimi").otherwise("llm_denetimi").alias("failed_check"),
+        F.lit(False).alias("audit_failed"), F.when(key % 5 == 0, "lock").otherwise("text").alias("kind"), F.lit(1).alias("n_evidence"),
+    )
+    names = F.array(*map(F.lit, ("confirm", "dismiss", "mask", "accept_syntax_error", "other")))
+    actions = events.select(F.col("event_id").alias("action_id"), F.col("user_id").alias("warning_id"), (F.col("event_id") % 4).alias("version"), F.get(names, (F.col("event_id") % 7 % 5).cast("int")).alias("action"))
+    after, _ = warnings.apply_actions(held, actions, events.select(F.col("event_id").alias("action_id"), (F.col("value") > 50).alias("passed")))
+    return after.select(F.col("warning_id").alias("user_id"), "status", "version", "audit_failed")
+
+
+@_query("""select coalesce(source, 'none') || '/' || lang || '/' || doc_id || '.txt' as path, octet_length(encode(coalesce(text, '')))::bigint as size, sha256(coalesce(text, '')) as digest from documents where doc_id % 2 = 0""")
+def published_files(spark, d):
+    """Documents published as a tree of files over an older run, read back as a reader finds them; odd ones failed and lie beside it."""
+    at = f"{shared_dir(spark).rstrip('/')}/published-{uuid.uuid4().hex}"
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    done = _t(spark, d, "documents").select(path.alias("path"), F.col("text").alias("masked_text"), F.when(F.col("doc_id") % 2 == 0, "READY").otherwise("VALIDATION_FAILED").alias("final_state"))
+    publish.publish(done.where(F.col("path").contains("/en/")), at, "first")
+    publish.publish(done, at, "second")
+    return publish.published(spark, at).select("path", "size", F.sha2("content", 256).alias("digest"))

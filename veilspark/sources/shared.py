@@ -5,21 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below spark.checkpoint.dir and read it back: what follows neither recomputes nor inlines what came before.
-
-    Where the setting is absent, a local master uses a temporary folder and a cluster raises an error.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one on a local master and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="veilspark-")
         spark.conf.set("spark.checkpoint.dir", at)
-    at = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return at
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` in the shared folder and read it back: what follows neither recomputes nor inlines what came before."""
+    at = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
