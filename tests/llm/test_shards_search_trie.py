@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from veilspark.llm import common, jaccard, queries, ranked, sharding, trie
+from veilspark.llm import common, decontaminate, jaccard, queries, ranked, repeats, sharding, trie
 from veilspark.llm.ordering import placed
 
 DOC = "doc_id bigint, text string, shard string, slot double, score string, rank string"
@@ -204,3 +204,34 @@ def test_new_queries_return_their_contracts(spark):
     want = {"op11_shards": "doc_id size text_crc32 law shard slot grown_shard", "op12_ranked": "item_id rank doc_id score", "op13_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256"}
     for name, columns in want.items():
         assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").columns == columns.split()
+
+
+# -- keys of rows, and ids of other types --------------------------------------------------------
+
+
+def test_rows_whose_hashes_clash_are_told_apart(spark):
+    rows = [(i, f"t{i % 40}") for i in range(60)] + [(3, "t3"), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for width in (2, 64):
+        keys: dict = {}
+        for r in repeats.row_keys(df, "key", width).collect():
+            keys.setdefault(r["key"], set()).add((r.doc_id, r.text))
+        assert all(len(v) == 1 for v in keys.values()) and len(keys) == len(set(rows))
+
+
+def test_repeats_of_rows_with_maps_and_clashing_names(spark):
+    rng = random.Random(2)
+    body = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    df = spark.createDataFrame([(1, body, {"a": 1}, 5), (2, f"x{body}", None, 6), (3, "short", {}, 7)], "doc_id bigint, text string, m map<string,int>, removed int")
+    out = {r.doc_id: (r.n_removed, r.m) for r in repeats.without_repeats(df).collect()}
+    assert out == {1: (900, {"a": 1}), 2: (900, None), 3: (0, {})}
+
+
+def test_benchmark_ids_of_any_type(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"a {item} b"), (2, "nothing")], "doc_id bigint, text string")
+    for kind, ids in (("string", ["q/b", "q/a", None]), ("int", [7, 4, None])):
+        bench = spark.createDataFrame([(i, item) for i in ids], f"item_id {kind}, text string")
+        for words in (2_000_000, 5):
+            got = {r.doc_id: r["items"] for r in decontaminate.contamination(docs, bench, block_words=words).collect()}
+            assert got == {1: sorted(i for i in ids if i is not None), 2: []}

@@ -33,6 +33,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegralType
 
 from veilspark.llm.common import bytes_of, fresh, sliced
 
@@ -50,17 +52,26 @@ class Block:
     terms: dict[bytes, int]
     windows: np.ndarray  # one row a window, ids of terms, -1 behind a short one
     lengths: np.ndarray
-    items: np.ndarray  # item of each window
+    ids: list  # of the items
+    items: np.ndarray  # item of each window, by its place in ids
     rank: np.ndarray  # places of each window, terms that are rare in the block first, those behind a short one last
 
 
+def _widened(benchmark: DataFrame, item_id: str) -> Column:
+    """The ids of items; whole numbers of any width become long."""
+    of = F.col(f"`{item_id}`")
+    return of.cast("long") if isinstance(benchmark.schema[item_id].dataType, IntegralType) else of
+
+
 def blocks_of(benchmark: DataFrame, item_id: str, text: str, window: int, block_words: int) -> Iterator[Block]:
     """Read the benchmark row by row and cut it into blocks of at most ``block_words`` words (or one item)."""
 
-    def block(items: list[tuple[int, list[bytes]]]) -> Block:
+    def block(items: list[tuple[object, list[bytes]]]) -> Block:
         terms: dict[bytes, int] = {}
+        known: dict[object, int] = {}
         rows, lengths, ids = {}, [], []
-        for item, words in items:
+        for name, words in items:
+            item = known.setdefault(name, len(known))
             own = [terms.setdefault(w, len(terms)) for w in words]
             for i in range(max(1, len(own) - window + 1)):
                 cut = tuple(own[i : i + window])
@@ -73,10 +84,10 @@ def blocks_of(benchmark: DataFrame, item_id: str, text: str, window: int, block_
             table[i, : len(cut)] = cut
         rarity = np.bincount(table[table >= 0], minlength=len(terms)) * (1 << 32) + np.fromiter(map(zlib.crc32, terms), np.int64, len(terms))
         rank = np.argsort(np.where(table >= 0, rarity[np.maximum(table, 0)], np.iinfo(np.int64).max), axis=1, kind="stable")
-        return Block(terms, table, np.array(lengths, np.int64), np.array(ids, np.int64), rank)
+        return Block(terms, table, np.array(lengths, np.int64), list(known), np.array(ids, np.int64), rank)
 
     held, size = [], 0
-    for row in benchmark.select(F.col(f"`{item_id}`").cast("long"), F.col(f"`{text}`").cast("string")).toLocalIterator():
+    for row in benchmark.select(_widened(benchmark, item_id), F.col(f"`{text}`").cast("string")).toLocalIterator():
         if row[0] is None or not (words := WORD.findall((row[1] or "").encode().lower())):
             continue
         if held and size + len(words) > block_words:
@@ -199,20 +210,22 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     """``documents`` with what of them the benchmark holds.
 
     Adds n_words, n_hit (words inside an occurrence of a window), n_near
-    (windows with a proximity match only), items array<bigint> (distinct items
-    with an occurring window, ascending) and hits array<struct<start, end>> (the
+    (windows with a proximity match only), items (an array of the distinct items
+    with an occurring window, ascending; whole numbers are long) and hits array<struct<start, end>> (the
     maximal runs of hit words).  Columns of those names are replaced.
     """
     added = ["n_words", "n_hit", "n_near", "items", "hits"]
     documents = documents.drop(*added)
     session = documents.sparkSession.sparkContext
     names = documents.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + ", n_words bigint, n_hit bigint, n_near bigint, items array<bigint>, hits array<struct<start:int,end:int>>"
+    kind = benchmark.select(_widened(benchmark, item_id).alias("id")).schema["id"].dataType
+    item_list = pa.list_(to_arrow_type(kind))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + ", n_words bigint, n_hit bigint, n_near bigint, items array<" + kind.simpleString() + ">, hits array<struct<start:int,end:int>>"
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def lookup(block_var, first: bool):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = block_var.value if block_var else Block({}, np.zeros((0, window), np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, window), np.int64))
+            block = block_var.value if block_var else Block({}, np.zeros((0, window), np.int32), np.zeros(0, np.int64), [], np.zeros(0, np.int64), np.zeros((0, window), np.int64))
             for batch in sliced(batches, text, 8 << 20):
                 shard = Shard(bytes_of(batch, text), block.terms)
                 n, ends = len(shard.counts), np.cumsum(shard.counts)
@@ -225,7 +238,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
                 found = np.unique(np.stack([shard.doc[at], block.items[w]], 1), axis=0) if len(w) else np.zeros((0, 2), np.int64)
                 items: list[set] = [set() for _ in range(n)]
                 for d, i in found.tolist():
-                    items[d].add(i)
+                    items[d].add(block.ids[i])
                 if len(w):
                     full = set(map(tuple, np.unique(np.stack([shard.doc[at], w], 1), axis=0).tolist()))
                     near = np.array([x for x in near.tolist() if tuple(x) not in full], np.int64).reshape(-1, 2)
@@ -243,7 +256,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
                     s, e = runs(hit[begins[d] : ends[d]]) if n_hit[d] else ((), ())
                     spans.append([{"start": int(x), "end": int(y)} for x, y in zip(s, e, strict=True)])
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(names)], pa.array(shard.counts), pa.array(n_hit.astype(np.int64)), pa.array(n_near), pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array(spans, span)],
+                    [*batch.columns[: len(names)], pa.array(shard.counts), pa.array(n_hit.astype(np.int64)), pa.array(n_near), pa.array([sorted(x) for x in items], item_list), pa.array(spans, span)],
                     [*names, *added],
                 )
 

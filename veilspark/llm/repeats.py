@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import bytes_of, dropped, fresh, mixed, powers, released, sliced, stored, trimmed, word_hashes
@@ -40,7 +40,6 @@ from veilspark.llm.induced import repeated_starts
 LENGTH, GRAM, HOT, SHARD_BYTES = 400, 32, 2000, 4 << 20
 #: Words of a passage (over 50), and of its anchors.
 PASSAGE, PASSAGE_GRAM = 51, 8
-MOST_HOT = 2_000_000
 _ANCHOR = np.dtype([("hash", "<u8"), ("content", "<u8"), ("row", "<i8"), ("start", "<i8"), ("size", "<i4"), ("many", "u1")])
 _WINDOW = np.dtype([("hash", "<u8"), ("row", "<i8"), ("start", "<i8")])
 
@@ -154,32 +153,27 @@ def _anchored(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(scan, "bucket int, entries binary, spans binary")
 
 
-def _crowded(anchored: DataFrame, entry: np.dtype, hot: int) -> np.ndarray:
-    """Hashes of the anchors with more than ``hot`` unequal segments, ascending; or with more than a share of all, so that they are MOST_HOT at most."""
+def _crowded(anchored: DataFrame, entry: np.dtype, hot: int, buckets: int) -> DataFrame:
+    """(bucket, crowds): of each bucket the hashes of anchors with more than ``hot`` unequal segments."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.column(0):
                 hashes, n = np.unique(np.frombuffer(b.as_py(), entry)["hash"], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["hash", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array((hashes % np.uint64(buckets)).astype(np.int32)), pa.array(n)], ["hash", "bucket", "n"])
 
-    sums = stored(anchored.where("bucket is not null").select("entries").mapInArrow(each, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1"), "anchor-counts")
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    found = sums.where(F.col("n") > max(hot, total // MOST_HOT)).select("hash").toArrow()["hash"].to_numpy().view(np.uint64)
-    dropped(anchored.sparkSession, sums)
-    return np.sort(found)
+    sums = anchored.where("bucket is not null").select("entries").mapInArrow(each, "hash bigint, bucket int, n bigint").groupBy("bucket", "hash").agg(F.sum("n").alias("n")).where(F.col("n") > hot)
+    return stored(sums.groupBy("bucket").agg(F.collect_list("hash").alias("crowds")), "crowded-anchors")
 
 
-def _dealt_out(anchored: DataFrame, entry: np.dtype, crowds: np.ndarray, buckets: int) -> DataFrame:
+def _dealt_out(anchored: DataFrame, entry: np.dtype, crowds: DataFrame, buckets: int) -> DataFrame:
     """(bucket, hot, entries): entries of crowded anchors leave their bucket and go to others by their content."""
-    session = anchored.sparkSession.sparkContext
-    crowds = session.broadcast(crowds)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for bucket, data, crowd in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 x = np.frombuffer(data.as_py(), entry)
-                hot = np.isin(x["hash"], crowds.value)
+                hot = np.isin(x["hash"], crowd.values.to_numpy().view(np.uint64)) if crowd.is_valid else np.zeros(len(x), bool)
                 rows = [(bucket, x[~hot])] if not hot.all() else []
                 y = x[hot]
                 to = (y["content"] % np.uint64(buckets)).astype(np.int64)
@@ -187,7 +181,8 @@ def _dealt_out(anchored: DataFrame, entry: np.dtype, crowds: np.ndarray, buckets
                 flags = [False] * (len(rows) - len(np.unique(to))) + [True] * len(np.unique(to))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array(flags), pa.array([z.tobytes() for _, z in rows], pa.binary())], ["bucket", "hot", "entries"])
 
-    return anchored.where("bucket is not null").select("bucket", "entries").mapInArrow(deal, "bucket int, hot boolean, entries binary")
+    told = anchored.where("bucket is not null").select("bucket", "entries").join(crowds, "bucket", "left").select("bucket", "entries", "crowds")
+    return told.mapInArrow(deal, "bucket int, hot boolean, entries binary")
 
 
 def _met(anchored: DataFrame, hot: int, buckets: int) -> DataFrame:
@@ -212,8 +207,7 @@ def _met(anchored: DataFrame, hot: int, buckets: int) -> DataFrame:
             parts.append(_found(y["row"], y["start"], y["start"] + y["size"], y["hash"].view(np.int64), kind))
         return pa.table({k: pa.array(np.concatenate([p[k] for p in parts])) for k in parts[0]})
 
-    crowds = _crowded(anchored, _ANCHOR, hot)
-    return _dealt_out(anchored, _ANCHOR, crowds, buckets).groupBy("bucket", "hot").applyInArrow(meet, _FOUND)
+    return _dealt_out(anchored, _ANCHOR, _crowded(anchored, _ANCHOR, hot, buckets), buckets).groupBy("bucket", "hot").applyInArrow(meet, _FOUND)
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, length: int, shards: int) -> DataFrame:
@@ -437,7 +431,7 @@ def shared_passages(slim: DataFrame, words: int = PASSAGE, hot: int = HOT) -> Da
 
     packed = "bucket int, entries binary, spans binary"
     anchored = stored(slim.select("row", "text").mapInArrow(scan, packed), "passage-anchors")
-    met = stored(_dealt_out(anchored, _HEAD, _crowded(anchored, _HEAD, hot), buckets).groupBy("bucket", "hot").applyInArrow(meet, "row bigint, start bigint, end bigint, kind bigint"), "passage-segments")
+    met = stored(_dealt_out(anchored, _HEAD, _crowded(anchored, _HEAD, hot, buckets), buckets).groupBy("bucket", "hot").applyInArrow(meet, "row bigint, start bigint, end bigint, kind bigint"), "passage-segments")
     released(slim.sparkSession)
     lists = met.where(F.col("kind") != SPAN).groupBy("row").agg(F.collect_set(F.struct("start", "end", "kind")).alias("segments"))
     windows = slim.select("row", "text").join(lists, "row").select("row", "text", "segments").mapInArrow(cut, packed)
@@ -460,6 +454,33 @@ def merged_segments(segments: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
+def row_keys(docs: DataFrame, out: str, width: int = 64) -> DataFrame:
+    """``docs`` with a key of 64 bits that rows share if they are equal in all columns, and only then.
+
+    Equal rows are repeated alike, so they can share what is found.  Keys are
+    hashes; where rows of one hash differ in a second one, they get a hash of
+    their own until no key stands for two rows that 128 bits tell apart.
+    ``width`` (bits of the first hash) is for tests.
+    """
+    # Maps have no hash of their own: their JSON has.
+    columns = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+
+    def key(turn: int) -> Column:
+        return F.xxhash64(F.lit(turn), *columns)
+
+    first = key(0) if width == 64 else F.pmod(key(0), F.lit(1 << width))
+    keyed, turn = docs.withColumn(out, first), 0
+    while True:
+        turn += 1
+        other = key(turn)
+        clashes = keyed.select(F.col(out).alias("__key"), other.alias("__other")).groupBy("__key").agg(F.min("__other").alias("__low"), F.max("__other").alias("__high")).where("__low <> __high").select("__key", F.lit(True).alias("__clash"))
+        clashes = stored(clashes, "clashes")
+        if not clashes.limit(1).count():
+            return keyed
+        joined = keyed.join(clashes, keyed[out] == clashes["__key"], "left")
+        keyed = joined.withColumn(out, F.when(F.col("__clash"), other).otherwise(F.col(out))).drop("__key", "__clash")
+
+
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES, passage: int = PASSAGE) -> DataFrame:
     """``docs`` with removed array<struct<start, end>> (maximal runs of repeated bytes), n_bytes, n_removed and kept (binary, the remaining bytes), and n_passages and n_passage_words of :func:`shared_passages`.
 
@@ -470,8 +491,7 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, h
     docs = docs.drop(*added)
     names, t = docs.columns, F.col(f"`{text}`")
     row, spans = fresh("row", names), fresh("spans", names)
-    # Rows are told apart by their content: equal rows are repeated alike, so they can share what is found.
-    keyed = docs.withColumn(row, F.xxhash64(*(F.col(f"`{c}`") for c in names)))
+    keyed = row_keys(docs, row)
     slim = keyed.select(F.col(row).alias("row"), t.alias("text"))
     found = repeated_spans(slim, length, hot, shard_bytes)
     released(docs.sparkSession)
