@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import bytes_of, dropped, fresh, mixed, powers, released, sliced, stored, trimmed, word_hashes
 from veilspark.llm.induced import repeated_starts
 
-LENGTH, GRAM, HOT, SHARD_BYTES = 400, 32, 2000, 4 << 20
+LENGTH, GRAM, HOT, SHARD_BYTES = 400, 32, 2000, 2 << 20
 #: Words of a passage (over 50), and of its anchors.
 PASSAGE, PASSAGE_GRAM = 51, 8
 _ANCHOR = np.dtype([("hash", "<u8"), ("content", "<u8"), ("row", "<i8"), ("start", "<i8"), ("size", "<i4"), ("many", "u1")])
