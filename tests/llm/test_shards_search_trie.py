@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from veilspark.llm import common, decontaminate, jaccard, queries, ranked, repeats, sharding, trie
+from veilspark.llm import common, decontaminate, jaccard, language, licenses, queries, ranked, repeats, sharding, trie
 from veilspark.llm.ordering import placed
 
 DOC = "doc_id bigint, text string, shard string, slot double, score string, rank string"
@@ -235,3 +236,37 @@ def test_benchmark_ids_of_any_type(spark):
         for words in (2_000_000, 5):
             got = {r.doc_id: r["items"] for r in decontaminate.contamination(docs, bench, block_words=words).collect()}
             assert got == {1: sorted(i for i in ids if i is not None), 2: []}
+
+
+# -- licences and languages: what decides -------------------------------------------------------
+
+
+def test_licences_that_are_denied_restricted_or_several(spark):
+    folder = Path(licenses.__file__).parent / "licence_texts"
+    gpl, mit = (folder.joinpath(f"{n}.txt").read_text(encoding="utf-8") for n in ("GPL-3.0", "MIT"))
+    rows = [
+        ("a/LICENSE", gpl.replace("GNU General", "GNU Affero General")), ("a/x.py", "code"), ("b/LICENSE", "This is not licensed under the MIT License."), ("b/x.py", "code"),
+        ("c/LICENSE", f"{mit} Non-commercial use only."), ("c/x.py", "code"), ("d/LICENSE", "Licensed under the Apache License Version 2.0. Released under the MIT License."), ("d/x.py", None), ("e/LICENSE", gpl), ("e/x.py", ""),
+    ]
+    got = {r.path: (r.license, r.origin, r.licenses) for r in licenses.licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["a/LICENSE"] == ("AGPL-3.0", "own", ["AGPL-3.0"]) and got["a/x.py"][:2] == ("AGPL-3.0", "inherited")
+    assert got["b/LICENSE"] == (None, "none", []) and got["b/x.py"][:2] == (None, "none")
+    assert got["c/LICENSE"] == ("MIT AND LicenseRef-restricted", "own", ["MIT AND LicenseRef-restricted"]) and got["c/x.py"][:2] == (None, "none")
+    assert got["d/LICENSE"] == ("Apache-2.0", "own", ["Apache-2.0", "MIT"]) and got["d/x.py"][:2] == ("Apache-2.0", "inherited")
+    assert got["e/x.py"][:2] == ("GPL-3.0", "inherited")
+
+
+def test_host_suffix_and_markup_decide_where_the_text_does_not(spark):
+    """One text in several places: what is declared, or else the host's prior, or else that of its suffix, tells the language."""
+    rng = random.Random(6)
+    parts = {"en": ["the", "of", "and", "ing"], "de": ["der", "sch", "und", "ung"]}
+    both = "radio taxi hotel"
+
+    def body(k: str) -> str:
+        return f"{both} " + " ".join("".join(rng.choice(parts[k]) for _ in range(2)) for _ in range(30))
+
+    rows = [(i, body(k), k, f"h{i % 4}.{k}host.{k}") for i in range(400) for k in [("en", "de")[i % 2]]]
+    asked = [(1000, both, None, "h0.enhost.en"), (1001, both, None, "h1.dehost.de"), (1002, both, "de", "new.org"), (1003, both, "en", "new.org"), (1004, both, None, "new.en"), (1005, both, None, "new.de")]
+    df = spark.createDataFrame(rows + asked, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r.language for r in language.identify(df).where("doc_id >= 1000").collect()}
+    assert got == {1000: "en", 1001: "de", 1002: "de", 1003: "en", 1004: "en", 1005: "de"}

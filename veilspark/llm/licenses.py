@@ -6,7 +6,9 @@ vectors of words and word pairs weighted by their inverse document frequency
 among the templates, and the template with the largest cosine wins if it reaches
 ``threshold``.  A whole file is also compared with the whole licence texts (the files
 in ``licence_texts``, by SPDX identifier): from a cosine of ``WHOLE`` on it is that
-licence's file, whatever notice it quotes.  A file most of whose words lie in such windows is a licence file
+licence's file, whatever notice it quotes.  A statement that is denied ("not
+licensed under ...") is none, and a file that restricts what its licence allows is
+named so and speaks for no folder.  A file most of whose words lie in such windows is a licence file
 and speaks for its folder; a licence found in any other file speaks for that file
 (its header).  A file without a licence of its own takes that of the nearest
 folder above it that has a licence file.  Folders are looked up by joins on the
@@ -14,7 +16,8 @@ path of each ancestor; folders that speak are one row each, so a hot folder is n
 hot group.
 
 Nulls: a null text is empty; a null path inherits nothing.  Ties: equal cosines
-go to the template first in alphabetical order; of several licence files of a
+go to the template first in alphabetical order (a file that names several
+licences lists them all); of several licence files of a
 folder the one with the larger cosine, then the smaller path, speaks.  Repeated
 rows are scanned alike.
 """
@@ -56,7 +59,15 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License v 2.0", "licensed under the Mozilla Public License version 2.0"],
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
 }
+#: Those that allow every use.
+SOFTWARE = frozenset(name for name in TEMPLATES if not name.startswith("CC-"))
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+#: Words that make a whole text that of a licence of its kin, if it holds them so many times; the licence itself has them less often.
+KIN = {("GPL-3.0", "affero"): ("AGPL-3.0", 10)}
+#: Words of restrictions that a licence's own text does not have.
+RESTRICTS = frozenset("noncommercial non-commercial commercially nonprofit non-profit academic evaluation".split())
+#: Words that turn a statement round, and how far before it.
+NEGATES, REACH = frozenset("not never neither nor without isn cannot no".split()), 3
 _SPEAKS = re.compile(r"(?i)licen[sc]e|spdx|permission|redistribut|public domain|free software|source code form")
 _SPDX = re.compile(r"(?i)SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)")
 _KEY = frozenset("license licensed licence licenced licenses spdx permission redistribution redistribute domain software form".split())
@@ -100,7 +111,23 @@ def whole_file(words: list[str], at_least: float = WHOLE) -> tuple[str, float] |
         return None
     u = _unit(words, idf, unseen)
     best = max(((round(sum(x * u.get(t, 0.0) for t, x in vector.items()), 12), name) for name, _, vector in fits), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
-    return (best[1], best[0]) if best[0] >= at_least else None
+    if best[0] < at_least:
+        return None
+    own = next(vector for name, _, vector in fits if name == best[1])
+    for (name, word), (kin, times) in KIN.items():
+        if name == best[1] and sum(w == word for w in words) >= times:
+            return kin, best[0]
+    return (best[1], best[0]) if not restricted(words, own) else None
+
+
+def restricted(words: list[str], own: dict[str, float]) -> bool:
+    """Whether a text has words of restriction that the licence does not have."""
+    return any(w in RESTRICTS and w not in own for w in words)
+
+
+def denied(words: list[str], start: int, n: int, own: dict[str, float]) -> bool:
+    """Whether a window, or the words before it, has more words of denial than the template."""
+    return any(w in NEGATES and w not in own for w in words[max(0, start - REACH) : start + n])
 
 
 def scan(text: str, threshold: float = THRESHOLD) -> tuple[str | None, float, float, list[tuple[str, float]]]:
@@ -130,8 +157,8 @@ def scan(text: str, threshold: float = THRESHOLD) -> tuple[str | None, float, fl
                         cosines.clear()
                     u = _unit(list(window[1:]), idf, unseen)
                     cosines[window] = [sum(x * u.get(t, 0.0) for t, x in vector.items()) for _, vector in group]
-                for (name, _), c in zip(group, cosines[window], strict=True):
-                    if c >= threshold:
+                for (name, vector), c in zip(group, cosines[window], strict=True):
+                    if c >= threshold and not denied(words, start, n, vector):
                         covered.update(range(start, min(len(words), start + n)))
                         best[name] = max(best.get(name, 0.0), round(c, 12))
     for m in _SPDX.finditer(text):
@@ -140,6 +167,9 @@ def scan(text: str, threshold: float = THRESHOLD) -> tuple[str | None, float, fl
             best[name] = 1.0
     if not best:
         return None, 0.0, 0.0, []
+    if restricted(words, dict.fromkeys(w for t in TEMPLATES[max(best, key=lambda k: (best[k], k))] for w in _WORD.findall(t.lower()))):
+        best = {f"{name} AND LicenseRef-restricted" if name in SOFTWARE else name: c for name, c in best.items()}
+        covered.clear()  # such a file speaks for itself only
     ranked = sorted(best.items(), key=lambda x: (-x[1], x[0]))
     return ranked[0][0], ranked[0][1], len(covered) / max(1, len(words)), ranked
 
@@ -151,13 +181,14 @@ def folders(path: Column) -> Column:
 
 
 def licences(files: DataFrame, path: str = "path", text: str = "text", threshold: float = THRESHOLD, file_share: float = FILE_SHARE, carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` (all but the text by default), own_license, cosine, is_license_file, license, and origin.
+    """The columns ``carry`` (all but the text by default), own_license, cosine, is_license_file, license, origin, and licenses.
 
     ``origin`` is own, inherited or none; ``license`` is the file's own licence
-    or the inherited one.
+    (the one with the largest cosine) or the inherited one; ``licenses`` are all
+    that the file names, in alphabetical order.
     """
     carry = [c for c in files.columns if c != text] if carry is None else carry
-    added = ["own_license", "cosine", "is_license_file", "license", "origin"]
+    added = ["own_license", "cosine", "is_license_file", "license", "origin", "licenses"]
     carry = [c for c in carry if c not in added]
     cols = list(dict.fromkeys([*carry, path]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*(f"`{c}`" for c in cols)).schema)
@@ -167,11 +198,11 @@ def licences(files: DataFrame, path: str = "path", text: str = "text", threshold
             found = [scan(t, threshold) for t in texts_of(batch, text)]
             at = batch.schema.get_field_index
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(at(c)) for c in cols), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[0] is not None and f[2] >= file_share for f in found])],
-                [*cols, *added[:3]],
+                [*(batch.column(at(c)) for c in cols), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[0] is not None and f[2] >= file_share for f in found]), pa.array([sorted(n for n, _ in f[3]) for f in found], pa.list_(pa.string()))],
+                [*cols, *added[:3], "licenses"],
             )
 
-    own = stored(files.select(*(f"`{c}`" for c in dict.fromkeys([*cols, text]))).mapInArrow(read, f"{fields}, own_license string, cosine double, is_license_file boolean"), "licences")
+    own = stored(files.select(*(f"`{c}`" for c in dict.fromkeys([*cols, text]))).mapInArrow(read, f"{fields}, own_license string, cosine double, is_license_file boolean, licenses array<string>"), "licences")
     p = F.col(f"`{path}`").cast("string")
     speaks = own.where(F.col("is_license_file") & p.isNotNull()).select(F.get(folders(p), F.lit(0)).alias("folder"), F.struct((-F.col("cosine")).alias("c"), p.alias("p"), F.col("own_license").alias("l")).alias("x"))
     speaks = stored(speaks.groupBy("folder").agg(F.min("x")["l"].alias("folder_license")), "folders")
@@ -189,4 +220,5 @@ def licences(files: DataFrame, path: str = "path", text: str = "text", threshold
         *added[:3],
         F.coalesce("own_license", found).alias("license"),
         F.when(F.col("own_license").isNotNull(), "own").when(F.col(found).isNotNull(), "inherited").otherwise("none").alias("origin"),
+        "licenses",
     )
