@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 import tomllib
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from veilspark.operators.boundary import lexical_index
 from veilspark.operators.prepare import csv_records
 
-PARSED = {".json": "json", ".py": "python", ".toml": "toml", ".xml": "xml", ".resx": "xml", ".svg": "xml", ".csv": "csv", ".tsv": "csv"}
+PARSED = {".yaml": "lines", ".yml": "lines", ".properties": "lines", ".ini": "lines", ".cfg": "lines", ".json": "json", ".py": "python", ".toml": "toml", ".xml": "xml", ".resx": "xml", ".svg": "xml", ".csv": "csv", ".tsv": "csv"}
 BRACKETS = frozenset((".java", ".cs", ".js", ".ts", ".c", ".h", ".cpp", ".go", ".rs", ".kt", ".swift", ".scala", ".php", ".css", ".sql", ".sh", ".rb"))
 
 
@@ -61,17 +62,44 @@ def broken(before: str, after: str, suffix: str) -> str | None:
     if mode == "csv":
         a, b = ([len(r) for r in csv_records(t)] for t in (before, after))
         return None if a == b else "csv: shape"
+    if mode == "lines":
+        return None if outline(before, suffix) == outline(after, suffix) else "lines: shape"
     error = syntax_error(after, suffix)
     if error:
         return None if syntax_error(before, suffix) == error else error
-    if mode == "json" and syntax_error(before, suffix) is None and _shape(json.loads(before)) != _shape(json.loads(after)):
+    if mode == "json" and syntax_error(before, suffix) is None and _shape(_kept(before)) != _shape(_kept(after)):
         return "json: types"
     return None
 
 
+class _Pairs(list):
+    """The members of a JSON object, repeated names too."""
+
+
+def _kept(text: str):
+    return json.loads(text, object_pairs_hook=_Pairs)
+
+
+#: A line of YAML, properties or INI: indentation, list marks, a name with its separator, and how the value begins.
+_LINE = re.compile(r"""^(?P<indent>[ \t]*)(?P<marks>(?:- +)*)(?P<name>"[^"]*"|'[^']*'|\[[^\]]*\]|[^\s#:='"][^:=#]*?)?(?P<sep>\s*[:=](?=\s|$)|\s*=)?(?P<value>.*)$""")
+
+
+def outline(text: str, suffix: str) -> list[tuple]:
+    """What masking must leave of each line: its indentation, list marks, whether it names something and how, and the kind of value that follows."""
+    out = []
+    for line in text.splitlines():
+        m = _LINE.match(line)
+        value = m["value"].strip()
+        name = (m["name"] or "")[:1]
+        kind = value[:1] if value[:1] in "\"'|>&*#{[" else "plain" if value else ""
+        ends = value[-1:] if value[-1:] in "\"'}]\\," else ""
+        out.append((m["indent"], m["marks"], name if name in "\"'[" else bool(name), (m["sep"] or "").strip(), kind, ends))
+    return out
+
+
 def _shape(x):
-    if isinstance(x, dict):
-        return {"object": [_shape(v) for v in x.values()]}
+    if isinstance(x, _Pairs):
+        return {"object": [_shape(v) for _, v in x]}
     if isinstance(x, list):
         return [_shape(v) for v in x]
     return "number" if isinstance(x, (int, float)) and not isinstance(x, bool) else type(x).__name__

@@ -101,7 +101,8 @@ def mask_documents(docs: DataFrame, rules: list[R.Rule]) -> tuple[DataFrame, Dat
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    out, _, _ = mask_documents(_docs(spark, d), _rules(*_BASIC))
+    """Documents masked by all rules and recognisers."""
+    out, _, _ = mask_documents(_docs(spark, d), R.bound((*R.RULES, *R.RECOGNISERS)))
     return out.select("doc_id", "masked_text", "n_findings")
 
 

@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from veilspark.operators import consistency, detect, learned, locks, mapping, paths, phrases, redacted, rows, structure, variants, warnings
-from veilspark.plans.catalogue import _FOLDED, _P, EMAIL, IP, PHONE, _accepted, _docs, _found_sql, _query, _rules, _t, mask_documents
-from veilspark.sources import publish
+from veilspark import api
+from veilspark.functions import text as T
+from veilspark.operators import consistency, detect, learned, locks, mapping, paths, phrases, redacted, rows, structure, validate, variants, warnings
+from veilspark.plans.catalogue import _FOLDED, _P, EMAIL, IP, ORACLES, PHONE, _accepted, _docs, _found_sql, _query, _rules, _t, mask_documents
+from veilspark.sources import files, publish
 from veilspark.sources.shared import shared_dir
 
 _WORD = r"[\p{L}\p{N}]+"
@@ -191,3 +193,36 @@ def published_files(spark, d):
     publish.publish(done.where(F.col("path").contains("/en/")), at, "first")
     publish.publish(done, at, "second")
     return publish.published(spark, at).select("path", "size", F.sha2("content", 256).alias("digest"))
+
+
+@_query(f"""select doc_id, case when l.doc_id is not null then 'acik_terim' end as failed_check, case when l.doc_id is not null then 'quarantined_pending_audit' when f.n > 0 then 'masked' else 'copied_text_no_match' end as status, coalesce(f.n, 0)::bigint as match_count
+from documents left join (select doc_id, count(*) as n from ({_found_sql(names=(EMAIL, IP))}) group by doc_id) f using (doc_id) left join ({ORACLES["leak_scan"]}) l using (doc_id)""")
+def api_outcomes(spark, d):
+    """The verdict of the whole masking call on each document: masked, searched again for dictionary words, decoded, restored and compared."""
+    terms = _t(spark, d, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("term")).where(F.length("term") >= 9).distinct()
+    long = F.length(F.regexp_replace(T.fold_turkish(F.col("term")), r"[^\p{L}\p{N}]", "")) >= 9
+    out = api.mask(_docs(spark, d), _rules(EMAIL, IP), terms=terms.where(long))
+    return out.outcomes.select("doc_id", "failed_check", "status", F.col("match_count").cast("long").alias("match_count"))
+
+
+@_query("""select event_id, (['json: JSONDecodeError', 'json: types', null, null])[event_id % 4 + 1] as problem from events where event_id % 4 < 2""")
+def broken_syntax(spark, d):
+    """JSON values (of events) that masking broke: cut short, a number made a text, a text made another, or unchanged; names may repeat."""
+    k = F.col("event_id")
+    before = F.concat(F.lit('{"a": 1, "a": "x", "props": '), "props", F.lit("}"))
+    after = F.when(k % 4 == 0, F.lit('{"a": 1,')).when(k % 4 == 1, F.replace(before, F.lit('"a": 1'), F.lit('"a": "mask_x_1"'))).when(k % 4 == 2, F.replace(before, F.lit('"x"'), F.lit('"mask_x_1"'))).otherwise(before)
+    docs = _t(spark, d, "events").select(k, before.alias("text"), after.alias("masked_text"), F.lit(".json").alias("suffix"))
+    return validate.validated(docs, doc_id="event_id")
+
+
+@_query("""select case when doc_id % 5 = 0 then '.' else '' end || coalesce(source, 'none') || '/' || case when doc_id % 3 = 0 then '_' else '' end || doc_id || case when doc_id % 7 = 0 then '.pem' when doc_id % 7 = 1 then '.zip' else '.txt' end as path,
+  case when doc_id % 7 = 0 then 'excluded' when doc_id % 7 = 1 then 'archive_unsupported' else 'text_ready' end as status, octet_length(encode(coalesce(text, '')))::bigint as size, case when doc_id % 7 > 1 then sha256(coalesce(text, '')) end as digest from documents""")
+def tree_files(spark, d):
+    """Documents written as a project tree and walked again: hidden and empty files too, each with its class and decoded text."""
+    at = f"{shared_dir(spark).rstrip('/')}/tree-{uuid.uuid4().hex}"
+    k = F.col("doc_id")
+    folder = F.concat(F.when(k % 5 == 0, ".").otherwise(""), F.coalesce("source", F.lit("none")))
+    name = F.concat(F.when(k % 3 == 0, "_").otherwise(""), k.cast("string"), F.when(k % 7 == 0, ".pem").when(k % 7 == 1, ".zip").otherwise(".txt"))
+    publish.publish(_t(spark, d, "documents").select(F.concat_ws("/", folder, name).alias("path"), F.col("text").alias("masked_text"), F.lit("READY").alias("final_state")), at, "tree")
+    seen = files.texts(files.read_tree(spark, f"{at}/versions/tree"))
+    return seen.select("path", "status", "size", F.sha2("text", 256).alias("digest"))

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.sources.tree import ProjectTree
+
 # Folders, suffixes and names that are treated specially.
 IGNORED_DIRS = (
     ".git", ".hg", ".svn", ".mypy_cache", ".pytest_cache", ".ruff_cache", "__pycache__", "node_modules", "vendor", "dist", "build", "target",
@@ -31,15 +33,13 @@ BOMS = ((codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"),
 
 
 def read_tree(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
-    """path (relative), size, and content of all files below ``root``; without ``content`` no file is opened.
+    """path (relative), size, is_link, and content of all files below ``root``, hidden and empty ones too; without ``content`` no file is opened.
 
-    Spark's reader lists no empty files and none whose names (or folders) begin
-    with a dot or an underscore.
+    Links are told and not followed (:mod:`veilspark.sources.tree`).
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    top = root.rstrip("/").removeprefix("file:")
-    path = F.substring(F.col("path"), F.instr(F.col("path"), top) + len(top) + 1, F.length("path"))
-    return files.select(path.alias("path"), F.col("length").alias("size"), *(["content"] if content else []))
+    spark.dataSource.register(ProjectTree)
+    files = spark.read.format("project_tree").option("path", root.removeprefix("file://")).option("content", str(content).lower()).load()
+    return files if content else files.drop("content")
 
 
 def walk_key(path: Column) -> Column:
@@ -107,7 +107,7 @@ def decoded(raw: bytes, max_bytes: int = MAX_BYTES) -> tuple[str, str | None, st
                     text = raw.decode(name)
                 except UnicodeDecodeError:
                     continue
-                if text.encode(name) == raw and text.isprintable() or "\n" in text:
+                if text.encode(name) == raw and (text.isprintable() or "\n" in text):
                     return "text_ready", text, name
         return "copied_binary", None, None
     controls = sum(b < 32 and b not in (9, 10, 12, 13, 27) for b in peek)
@@ -144,7 +144,8 @@ def encoded(text: str, encoding: str) -> bytes:
 def texts(files: DataFrame, specs: tuple[tuple[str, str], ...] = EXCLUDES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``files`` (path, size, content) with status, text and encoding; the path decides before the content is looked at."""
     kind = file_class(F.col("path"))
-    early = F.when(excluded_by(F.col("path"), specs).isNotNull(), "excluded").when(kind == "opaque", "copied_binary").when(F.col("size") > max_bytes, "skipped_too_large").when(kind == "archive", "archive_unsupported")
+    link = F.col("is_link") if "is_link" in files.columns else F.lit(False)
+    early = F.when(link, "skipped_symlink").when(excluded_by(F.col("path"), specs).isNotNull(), "excluded").when(kind == "opaque", "copied_binary").when(F.col("size") > max_bytes, "skipped_too_large").when(kind == "archive", "archive_unsupported")
     keyed = files.withColumn("early", early).withColumn("content", F.when(F.col("early").isNull(), F.col("content"))).withColumn("lock", kind == "lock")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
