@@ -38,6 +38,8 @@ from veilspark.llm.common import bytes_of, dropped, fresh, mixed, powers, releas
 from veilspark.llm.induced import repeated_starts
 
 LENGTH, GRAM, HOT, SHARD_BYTES = 400, 32, 2000, 2 << 20
+#: Bytes of text whose segments are cut in a step: a byte of a crowded anchor's segment is a window of 24 bytes.
+CUT_BYTES = 1 << 20
 #: Words of a passage (over 50), and of its anchors.
 PASSAGE, PASSAGE_GRAM = 51, 8
 _ANCHOR = np.dtype([("hash", "<u8"), ("content", "<u8"), ("row", "<i8"), ("start", "<i8"), ("size", "<i4"), ("many", "u1")])
@@ -214,7 +216,7 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int, shards: int) -> DataFr
     """The bytes of the segments to be sorted, and the windows of hot anchors, by shard."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", CUT_BYTES):
             out: dict[str, list] = {k: [] for k in ("shard", "row", "start", "kind", "bytes")}
             windows = []
             for row, text, segments in zip(batch.column(0).to_pylist(), bytes_of(batch, "text"), batch.column(2).to_pylist(), strict=True):
