@@ -277,16 +277,16 @@ def test_files(spark, tmp_path):
     got = {r.path: (r.status, r.text, r.encoding) for r in files.texts(tree).collect()}
     assert got == {
         "b.txt": ("text_ready", "düz", "utf-8"), "a/z.txt": ("text_ready", "ş", "cp1254"), "a/b/c.txt": ("text_ready", "x", "utf-8-sig"), "a/p.png": ("copied_binary", None, None), "a/id.pem": ("excluded", None, None),
-        "n/w.txt": ("text_ready", "wide", "utf-16-le-sig"), "n/bin": ("copied_binary", None, None), "q/l.lock": ("scan_only_text_ready", "l", "utf-8"), "q/x.zip": ("archive_unsupported", None, None),
+        "n/w.txt": ("text_ready", "wide", "utf-16-le-sig"), "n/bin": ("copied_binary", None, None), "q/l.lock": ("scan_only_text_ready", "l", "utf-8"), "q/x.zip": ("archive_unsupported", None, None), "e.txt": ("text_ready", "", "utf-8"),
     }
     order = [r.path for r in tree.orderBy(files.walk_key(F.col("path"))).collect()]
-    assert order == ["b.txt", "a/id.pem", "a/p.png", "a/z.txt", "a/b/c.txt", "n/bin", "n/w.txt", "q/l.lock", "q/x.zip"]
+    assert order == ["b.txt", "e.txt", "a/id.pem", "a/p.png", "a/z.txt", "a/b/c.txt", "n/bin", "n/w.txt", "q/l.lock", "q/x.zip"]
     for name in ("b.txt", "a/z.txt", "a/b/c.txt", "n/w.txt"):
         assert files.encoded(got[name][1], got[name][2]) == (root / name).read_bytes()
     done = files.texts(tree).where("text is not null").withColumnRenamed("text", "masked_text")
     files.written(done, str(tmp_path / "out"))
     rows = files.manifest(spark.read.parquet(str(tmp_path / "out")), "key")
-    assert files.verified(rows, "key").count() == 5 and files.verified(rows, "other").count() == 0
+    assert files.verified(rows, "key").count() == 6 and files.verified(rows, "other").count() == 0
     (tmp_path / "terms.csv").write_text("Hassas Deger;x\nAcme;1\nACME;2\nBeta;3\n")
     assert sorted(r.term for r in files.term_rows(spark, str(tmp_path / "terms.csv")).collect()) == ["Acme", "Beta"]
 
