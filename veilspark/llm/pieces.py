@@ -41,6 +41,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments whose paths a worker keeps (some 30 bytes each), and entries of its caches of parts and of neighbours.
 CACHE, PARTS, JOINS = 1_000_000, 50_000, 300_000
+#: Bytes of text in a step, which takes some hundred times as much for a moment.
+SLICE = 1 << 20
 _machines: dict[str, "Machine"] = {}
 
 
@@ -356,7 +358,7 @@ def encode(df: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(model)
-        for batch in sliced(batches, text, 2 << 20):
+        for batch in sliced(batches, text, SLICE):
             flat, sizes, same = m.encode_all(texts_of(batch, text))
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes), pa.array(same)], [*names, *added])
