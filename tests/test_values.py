@@ -132,11 +132,11 @@ def test_occurrences_overlap(spark):
 
 
 def test_claims_are_covered_by_place(spark):
-    docs = spark.createDataFrame([(1, "java", "Hakan Yilmaz came. hakan yilmaz left"), (2, "java", "Hakan Yilmaz and Hakan"), (3, "sql", "Hakan Yilmaz")], "doc_id bigint, scope string, text string")
-    claims = spark.createDataFrame([(1, "Hakan"), (2, "Hakan"), (3, "Hakan"), (1, "gone"), (2, "HAKAN YILMAZ"), (1, None), (None, "Hakan")], "doc_id bigint, value string")
-    decisions = spark.createDataFrame([("java", "Hakan Yilmaz"), ("java", ""), ("java", None)], "scope string, value string")
+    docs = spark.createDataFrame([(1, "java", "Maria Lopez came. maria lopez left"), (2, "java", "Maria Lopez and Maria"), (3, "sql", "Maria Lopez")], "doc_id bigint, scope string, text string")
+    claims = spark.createDataFrame([(1, "Maria"), (2, "Maria"), (3, "Maria"), (1, "gone"), (2, "MARIA LOPEZ"), (1, None), (None, "Maria")], "doc_id bigint, value string")
+    decisions = spark.createDataFrame([("java", "Maria Lopez"), ("java", ""), ("java", None)], "scope string, value string")
     got = {(r.doc_id, r.value): r.covered for r in learned.covered_claims(claims, docs, decisions).collect()}
-    assert got == {(1, "Hakan"): True, (2, "Hakan"): False, (3, "Hakan"): False, (1, "gone"): False, (2, "HAKAN YILMAZ"): True, (1, None): False, (None, "Hakan"): False}
+    assert got == {(1, "Maria"): True, (2, "Maria"): False, (3, "Maria"): False, (1, "gone"): False, (2, "MARIA LOPEZ"): True, (1, None): False, (None, "Maria"): False}
 
 
 # -- structure -----------------------------------------------------------------------------------
@@ -145,8 +145,8 @@ def test_claims_are_covered_by_place(spark):
 @pytest.mark.parametrize(
     ("value", "term", "parts"),
     [
-        ("Ahmet,Yilmaz", "Ahmet Yilmaz", ["Ahmet", "Yilmaz"]), ('Zeta" + "Ledger', "ZetaLedger", ["Zeta", "Ledger"]), ("hassas deger(ler", "hassas degerler", ["hassas deger(ler"]), ("Z e t a L e d g e r", "ZetaLedger", ["Z e t a L e d g e r"]),
-        ("Abc,Yilmaz", "Abc Yilmaz", ["Abc,Yilmaz"]), ("hassas\ndegerler", "hassas degerler", ["hassas", "degerler"]), ("Şirket , Kodlar", "ŞirketKodlar", ["Şirket", "Kodlar"]), ("one", "one", ["one"]), ("Zeta,Ledger", "Zeta Other", ["Zeta,Ledger"]), ("alpha/beta gamma/delta", "alpha beta gamma delta", ["alpha", "beta gamma", "delta"]),
+        ("Maria,Lopez", "Maria Lopez", ["Maria", "Lopez"]), ('Nova" + "Vault', "NovaVault", ["Nova", "Vault"]), ("grand plan(ning", "grand planning", ["grand plan(ning"]), ("N o v a V a u l t", "NovaVault", ["N o v a V a u l t"]),
+        ("Abc,Lopez", "Abc Lopez", ["Abc,Lopez"]), ("grand\nplanning", "grand planning", ["grand", "planning"]), ("Şirket , Kodlar", "ŞirketKodlar", ["Şirket", "Kodlar"]), ("one", "one", ["one"]), ("Nova,Vault", "Nova Other", ["Nova,Vault"]), ("alpha/beta gamma/delta", "alpha beta gamma delta", ["alpha", "beta gamma", "delta"]),
     ],
 )
 def test_parts_of_leaks(spark, value, term, parts):
@@ -155,7 +155,7 @@ def test_parts_of_leaks(spark, value, term, parts):
     assert [("   " + value)[s.start : s.end] for s in spans] == parts
 
 
-@pytest.mark.parametrize(("text", "start", "end", "glued"), [("routeBySeverity", 4, 8, True), ("ettiVeda", 4, 8, False), ("ETTIVEDA", 4, 8, False), ("ETTIVeda", 4, 8, False), ("ettiveda", 4, 8, False), ("x veda", 2, 6, False), ("veda", 0, 4, False), ("etTiVeda", 3, 8, True)])
+@pytest.mark.parametrize(("text", "start", "end", "glued"), [("planByStage", 3, 7, True), ("novaVault", 4, 9, False), ("NOVAVAULT", 4, 9, False), ("NOVAVault", 4, 9, False), ("novavault", 4, 9, False), ("x vault", 2, 7, False), ("vault", 0, 5, False), ("noVaVault", 3, 9, True)])
 def test_glued_slices(spark, text, start, end, glued):
     assert one(spark, structure.mixed_case_glued(F.col("t"), F.lit(start), F.lit(end)), t=text) is glued
 

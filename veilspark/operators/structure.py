@@ -21,7 +21,7 @@ def _letters(value: Column) -> Column:
 def structural_parts(value: Column, term: Column) -> Column:
     """The parts of a value that a term was found in, which are masked one by one; the value alone if it must stay whole.
 
-    A value is cut at runs of signs that are more than spaces ("Ahmet,Yilmaz" is
+    A value is cut at runs of signs that are more than spaces ("Maria,Lopez" is
     two cells), if every cut falls on a limit between the term's own words and
     every part has at least PART_LETTERS letters.  In letters and digits, folded:
     value and term are the same, and the lengths up to the cuts are among those
@@ -55,8 +55,8 @@ def part_spans(value: Column, term: Column, start: Column) -> Column:
 def mixed_case_glued(text: Column, start: Column, end: Column) -> Column:
     """Whether a match is a chance slice of a longer name: letters touch it on its left, no case change parts them, and cases are mixed.
 
-    "eByS" in "routeBySeverity" is one; "ettiVeda" (a change of case) and
-    "ETTIVEDA" (one case) are none.
+    "nByS" in "planByStage" is one; "Vault" in "novaVault" (a change of case) and
+    "VAULT" in "NOVAVAULT" (one case) are none.
     """
     before, first, second = F.substring(text, start, F.lit(1)), F.substring(text, start + 1, F.lit(1)), F.substring(text, start + 2, F.lit(1))
     own = F.substring(text, start, end - start + 1)  # with the sign before it
