@@ -10,7 +10,7 @@ import pyspark
 import pytest
 
 from veilspark.operators import validate
-from veilspark.sources import files, javaclass
+from veilspark.sources import files, javaclass, sheets
 from veilspark.sources.javaclass import ClassError, JavaClass
 
 
@@ -88,3 +88,25 @@ def test_outlines_and_repeated_names(suffix, before, after, problem):
 def test_wide_encodings_must_come_back():
     assert files.decoded("ab\n".encode("utf-16-le"))[0] == "text_ready"
     assert files.decoded(b"\0\xd8\n\0")[0] == "copied_binary"
+
+
+def sheet(path: Path, rows: list[list[str | None]], extra: dict[str, bytes] | None = None) -> None:
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    shared = sorted({v for r in rows for v in r if v})
+    body = "".join(f"<row>{''.join(f'<c r=%s t=%s><v>{shared.index(v)}</v></c>' % (chr(34) + chr(65 + k) + str(i + 1) + chr(34), chr(34) + 's' + chr(34)) for k, v in enumerate(r) if v)}</row>" for i, r in enumerate(rows))
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>{''.join(f'<si><r><t>{v[:1]}</t></r><r><t>{v[1:]}</t></r></si>' for v in shared)}</sst>")
+        for name, data in (extra or {}).items():
+            z.writestr(name, data)
+
+
+def test_terms_of_spreadsheets(spark, tmp_path):
+    sheet(tmp_path / "t.xlsx", [["Terim", "x"], ["Acme", "1"], [None, "Beta Kod"], ["ACME", None], ["", ""]])
+    assert sorted(r.term for r in files.term_rows(spark, str(tmp_path / "t.xlsx")).collect()) == ["Acme", "Beta Kod"]
+    for name, extra in (("bomb", {"xl/media/a": b"0" * 60_000_000}), ("ratio", {"xl/media/a": b"0" * 20_000_000}), ("parts", {f"p{i}": b"" for i in range(600)})):
+        sheet(tmp_path / f"{name}.xlsx", [["a"]], extra)
+        with pytest.raises(sheets.SheetError, match="too large"):
+            list(sheets.cells((tmp_path / f"{name}.xlsx").read_bytes()))
+    with pytest.raises(sheets.SheetError):
+        list(sheets.cells(b"no zip"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.sources.sheets import sheet_lines
 from veilspark.sources.tree import ProjectTree
 
 # Folders, suffixes and names that are treated specially.
@@ -182,8 +183,11 @@ def verified(rows: DataFrame, key: str) -> DataFrame:
 
 
 def term_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Terms of a text or CSV file: the column named for them, else the first; heads and repeated spellings go."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
-    first = F.trim(F.regexp_replace(F.get(F.split(F.regexp_replace("value", "^﻿", ""), "[,;\t]"), F.lit(0)), '^"|"$', ""))
+    """Terms of a text, CSV or .xlsx file: those of its first column; heads and repeated spellings go."""
+    if path.lower().endswith(".xlsx"):
+        lines, first = sheet_lines(spark, path), F.trim("value")
+    else:
+        lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
+        first = F.trim(F.regexp_replace(F.get(F.split(F.regexp_replace("value", "^﻿", ""), "[,;\t]"), F.lit(0)), '^"|"$', ""))
     terms = lines.select(first.alias("term"), "n").where("term <> ''").where(~F.lower("term").isin("term", "terim", "hassas deger", "value", "deger"))
     return terms.groupBy(F.lower("term").alias("k")).agg(F.min_by("term", "n").alias("term")).select("term")
