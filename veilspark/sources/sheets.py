@@ -10,7 +10,6 @@ from xml.etree import ElementTree as ET
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Parts of a file, bytes that they may have when unpacked, and how many times their packed size that may be.
 MOST_PARTS, MOST_BYTES, MOST_RATIO = 500, 50_000_000, 200
