@@ -50,32 +50,27 @@ def _clusters(spans: Column) -> Column:
     return let(ordered, cut)
 
 
+def _keys(s: Column) -> list[Column]:
+    """What a span is ranked by."""
+    return [(-s["authority"]).alias("k1"), (-_rank(s["confidence"], CONFIDENCE)).alias("k2"), (s["start"] - s["end"]).alias("k3"), F.coalesce(s["priority"], F.lit(100)).alias("k4"), (-_rank(s["source"], SOURCES)).alias("k5"), s["ord"].alias("k6")]
+
+
 def resolve(spans: Column) -> Column:
-    """Greedy choice among overlapping spans, as an array of struct<span, accepted, winner>.
+    """Greedy choice among overlapping spans, as an array of struct<span, accepted, winner>, by rank.
 
     ``spans``: structs with authority, confidence, source, priority, start, end
     and ord (a number that breaks all ties).  Ranked by authority, confidence,
     length, lower priority number and source; a span is accepted unless it
     overlaps one accepted before, which is then named by its ``ord``.  Spans that
-    no chain of overlaps joins cannot meet, so each such cluster is ranked by
+    no chain of overlaps joins cannot meet, so each such cluster is judged by
     itself, and a text with many findings costs little more than their number.
     """
-    return F.flatten(F.transform(_clusters(spans), _resolved))
+    judged = F.flatten(F.transform(_clusters(spans), _resolved))
+    return F.transform(F.array_sort(F.transform(judged, lambda x: F.struct(*_keys(x["span"]), x.alias("x")))), lambda y: y["x"])
 
 
 def _resolved(spans: Column) -> Column:
-    ranked = F.transform(
-        F.array_sort(
-            F.transform(
-                spans,
-                lambda s: F.struct(
-                    (-s["authority"]).alias("k1"), (-_rank(s["confidence"], CONFIDENCE)).alias("k2"), (s["start"] - s["end"]).alias("k3"), F.coalesce(s["priority"], F.lit(100)).alias("k4"),
-                    (-_rank(s["source"], SOURCES)).alias("k5"), s["ord"].alias("k6"), s.alias("span"),
-                ),
-            )
-        ),
-        lambda x: x["span"],
-    )
+    ranked = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(*_keys(s), s.alias("span")))), lambda x: x["span"])
     judged = F.transform(ranked, lambda s: F.struct(s.alias("span"), F.lit(True).alias("accepted"), F.lit(None).cast("int").alias("winner")))
     none = F.filter(judged, lambda x: F.lit(False))
 
