@@ -270,3 +270,19 @@ def test_many_findings_in_one_text(spark):
     df = spark.createDataFrame([(1, text)], "doc_id int, text string")
     out = detect.detect(df, BASIC).select(S.accepted(S.resolve(F.col("findings"))).alias("a")).first().a
     assert [s.value for s in out] == text.split()
+
+
+def test_only_natural_language_is_judged_by_entropy(spark):
+    phone = "+1 (366) 555-9807"  # 3.5 bits and more
+    docs = spark.createDataFrame([(1, f"call {phone} now")], "doc_id bigint, text string")
+    rules = [r for r in R.bound((*R.RULES, *R.RECOGNISERS)) if r.name == "builtin_phone"]
+    assert [r.value for r in detect.long(detect.detect(docs, rules)).collect()] == [phone]
+    assert docs.select(F.size(detect.findings_array(F.col("text"), rules))).first()[0] == 1
+    assert detect.long(detect.detect(docs, rules, natural=("PHONE_NUMBER",))).count() == 0
+
+
+def test_numbered_masks_are_those_of_the_four_rules(spark, tmp_path):
+    text = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" a@b.example'
+    spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalogue.QUERIES["mask_numbered"](spark, str(tmp_path)).first()
+    assert (out.masked_text, out.n_findings) == ('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" mask_email_1', 1)
