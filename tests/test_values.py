@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark import api
+from veilspark.functions import text as T
 from veilspark.functions.align import aligned, folded, words_of
 from veilspark.operators import consistency, detect, learned, mapping, paths, phrases, redacted, remediate, rows, structure, variants
 from veilspark.operators import rules as R
@@ -286,3 +287,18 @@ def test_numbered_masks_are_those_of_the_four_rules(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     out = catalogue.QUERIES["mask_numbered"](spark, str(tmp_path)).first()
     assert (out.masked_text, out.n_findings) == ('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" mask_email_1', 1)
+
+
+def test_path_mismatches_are_not_broadcast(spark):
+    files = spark.createDataFrame([(1, "large ring/blueBolt_x/a.txt"), (2, ""), (3, None)], "doc_id int, masked_path string")
+    masked = spark.createDataFrame([(1, "Blue bolt"), (1, "ring blue"), (1, "ri"), (2, "abc")], "doc_id int, value string")
+    out = paths.content_mismatches(files, masked)
+    assert [tuple(r) for r in out.collect()] == [(1, 2)]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folding_makes_sharp_s_two_letters(spark):
+    assert one(spark, T.fold_turkish(F.lit("UngheitßŞ"))) == "ungheitsss"
+    docs = spark.createDataFrame([(1, "das ungheitß da"), (2, "UNGHEITSS")], "doc_id bigint, text string")
+    found = consistency.leaks(docs, spark.createDataFrame([("ungheitß",)], "term string"), 9)
+    assert sorted((r.doc_id, r.n) for r in found.collect()) == [(1, 1), (2, 1)]
