@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def fold_turkish(value: Column) -> Column:
-    """Lower case with the dotless i and the letters with marks made plain."""
-    return F.regexp_replace(F.translate(F.lower(value), "ışğçöü", "isgcou"), "̇", "")
+    """Lower case with the dotless i and the letters with marks made plain, and ß as ss."""
+    return F.regexp_replace(F.translate(F.replace(F.lower(value), F.lit("ß"), F.lit("ss")), "ışğçöü", "isgcou"), "̇", "")
 
 
 def compact(value: Column) -> Column:
