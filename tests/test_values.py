@@ -312,3 +312,13 @@ def test_spans_move_by_runs(spark):
     found = variants.kept_texts(classes).select(rows.ROW, F.explode(detect.matches(F.col("text"), "[0-9]+")).alias("m")).select(rows.ROW, "m.start", "m.end")
     out = variants.member_spans(classes, found)
     assert out.count() == 40_000 and out.agg(F.max("end")).first()[0] == 80_000
+
+
+def test_claims_meet_covers_without_their_texts(spark):
+    docs = spark.createDataFrame([(1, "s", "the cat and the cat"), (2, "s", "a cat sat")], "doc_id bigint, scope string, text string")
+    claims = spark.createDataFrame([(1, "cat"), (2, "cat"), (2, "a cat")], "doc_id bigint, value string")
+    known = spark.createDataFrame([("s", "the cat"), ("s", "cats"), ("s", "A CAT"), ("t", "cat")], "scope string, value string")
+    out = learned.covered_claims(claims, docs, known)
+    assert sorted((r.doc_id, r.value, r.covered) for r in out.collect()) == [(1, "cat", True), (2, "a cat", True), (2, "cat", True)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [" in line and "__text" in line]

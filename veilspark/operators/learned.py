@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.align import aligned, folded, folded_udf
+from veilspark.functions.arrays import let
 from veilspark.operators import rows
 from veilspark.operators.detect import prefix_of
 from veilspark.operators.phrases import _TOKEN, touches
@@ -111,11 +112,19 @@ def covered_claims(claims: DataFrame, docs: DataFrame, decisions: DataFrame, doc
     asked = claims.select(doc_id, "value").distinct().withColumn("__needle", folded_udf(F.coalesce("value", F.lit(""))))
     own = docs.select(F.col(doc_id).alias("__doc"), F.col(scope).alias("__scope"), folded_udf(F.coalesce(text, F.lit(""))).alias("__text"))
     placed = asked.join(own, F.col(doc_id) == F.col("__doc")).drop("__doc")
-    inside = placed.join(known, "__scope").where((F.col("__needle") != "") & F.col("__cover").contains(F.col("__needle")))
-    # Covers come as intervals, merged before any claim is held against them.
-    widths = inside.select(doc_id, "value", "__text", "__needle", (F.col("__needle") == F.col("__cover")).alias("__same"), F.transform(occurrences(F.col("__text"), F.col("__cover")), lambda s: F.struct(s.alias("s"), (s + F.length("__cover")).alias("e"))).alias("__w"))
-    grouped = widths.groupBy(doc_id, "value", "__text", "__needle").agg(F.bool_or("__same").alias("__same"), F.array_sort(F.flatten(F.collect_list("__w"))).alias("__w"))
-    at = occurrences(F.col("__text"), F.col("__needle"))
-    within = F.forall(at, lambda s: F.exists("__w", lambda w: (w["s"] <= s) & (s + F.length("__needle") <= w["e"])))
-    judged = grouped.select(F.col(doc_id).alias("__d"), F.col("value").alias("__v"), (F.col("__same") | (F.size(at) > 0) & within).alias("__covered")).groupBy("__d", "__v").agg(F.bool_or("__covered").alias("__covered"))
+    # Needles meet covers without the texts, which hold few different needles; a text then meets the covers of its needle as one array.
+    near = placed.select("__scope", "__needle").where("__needle <> ''").distinct().join(known, "__scope").where(F.col("__cover").contains(F.col("__needle")))
+    near = near.groupBy(F.col("__scope").alias("__s"), F.col("__needle").alias("__n")).agg(F.collect_list("__cover").alias("__covers"))
+    met = placed.join(near, (F.col("__scope") == F.col("__s")) & (F.col("__needle") == F.col("__n")))
+    body, needle = F.col("__text"), F.col("__needle")
+
+    def spans(cover: Column) -> Column:
+        return F.transform(occurrences(body, cover), lambda s: F.struct(s.alias("s"), (s + F.length(cover)).alias("e")))
+
+    def held(at: Column) -> Column:
+        standing = F.flatten(F.transform(F.filter("__covers", body.contains), spans))
+        return F.when(F.size(at) > 0, let(standing, lambda w: F.forall(at, lambda s: F.exists(w, lambda x: (x["s"] <= s) & (s + F.length(needle) <= x["e"]))))).otherwise(False)
+
+    covered = F.array_contains("__covers", needle) | let(occurrences(body, needle), held)
+    judged = met.select(F.col(doc_id).alias("__d"), F.col("value").alias("__v"), covered.alias("__covered")).groupBy("__d", "__v").agg(F.bool_or("__covered").alias("__covered"))
     return claims.join(judged, claims[doc_id].eqNullSafe(judged["__d"]) & claims["value"].eqNullSafe(judged["__v"]), "left").withColumn("covered", F.coalesce("__covered", F.lit(False))).drop("__d", "__v", "__covered")
