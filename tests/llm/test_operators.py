@@ -312,6 +312,21 @@ def test_components_of_a_long_path(spark):
     assert all(got[i] == 0 for i in range(61)) and got[101] == 100
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    from veilspark.llm import components as module
+
+    rng, tables, real = random.Random(3), [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name: tables.append(name) or real(df, name))
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(200)] + [(5000, 4000 + i) for i in range(200)]
+    root: dict[int, int] = {}
+    for a, b in pairs:
+        x, y = root.setdefault(a, a), root.setdefault(b, b)
+        root.update({k: min(x, y) for k, v in root.items() if v in (x, y)})
+    got = module.components(spark.createDataFrame(pairs, "a bigint, b bigint").repartition(3)).collect()
+    assert len(got) == len(root) and {r.node: r.root for r in got} == root
+    assert len(tables) <= 6
+
+
 # -- 7 -------------------------------------------------------------------------------------------
 
 

@@ -25,7 +25,7 @@ documents share, or a large family of near copies.  Pigeonhole again: linked set
 share at least k = m - |difference| of the m parts of the larger one, so that one
 looks for partners only in its smaller groups, all but the k - 1 largest, and
 pairs that share fewer than k signatures are no candidates.  Members of large
-groups meet a hub of the group first, in a few rounds with other hubs, and only
+groups meet the few hubs of the group first, and only
 members of groups that then still hold different components are compared exactly,
 cluster by cluster (what shares large groups), in blocks of which each two meet
 once and only links leave.  None is skipped that could connect components.
@@ -51,8 +51,8 @@ from veilspark.llm.common import bytes_of, dropped, fresh, mixed, released, slic
 from veilspark.llm.components import components
 
 WORDS, PERCENT, SMALL = 5, 75, 8
-#: Rounds in which the members of large groups meet hubs before the members of different components meet each other.
-ROUNDS = 2
+#: Hubs that the members of a large group meet before the members of different components meet each other.
+HUBS = 2
 BROADCAST_ROWS = 2_000_000
 #: Bytes of text in a step; its words, shingles and signatures take some forty times as much for a moment.
 SLICE = 1 << 20
@@ -443,15 +443,12 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         several = rooted.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.bool_or("asks").alias("z")).where("x <> y and z").select("sig")
         return stored(rooted.join(several, "sig", "left_semi"), "large-groups")
 
-    tried, members = pairs, mixed_members(members)
-    for turn in range(ROUNDS):
-        if not members.limit(1).count():
-            break
+    members = mixed_members(members)
+    if members.limit(1).count():
         # The same member is the hub of most groups that it is in, so a family of near copies has few hubs.
-        hubs = members.groupBy("sig").agg(F.min_by(item, F.xxhash64("a", F.lit(turn))).alias("hub"))
-        new = members.join(hubs, "sig").where(can_link(item, F.col("hub"))).select(F.when(larger(item, F.col("hub")), F.col("a")).otherwise(F.col("hub.a")).alias("a"), F.when(larger(item, F.col("hub")), F.col("hub.a")).otherwise(F.col("a")).alias("b"))
-        new = stored(new.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(new)
+        hubs = members.groupBy("sig").agg(F.array_distinct(F.array(*(F.min_by(item, F.xxhash64("a", F.lit(k))) for k in range(HUBS)))).alias("hubs"))
+        new = members.join(hubs, "sig").withColumn("hub", F.explode("hubs")).where(can_link(item, F.col("hub"))).select(F.when(larger(item, F.col("hub")), F.col("a")).otherwise(F.col("hub.a")).alias("a"), F.when(larger(item, F.col("hub")), F.col("hub.a")).otherwise(F.col("a")).alias("b"))
+        new = stored(new.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         more = linked(new)
         edges = edges.unionByName(more)
         if more.limit(1).count():
