@@ -86,6 +86,20 @@ def test_a_killed_run_leaves_the_old_tree_and_is_recovered(spark, tmp_path):
     assert json.loads((root / "versions" / "r3.json").read_text())["before"] == "r1"
 
 
+def test_a_task_that_outlives_its_run_writes_nothing(tmp_path):
+    root = tmp_path / "out"
+    writer = publish.PublishedWriter({"path": str(root), "run": "r1"}, ["path", "content"])
+
+    def rows():
+        yield {"path": "a/x", "content": "new"}
+        writer.abort([])
+        yield {"path": "b/y", "content": "new"}
+
+    with pytest.raises(OSError):
+        writer.write(rows())
+    assert not list((root / "versions").iterdir()) and not (root / "journal.json").exists() and not (root / "gone").exists()
+
+
 def tree_bytes(root: Path) -> dict[str, bytes]:
     top = root / "versions" / (root / "CURRENT").read_text()
     return {str(p.relative_to(top)): p.read_bytes() for p in top.rglob("*") if p.is_file()}

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-JOURNAL, CURRENT, VERSIONS = "journal.json", "CURRENT", "versions"
+JOURNAL, CURRENT, VERSIONS, GONE = "journal.json", "CURRENT", "versions", "gone"
 
 
 def opened(target: str) -> tuple[fs.FileSystem, str]:
@@ -60,6 +60,21 @@ def _delete(store: fs.FileSystem, path: str) -> None:
         store.delete_file(path)
 
 
+def _withdrawn(store: fs.FileSystem, root: str, run: str) -> None:
+    """Delete a run's files.  Their folder leaves its place first: a task that still writes finds none and makes none."""
+    top = aside = f"{root}/{VERSIONS}/{run}"
+    if store.get_file_info(top).type == fs.FileType.Directory:
+        store.create_dir(f"{root}/{GONE}")
+        aside = f"{root}/{GONE}/{uuid.uuid4().hex}"
+        try:
+            store.move(top, aside)
+        except OSError:  # a store that renames no folders
+            aside = top
+    _delete(store, aside)
+    _delete(store, f"{root}/{GONE}")
+    _delete(store, f"{top}.json")
+
+
 def safe_path(path: str) -> str:
     """``path`` if it stays below the tree that it is written to."""
     parts = PurePosixPath(path).parts
@@ -102,6 +117,7 @@ class PublishedWriter(DataSourceWriter):
             raise ValueError(f"{self.target}: run {self.run} is published already")
         if held is None:
             _write(store, f"{root}/{JOURNAL}", json.dumps({"run": self.run}).encode())
+        store.create_dir(f"{root}/{VERSIONS}/{self.run}")
 
     def write(self, iterator: Iterator) -> Written:
         store, root = opened(self.target)
@@ -109,10 +125,10 @@ class PublishedWriter(DataSourceWriter):
         for row in iterator:
             path, content = safe_path(row["path"]), row["content"]
             data = content.encode() if isinstance(content, str) else bytes(content or b"")
-            folder = str(PurePosixPath(f"{top}/{path}").parent)
-            if folder not in made:
-                store.create_dir(folder)
-                made.add(folder)
+            for folder in reversed(PurePosixPath(path).parents[:-1]):
+                if folder not in made:
+                    store.create_dir(f"{top}/{folder}", recursive=False)  # never the run's own folder, see _withdrawn
+                    made.add(folder)
             _write(store, f"{top}/{path}", data)
             n, size = n + 1, size + len(data)
         return Written(n, size)
@@ -130,8 +146,7 @@ class PublishedWriter(DataSourceWriter):
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         store, root = opened(self.target)
         if (_read(store, f"{root}/{CURRENT}") or b"").decode() != self.run:
-            _delete(store, f"{root}/{VERSIONS}/{self.run}")
-            _delete(store, f"{root}/{VERSIONS}/{self.run}.json")
+            _withdrawn(store, root, self.run)
         _delete(store, f"{root}/{JOURNAL}")
 
 
@@ -159,8 +174,7 @@ def recover(target: str, keep: int = 0) -> str:
     if counts:
         tidied(store, root, keep)
     else:
-        _delete(store, f"{root}/{VERSIONS}/{run}")
-        _delete(store, f"{root}/{VERSIONS}/{run}.json")
+        _withdrawn(store, root, run)
     _delete(store, f"{root}/{JOURNAL}")
     return "finished" if counts else "removed"
 
