@@ -86,6 +86,12 @@ def test_a_killed_run_leaves_the_old_tree_and_is_recovered(spark, tmp_path):
     assert json.loads((root / "versions" / "r3.json").read_text())["before"] == "r1"
 
 
+def test_hidden_files_are_published_too(spark, tmp_path):
+    write(files(spark, **{"_a": "x", "b__.c": "y"}), tmp_path / "out", "r1")
+    got = publish.published(spark, str(tmp_path / "out")).select("path", "size", F.col("content").cast("string").alias("t")).collect()
+    assert sorted(map(tuple, got)) == [("_a", 1, "x"), ("b/.c", 1, "y")]
+
+
 def test_a_task_that_outlives_its_run_writes_nothing(tmp_path):
     root = tmp_path / "out"
     writer = publish.PublishedWriter({"path": str(root), "run": "r1"}, ["path", "content"])

@@ -110,3 +110,25 @@ def test_terms_of_spreadsheets(spark, tmp_path):
             list(sheets.cells((tmp_path / f"{name}.xlsx").read_bytes()))
     with pytest.raises(sheets.SheetError):
         list(sheets.cells(b"no zip"))
+
+
+def test_trees_are_read_in_small_parts(tmp_path, monkeypatch):
+    from veilspark.sources import tree
+
+    monkeypatch.setattr(tree, "FILES", 4)
+    monkeypatch.setattr(tree, "BATCH", 100)
+    for i in range(10):
+        (tmp_path / f"{i}.txt").write_text("x" * 60)
+    reader = tree.TreeReader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    assert [len(p.paths) for p in parts] == [4, 4, 2]
+    batches = [b for p in parts for b in reader.read(p)]
+    assert [b.num_rows for b in batches] == [2] * 5 and [p for b in batches for p in b.column(0).to_pylist()] == [f"{i}.txt" for i in range(10)]
+
+
+def test_batches_are_cut_by_their_texts():
+    import pyarrow as pa
+    from veilspark.functions.arrays import sliced
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["a" * 6, None, "b" * 6, "c" * 30, ""])], ["n", "t"])
+    assert [b.column(0).to_pylist() for b in sliced([batch, batch.slice(0, 0)], 1, 10)] == [[0, 1], [2], [3], [4]]

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.functions.arrays import sliced
 from veilspark.sources.sheets import sheet_lines
 from veilspark.sources.tree import ProjectTree
 
@@ -150,7 +151,7 @@ def texts(files: DataFrame, specs: tuple[tuple[str, str], ...] = EXCLUDES, max_b
     keyed = files.withColumn("early", early).withColumn("content", F.when(F.col("early").isNull(), F.col("content"))).withColumn("lock", kind == "lock")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             out = [(e, None, None) if e else decoded(c or b"", max_bytes) for e, c in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             status = ["scan_only_text_ready" if lock and s == "text_ready" else s for (s, _, _), lock in zip(out, batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(status), pa.array([t for _, t, _ in out], pa.string()), pa.array([n for _, _, n in out], pa.string())], ["path", "size", "status", "text", "encoding"])

@@ -29,12 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-JOURNAL, CURRENT, VERSIONS, GONE = "journal.json", "CURRENT", "versions", "gone"
-
+from veilspark.sources.shared import opened
+from veilspark.sources.tree import ProjectTree
 
-def opened(target: str) -> tuple[fs.FileSystem, str]:
-    """The file system of an address, and the path on it."""
-    return fs.FileSystem.from_uri(target if "://" in target else f"file://{target}")
+JOURNAL, CURRENT, VERSIONS, GONE = "journal.json", "CURRENT", "versions", "gone"
 
 
 def _write(store: fs.FileSystem, path: str, data: bytes) -> None:
@@ -180,17 +178,14 @@ def recover(target: str, keep: int = 0) -> str:
 
 
 def published(spark: SparkSession, target: str) -> DataFrame:
-    """(path, size, content) of the run that counts; none if there is none."""
+    """(path, size, content) of the run that counts, hidden files too; none if there is none.  Folders are listed by the tasks."""
     store, root = opened(target.rstrip("/"))
     run = (_read(store, f"{root}/{CURRENT}") or b"").decode()
-    schema = "path string, size bigint, content binary"
-    info = store.get_file_info(fs.FileSelector(f"{root}/{VERSIONS}/{run}", recursive=False)) if run else []
-    if not info:
-        return spark.createDataFrame([], schema)
-    top = f"{target.rstrip('/')}/{VERSIONS}/{run}/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(top if "://" in top else f"file://{top}")
-    mark = f"/{VERSIONS}/{run}/"
-    return files.select(F.substring(F.col("path"), F.instr("path", mark) + len(mark), F.length("path")).alias("path"), F.col("length").alias("size"), "content")
+    if not run:
+        return spark.createDataFrame([], "path string, size bigint, content binary")
+    spark.dataSource.register(ProjectTree)
+    top = f"{target.rstrip('/')}/{VERSIONS}/{run}"
+    return spark.read.format("project_tree").option("path", top).option("max_bytes", str(1 << 62)).load().select("path", "size", "content")
 
 
 def publish(done: DataFrame, target: str, run: str, text: str = "masked_text", keep: int = 0) -> None:

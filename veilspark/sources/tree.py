@@ -6,8 +6,10 @@
 Rows: path (relative), size, is_link, and content (null for links, for files over
 ``max_bytes``, and where ``content`` is false).  The driver lists the first ``depth``
 levels; what lies deeper is listed by the tasks, one for each folder at that
-depth, so a large tree is never a list in one place.  A folder that cannot be read
-stops the job: a missing subtree must not pass for an empty one.
+depth, so a large tree is never a list in one place.  Files of the upper levels
+are dealt out by FILES, and contents leave a task some BATCH bytes at a time.  A
+folder that cannot be read stops the job: a missing subtree must not pass for an
+empty one.
 """
 
 from __future__ import annotations
@@ -16,13 +18,17 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from veilspark.sources.publish import opened
+from veilspark.sources.shared import opened
 
 MAX_BYTES = 50_000_000
+#: Files of one folder that a task reads at most, bytes of contents and files that a batch holds, about.
+FILES, BATCH, ROWS = 2048, 4 << 20, 2048
+SCHEMA = pa.schema([("path", pa.string()), ("size", pa.int64()), ("is_link", pa.bool_()), ("content", pa.binary())])
 
 
 @dataclass
@@ -70,13 +76,23 @@ class TreeReader(DataSourceReader):
             below: list[str] = []
             for folder in level:
                 files, folders = self._listed(store, folder)
-                if files:
-                    out.append(Part(tuple(files), False))
+                out += [Part(tuple(files[i : i + FILES]), False) for i in range(0, len(files), FILES)]
                 below += folders
             level = below
         return [*out, *(Part((folder,), True) for folder in level)] or [Part((), False)]
 
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for row in self._rows(partition):
+            held.append(row)
+            size += len(row[3] or b"")
+            if size >= BATCH or len(held) >= ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
+
+    def _rows(self, partition: Part) -> Iterator[tuple]:
         store, root = opened(self.root)
         todo = list(reversed(partition.paths))
         while todo:
