@@ -149,6 +149,15 @@ def test_masking_is_reversible_and_deterministic(spark):
     assert dict(results[0][1])[0] == "mail mask_email_1 and mask_email_1, mask_ip_1"
 
 
+def test_tokens_within_longer_runs_come_back(spark):
+    texts = ["run 068c4111111111111111d354d6 and 4111111111111111", "xmask_email_9y mask_ip_8", "c4111111111111111 4111111111111111_"]
+    docs = docs_of(spark, *texts)
+    out, table, _ = catalogue.mask_documents(docs, BASIC)
+    assert "068cmask_credit_card_1d354d6" in {r.doc_id: r.masked_text for r in out.collect()}[0]
+    back = {r.doc_id: (r.restored, r.unresolved) for r in mapping.unmasked(out, table).collect()}
+    assert back == {0: (texts[0], []), 1: (texts[1], ["mask_ip_8"]), 2: (texts[2], [])}
+
+
 def test_numbers_are_dense_across_blocks(spark):
     found = spark.createDataFrame([(i // 2, i % 2, f"v{i % 70}", "mask_a" if i % 3 else "mask_b") for i in range(300)], "doc_id bigint, start int, value string, prefix string")
     got = mapping.numbered(mapping.first_occurrences(found, ["doc_id", "start"]), ["doc_id", "start"], block=7).orderBy("doc_id", "start").collect()

@@ -84,6 +84,9 @@ def masked(docs: DataFrame, findings: DataFrame, mapping: DataFrame, doc_id: str
 TOKEN = rf"(?<![A-Za-z0-9_])(?:{R.PLACEHOLDER}|{R.OLD_PLACEHOLDER})(?![A-Za-z0-9_])|(?<![0-9])(?:{R.JSON_NUMBER})(?![0-9])"
 
 
+#: A token that touches letters, as where a value was found within a longer run; it is put back if the mapping knows it and else left alone.
+#: Where digits follow, the token's number has no certain end.
+GLUED = rf"{R.PLACEHOLDER}(?![0-9])"
 #: Tokens of earlier rules, ``PREFIX_n``: they are put back if the mapping knows them; other names of that form are left alone and not reported.
 BARE = r"(?<![A-Za-z0-9_])[A-Z][A-Z0-9_]*_[0-9]+(?![A-Za-z0-9_])"
 #: What looks like a damaged token: it is reported and never guessed.
@@ -105,11 +108,17 @@ def unmasked(docs: DataFrame, mapping: DataFrame, doc_id: str = "doc_id", text:
     """
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.withColumn("__text", rows.content_key(F.col(text)))
-    tokens = keyed.select("__text", F.explode(matches(body, f"{TOKEN}|{BARE}")).alias("m")).select("__text", "m.start", "m.end", F.col("m.value").alias("placeholder")).distinct()
+
+    def touched(m: Column) -> Column:
+        around = F.concat(F.when(m["start"] > 0, F.substring(body, m["start"], F.lit(1))).otherwise(""), F.substring(body, m["end"] + 1, F.lit(1)))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), (m["value"].startswith("mask_") & around.rlike("[A-Za-z0-9_]")).alias("glued"))
+
+    found = F.transform(matches(body, f"{TOKEN}|{GLUED}|{BARE}"), touched)
+    tokens = keyed.select("__text", F.explode(found).alias("m")).select("__text", "m.start", "m.end", F.col("m.value").alias("placeholder"), "m.glued").distinct()
     known = tokens.join(mapping.select("placeholder", "value"), "placeholder", "left")
     back = known.groupBy(F.col("__text").alias("__of")).agg(
         F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("start", "end", F.col("value").alias("replacement"))))).alias("__spans"),
-        F.array_sort(F.collect_set(F.when(F.col("value").isNull() & F.col("placeholder").rlike(f"^(?:{R.PLACEHOLDER}|{R.OLD_PLACEHOLDER}|{R.JSON_NUMBER})$"), F.col("placeholder")))).alias("unresolved"),
+        F.array_sort(F.collect_set(F.when(F.col("value").isNull() & ~F.col("glued") & F.col("placeholder").rlike(f"^(?:{R.PLACEHOLDER}|{R.OLD_PLACEHOLDER}|{R.JSON_NUMBER})$"), F.col("placeholder")))).alias("unresolved"),
     )
     joined = rows.attached(keyed, back, "__text").withColumn("__spans", F.coalesce("__spans", F.array().cast(SPANS))).withColumn("unresolved", F.coalesce("unresolved", F.array().cast("array<string>")))
     return joined.withColumn(out, F.when(F.size("__spans") > 0, S.rebuild(body, F.col("__spans"))).otherwise(body)).drop("__spans", "__text")
