@@ -16,6 +16,7 @@ from veilspark.operators import consistency, detect, learned, mapping, paths, ph
 from veilspark.operators import rules as R
 from veilspark.operators import spans as S
 from veilspark.plans import catalogue
+from veilspark.plans.values import spaced_values
 
 BASIC = catalogue._rules(catalogue.EMAIL, catalogue.IP)
 
@@ -113,6 +114,25 @@ def test_values_with_spaces_are_consistent(spark):
     assert {r.doc_id: r.n_more for r in done} == {1: 1, 2: 2} and all("555" not in r.masked_text for r in done)
 
 
+def test_numbers_that_look_random_are_counted_wherever_they_stand(spark, tmp_path):
+    texts = ["call +1 (366) 555-9807 now, +1 (366) 555-9807.", "again +1 (366) 555-9807", "+1 (366) 555-9807™ and №+1 (366) 555-9807", "+1 (366) 555-98071 x+1 (366) 555-9807"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.value, r.n) for r in spaced_values(spark, str(tmp_path)).collect())
+    assert got == [(0, "+1 (366) 555-9807", 2), (1, "+1 (366) 555-9807", 1), (2, "+1 (366) 555-9807", 2)]
+
+
+def test_signs_that_become_letters_do_not_hide_a_value(spark):
+    docs = spark.createDataFrame([(1, "Acme™ №7 (123) 456-7890㎏ Acme Corp™ №7"), (2, "acmetm no7 Acme™corp"), (3, "Ac™me e\u03017 ™™Acme℡℡"), (4, "™" * 3000)], "doc_id bigint, text string")
+    values = spark.createDataFrame([("acme",), ("ACME™",), ("Acme Corp",), ("7 (123) 456-7890",), ("№7",), ("7",)], "value string")
+    got = sorted((r.doc_id, r.start, r.end, r.phrase) for r in phrases.places(docs, values, every=True).collect())
+    assert got == [
+        (1, 0, 4, "acme"), (1, 0, 5, "acmetm"), (1, 6, 8, "no7"), (1, 7, 8, "7"), (1, 7, 23, "7 (123) 456-7890"), (1, 25, 29, "acme"), (1, 25, 34, "acme corp"), (1, 36, 38, "no7"), (1, 37, 38, "7"),
+        (2, 0, 6, "acmetm"), (2, 7, 10, "no7"), (2, 11, 15, "acme"), (3, 12, 16, "acme"),
+    ]
+    leaked = consistency.leaks(docs, spark.createDataFrame([("Acme™",), ("CORP",)], "term string"), 4).collect()
+    assert sorted((r.doc_id, r.term, r.n) for r in leaked) == [(1, "Acme™", 2), (1, "CORP", 1), (2, "Acme™", 2), (2, "CORP", 1), (3, "Acme™", 1)]
+
+
 # -- learned values ------------------------------------------------------------------------------
 
 
