@@ -16,7 +16,7 @@ from veilspark.operators import consistency, detect, learned, mapping, paths, ph
 from veilspark.operators import rules as R
 from veilspark.operators import spans as S
 from veilspark.plans import catalogue
-from veilspark.plans.values import spaced_values
+from veilspark.plans.values import learned_values, spaced_values
 
 BASIC = catalogue._rules(catalogue.EMAIL, catalogue.IP)
 
@@ -146,6 +146,20 @@ def test_learned_values_in_source_positions(spark):
     assert learned.learned_findings(docs, decisions.limit(0)).count() == 0
 
 
+def test_learned_values_from_half_a_sign(spark, tmp_path):
+    texts = ["enßchach Schach", "ßchach", "gezu SCHACHß", "Abyß weissaß", None]
+    wanted = ["a b schach", "a b WEISS", "a b byssa", "a b sassa"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(wanted)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.doc_id, r.value, r.n) for r in learned_values(spark, str(tmp_path)).collect())
+    # as its SQL counts in the text with ss for ß
+    want = sorted((i, v, n) for i, t in enumerate(texts) for v in ("schach", "weiss", "byssa", "sassa") if (n := len(re.findall(f"(?={v})", (t or "").lower().replace("ß", "ss")))))
+    assert got == want == [(0, "schach", 2), (1, "schach", 1), (2, "schach", 1), (3, "weiss", 1)]
+    docs, decisions = spark.createDataFrame([(1, "x ßa")], "doc_id int, text string"), spark.createDataFrame([(1, "s", "IP"), (2, "sa", "IP")], "decision_id int, value string, entity string")
+    assert sorted((r.start, r.end, r.value, r.needle) for r in learned.learned_findings(docs, decisions, parts=True).collect()) == [(2, 3, "ß", "s"), (2, 3, "ß", "s"), (2, 4, "ßa", "sa")]
+    assert learned.learned_findings(docs, decisions).count() == 0
+
+
 def test_occurrences_overlap(spark):
     for text, needle in (("aaaa", "aa"), ("abcab", "ab"), ("xaby", "ab"), ("", "a"), ("a", ""), ("a.b.a.b", "a.b"), ("q\\Ex\\E", "\\E")):
         want = [i for i in range(len(text)) if needle and text.startswith(needle, i)]

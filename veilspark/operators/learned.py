@@ -34,8 +34,12 @@ def automaton(needles: list[str]) -> ahocorasick.Automaton:
     return found
 
 
-def places(text: str, machine: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
-    """(start, end, needle) of all places of needles, in the source; none is a part of a sign that normalisation made several, and none touches a placeholder."""
+def places(text: str, machine: ahocorasick.Automaton, parts: bool = False) -> list[tuple[int, int, str]]:
+    """(start, end, needle) of all places of needles, in the source; none is a part of a sign that normalisation made several, and none touches a placeholder.
+
+    With ``parts`` also those that begin or end within such a sign, one for each
+    place in the normalised text; their spans hold the sign whole.
+    """
     view = folded(text)
     hits = [(e - len(n) + 1, e + 1, n) for e, n in machine.iter(view)]
     if not hits:
@@ -45,16 +49,17 @@ def places(text: str, machine: ahocorasick.Automaton) -> list[tuple[int, int, st
     out = []
     for low, high, needle in hits:
         a, b = starts[low], ends[high - 1]
-        if folded(text[a:b]) == needle and not touches(masked, a, b):
+        if (parts or folded(text[a:b]) == needle) and not touches(masked, a, b):
             out.append((a, b, needle))
     return sorted(out)
 
 
-def learned_findings(docs: DataFrame, decisions: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """Findings (doc_id, row_key, decision_id, entity, prefix, priority, confidence, start, end, value) of learned sensitive values.
+def learned_findings(docs: DataFrame, decisions: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, parts: bool = False) -> DataFrame:
+    """Findings (doc_id, row_key, decision_id, entity, prefix, priority, confidence, start, end, value, needle) of learned sensitive values.
 
     ``decisions``: decision_id, value, entity.  Of decisions on one value and type
     the first counts; a value without a sign is left out; null texts have none.
+    ``needle`` is the decision's value, normalised.  ``parts``: see :func:`places`.
     """
     keyed = decisions.withColumn("needle", folded_udf("value")).where(F.length("needle") > 0)
     first = stored(keyed.groupBy("needle", "entity").agg(F.min("decision_id").alias("decision_id")), "decisions")
@@ -74,7 +79,7 @@ def learned_findings(docs: DataFrame, decisions: DataFrame, doc_id: str = "doc_i
             for batch in batches:
                 at, found = [], []
                 for i, body in enumerate(batch.column(2).to_pylist()):
-                    new = [(a, e, body[a:e], n) for a, e, n in places(body, machine)] if machine and body else []
+                    new = [(a, e, body[a:e], n) for a, e, n in places(body, machine, parts)] if machine and body else []
                     at += [i] * len(new)
                     found += new
                 take = pa.array(at, pa.int64())
@@ -85,7 +90,7 @@ def learned_findings(docs: DataFrame, decisions: DataFrame, doc_id: str = "doc_i
         out = part if out is None else out.unionByName(part)
     named = out.join(first, "needle")
     return named.select(
-        "doc_id", rows.ROW, "decision_id", "entity", prefix_of(F.col("entity")).alias("prefix"), F.lit(10).alias("priority"), F.lit("yuksek").alias("confidence"), "start", "end", "value",
+        "doc_id", rows.ROW, "decision_id", "entity", prefix_of(F.col("entity")).alias("prefix"), F.lit(10).alias("priority"), F.lit("yuksek").alias("confidence"), "start", "end", "value", "needle",
     )
 
 
