@@ -356,3 +356,33 @@ def test_claims_meet_covers_without_their_texts(spark):
     assert sorted((r.doc_id, r.value, r.covered) for r in out.collect()) == [(1, "cat", True), (2, "a cat", True), (2, "cat", True)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Aggregate [" in line and "__text" in line]
+
+
+def test_claims_and_covers_in_pieces(spark):
+    rng = random.Random(5)
+
+    def text(n):
+        return "".join(rng.choice("ab ß") for _ in range(n))
+
+    texts = [(rng.randrange(60), rng.choice(("x", "y", "y", "y", None)), text(rng.randrange(40))) for _ in range(90)] + [(None, "y", "ab"), (7, "y", None)]
+    known = [(rng.choice("xyz"), text(rng.randrange(7))) for _ in range(60)]
+    asked = [(rng.randrange(62), text(rng.randrange(4))) for _ in range(200)] + [(None, "a"), (3, None)]
+
+    def fold(t):
+        return (t or "").lower().replace("ß", "ss")
+
+    def holds(scope, body, needle):
+        covers = [fold(c) for s, c in known if s == scope]
+        at = [i for i in range(len(body)) if body.startswith(needle, i)]
+        spans = [(i, i + len(c)) for c in covers if c for i in range(len(body)) if body.startswith(c, i)]
+        return needle in covers or bool(at) and all(any(a <= i and i + len(needle) <= b for a, b in spans) for i in at)
+
+    want = sorted((str(i), str(v), i is not None and bool(v) and any(d == i and holds(s, fold(t), fold(v)) for d, s, t in texts)) for i, v in asked)
+    assert 20 < sum(w[2] for w in want) < 180
+    docs = spark.createDataFrame(texts, "doc_id bigint, scope string, text string").repartition(3)
+    claims, decisions = spark.createDataFrame(asked, "doc_id bigint, value string"), spark.createDataFrame(known, "scope string, value string")
+    for pieces in ({}, {"part": 100}, {"block": 20}, {"part": 300, "block": 60}):
+        out = learned.covered_claims(claims, docs, decisions, **pieces)
+        assert sorted((str(r.doc_id), str(r.value), r.covered) for r in out.collect()) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Contains" not in plan  # no needle is held against a scope's covers one by one

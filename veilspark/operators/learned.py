@@ -8,6 +8,7 @@ bound; more values take more passes of the same job.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -16,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.align import aligned, folded, folded_udf
-from veilspark.functions.arrays import let
 from veilspark.operators import rows
 from veilspark.operators.detect import prefix_of
 from veilspark.operators.phrases import _TOKEN, touches
@@ -24,6 +24,8 @@ from veilspark.sources.shared import stored
 
 #: Characters of values in one automaton.
 BLOCK = 4 << 20
+#: Characters of a scope's texts, and of its suppressed values, that meet in one step.
+PART, COVERS = 16 << 20, 8 << 20
 
 
 def automaton(needles: list[str]) -> ahocorasick.Automaton:
@@ -104,7 +106,62 @@ def occurrences(text: Column, needle: Column) -> Column:
     return F.when((F.length(needle) > 0) & text.contains(needle), F.array_distinct(starts)).otherwise(F.array().cast("array<int>"))
 
 
-def covered_claims(claims: DataFrame, docs: DataFrame, decisions: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: str = "scope") -> DataFrame:
+def standing(view: str, needle: str) -> list[int]:
+    """Starts of a string in a text, overlapping ones too."""
+    out, at = [], view.find(needle)
+    while at >= 0:
+        out.append(at)
+        at = view.find(needle, at + 1)
+    return out
+
+
+def outside(at: list[int], n: int, reach: list[tuple[int, int]]) -> list[int]:
+    """Which of the places (starts in order, of ``n`` signs) lie within none of the spans (start, furthest end; by start)."""
+    out, k, far = [], 0, 0
+    for p in at:
+        while k < len(reach) and reach[k][0] <= p:
+            far = max(far, reach[k][1])
+            k += 1
+        if far < p + n:
+            out.append(p)
+    return out
+
+
+def _judged(texts: pa.Table, others: pa.Table) -> pa.Table:
+    """For a part of a scope's texts and of its covers: claims that equal a cover, or of which covers hold some places; ``open`` are the others."""
+    asked: dict[tuple[str, int], list[tuple[str, str]]] = defaultdict(list)
+    covers = []
+    for doc, row, value, needle in zip(*(others.column(c).to_pylist() for c in ("__doc", "__row", "__value", "__needle")), strict=True):
+        if doc is None:
+            covers.append(needle)
+        else:
+            asked[doc, row].append((value, needle))
+    out: list[tuple] = []
+    if asked and covers:
+        machine, bodies = automaton(covers), texts.column("__body")
+        for i, key in enumerate(zip(texts.column("__doc").to_pylist(), texts.column("__row").to_pylist(), strict=True)):
+            if key not in asked:
+                continue
+            view = folded(bodies[i].as_py() or "")
+            ends: dict[int, int] = {}
+            for e, cover in machine.iter(view):  # by their ends, so the furthest is the last
+                ends[e + 1 - len(cover)] = e + 1
+            reach = sorted(ends.items())
+            for value, needle in asked[key]:
+                same, at = needle in machine, standing(view, needle)
+                left = outside(at, len(needle), reach)
+                if same or len(left) < len(at):
+                    out.append((*key, value, same, left))
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
+    return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc", "row", "value", "same", "open"])
+
+
+def _pieces(df: DataFrame, chars: Column, most: int, name: str) -> DataFrame:
+    """(scope, pieces) of the scopes with more than ``most`` characters; there are at most as many as pieces."""
+    return F.broadcast(df.groupBy("__scope").agg(F.ceil(F.sum(chars) / most).cast("int").alias(name)).where(F.col(name) > 1))
+
+
+def covered_claims(claims: DataFrame, docs: DataFrame, decisions: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: str = "scope", part: int = PART, block: int = COVERS) -> DataFrame:
     """``claims`` (doc_id, value) with covered: whether a suppression of the document's scope holds for the claim.
 
     ``decisions``: scope, value.  A claim is covered if a suppressed value is the
@@ -112,24 +169,34 @@ def covered_claims(claims: DataFrame, docs: DataFrame, decisions: DataFrame, doc
     of a suppressed value of the scope.  A value that stands nowhere is covered
     only by its like.  Equal claims and decisions count once; nulls are covered by
     nothing.
+
+    The texts of a scope are dealt into parts of about ``part`` characters and its
+    suppressed values into blocks of about ``block``; an automaton of a block goes
+    once over a text, and a place is open if it is so for all blocks.
     """
-    known = decisions.where(F.col("value").isNotNull()).select(F.col(scope).alias("__scope"), folded_udf("value").alias("__cover")).where("__cover <> ''").distinct()
-    asked = claims.select(doc_id, "value").distinct().withColumn("__needle", folded_udf(F.coalesce("value", F.lit(""))))
-    own = docs.select(F.col(doc_id).alias("__doc"), F.col(scope).alias("__scope"), folded_udf(F.coalesce(text, F.lit(""))).alias("__text"))
-    placed = asked.join(own, F.col(doc_id) == F.col("__doc")).drop("__doc")
-    # Needles meet covers without the texts, which hold few different needles; a text then meets the covers of its needle as one array.
-    near = placed.select("__scope", "__needle").where("__needle <> ''").distinct().join(known, "__scope").where(F.col("__cover").contains(F.col("__needle")))
-    near = near.groupBy(F.col("__scope").alias("__s"), F.col("__needle").alias("__n")).agg(F.collect_list("__cover").alias("__covers"))
-    met = placed.join(near, (F.col("__scope") == F.col("__s")) & (F.col("__needle") == F.col("__n")))
-    body, needle = F.col("__text"), F.col("__needle")
-
-    def spans(cover: Column) -> Column:
-        return F.transform(occurrences(body, cover), lambda s: F.struct(s.alias("s"), (s + F.length(cover)).alias("e")))
-
-    def held(at: Column) -> Column:
-        standing = F.flatten(F.transform(F.filter("__covers", body.contains), spans))
-        return F.when(F.size(at) > 0, let(standing, lambda w: F.forall(at, lambda s: F.exists(w, lambda x: (x["s"] <= s) & (s + F.length(needle) <= x["e"]))))).otherwise(False)
-
-    covered = F.array_contains("__covers", needle) | let(occurrences(body, needle), held)
-    judged = met.select(F.col(doc_id).alias("__d"), F.col("value").alias("__v"), covered.alias("__covered")).groupBy("__d", "__v").agg(F.bool_or("__covered").alias("__covered"))
-    return claims.join(judged, claims[doc_id].eqNullSafe(judged["__d"]) & claims["value"].eqNullSafe(judged["__v"]), "left").withColumn("covered", F.coalesce("__covered", F.lit(False))).drop("__d", "__v", "__covered")
+    known = decisions.where(F.col("value").isNotNull() & F.col(scope).isNotNull()).select(F.col(scope).alias("__scope"), folded_udf("value").alias("__needle")).where("__needle <> ''").distinct()
+    known = stored(known, "covers")  # dealt out, and measured before
+    asked = claims.where(F.col("value").isNotNull()).select(F.col(doc_id).cast("string").alias("__doc"), F.col("value").alias("__value")).distinct()
+    asked = asked.withColumn("__needle", folded_udf("__value")).where("__needle <> ''")
+    own = docs.where(F.col(doc_id).isNotNull() & F.col(scope).isNotNull()).select(F.col(doc_id).cast("string").alias("__doc"), F.col(scope).alias("__scope"), F.col(text).alias("__body"))
+    own = own.withColumn("__row", F.xxhash64("__doc", "__body"))
+    parts = _pieces(own, F.length("__body"), part, "__parts")
+    blocks = _pieces(known, F.length("__needle"), block, "__blocks")
+
+    def dealt(df: DataFrame, key: str, one: str, every: str) -> DataFrame:
+        """Each row in the piece of its key on its own side, and in all pieces of the other side."""
+        both = df.join(parts, "__scope", "left").join(blocks, "__scope", "left").na.fill(1, ["__parts", "__blocks"])
+        placed = both.withColumn(f"__{one}", F.pmod(F.xxhash64(key), F.col(f"__{one}s")).cast("int"))
+        return placed.withColumn(f"__{every}", F.explode(F.sequence(F.lit(0), F.col(f"__{every}s") - 1))).drop("__parts", "__blocks")
+
+    rows_of = own.select(*(F.col(c).alias(c) for c in ("__doc", "__scope", "__row"))).distinct()  # aliases, as the texts meet these again
+    placed = asked.join(rows_of, "__doc")
+    others = dealt(placed, "__row", "part", "block").unionByName(dealt(known, "__needle", "block", "part"), allowMissingColumns=True)
+    texts = dealt(own, "__row", "part", "block")
+    key = ("__scope", "__part", "__block")
+    found = texts.groupBy(*key).cogroup(others.groupBy(*key)).applyInArrow(_judged, "doc string, row bigint, value string, same boolean, open array<int>")
+    whole = F.size(F.aggregate("lists", F.get("lists", F.lit(0)), F.array_intersect)) == 0
+    by_row = found.groupBy("doc", "row", "value").agg(F.bool_or("same").alias("same"), F.collect_list("open").alias("lists"))
+    judged = by_row.select(F.col("doc").alias("__d"), F.col("value").alias("__v"), (F.col("same") | whole).alias("__c")).groupBy("__d", "__v").agg(F.bool_or("__c").alias("__covered"))
+    same_claim = (claims[doc_id].cast("string") == judged["__d"]) & (claims["value"] == judged["__v"])
+    return claims.join(judged, same_claim, "left").withColumn("covered", F.coalesce("__covered", F.lit(False))).drop("__d", "__v", "__covered")
